@@ -78,3 +78,19 @@ def stack_rows(one_row: DataFrame, rows: list[tuple[str, dict[str, Column]]],
 def is_valid_utf8(b: Column) -> Column:
     """True when the bytes decode as UTF-8 (``try_validate_utf8`` on the binary)."""
     return F.is_valid_utf8(b.cast("string"))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text of x with ``digits`` decimals, rounded like Python's ``f'{x:.nf}'``
+    (half-even on the binary value), without thousands separators."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
+def thousands(x: Column, digits: int = 0) -> Column:
+    """Python's ``f'{x:,.nf}'``: thousands separators, half-even rounding."""
+    return F.format_number(x, digits)
+
+
+def signed_fixed(x: Column, digits: int) -> Column:
+    """Python's ``f'{x:+.nf}'``."""
+    return F.when(x >= 0, F.concat(F.lit("+"), fixed(x, digits))).otherwise(fixed(x, digits))

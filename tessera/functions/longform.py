@@ -50,3 +50,14 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     w2 = Window.partitionBy(*group_cols).orderBy(*order)
     return (pre.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
             .drop("_salt", "_r1"))
+
+
+def modes(df: DataFrame, cols: list[str], as_string: bool = True) -> DataFrame:
+    """(column_name, mode, mode_count): most frequent non-NULL value per
+    column, the smallest value among ties. Counting is a shuffled groupBy and
+    the pick is an algebraic ``min(struct)`` — no column's distinct values are
+    ever held by one task."""
+    counts = value_counts_long(df, cols, as_string)
+    best = F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v")))
+    return (counts.groupBy("column_name").agg(best.alias("_b"))
+            .select("column_name", F.col("_b.v").alias("mode"), (-F.col("_b.nc")).alias("mode_count")))
