@@ -39,3 +39,41 @@ def value_ranks(values: DataFrame, col: str = "v", buckets: int = 64) -> DataFra
         "v", "cnt", (F.col("_off") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).alias("_before"))
     return ranked.select("v", "cnt", (F.col("_before") + 1).cast("long").alias("rank_min"),
                          (F.col("_before") + (F.col("cnt") + 1) / 2.0).alias("rank_avg"))
+
+
+def value_positions(df: DataFrame, v: str = "v", w: str | None = None, buckets: int = 64) -> DataFrame:
+    """(v, wsum, before): per distinct value, its total weight and the total
+    weight of all smaller values. ``w`` = None counts rows. Same distributed
+    bucketed scheme as ``value_ranks``."""
+    src = df.select(F.col(v).alias("v"), (F.col(w) if w else F.lit(1)).cast("double").alias("_w"))
+    counts = src.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("_w").alias("wsum"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = counts.agg(F.percentile_approx("v", probs, 10000).alias("_cuts"))
+    b = counts.crossJoin(F.broadcast(cuts)).select(
+        "v", "wsum", F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    totals = b.groupBy("bucket").agg(F.sum("wsum").alias("_bt"))
+    off = totals.select("bucket", F.coalesce(F.sum("_bt").over(
+        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_off"))
+    win = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return b.join(F.broadcast(off), "bucket").select(
+        "v", "wsum", (F.col("_off") + F.coalesce(F.sum("wsum").over(win), F.lit(0.0))).alias("before"))
+
+
+def exact_quantiles(df: DataFrame, v: str, probs: list[float], w: str | None = None) -> DataFrame:
+    """One row with q0..q{m-1}: exact linearly interpolated quantiles of
+    ``df[v]`` (rows weighted by integer ``w`` when given), found by position
+    in the distributed value order — no group is held by one task."""
+    pos = value_positions(df, v, w)
+    n = pos.agg(F.sum("wsum").alias("_n"))
+    j = pos.crossJoin(F.broadcast(n))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * p
+        lo, hi = F.floor(h), F.ceil(h)
+        covers = lambda x: (F.col("before") <= x) & (x < F.col("before") + F.col("wsum"))
+        aggs += [F.max(F.when(covers(lo), F.col("v"))).alias(f"_lo{i}"),
+                 F.max(F.when(covers(hi), F.col("v"))).alias(f"_hi{i}"),
+                 F.first(h - lo).alias(f"_f{i}")]
+    a = j.agg(*aggs)
+    return a.select(*[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}")
+                      for i in range(len(probs))])

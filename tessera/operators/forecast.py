@@ -168,3 +168,66 @@ def history_forecast_union(df: DataFrame, date_col: str, value_col: str,
     fc = forecast_linear(df, date_col, value_col, periods).select(
         "period", F.col("forecast").alias("value"), F.lit("Forecast").alias("kind"))
     return hist.unionByName(fc)
+
+
+def forecast_rf(df: DataFrame, date_col: str, value_col: str, periods: int = 3,
+                seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Random forest (100 trees) on the month index; flat beyond the last
+    split. Returns (forecast rows, in-sample metrics). Trained with Spark ML
+    on the monthly frame (one row per month)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    periods = max(1, min(int(periods), 12))
+    ix = monthly_indexed(df, date_col, value_col).withColumn("x", F.col("idx").cast("double"))
+    va = VectorAssembler(inputCols=["x"], outputCol="features")
+    model = RandomForestRegressor(numTrees=100, seed=seed, maxDepth=30, labelCol="value",
+                                  featureSubsetStrategy="all").fit(va.transform(ix))
+    fitted = model.transform(va.transform(ix)).withColumnRenamed("prediction", "_pred")
+    ybar = fitted.agg(F.avg("value").alias("_ybar"))
+    f = fitted.crossJoin(F.broadcast(ybar))
+    e = F.col("value") - F.col("_pred")
+    met = f.agg(F.lit("Random Forest").alias("method"), F.round(F.avg(F.abs(e)), 2).alias("mae"),
+                F.round(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
+                F.round(1 - F.try_divide(F.sum(e * e), F.sum((F.col("value") - F.col("_ybar")) ** 2)), 4).alias("r2"),
+                F.stddev_pop(e).alias("_sd"), F.max("idx").alias("_last"))
+    fut = met.select("_sd", "_last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    fut = va.transform(fut.withColumn("x", (F.col("_last") + F.col("step")).cast("double")))
+    p = model.transform(fut)
+    out = p.select(F.col("step").cast("long").alias("step"),
+                   F.concat(F.lit("Month +"), F.col("step").cast("string")).alias("period"),
+                   F.round("prediction", 2).alias("forecast"),
+                   F.round(F.col("prediction") - 1.96 * F.col("_sd"), 2).alias("lower"),
+                   F.round(F.col("prediction") + 1.96 * F.col("_sd"), 2).alias("upper"))
+    return out, met.select("method", "mae", "rmse", "r2")
+
+
+def forecast_holdout(df: DataFrame, date_col: str, value_col: str, test_frac: float = 0.2,
+                     periods: int = 3) -> tuple[DataFrame, DataFrame]:
+    """v1 hold-out evaluation of the linear trend on monthly totals: needs at
+    least 4 months (else both frames are empty); trains on the first
+    n − ceil(test_frac·n) months, reports MAE (2 dp) and R² (4 dp) on the
+    rest, and forecasts ``periods`` months past the last one with the
+    train-fitted line. Returns (metrics, forecast)."""
+    ix = monthly_indexed(df, date_col, value_col)
+    n = ix.agg(F.count(F.lit(1)).alias("_n"))
+    s = ix.crossJoin(F.broadcast(n)).where(F.col("_n") >= 4)
+    s = s.withColumn("is_test", F.col("idx") >= F.col("_n") - F.ceil(F.col("_n") * test_frac))
+    fit = s.where(~F.col("is_test")).agg(F.regr_slope("value", "idx").alias("_b"),
+                                          F.regr_intercept("value", "idx").alias("_a"),
+                                          F.count(F.lit(1)).alias("n_train"))
+    t = s.where("is_test").crossJoin(F.broadcast(fit)).withColumn("_p", F.col("_a") + F.col("_b") * F.col("idx"))
+    tbar = t.agg(F.avg("value").alias("_tbar"))
+    t = t.crossJoin(F.broadcast(tbar))
+    e = F.col("value") - F.col("_p")
+    met = t.groupBy().agg(F.first("n_train").cast("long").alias("n_train"), F.count(F.lit(1)).cast("long").alias("n_test"),
+                          F.round(F.avg(F.abs(e)), 2).alias("mae"),
+                          F.round(1 - F.try_divide(F.sum(e * e), F.sum((F.col("value") - F.col("_tbar")) ** 2)), 4)
+                          .alias("r2")).where(F.col("n_test") > 0)
+    last = s.agg(F.max("idx").alias("_last"))
+    fut = fit.crossJoin(last).where(F.col("_last").isNotNull()).select(
+        "_a", "_b", "_last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    fc = fut.select(F.col("step").cast("long").alias("step"),
+                    F.concat(F.lit("Month +"), F.col("step").cast("string")).alias("period"),
+                    F.round(F.col("_a") + F.col("_b") * (F.col("_last") + F.col("step")), 2).alias("forecast"))
+    return met, fc

@@ -61,3 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str, mode: str = "overwrite", path: str | None = None):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts the lineage (recovery after an executor loss re-reads the
+    files instead of recomputing) and gives later self-joins a clean plan."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
+    df.write.mode(mode).parquet(path)
+    return spark.read.parquet(path)
