@@ -25,5 +25,5 @@ def register(key: str):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Import the modules that register queries (order = registration order).
-    from tessera.plans import q_trend, q_groups, q_profile, q_clean, q_eda, q_kpi, q_stats, q_ml, q_questions  # noqa: F401
+    from tessera.plans import q_trend, q_groups, q_profile, q_clean, q_eda, q_kpi, q_stats, q_ml, q_questions, q_sources  # noqa: F401
     return dict(QUERIES)
