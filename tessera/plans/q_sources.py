@@ -24,7 +24,8 @@ def _csv_fixture(spark, d):
     return root
 
 
-_DATASET = F.regexp_extract(F.col("file_path"), r"/([^/]+)/[^/]+$", 1)
+def _dataset():
+    return F.regexp_extract(F.col("file_path"), r"/([^/]+)/[^/]+$", 1)
 
 
 @register("csv_roundtrip")
@@ -42,19 +43,19 @@ oracle("csv_roundtrip", "SELECT * FROM orders")
 @register("csv_encodings")
 def csv_encodings(spark, d):
     e = csv.csv_encodings(spark, _csv_fixture(spark, d))
-    return e.groupBy(_DATASET.alias("dataset"), "encoding").agg(F.count(F.lit(1)).cast("long").alias("files"))
+    return e.groupBy(_dataset().alias("dataset"), "encoding").agg(F.count(F.lit(1)).cast("long").alias("files"))
 
 
 @register("csv_delimiters")
 def csv_delimiters(spark, d):
     e = csv.csv_delimiters(spark, _csv_fixture(spark, d))
-    return e.groupBy(_DATASET.alias("dataset"), "delimiter").agg(F.count(F.lit(1)).cast("long").alias("files"))
+    return e.groupBy(_dataset().alias("dataset"), "delimiter").agg(F.count(F.lit(1)).cast("long").alias("files"))
 
 
 @register("csv_inventory")
 def csv_inventory(spark, d):
     inv = csv.csv_inventory(spark, _csv_fixture(spark, d))
-    return inv.groupBy(_DATASET.alias("dataset"), "encoding", "delimiter").agg(
+    return inv.groupBy(_dataset().alias("dataset"), "encoding", "delimiter").agg(
         F.count(F.lit(1)).cast("long").alias("files"), F.sum("size_bytes").cast("long").alias("size_bytes"),
         F.sum("row_estimate").cast("long").alias("row_estimate"), F.sum("rows").cast("long").alias("rows"))
 
