@@ -103,15 +103,18 @@ def top_correlations(df: DataFrame, n: int = 10, cols: list[str] | None = None)
 
 
 def categorical_summary(df: DataFrame, max_cols: int = 10, k: int = 5) -> DataFrame:
-    """For the first ``max_cols`` text columns: distinct count and the top-k
-    values with counts (rank 1 = top value). One shuffle for all columns."""
+    """For the first ``max_cols`` text columns: distinct count, non-NULL count
+    and the top-k values with counts (rank 1 = top value). One shuffle of
+    the long form for all columns."""
     cols = categorical_cols(df)[:max_cols]
     counts = value_counts_long(df, cols)
-    uniq = counts.groupBy("column_name").agg(F.count(F.lit(1)).cast("long").alias("unique"))
+    # summing `count` keeps both branches on the same aggregate, so they share one exchange
+    uniq = counts.groupBy("column_name").agg(F.count(F.lit(1)).cast("long").alias("unique"),
+                                             F.sum("count").cast("long").alias("non_null"))
     top = top_k_per_group(counts, ["column_name"], [F.col("count").desc(), F.col("value")], k,
                           salt_on=F.xxhash64("value"))
     return top.join(F.broadcast(uniq), "column_name").select(
-        "column_name", "unique", F.col("rank").cast("long").alias("rank"), "value",
+        "column_name", "unique", "non_null", F.col("rank").cast("long").alias("rank"), "value",
         F.col("count").cast("long").alias("count"))
 
 

@@ -91,9 +91,10 @@ def share_of_total(df: DataFrame, cat: str, num: str, n: int | None = 6) -> Data
     ranked = sums.orderBy(F.col("value").desc(), col(cat))
     if n is not None:
         ranked = ranked.limit(max(1, int(n)))
-    out = ranked.crossJoin(F.broadcast(total))
-    return out.select(col(cat), F.round("value", 2).alias("value"),
-                      F.round(F.try_divide(F.col("value") * 100, F.col("_total")), 4).alias("share_pct"))
+    out = ranked.crossJoin(F.broadcast(total)).select(
+        col(cat), F.round("value", 2).alias("value"),
+        F.round(F.try_divide(F.col("value") * 100, F.col("_total")), 4).alias("share_pct"))
+    return out.orderBy(F.col("value").desc(), col(cat))
 
 
 def value_counts(df: DataFrame, c: str, n: int | None = None) -> DataFrame:
@@ -105,9 +106,10 @@ def value_counts(df: DataFrame, c: str, n: int | None = None) -> DataFrame:
     ranked = counts.orderBy(F.col("count").desc(), F.col("value"))
     if n is not None:
         ranked = ranked.limit(int(n))
-    out = ranked.crossJoin(F.broadcast(total))
-    return out.select(F.col("value").cast("string").alias("value"), F.col("count").cast("long"),
-                      F.round(F.col("count") * 100.0 / F.col("_rows"), 4).alias("pct"))
+    out = ranked.crossJoin(F.broadcast(total)).select(
+        F.col("value").cast("string").alias("value"), F.col("count").cast("long"),
+        F.round(F.col("count") * 100.0 / F.col("_rows"), 4).alias("pct"))
+    return out.orderBy(F.col("count").desc(), F.col("value"))  # order last: joins do not keep it
 
 
 def totals(df: DataFrame, c: str) -> DataFrame:
@@ -158,7 +160,8 @@ def categorical_answer(df: DataFrame, c: str, n: int = 5) -> DataFrame:
                          .getField("v").cast("string").alias("mode"))
     top = counts.orderBy(F.col("count").desc(), F.col("value")).limit(int(n))
     return top.crossJoin(F.broadcast(summary)).select(
-        "unique", "mode", F.col("value").cast("string").alias("value"), F.col("count").cast("long"))
+        "unique", "mode", F.col("value").cast("string").alias("value"), F.col("count").cast("long")) \
+        .orderBy(F.col("count").desc(), F.col("value"))
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, color: str | None = None,

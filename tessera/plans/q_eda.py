@@ -95,6 +95,7 @@ def categorical_summary(spark, d):
 
 oracle("categorical_summary", _u([f"""
 SELECT '{c}' AS column_name, (SELECT CAST(COUNT(DISTINCT {c}) AS BIGINT) FROM part) AS "unique",
+       (SELECT CAST(COUNT({c}) AS BIGINT) FROM part) AS non_null,
        CAST(ROW_NUMBER() OVER (ORDER BY n DESC, v) AS BIGINT) AS rank, v AS value, CAST(n AS BIGINT) AS count
 FROM (SELECT {c} AS v, COUNT(*) AS n FROM part WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5)"""
                                        for c in PART_TEXT]))
