@@ -3,6 +3,8 @@
 A global rank needs the whole value order, and a window with no
 partitioning puts every value into one task. Instead:
 
+0. when there are at most DIRECT_WINDOW_MAX distinct values (checked with
+   one count), a single sorted window ranks them; otherwise:
 1. count rows per distinct value (shuffled groupBy with map-side combine, so
    a value holding a third of all rows is just one row with a large count);
 2. cut the distinct values into ``buckets`` ranges at approximate quantiles
@@ -20,12 +22,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Up to this many distinct values one sorted window task ranks them all
+# (bounded, spills to disk); beyond it the bucketed scheme below is used.
+DIRECT_WINDOW_MAX = 2_000_000
+
 
 def value_ranks(values: DataFrame, col: str = "v", buckets: int = 64) -> DataFrame:
     """(v, cnt, rank_min, rank_avg) for every distinct non-NULL value of
     ``values[col]``. rank_avg is the pandas/scipy 'average' tie rank."""
     counts = (values.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
+    if counts.count() <= DIRECT_WINDOW_MAX:  # size-checked: one sorted task is bounded
+        w1 = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        r = counts.select("v", "cnt", F.coalesce(F.sum("cnt").over(w1), F.lit(0)).alias("_before"))
+        return r.select("v", "cnt", (F.col("_before") + 1).cast("long").alias("rank_min"),
+                        (F.col("_before") + (F.col("cnt") + 1) / 2.0).alias("rank_avg"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.agg(F.percentile_approx("v", probs, 10000).alias("_cuts"))
     b = counts.crossJoin(F.broadcast(cuts)).select(
@@ -47,6 +58,9 @@ def value_positions(df: DataFrame, v: str = "v", w: str | None = None, buckets:
     bucketed scheme as ``value_ranks``."""
     src = df.select(F.col(v).alias("v"), (F.col(w) if w else F.lit(1)).cast("double").alias("_w"))
     counts = src.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("_w").alias("wsum"))
+    if counts.count() <= DIRECT_WINDOW_MAX:  # size-checked: one sorted task is bounded
+        w1 = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select("v", "wsum", F.coalesce(F.sum("wsum").over(w1), F.lit(0.0)).alias("before"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.agg(F.percentile_approx("v", probs, 10000).alias("_cuts"))
     b = counts.crossJoin(F.broadcast(cuts)).select(

@@ -21,6 +21,8 @@ from tessera.functions.exprs import col
 from tessera.functions.longform import modes
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import DATE_PARSE_KEYWORDS, categorical_cols, numeric_cols
+from tessera.session import materialize
+from tessera.functions.colstats import quantile_row
 
 # --- Fixed values: date formats tried in order, and the text-fill default ---
 DEFAULT_DATE_FORMATS = [
@@ -107,12 +109,14 @@ def _numeric_fill_values(df: DataFrame, strategy: str) -> tuple[dict, dict]:
     d = normalize_nulls(df.select(*[col(c) for c in nums]))
     aggs = [F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(nums)]
     if strategy == "median":
-        aggs += [F.percentile(col(c).cast("double"), 0.5).alias(f"v{i}") for i, c in enumerate(nums)]
+        med = quantile_row(d, nums, [0.5]).first()  # exact, distributed
     elif strategy == "mean":
         aggs += [F.avg(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(nums)]
     row = d.agg(*aggs).first()
     missing = {c: row[f"n{i}"] for i, c in enumerate(nums)}
-    if strategy in ("median", "mean"):
+    if strategy == "median":
+        values = {c: med[f"q{i}_0"] for i, c in enumerate(nums)}
+    elif strategy == "mean":
         values = {c: row[f"v{i}"] for i, c in enumerate(nums)}
     else:
         values = {c: 0.0 for c in nums}
@@ -171,6 +175,10 @@ def clean(df: DataFrame, config: CleaningConfig | None = None) -> tuple[DataFram
     dup_col = F.lit(0).cast("long")
     if cfg.remove_duplicates:
         cur = drop_duplicates(cur)
+    if cfg.fill_numeric_nulls or cfg.fill_categorical_nulls or cfg.drop_empty_columns:
+        # the decision aggregates below each read `cur`: write it once to the
+        # shared checkpoint folder instead of recomputing input + dedupe shuffle
+        cur = materialize(cur, "clean")
     if cfg.fill_numeric_nulls:
         cur, filled = fill_numeric(cur, cfg.numeric_fill_strategy)
         for c, n, v in filled:

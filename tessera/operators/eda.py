@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import col, fixed, safe_corr, sample_kurt, sample_skew, stack_rows, strength
-from tessera.functions.longform import modes, top_k_per_group, value_counts_long
+import numpy as np
+
+from tessera.functions.colstats import (comoments, corr_matrix_np, group_quantiles, grouped_positions, long_counts,
+                                        power_moments, quantile_row)
+from tessera.functions.exprs import col, fixed, sample_kurt, sample_skew, spread, sql_round, stack_rows, strength
+from tessera.functions.longform import top_k_per_group, value_counts_long
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import categorical_cols, numeric_cols
 
@@ -24,71 +28,98 @@ def _dbl(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def iqr_bounds_wide(d: DataFrame, n: int, k: float = 1.5) -> DataFrame:
-    """One row: q1_i, q3_i, lo_i, hi_i for columns c0..c{n-1} of ``d``."""
-    aggs = [F.percentile(F.col(f"c{i}"), F.array(*[F.lit(p) for p in QUARTILES])).alias(f"q{i}") for i in range(n)]
-    b = d.agg(*aggs)
+    """One row: q1_i, q3_i, lo_i, hi_i for columns c0..c{n-1} of ``d``
+    (exact quartiles from the long-form distributed positions)."""
+    q = quantile_row(d, [f"c{i}" for i in range(n)], QUARTILES)
     sel = []
     for i in range(n):
-        q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
+        q1, q3 = F.col(f"q{i}_0"), F.col(f"q{i}_1")
         sel += [q1.alias(f"q1_{i}"), q3.alias(f"q3_{i}"),
                 (q1 - k * (q3 - q1)).alias(f"lo{i}"), (q3 + k * (q3 - q1)).alias(f"hi{i}")]
-    return b.select(*sel)
+    return q.select(*sel)
 
 
 def univariate(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Per numeric column: count, mean, median, mode, std, variance, skewness,
     kurtosis (bias-corrected), min, max, Q1, Q3, IQR and the IQR outlier
-    count; NULLs dropped, an empty column reports zeros."""
+    count; NULLs dropped, an empty column reports zeros.
+
+    Eager report operator (k result rows): moments from shifted power sums
+    (code-generated plain sums); quartiles and mode from ONE aggregate over
+    the long-form value positions; outliers from a second pass over the same
+    (cached) positions. A small, narrowly split input is spread over the
+    cores and cached for the passes; a large input is re-scanned instead
+    (columnar, pruned to these columns)."""
     cols = cols or numeric_cols(df)
-    d = _dbl(df, cols)
-    aggs = []
-    for i, _ in enumerate(cols):
-        c = F.col(f"c{i}")
-        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"),
-                 F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
-                 F.stddev_samp(c).alias(f"sd{i}"), F.var_samp(c).alias(f"var{i}"),
-                 sample_skew(c).alias(f"sk{i}"), sample_kurt(c).alias(f"ku{i}"),
-                 F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
-    stats = d.agg(*aggs)
-    # Outliers against the quartile bounds: one more pass, bounds broadcast.
-    bounds = stats.select(*[(F.col(f"q{i}")[0] - 1.5 * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0])).alias(f"lo{i}")
-                            for i in range(len(cols))],
-                          *[(F.col(f"q{i}")[2] + 1.5 * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0])).alias(f"hi{i}")
-                            for i in range(len(cols))])
-    outl = d.crossJoin(F.broadcast(bounds)).agg(
-        *[F.count_if((F.col(f"c{i}") < F.col(f"lo{i}")) | (F.col(f"c{i}") > F.col(f"hi{i}"))).alias(f"o{i}")
-          for i in range(len(cols))])
-    wide = stats.crossJoin(outl)
-    z = lambda e: F.round(F.coalesce(e, F.lit(0.0)), digits)
+    k = len(cols)
+    d, small = spread(_dbl(df, cols), with_flag=True)
+    if small:
+        d = d.cache()
+    try:
+        mom = power_moments(d, k)
+        pos = grouped_positions(long_counts(d, [f"c{i}" for i in range(k)])).persist()
+        n = pos.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
+        j = pos.join(F.broadcast(n), "column_name")
+        aggs = [F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"))).getField("v").alias("mode")]
+        for i, p_ in enumerate([0.25, 0.5, 0.75]):
+            h = (F.col("_n") - 1) * p_
+            lo, hi = F.floor(h), F.ceil(h)
+            cov = lambda x: (F.col("before") <= x) & (x < F.col("before") + F.col("cnt"))
+            aggs += [F.max(F.when(cov(lo), F.col("value"))).alias(f"_lo{i}"),
+                     F.max(F.when(cov(hi), F.col("value"))).alias(f"_hi{i}"), F.first(h - lo).alias(f"_f{i}")]
+        qrows = {r["column_name"]: r for r in j.groupBy("column_name").agg(*aggs).collect()}  # k rows
+        qv = {}
+        for c, r in qrows.items():
+            qv[c] = [r[f"_lo{i}"] + r[f"_f{i}"] * (r[f"_hi{i}"] - r[f"_lo{i}"]) for i in range(3)]
+        bounds = [(c, v[0] - 1.5 * (v[2] - v[0]), v[2] + 1.5 * (v[2] - v[0])) for c, v in qv.items()]
+        bdf = df.sparkSession.createDataFrame(bounds, "column_name string, _lo double, _hi double")
+        outl = {r["column_name"]: r["o"] for r in pos.join(F.broadcast(bdf), "column_name").groupBy("column_name").agg(
+            F.sum(F.when((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")), F.col("cnt"))
+                  .otherwise(0)).alias("o")).collect()}
+        pos.unpersist()
+    finally:
+        if small:
+            d.unpersist()
+    rnd = lambda v: sql_round(float(v), digits) if v is not None else 0.0
     rows = []
     for i, c in enumerate(cols):
-        q = F.col(f"q{i}")
-        rows.append((c, {
-            "count": F.col(f"n{i}").cast("long"), "mean": z(F.col(f"mean{i}")), "median": z(q[1]),
-            "std": z(F.col(f"sd{i}")), "variance": z(F.col(f"var{i}")),
-            "skewness": z(F.col(f"sk{i}")), "kurtosis": z(F.col(f"ku{i}")),
-            "min": z(F.col(f"min{i}")), "max": z(F.col(f"max{i}")), "q1": z(q[0]), "q3": z(q[2]),
-            "iqr": z(q[2] - q[0]), "outlier_count": F.col(f"o{i}").cast("long")}))
-    out = stack_rows(wide, rows)
-    m = modes(df, cols, as_string=False).select("column_name", F.col("mode").alias("mode"))
-    return out.join(m, "column_name", "left")
+        m, key = mom[i], f"c{i}"
+        q = qv.get(key, [None, None, None])
+        iqr = (q[2] - q[0]) if q[0] is not None else None
+        rows.append((c, int(m["n"] or 0), rnd(m["mean"]), rnd(q[1]), rnd(m["std"]), rnd(m["var"]), rnd(m["skew"]),
+                     rnd(m["kurt"]), rnd(m["min"]), rnd(m["max"]), rnd(q[0]), rnd(q[2]), rnd(iqr),
+                     int(outl.get(key) or 0), qrows[key]["mode"] if key in qrows else None))
+    schema = ("column_name string, count long, mean double, median double, std double, variance double, "
+              "skewness double, kurtosis double, min double, max double, q1 double, q3 double, iqr double, "
+              "outlier_count long, mode double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def corr_long(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Pairwise-complete Pearson r for every pair of numeric columns, as
-    (col1, col2, i, j, correlation); NULL where a column is constant. All
-    pairs come from one aggregate pass."""
+    (col1, col2, i, j, correlation); NULL where a column is constant.
+
+    Co-moment matrices are built per Arrow batch with numpy and summed by
+    Spark (O(d²) numbers per partition); only the d×d result reaches the
+    driver, whatever the row count."""
     cols = cols or numeric_cols(df)
-    d = _dbl(df, cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = d.agg(*[safe_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
+    k = len(cols)
+    d = spread(_dbl(df, cols))
+    st = d.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)],
+               *[(F.min(f"c{i}") == F.max(f"c{i}")).alias(f"k{i}") for i in range(k)]).first()
+    shift = [float(st[f"m{i}"]) if st[f"m{i}"] is not None else 0.0 for i in range(k)]
+    r = corr_matrix_np(comoments(d, k, shift))
+    for i in range(k):
+        if st[f"k{i}"] is None or st[f"k{i}"]:
+            r[i, :] = np.nan
+            r[:, i] = np.nan
     rows = []
-    for i, j in pairs:
-        r = F.round(F.col(f"r{i}_{j}"), digits)
-        rows.append((cols[i], {"col2": F.lit(cols[j]), "i": F.lit(i), "j": F.lit(j), "correlation": r}))
-        if i != j:
-            rows.append((cols[j], {"col2": F.lit(cols[i]), "i": F.lit(j), "j": F.lit(i), "correlation": r}))
-    return stack_rows(wide, rows, key="col1")
+    for i in range(k):
+        for j in range(k):
+            v = r[min(i, j), max(i, j)]
+            v = None if np.isnan(v) else (1.0 if i == j else sql_round(float(v), digits))
+            rows.append((cols[i], cols[j], i, j, v))
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, i int, j int, correlation double")
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> DataFrame:
@@ -249,21 +280,23 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
 
 def distribution_stats(df: DataFrame, c: str) -> DataFrame:
     x = _dbl(df, [c])
-    return x.agg(F.round(F.avg("c0"), 2).alias("mean"), F.round(F.percentile("c0", 0.5), 2).alias("median"),
-                 F.round(sample_skew(F.col("c0")), 2).alias("skew"),
-                 F.round(sample_kurt(F.col("c0")), 2).alias("kurtosis"))
+    a = x.agg(F.round(F.avg("c0"), 2).alias("mean"), F.round(sample_skew(F.col("c0")), 2).alias("skew"),
+              F.round(sample_kurt(F.col("c0")), 2).alias("kurtosis"))
+    med = quantile_row(x, ["c0"], [0.5])
+    return a.crossJoin(med).select("mean", F.round("q0_0", 2).alias("median"), "skew", "kurtosis")
 
 
 def box_stats(df: DataFrame, num: str, by: str | None = None) -> DataFrame:
-    """Five-number summary (exact quartiles) per group, or overall."""
-    d = normalize_nulls(df.select(*([col(by)] if by else []), col(num).cast("double").alias("_v")))
-    d = d.where(F.col("_v").isNotNull())
-    if by:
-        d = d.where(col(by).isNotNull())
-    g = d.groupBy(*([col(by)] if by else []))
-    q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = g.agg(F.count("_v").cast("long").alias("count"), F.min("_v").alias("min"), q.alias("_q"),
-                F.max("_v").alias("max"))
-    return out.select(*([col(by)] if by else []), "count", F.round("min", 4).alias("min"),
-                      F.round(F.col("_q")[0], 4).alias("q1"), F.round(F.col("_q")[1], 4).alias("median"),
-                      F.round(F.col("_q")[2], 4).alias("q3"), F.round("max", 4).alias("max"))
+    """Five-number summary (exact quartiles) per group, or overall. Quartiles
+    come from the distributed per-group positions, so a group holding a
+    third of all rows is never sorted or hashed in one task."""
+    key = by or "_all"
+    d = normalize_nulls(df.select((col(by) if by else F.lit("all")).alias(key), col(num).cast("double").alias("_v")))
+    d = d.where(F.col("_v").isNotNull() & F.col(key).isNotNull())
+    q = group_quantiles(d, key, "_v", [0.25, 0.5, 0.75])
+    g = d.groupBy(key).agg(F.count("_v").cast("long").alias("count"), F.min("_v").alias("min"),
+                           F.max("_v").alias("max"))
+    out = g.join(q, key)
+    return out.select(*([col(key)] if by else []), "count", F.round("min", 4).alias("min"),
+                      F.round("q0", 4).alias("q1"), F.round("q1", 4).alias("median"),
+                      F.round("q2", 4).alias("q3"), F.round("max", 4).alias("max"))

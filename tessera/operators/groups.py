@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import col
 from tessera.functions.nulls import normalize_nulls
+from tessera.functions.colstats import quantile_row
 
 
 def _grouped(df: DataFrame, cat: str, num: str) -> DataFrame:
@@ -123,9 +124,9 @@ def totals(df: DataFrame, c: str) -> DataFrame:
 def average(df: DataFrame, c: str) -> DataFrame:
     """Mean, median and sample std of one numeric column, 2 dp."""
     d = normalize_nulls(df.select(col(c).cast("double").alias("_v")))
-    return d.agg(F.round(F.avg("_v"), 2).alias("mean"),
-                 F.round(F.percentile("_v", 0.5), 2).alias("median"),
-                 F.round(F.stddev_samp("_v"), 2).alias("std"))
+    a = d.agg(F.round(F.avg("_v"), 2).alias("mean"), F.round(F.stddev_samp("_v"), 2).alias("std"))
+    med = quantile_row(d, ["_v"], [0.5])
+    return a.crossJoin(med).select("mean", F.round("q0_0", 2).alias("median"), "std")
 
 
 def average_by(df: DataFrame, num: str, cat: str) -> DataFrame:
@@ -142,12 +143,11 @@ def preview(df: DataFrame, n: int = 100, order_by: list[str] | None = None) -> D
 def numeric_summary(df: DataFrame, c: str) -> DataFrame:
     """Numeric column answer: mean, median, std, min, max, sum (2 dp)."""
     d = normalize_nulls(df.select(col(c).cast("double").alias("_v")))
-    return d.agg(F.round(F.avg("_v"), 2).alias("mean"),
-                 F.round(F.percentile("_v", 0.5), 2).alias("median"),
-                 F.round(F.stddev_samp("_v"), 2).alias("std"),
-                 F.round(F.min("_v"), 2).alias("min"),
-                 F.round(F.max("_v"), 2).alias("max"),
-                 F.round(F.coalesce(F.sum("_v"), F.lit(0.0)), 2).alias("sum"))
+    a = d.agg(F.round(F.avg("_v"), 2).alias("mean"), F.round(F.stddev_samp("_v"), 2).alias("std"),
+              F.round(F.min("_v"), 2).alias("min"), F.round(F.max("_v"), 2).alias("max"),
+              F.round(F.coalesce(F.sum("_v"), F.lit(0.0)), 2).alias("sum"))
+    med = quantile_row(d, ["_v"], [0.5])
+    return a.crossJoin(med).select("mean", F.round("q0_0", 2).alias("median"), "std", "min", "max", "sum")
 
 
 def categorical_answer(df: DataFrame, c: str, n: int = 5) -> DataFrame:

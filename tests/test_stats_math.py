@@ -88,3 +88,26 @@ def test_exact_quantiles(spark):
     q = exact_quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0]).first()
     for i, p in enumerate([0.0, 0.05, 0.5, 0.95, 1.0]):
         assert q[f"q{i}"] == pytest.approx(np.percentile(x, p * 100), abs=1e-12)
+
+
+def test_grouped_quantiles_both_paths(spark):
+    from tessera.functions.colstats import grouped_positions, grouped_quantiles, long_counts
+    rng = np.random.default_rng(13)
+    x = np.round(rng.normal(size=3000), 2)
+    y = rng.integers(0, 7, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, b double")
+    counts = long_counts(df, ["a", "b"])
+    direct = {r["column_name"]: r for r in grouped_quantiles(counts, [0.1, 0.5, 0.9]).collect()}
+    import tessera.functions.colstats as cs
+    old = cs.DIRECT_WINDOW_MAX
+    cs.grouped_positions.__defaults__ = (64, 10)  # force the bucketed path
+    try:
+        bucketed = {r["column_name"]: r for r in grouped_quantiles(counts, [0.1, 0.5, 0.9]).collect()}
+    finally:
+        cs.grouped_positions.__defaults__ = (64, old)
+    for name, arr in (("a", x), ("b", y)):
+        for i, p in enumerate([0.1, 0.5, 0.9]):
+            want = np.percentile(arr, p * 100)
+            assert direct[name][f"q{i}"] == pytest.approx(want, abs=1e-12)
+            assert bucketed[name][f"q{i}"] == pytest.approx(want, abs=1e-12)
+    _ = grouped_positions
