@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tessera.functions.exprs import col
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.ranks import value_ranks
+from tessera.session import materialize
 
 # --- Fixed values: the analysed application's split and seed ----------------
 TEST_SIZE = 0.2
@@ -93,7 +94,7 @@ def _regressor(name: str, n_train: int, y_std: float):
                                 maxIter=1000)
     if name == "rf":
         return RandomForestRegressor(numTrees=100, seed=RANDOM_STATE, featureSubsetStrategy="all",
-                                     maxDepth=12, maxBins=64)
+                                     maxDepth=10, maxBins=64)
     if name == "gbt":
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
     raise ValueError(f"unknown regressor {name!r}")
@@ -167,7 +168,9 @@ def _importance(model, features: list[str], spark) -> DataFrame:
 def train_regression(df: DataFrame, target: str, features: list[str], model: str = "rf"):
     """Fit on the train split, score the test split.
     Returns (metrics frame, importance frame, predictions frame)."""
-    prep = prepare(df, target, features)
+    # written once to the shared checkpoint folder: fit, scoring and metrics
+    # then read it instead of recomputing encoding, split and scaling
+    prep = materialize(prepare(df, target, features), "ml_prep")
     train, test = prep.where(~F.col("is_test")), prep.where(F.col("is_test"))
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     est = _regressor(model, st["n"], st["s"] or 0.0)
@@ -200,6 +203,7 @@ def train_classification(df: DataFrame, target: str, features: list[str], model:
     prep = prepare(df, target, features, encode_target=True)
     if model == "svm":
         prep = _rff(prep, len(features))
+    prep = materialize(prep, "ml_prep")
     train, test = prep.where(~F.col("is_test")), prep.where(F.col("is_test"))
     n_train = train.count()
     k = train.select("label").distinct().count()
@@ -212,7 +216,7 @@ def train_classification(df: DataFrame, target: str, features: list[str], model:
         base = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
         est = base if k <= 2 else OneVsRest(classifier=base)
     elif model == "svm":
-        base = LinearSVC(maxIter=200, regParam=1.0 / max(n_train, 1))
+        base = LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / max(n_train, 1))
         est = base if k <= 2 else OneVsRest(classifier=base)
     elif model == "knn":
         from tessera.operators.knn import knn_classify
