@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.exprs import col, fixed, month_str, signed_fixed, thousands
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import find_col
+from tessera.session import stage_input
 
 # --- Fixed values: KPI display currency sign ---------------------------------
 CURRENCY = "₹"
@@ -186,6 +187,7 @@ def kpi_time(df: DataFrame) -> DataFrame:
 
 
 def kpi_dashboard(df: DataFrame) -> DataFrame:
+    df = stage_input(df, "kpi")  # six KPI families read the same input
     out = kpi_revenue(df)
     for f in (kpi_profit, kpi_volume, kpi_customer, kpi_top_performers, kpi_time):
         out = out.unionByName(f(df))

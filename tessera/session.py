@@ -71,3 +71,19 @@ def materialize(df, name: str, mode: str = "overwrite", path: str | None = None)
     path = path or scratch_path(spark, name)
     df.write.mode(mode).parquet(path)
     return spark.read.parquet(path)
+
+
+_DERIVED = ("Join", "Aggregate", "Union", "Window", "Generate", "Expand")
+
+
+def stage_input(df, name: str = "stage"):
+    """For an operator that reads its input in several separate jobs: when
+    the input is itself derived (joins, aggregates, unions ...), write it
+    once to the shared checkpoint folder and read that instead of recomputing
+    it in every job. A plain (pruned) file scan is returned unchanged.
+    (Branches of ONE lazy plan need no staging: Spark reuses their common
+    exchanges.)"""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(f"{op} " in plan or f"{op}[" in plan for op in _DERIVED):
+        return materialize(df, name)
+    return df
