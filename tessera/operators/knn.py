@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.colstats import comoments
 from tessera.functions.ranks import exact_quantiles, value_positions
 from tessera.session import ensure_checkpoint_dir, scratch_path
 
@@ -30,31 +31,38 @@ _INF = float("inf")
 
 
 def _dot(vec, u: list[float]):
-    return F.aggregate(F.zip_with(vec, F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b),
-                       F.lit(0.0), lambda acc, x: acc + x)
+    """x·u unrolled into plain arithmetic (stays in generated code)."""
+    e = F.lit(0.0)
+    for i, x in enumerate(u):
+        e = e + vec[i] * F.lit(float(x))
+    return e
 
 
-def _dist(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _dist(a, b, dim: int):
+    """Euclidean distance, unrolled over the known dimension."""
+    e = F.lit(0.0)
+    for i in range(dim):
+        d = a[i] - b[i]
+        e = e + d * d
+    return F.sqrt(e)
 
 
 def principal_direction(points: DataFrame, dim: int, w: str = "w") -> list[float]:
-    """Leading eigenvector of the weighted covariance of ``vec`` (d×d from
-    one aggregate)."""
-    v = F.col("vec")
-    aggs = [F.sum(F.col(w)).alias("n")]
-    aggs += [F.sum(F.col(w) * v[i]).alias(f"s{i}") for i in range(dim)]
-    aggs += [F.sum(F.col(w) * v[i] * v[j]).alias(f"p{i}_{j}") for i in range(dim) for j in range(i, dim)]
-    r = points.agg(*aggs).first()
-    n = r["n"] or 1.0
-    mean = np.array([r[f"s{i}"] / n for i in range(dim)])
-    cov = np.zeros((dim, dim))
-    for i in range(dim):
-        for j in range(i, dim):
-            cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / n - mean[i] * mean[j]
+    """Leading eigenvector of the covariance of the distinct points' ``vec``
+    (weighted by multiplicity). Co-moments come from numpy partials per
+    Arrow batch summed by Spark; only the d×d matrix reaches the driver."""
+    cols = points.select(*[F.col("vec")[i].cast("double").alias(f"c{i}") for i in range(dim)],
+                         F.col(w).cast("double").alias("_w"))
+    # replicate weights by scaling: Σ w·x and Σ w·x·xᵀ via sqrt(w)-scaled rows
+    scaled = cols.select(*[(F.col(f"c{i}") * F.sqrt("_w")).alias(f"c{i}") for i in range(dim)],
+                         F.sqrt("_w").alias(f"c{dim}"))
+    mom = comoments(scaled, dim + 1, [0.0] * (dim + 1))
+    sab = mom["sab"]
+    n = sab[dim, dim]                       # Σ w
+    s1 = sab[:dim, dim]                     # Σ w·x
+    cov = sab[:dim, :dim] / n - np.outer(s1 / n, s1 / n)
     vals, vecs = np.linalg.eigh(cov)
-    u = vecs[:, int(np.argmax(vals))]
-    return [float(x) for x in u]
+    return [float(x) for x in vecs[:, int(np.argmax(vals))]]
 
 
 def distinct_points(df: DataFrame, vec_col: str, extra: list[str] | None = None) -> DataFrame:
@@ -99,7 +107,7 @@ def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_se
         cand = cand.where((F.col("cb") >= 0) & (F.col("cb") <= maxb))
         pairs = cand.alias("q").join(r.alias("r"), F.col("q.cb") == F.col("r.bucket")).select(
             F.col("q.qid").alias("qid"), F.col("r.pid").alias("pid"), *[F.col(f"r.{p}") for p in payload],
-            _dist(F.col("q.vec"), F.col("r.vec")).alias("dist"),
+            _dist(F.col("q.vec"), F.col("r.vec"), dim).alias("dist"),
             (F.col("r.w") - F.when(F.lit(exclude_self) & (F.col("q.qid") == F.col("r.pid")), 1).otherwise(0))
             .alias("w"))
         pairs = pairs.where(F.col("w") > 0)

@@ -220,3 +220,25 @@ def model_versions(spark, d):
 oracle("model_versions", """
 SELECT o_orderpriority AS name, CAST(2 AS BIGINT) AS latest_version, CAST(2 AS BIGINT) AS registrations
 FROM orders GROUP BY o_orderpriority""")
+
+
+@register("profile_saved")
+def profile_saved(spark, d):
+    """Save the column profile of the dirty sales fixture as JSON rows, read back."""
+    from tessera.operators import profile
+    from tessera.plans.views import sales_dirty
+    base = scratch_path(spark, "profiles")
+    hist.save_profile(profile.column_profile(sales_dirty(spark, d)), base, "sales_dirty")
+    saved = hist.read(spark, base, "data_profiles")
+    return saved.select("dataset", F.get_json_object("profile_json", "$.column_name").alias("column_name"),
+                        F.get_json_object("profile_json", "$.missing_count").cast("long").alias("missing_count"))
+
+
+def _profile_saved_sql() -> str:
+    from tessera.plans.oracle import ORACLE
+    from tessera.plans import q_profile  # noqa: F401 - registers missing_by_column
+    return ("SELECT 'sales_dirty' AS dataset, column_name, missing_count FROM ("
+            + ORACLE["missing_by_column"] + ")")
+
+
+oracle("profile_saved", _profile_saved_sql())
