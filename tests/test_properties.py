@@ -52,3 +52,15 @@ def test_chrono_split_sizes(spark, sf):
     import math
     assert test.count() == math.ceil(0.2 * n)
     assert test.agg(F.min("o_orderdate")).first()[0] >= s.where(~F.col("is_test")).agg(F.max("o_orderdate")).first()[0]
+
+
+def test_category_rank_paths_agree(spark, sf):
+    s = sales(spark, sf)
+    a = _rows(segment.category_performance(s, "product", "sales"))
+    old = segment.DIRECT_WINDOW_MAX
+    segment.DIRECT_WINDOW_MAX = 1  # force the distributed-rank path
+    try:
+        b = _rows(segment.category_performance(s, "product", "sales"))
+    finally:
+        segment.DIRECT_WINDOW_MAX = old
+    assert a == b and [r[0] for r in sorted(a)] == list(range(1, len(a) + 1))
