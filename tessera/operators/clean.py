@@ -101,19 +101,24 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _numeric_fill_values(df: DataFrame, strategy: str) -> tuple[dict, dict]:
-    """One aggregate: NULL count and fill value for every numeric column."""
+def _numeric_fill_values(df: DataFrame, strategy: str, missing: dict | None = None) -> tuple[dict, dict]:
+    """NULL count (unless given) and fill value for every numeric column."""
     nums = numeric_cols(df)
     if not nums:
         return {}, {}
     d = normalize_nulls(df.select(*[col(c) for c in nums]))
     aggs = [F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(nums)]
+    if missing is not None:
+        aggs = [F.lit(missing[c]).alias(f"n{i}") for i, c in enumerate(nums)]
     if strategy == "median":
         med = quantile_row(d, nums, [0.5]).first()  # exact, distributed
     elif strategy == "mean":
         aggs += [F.avg(col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(nums)]
-    row = d.agg(*aggs).first()
-    missing = {c: row[f"n{i}"] for i, c in enumerate(nums)}
+    row = d.agg(*aggs).first() if (missing is None or strategy == "mean") else None
+    if missing is not None:
+        missing = {c: missing[c] for c in nums}
+    else:
+        missing = {c: row[f"n{i}"] for i, c in enumerate(nums)}
     if strategy == "median":
         values = {c: med[f"q{i}_0"] for i, c in enumerate(nums)}
     elif strategy == "mean":
@@ -123,11 +128,12 @@ def _numeric_fill_values(df: DataFrame, strategy: str) -> tuple[dict, dict]:
     return missing, values
 
 
-def fill_numeric(df: DataFrame, strategy: str = "median") -> tuple[DataFrame, list[tuple[str, int, float]]]:
+def fill_numeric(df: DataFrame, strategy: str = "median",
+                 missing: dict | None = None) -> tuple[DataFrame, list[tuple[str, int, float]]]:
     """Impute numeric NULLs (NaN counts as NULL). Columns that had NULLs
     become double, as the fill may be fractional; an all-NULL column stays
     NULL for median / mean. Returns (frame, [(column, filled, value)])."""
-    missing, values = _numeric_fill_values(df, strategy)
+    missing, values = _numeric_fill_values(df, strategy, missing)
     todo = {c: values[c] for c, m in missing.items() if m > 0 and values[c] is not None}
     out = normalize_nulls(df).select([
         F.coalesce(col(c).cast("double"), F.lit(float(todo[c]))).alias(c) if c in todo else col(c)
@@ -135,13 +141,17 @@ def fill_numeric(df: DataFrame, strategy: str = "median") -> tuple[DataFrame, li
     return out, [(c, missing[c], float(todo[c])) for c in df.columns if c in todo]
 
 
-def fill_categorical(df: DataFrame, strategy: str = "mode") -> tuple[DataFrame, list[tuple[str, int, str]]]:
+def fill_categorical(df: DataFrame, strategy: str = "mode",
+                     missing: dict | None = None) -> tuple[DataFrame, list[tuple[str, int, str]]]:
     """Impute text NULLs with the column mode (smallest of tied modes) or
     'Unknown' (no mode, or by choice)."""
     strings = categorical_cols(df)
     if not strings:
         return df, []
-    row = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(strings)]).first()
+    if missing is not None:
+        row = {f"n{i}": missing[c] for i, c in enumerate(strings)}
+    else:
+        row = df.agg(*[F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(strings)]).first()
     need = [c for i, c in enumerate(strings) if row[f"n{i}"] > 0]
     found = {}
     if strategy == "mode" and need:
@@ -179,13 +189,17 @@ def clean(df: DataFrame, config: CleaningConfig | None = None) -> tuple[DataFram
         # the decision aggregates below each read `cur`: write it once to the
         # shared checkpoint folder instead of recomputing input + dedupe shuffle
         cur = materialize(cur, "clean")
+    # one aggregate: NULL counts of every column, shared by both fill steps
+    nn = cur.agg(F.count(F.lit(1)).alias("_rows"),
+                 *[F.count(col(c)).alias(f"_c{i}") for i, c in enumerate(cur.columns)]).first()
+    missing = {c: nn["_rows"] - nn[f"_c{i}"] for i, c in enumerate(cur.columns)}
     if cfg.fill_numeric_nulls:
-        cur, filled = fill_numeric(cur, cfg.numeric_fill_strategy)
+        cur, filled = fill_numeric(cur, cfg.numeric_fill_strategy, missing)
         for c, n, v in filled:
             rep.nulls_filled += n
             rep.actions.append(f"Filled {n} nulls in '{c}' with {cfg.numeric_fill_strategy} ({v:.2f})")
     if cfg.fill_categorical_nulls:
-        cur, filled = fill_categorical(cur, cfg.categorical_fill_strategy)
+        cur, filled = fill_categorical(cur, cfg.categorical_fill_strategy, missing)
         for c, n, v in filled:
             rep.nulls_filled += n
             rep.actions.append(f"Filled {n} nulls in '{c}' with '{v}'")
