@@ -65,3 +65,17 @@ def test_distinct_counts_no_expand(spark, sf):
     d = profile.distinct_counts(table(spark, sf, "customer"))
     p = d._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in p
+
+
+def test_headline_query_prunes_every_scan(spark, sf):
+    from tessera.operators import forecast
+    m = forecast.monthly_totals(sales(spark, sf), "order_date", "sales")
+    m.collect()
+    p = m._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    schemas = [line.split("ReadSchema: ")[1] for line in p.split("\n") if "ReadSchema: " in line]
+    assert schemas, p
+    # lineitem is read for the join keys and the measure only, never all 11 columns
+    li = [s for s in schemas if "l_orderkey" in s]
+    assert li and all("l_shipdate" not in s and "l_returnflag" not in s for s in li)
+    # the date / value NULL filter reaches the scans as pushed filters
+    assert "PushedFilters: [IsNotNull(o_orderdate)" in p
