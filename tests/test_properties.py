@@ -64,3 +64,20 @@ def test_category_rank_paths_agree(spark, sf):
     finally:
         segment.DIRECT_WINDOW_MAX = old
     assert a == b and [r[0] for r in sorted(a)] == list(range(1, len(a) + 1))
+
+
+def test_detect_unknown_method_is_iqr(spark, sf):
+    from tessera.operators import anomaly
+    ev = table(spark, sf, "events")
+    a = anomaly.detect(ev, ["value"], "no-such-method")[0].first()
+    b = anomaly.detect(ev, ["value"], "iqr")[0].first()
+    assert a["method"] == "IQR" and a == b
+
+
+def test_ask_dispatches_to_named_operator(spark, sf):
+    from tessera.operators import questions
+    s = sales(spark, sf)
+    top = questions.ask(s, "Top 3 region by profit")
+    assert top.columns == ["region", "value"] and top.count() == 3
+    assert _rows(top) == _rows(groups.top_n(s, "region", "profit", 3))
+    assert questions.ask(s, "compare sales by category").columns == ["category", "sum", "mean", "count"]
