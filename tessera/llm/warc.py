@@ -87,18 +87,17 @@ class ZipArchive:
             raise ValueError("not a ZIP archive: no end of central directory")
         _, _, _, entries, length, offset = struct.unpack_from("<HHHHII", tail, at + 4)
         end = tail_at + at
-        if entries == _FULL16 or length == _FULL32 or offset == _FULL32:
-            locator = self.read_at(end - 20, 20) if end >= 20 else b""
-            if locator[:4] == _LOCATOR:
-                end64 = struct.unpack_from("<Q", locator, 8)[0]
-                record = self.read_at(end64, 56)
-                if record[:4] != _END64:  # something was put before the archive
-                    end64 = end - 20 - 56
-                    record = self.read_at(end64, 56)
-                if record[:4] != _END64:
-                    raise ValueError("ZIP64 end of central directory not found")
-                entries, length, offset = struct.unpack_from("<QQQ", record, 32)
-                end = end64
+        wide = entries == _FULL16 or length == _FULL32 or offset == _FULL32
+        locator = self.read_at(end - 20, 20) if end >= 20 else b""
+        if locator[:4] == _LOCATOR:
+            # where the locator says, or right before it if something was put before the archive
+            for at in (struct.unpack_from("<Q", locator, 8)[0], end - 20 - 56):
+                if 0 <= at <= self.size - 56 and (found := self.read_at(at, 56))[:4] == _END64:
+                    entries, length, offset = struct.unpack_from("<QQQ", found, 32)
+                    end, wide = at, False
+                    break
+        if wide:
+            raise ValueError("ZIP64 end of central directory not found")
         before = end - length - offset  # bytes put before the archive
         data, at = self.read_at(offset + before, length), 0
         for _ in range(entries):
