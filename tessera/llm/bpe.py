@@ -3,8 +3,8 @@
 1. Words (runs without white space, after the tokenizer's normalization) are
    counted over all documents; partial counts are bounded per task and summed by
    Spark.
-2. The ``lexicon_size`` most frequent ones are encoded once and compiled into a
-   minimal acyclic automaton: equal suffixes share states, and each transition
+2. The most frequent ones, at most ``lexicon_size``, are encoded once and
+   compiled into a minimal acyclic automaton: equal suffixes share states, and each transition
    carries how many words sort before its branch, so the sum along a path is the
    word's number and selects its ids. Its size is bounded by ``lexicon_size``,
    not by the corpus.
@@ -34,17 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import col, emit, slices
-from tessera.session import scratch_path
+from tessera.session import materialize, scratch_path
 
 LEXICON = 65_536
 #: Words a task counts or remembers before it passes its counts on or forgets.
 _HELD = 300_000
+#: Counts from here on are one level when the lexicon's least count is sought.
+_MANY = 1 << 20
 
 # The tokenizer's pieces of a word, and the blanks that Python's split() takes and \s does not.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[^\x00-\u024f]")
 _WORDS = regex.compile(r"\S+")
+_NEVER = 1 << 62
+_WIDTHS = (8, 16, 32)  # bytes of the pieces that are merged side by side; longer ones are merged alone
 
 
 class Tokenizer:
@@ -57,12 +61,14 @@ class Tokenizer:
         self.tokens = [""] * (1 + max([*vocab.values(), *self.specials.values()]))
         for token, i in (vocab | self.specials).items():
             self.tokens[i] = token
-        self.merges = {}
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # left id << 32 | right id -> rank << 32 | merged id
+        self.merges = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(spec["model"]["merges"])}
         shown = self._byte_letters()
         self.inner = [vocab[shown[b]] for b in range(256)]
         self.last = [vocab[shown[b] + self.end] for b in range(256)]
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        order = np.argsort(keys := np.fromiter(self.merges, np.int64, len(self.merges)))
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
         self.pieces = regex.compile(PIECES)
         self.library = tokenizers.Tokenizer.from_str(description)
         self.split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(PIECES), "removed", invert=True)
@@ -92,19 +98,76 @@ class Tokenizer:
         return [p for p, _ in self.split.pre_tokenize_str(word)]
 
     def word_ids(self, word: str) -> list[int]:
-        """Exact merges: again and again the pair of lowest rank, leftmost first."""
-        out: list[int] = []
-        for piece in self.pieces_of(word):
-            raw = piece.encode()
-            ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-            while len(ids) > 1:
-                best = min(((self.merges.get(pair, (1 << 60, 0)), at) for at, pair in enumerate(zip(ids, ids[1:]))))
-                if best[0][0] == 1 << 60:
-                    break
-                ids[best[1]: best[1] + 2] = [best[0][1]]
-            out += ids
+        pieces = self.pieces_of(word)
+        return self.piece_ids(pieces[0]) if len(pieces) == 1 else [x for p in pieces for x in self.piece_ids(p)]
+
+    def piece_ids(self, piece: str) -> list[int]:
+        """Exact merges: again and again the pair of lowest rank, leftmost first; only its neighbours change."""
+        raw, rank = piece.encode(), self.merges.get
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        pairs = [rank(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) != _NEVER:
+            at = pairs.index(best)
+            ids[at: at + 2] = [best & 0xFFFFFFFF]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(ids[at - 1] << 32 | ids[at], _NEVER)
+            if at < len(pairs):
+                pairs[at] = rank(ids[at] << 32 | ids[at + 1], _NEVER)
+        return ids
+
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """``piece_ids`` of many pieces side by side, as bytes: one step merges the best pair of every piece."""
+        raw = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[bytes] = [b""] * len(raw)
+        for low, high in zip((0, *_WIDTHS), _WIDTHS):
+            which = np.flatnonzero((lengths > low) & (lengths <= high))
+            for at in range(0, len(which), 1 << 14):
+                some = which[at: at + (1 << 14)]
+                ids, n = self._merged([raw[i] for i in some.tolist()], lengths[some], high)
+                for i, row, k in zip(some.tolist(), ids, n.tolist()):
+                    out[i] = row[:k].tobytes()
+        for i in np.flatnonzero(lengths > _WIDTHS[-1]).tolist():
+            out[i] = np.array(self.piece_ids(pieces[i]), "<u4").tobytes()
         return out
 
+    def _merged(self, raw: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        text = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in raw), np.uint8).reshape(-1, width)
+        ids = self.inner_ids[text]
+        rows = np.arange(len(raw))
+        ids[rows, lengths - 1] = self.last_ids[text[rows, lengths - 1]]
+        columns = np.arange(width)
+        pairs = self._ranks(ids[:, :-1], ids[:, 1:])
+        pairs[columns[:-1] >= lengths[:, None] - 1] = _NEVER
+        pairs = np.column_stack([pairs, np.full(len(raw), _NEVER)])  # a last column that never merges
+        final, n = ids.astype("<u4"), lengths.copy()
+        while len(rows):
+            at = pairs.argmin(axis=1)
+            best = pairs[np.arange(len(rows)), at]
+            going = best != _NEVER
+            if not going.all():
+                final[rows[~going]] = ids[~going]
+                rows, ids, pairs, at, best = rows[going], ids[going], pairs[going], at[going], best[going]
+            if not len(rows):
+                break
+            n[rows] -= 1
+            every, left = np.arange(len(rows)), n[rows]
+            ids[every, at] = best & 0xFFFFFFFF
+            ids = np.take_along_axis(ids, np.minimum(columns + (columns > at[:, None]), width - 1), 1)
+            pairs = np.take_along_axis(pairs, np.minimum(columns + (columns >= at[:, None]), width - 1), 1)
+            before = np.flatnonzero(at > 0)
+            pairs[before, at[before] - 1] = self._ranks(ids[before, at[before] - 1], ids[before, at[before]])
+            after = np.flatnonzero(at < left - 1)
+            pairs[after, at[after]] = self._ranks(ids[after, at[after]], ids[after, at[after] + 1])
+        return final, n
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NEVER)
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -182,6 +245,7 @@ class Transducer:
 
         self.keys, self.starts = take("<i8", arcs), take("<i8", words + 1)
         self.targets, self.before, self.ids, self.final = take("<i4", arcs), take("<i4", arcs), take("<u4", int(self.starts[-1])), take("u1", states)
+        self.bytes, self.ends = memoryview(np.ascontiguousarray(self.ids)).cast("B"), (4 * self.starts).tolist()
 
     @classmethod
     def open(cls, path: str) -> Transducer:
@@ -207,8 +271,9 @@ class Transducer:
             depth += 1
         return np.where((number >= 0) & (self.final[state] == 1), number, -1)
 
-    def output(self, number: int) -> np.ndarray:
-        return self.ids[self.starts[number]: self.starts[number + 1]]
+    def output(self, number: int) -> bytes:
+        """A word's ids as little-endian unsigned 32-bit integers."""
+        return bytes(self.bytes[self.ends[number]: self.ends[number + 1]])
 
 
 # --- on Spark -----------------------------------------------------------------------------------------------------
@@ -237,11 +302,21 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
 def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", lexicon_size: int = LEXICON) -> str:
     """Compile the most frequent words of ``docs``; the path of the file in the shared folder.
 
-    At most ``lexicon_size`` words of at most 64 characters reach the driver (longer words are merged, not looked up).
+    Words of up to 64 characters count (longer ones are merged, not looked up), and all words of the same count are in
+    or out: at most ``lexicon_size`` words reach the driver.
     """
     spark, tok = docs.sparkSession, Tokenizer(tokenizer)
-    frequent = word_counts(docs, tokenizer, text_col).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(lexicon_size)
-    block = compile_transducer((r.word.encode(), tok.word_ids(r.word)) for r in frequent.collect())
+    counted = materialize(word_counts(docs, tokenizer, text_col).where(F.length("word") <= 64), "word-counts")
+    # the least count above which at most lexicon_size words lie; one row per count, all large counts together
+    held, least = 0, _MANY + 1
+    for r in counted.groupBy(F.least("n", F.lit(_MANY)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator():
+        held += r["count"]
+        if held > lexicon_size:
+            break
+        least = r.n
+    frequent = [r.word for r in counted.where(F.col("n") >= least).select("word").collect()] if least <= _MANY else []
+    known = dict(zip(pieces := [*{p for w in frequent for p in tok.pieces_of(w)}], tok.merge_all(pieces)))
+    block = compile_transducer((w.encode(), [x for p in tok.pieces_of(w) for x in np.frombuffer(known[p], "<u4").tolist()]) for w in frequent)
     path = f"{scratch_path(spark, 'lexicon')}-{uuid.uuid4().hex[:8]}.bin"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -259,13 +334,31 @@ class Encoder:
     """Texts to ids; remembers at most ``_HELD`` words between slices."""
 
     def __init__(self, tokenizer: str, transducer: Transducer):
-        self.tok, self.lexicon, self.known = Tokenizer(tokenizer), transducer, {}
+        self.tok, self.lexicon = Tokenizer(tokenizer), transducer
+        self.known: dict[str, bytes] = {}  # words
+        self.merged: dict[str, bytes] = {}  # pieces
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words into ``known``: from the lexicon, or merged piece by piece."""
+        tok, known, merged = self.tok, self.known, self.merged
+        unseen = []
+        for word, number in zip(words, self.lexicon.numbers([w.encode() for w in words]).tolist()):
+            if number >= 0:
+                known[word] = self.lexicon.output(number)
+            else:
+                unseen.append(word)
+        pieces = [tok.pieces_of(w) for w in unseen]
+        new = [*{p for found in pieces for p in found if p not in merged}]
+        merged.update(zip(new, tok.merge_all(new)))
+        for word, found in zip(unseen, pieces):
+            known[word] = merged[found[0]] if len(found) == 1 else b"".join([merged[p] for p in found])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         tok, known = self.tok, self.known
-        if len(known) > _HELD:
-            known.clear()
+        for held in (known, self.merged):
+            if len(held) > _HELD:
+                held.clear()
         cut = []
         for text in texts:
             spans = tok.special.split(text or "")
@@ -274,11 +367,8 @@ class Encoder:
         for spans in cut:
             for words in spans[::2]:
                 unseen.update(words)
-        unseen = [w for w in unseen if w not in known]
-        if unseen:
-            numbers = self.lexicon.numbers([w.encode() for w in unseen]).tolist()
-            for word, number in zip(unseen, numbers):
-                known[word] = self.lexicon.output(number).tobytes() if number >= 0 else np.array(tok.word_ids(word), "<u4").tobytes()
+        if unseen := [w for w in unseen if w not in known]:
+            self._learn(unseen)
         return [b"".join(struct.pack("<I", tok.specials[x]) if at % 2 else b"".join(map(known.__getitem__, x)) for at, x in enumerate(spans)) for spans in cut]
 
     def decode(self, ids: bytes) -> str:
