@@ -7,7 +7,7 @@
   code-generation field limit.
 * ``long_counts`` + ``grouped_quantiles``: exact linear-interpolated
   quantiles for many columns (or many groups) from ONE shuffle of
-  (group, value) -> count, positions from bucketed windows. No task ever
+  (group, value) -> count, positions from the range-partitioned order. No task ever
   holds all distinct values of a column (unlike ``percentile``'s hash map),
   and a value repeated by a third of all rows is a single counted row.
 * ``comoments``: pairwise-complete co-moment matrices per Arrow batch with
@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.ranks import running_before
+
 _BATCH_COLS = 12  # 12 columns x 7 buffer fields stays under the 100-field codegen limit
 
 
@@ -77,35 +79,11 @@ def long_counts(df: DataFrame, cols: list[str], as_double: bool = True) -> DataF
     return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-# A group with at most this many distinct values is ranked by one sorted
-# window task (bounded memory, spills); larger groups are split into buckets.
-DIRECT_WINDOW_MAX = 2_000_000
-
-
-def grouped_positions(counts: DataFrame, group: str = "column_name", buckets: int = 64,
-                      direct_max: int = DIRECT_WINDOW_MAX) -> DataFrame:
-    """Adds ``before`` = total count of smaller values in the same group.
-
-    Size-checked plan choice (one small aggregate decides): when every group
-    has at most ``direct_max`` distinct values, one window per group ranks
-    them; otherwise values are bucketed per group at approximate quantile
-    cuts and only the (group, bucket) windows sort rows, so no oversized
-    group is ever sorted in one task."""
-    largest = counts.groupBy(group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    if largest <= direct_max:
-        w = Window.partitionBy(group).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(group, "value", "cnt", F.coalesce(F.sum("cnt").over(w), F.lit(0)).alias("before"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(group).agg(F.percentile_approx("value", probs, 10000).alias("_cuts"))
-    b = counts.join(F.broadcast(cuts), group).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
-    tot = b.groupBy(group, "_bucket").agg(F.sum("cnt").alias("_bt"))
-    off = tot.select(group, "_bucket", F.coalesce(F.sum("_bt").over(
-        Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    w = Window.partitionBy(group, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return b.join(off, [group, "_bucket"]).select(
-        group, "value", "cnt", (F.col("_off") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).alias("before"))
+def grouped_positions(counts: DataFrame, group: str = "column_name") -> DataFrame:
+    """(group, value, cnt, before): adds the total count of smaller values in
+    the same group, from the range-partitioned order of all groups together —
+    no group is sorted in one task, however many values it has."""
+    return running_before(counts.select(group, "value", "cnt"), "value", "cnt", [group])
 
 
 def grouped_quantiles(counts: DataFrame, probs: list[float], group: str = "column_name") -> DataFrame:
@@ -168,8 +146,6 @@ def corr_matrix_np(mom: dict[str, np.ndarray]) -> np.ndarray:
     return r
 
 
-
-
 def quantile_row(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """One-row frame with q{i}_{j} = exact quantile probs[j] of cols[i]
     (NULL for an all-NULL column); lazy, from one long-form shuffle."""

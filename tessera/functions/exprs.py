@@ -19,11 +19,6 @@ def month_str(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, NULL when b is 0 (never raises under ANSI mode)."""
-    return F.try_divide(a, b)
-
-
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson r over pairwise-complete rows; NULL (not an error) when either
     side is constant. ``regr_*`` skip rows where either input is NULL."""
@@ -96,38 +91,6 @@ def signed_fixed(x: Column, digits: int) -> Column:
     return F.when(x >= 0, F.concat(F.lit("+"), fixed(x, digits))).otherwise(fixed(x, digits))
 
 
-def spread(df: DataFrame, with_flag: bool = False):
-    """Round-robin a narrowly-split input over the cluster's cores before a
-    CPU-heavy aggregate. Only when the scan yields fewer partitions than
-    ``spark.default.parallelism`` (e.g. one large Parquet row group); a
-    large input already split into many files/row groups is left as is, so
-    at scale this adds no shuffle."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < max(2, target // 2):
-        out, moved = df.repartition(target), True
-    else:
-        out, moved = df, False
-    return (out, moved) if with_flag else out
-
-
-def pair_moments(x: Column, y: Column, sx: float, sy: float) -> list[Column]:
-    """Sums over rows where both x and y are non-NULL, on values shifted by
-    (sx, sy) for numerical stability: n, Σx, Σy, Σx², Σy², Σxy."""
-    both = x.isNotNull() & y.isNotNull()
-    a = F.when(both, x - F.lit(sx))
-    b = F.when(both, y - F.lit(sy))
-    return [F.count(a), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b)]
-
-
-def corr_from_moments(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
-    """Pearson r from pair moments; NULL when either side is constant."""
-    cov = sab - sa * sb / n
-    va = saa - sa * sa / n
-    vb = sbb - sb * sb / n
-    return F.try_divide(cov, F.sqrt(F.when((va > 0) & (vb > 0), va * vb)))
-
-
 def sql_round(v, digits: int):
     """Round a Python float like SQL ROUND on doubles: scale, round half away
     from zero, unscale (used where a small result is finished on the driver)."""

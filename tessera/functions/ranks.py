@@ -1,20 +1,17 @@
-"""Distributed global ranking.
-
-A global rank needs the whole value order, and a window with no
-partitioning puts every value into one task. Instead:
-
-0. when there are at most DIRECT_WINDOW_MAX distinct values (checked with
-   one count), a single sorted window ranks them; otherwise:
-1. count rows per distinct value (shuffled groupBy with map-side combine, so
-   a value holding a third of all rows is just one row with a large count);
-2. cut the distinct values into ``buckets`` ranges at approximate quantiles
-   (one bounded-memory ``percentile_approx``); the bucket of a value is the
-   number of cut points below it — a deterministic function of the value;
-3. per bucket totals (<= buckets rows) give each bucket's rank offset;
-4. a window partitioned by bucket gives the running count inside the bucket.
-
-The result is exact: approximate cut points only affect how evenly work is
-spread, never the ranks.
+"""Distributed global order: ranks, positions and exact quantiles.
+
+A global rank needs the whole value order, and a window with no partitioning
+puts every value into one task. One routine serves every size and every caller:
+
+1. rows are counted per distinct value (shuffled groupBy with map-side combine,
+   so a value holding a third of all rows is one row with a large count);
+2. the counted values are range-partitioned into ``spark.sql.shuffle.partitions``
+   runs of about equal size, and the table is written with each row's run to the
+   shared folder (range bounds come from a sample, so they must be drawn once);
+3. run totals (a row per run and group) give each run's offset;
+4. a window within the run gives the count below each value.
+
+The result is exact: the sampled bounds only affect how evenly work is spread.
 """
 
 from __future__ import annotations
@@ -22,55 +19,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many distinct values one sorted window task ranks them all
-# (bounded, spills to disk); beyond it the bucketed scheme below is used.
-DIRECT_WINDOW_MAX = 2_000_000
+from tessera.session import materialize
+
+
+def with_runs(counts: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``counts`` plus ``_run``, its place among the range partitions of (group, value)."""
+    runs = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = counts.repartitionByRange(runs, *[F.col(f"`{g}`") for g in group], F.col(f"`{value}`"))
+    return materialize(ordered.withColumn("_run", F.spark_partition_id()), "positions")
+
+
+def running_before(counts: DataFrame, value: str, weight: str, group: list[str] | None = None) -> DataFrame:
+    """``counts`` (one row per group and value) plus ``before``: the weight of
+    all smaller values of the same group."""
+    group = group or []
+    tagged = with_runs(counts, group, value)
+    keys = [F.col(f"`{g}`") for g in group]
+    zero = F.lit(0).cast(counts.schema[weight].dataType)
+    earlier = Window.unboundedPreceding, -1
+    totals = tagged.groupBy("_run", *keys).agg(F.sum(weight).alias("_total"))
+    offset = totals.select("_run", *keys, F.coalesce(
+        F.sum("_total").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(*earlier)), zero).alias("_offset"))
+    inside = F.sum(weight).over(Window.partitionBy("_run", *keys).orderBy(F.col(f"`{value}`")).rowsBetween(*earlier))
+    joined = tagged.join(offset, ["_run", *group])
+    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], (F.col("_offset") + F.coalesce(inside, zero)).alias("before"))
 
 
-def value_ranks(values: DataFrame, col: str = "v", buckets: int = 64) -> DataFrame:
+def value_positions(df: DataFrame, v: str = "v", w: str | None = None) -> DataFrame:
+    """(v, wsum, before): per distinct non-NULL value, its total weight and the
+    total weight of all smaller values. ``w`` = None counts rows."""
+    src = df.select(F.col(v).alias("v"), (F.col(w) if w else F.lit(1)).cast("double").alias("_w"))
+    counts = src.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("_w").alias("wsum"))
+    return running_before(counts, "v", "wsum")
+
+
+def value_ranks(values: DataFrame, col: str = "v") -> DataFrame:
     """(v, cnt, rank_min, rank_avg) for every distinct non-NULL value of
     ``values[col]``. rank_avg is the pandas/scipy 'average' tie rank."""
     counts = (values.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
-    if counts.count() <= DIRECT_WINDOW_MAX:  # size-checked: one sorted task is bounded
-        w1 = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        r = counts.select("v", "cnt", F.coalesce(F.sum("cnt").over(w1), F.lit(0)).alias("_before"))
-        return r.select("v", "cnt", (F.col("_before") + 1).cast("long").alias("rank_min"),
-                        (F.col("_before") + (F.col("cnt") + 1) / 2.0).alias("rank_avg"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.agg(F.percentile_approx("v", probs, 10000).alias("_cuts"))
-    b = counts.crossJoin(F.broadcast(cuts)).select(
-        "v", "cnt", F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("bucket"))
-    totals = b.groupBy("bucket").agg(F.sum("cnt").alias("_bt"))
-    # <= `buckets` rows: an unpartitioned window is fine here
-    off = totals.select("bucket", F.coalesce(F.sum("_bt").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = b.join(F.broadcast(off), "bucket").select(
-        "v", "cnt", (F.col("_off") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).alias("_before"))
-    return ranked.select("v", "cnt", (F.col("_before") + 1).cast("long").alias("rank_min"),
-                         (F.col("_before") + (F.col("cnt") + 1) / 2.0).alias("rank_avg"))
-
-
-def value_positions(df: DataFrame, v: str = "v", w: str | None = None, buckets: int = 64) -> DataFrame:
-    """(v, wsum, before): per distinct value, its total weight and the total
-    weight of all smaller values. ``w`` = None counts rows. Same distributed
-    bucketed scheme as ``value_ranks``."""
-    src = df.select(F.col(v).alias("v"), (F.col(w) if w else F.lit(1)).cast("double").alias("_w"))
-    counts = src.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("_w").alias("wsum"))
-    if counts.count() <= DIRECT_WINDOW_MAX:  # size-checked: one sorted task is bounded
-        w1 = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select("v", "wsum", F.coalesce(F.sum("wsum").over(w1), F.lit(0.0)).alias("before"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.agg(F.percentile_approx("v", probs, 10000).alias("_cuts"))
-    b = counts.crossJoin(F.broadcast(cuts)).select(
-        "v", "wsum", F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("bucket"))
-    totals = b.groupBy("bucket").agg(F.sum("wsum").alias("_bt"))
-    off = totals.select("bucket", F.coalesce(F.sum("_bt").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_off"))
-    win = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return b.join(F.broadcast(off), "bucket").select(
-        "v", "wsum", (F.col("_off") + F.coalesce(F.sum("wsum").over(win), F.lit(0.0))).alias("before"))
+    return running_before(counts, "v", "cnt").select(
+        "v", "cnt", (F.col("before") + 1).cast("long").alias("rank_min"),
+        (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank_avg"))
 
 
 def exact_quantiles(df: DataFrame, v: str, probs: list[float], w: str | None = None) -> DataFrame:

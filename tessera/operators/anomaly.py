@@ -72,6 +72,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple
     return [tuple(n) for n in nodes]
 
 
+def sample_bound(rate: float) -> int:
+    """Largest 63-bit hash that still joins a tree; never negative, so that no
+    row count makes the sample empty by rounding."""
+    return min((1 << 63) - 1, max(0, int(rate * (1 << 63)) - 1))
+
+
 def build_forest(df: DataFrame, cols: list[str], n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
                  seed: int = SEED) -> DataFrame:
     """The forest as node rows (tree, node, feature, threshold, left, right,
@@ -81,11 +87,10 @@ def build_forest(df: DataFrame, cols: list[str], n_trees: int = N_TREES, max_sam
     psi = min(max_samples, n)
     rate = min(1.0, 4.0 * psi / max(n, 1))
     d = d.withColumn("_rh", F.xxhash64(F.lit(seed), *[F.col(f"x{i}") for i in range(len(cols))]))
-    # per (tree, row) hash; keep candidates under the rate
+    # per (tree, row) a 63-bit hash; keep candidates under the rate, a bound of the same 63 bits
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    th = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_rh"), *[F.col(f"x{i}") for i in range(len(cols))]),
-                          F.lit(1_000_000))
-    cand = d.select("*", F.explode(F.filter(trees, lambda t: th(t) < int(rate * 1_000_000))).alias("tree"))
+    th = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_rh"), *[F.col(f"x{i}") for i in range(len(cols))]), 1)
+    cand = d.select("*", F.explode(F.filter(trees, lambda t: th(t) <= sample_bound(rate))).alias("tree"))
     cand = cand.withColumn("_h", th(F.col("tree")))
     sample = top_k_per_group(cand, ["tree"], [F.col("_h"), *[F.col(f"x{i}") for i in range(len(cols))]], psi,
                              salt_on=F.col("_h")).drop("_h", "_rh", "rank")
@@ -110,7 +115,11 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = N_TREES, max
     """Complete rows of ``df`` plus ``score`` = 2^(−E[h(x)] / c(ψ))."""
     forest = build_forest(df, cols, n_trees, max_samples, seed)
     nodes = forest.orderBy("tree", "node").toPandas()  # <= n_trees x (2^(depth+1) - 1) rows
+    if len(nodes) and nodes["tree"].nunique() < n_trees:
+        raise RuntimeError(f"only {nodes['tree'].nunique()} of {n_trees} trees drew a sample")
     psi = float(nodes.loc[nodes["node"] == 0, "size"].max()) if len(nodes) else 1.0
+    # a node's path length, were it a leaf: depth plus what its points would add
+    nodes["path"] = [d + _c(s) for d, s in zip(nodes["depth"], nodes["size"])]
     by_tree = {t: g.sort_values("node").astype("float64").to_numpy() for t, g in nodes.groupby("tree")}
     cnorm = _c(psi)
     d = df.dropna(subset=cols)
@@ -128,7 +137,7 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = N_TREES, max
                     leaf = arr[node, 8].astype(bool)
                     stop = active & leaf
                     if stop.any():
-                        depth[stop] = arr[node[stop], 7] + np.array([_c(s) for s in arr[node[stop], 6]])
+                        depth[stop] = arr[node[stop], 9]
                         active &= ~stop
                     go = np.flatnonzero(active)
                     if len(go) == 0:

@@ -1,10 +1,12 @@
 """Exact k-nearest-neighbour search without an all-pairs join.
 
 Points are first collapsed to distinct vectors with a multiplicity, so a
-value repeated by a third of all rows is one point. Distinct reference
-points are ordered along their principal direction u (covariance from one
-aggregate; only the d×d matrix reaches the driver) and cut into buckets of
-``bucket_size`` consecutive points by their exact distributed position.
+value repeated by a third of all rows is one point; a point is known by its
+vector itself, not by a hash of it. Distinct reference points are ordered along
+their principal direction u (covariance from one aggregate; only the d×d matrix
+reaches the driver), points of equal projection by their vector, and cut into
+buckets of ``bucket_size`` consecutive points by their exact distributed
+position. Bucket numbers are dense, so the next unexamined bucket always exists.
 
 A query first looks only at the buckets within ``radius`` of its own. The
 answer is *proved* exact when the projected gap to the nearest unexamined
@@ -69,7 +71,8 @@ def distinct_points(df: DataFrame, vec_col: str, extra: list[str] | None = None)
     """(pid, vec, w, *extra): distinct vectors (per extra key) with counts."""
     extra = extra or []
     g = df.groupBy(F.col(vec_col).alias("vec"), *[F.col(e) for e in extra]).agg(F.count(F.lit(1)).alias("w"))
-    return g.select(F.xxhash64("vec", *[F.col(e) for e in extra]).alias("pid"), "vec", *extra, "w")
+    pid = F.struct("vec", *extra) if extra else F.col("vec")
+    return g.select(pid.alias("pid"), "vec", *extra, "w")
 
 
 def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_self: bool = False,
@@ -89,17 +92,22 @@ def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_se
     u = principal_direction(refs, dim)
     r = refs.withColumn("proj", _dot(F.col("vec"), u))
     q = queries.withColumn("proj", _dot(F.col("vec"), u))
-    # position among distinct reference points; queries get weight 0
-    both = r.select("proj", F.lit(1.0).alias("_w")).unionByName(q.select("proj", F.lit(0.0).alias("_w")))
-    pos = value_positions(both, "proj", "_w").select(F.col("v").alias("proj"), "before")
-    r = r.join(pos, "proj").withColumn("bucket", F.floor(F.col("before") / bucket_size).cast("long")).drop("before")
-    q = q.join(pos, "proj").withColumn("bucket", F.floor(F.col("before") / bucket_size).cast("long")).drop("before")
+    # position among distinct reference points in order of (projection, point); queries have weight 0 and come first
+    # among points of their own projection
+    key = lambda pid: F.struct("proj", pid.alias("pid"))
+    both = (r.select(key(F.col("pid")).alias("v"), F.lit(1.0).alias("_w"))
+            .unionByName(q.select(key(F.lit(None).cast(r.schema["pid"].dataType)).alias("v"), F.lit(0.0).alias("_w"))))
+    pos = value_positions(both, "v", "_w").select(F.col("v.proj").alias("proj"), F.col("v.pid").alias("pid"), "before")
+    bucket = F.floor(F.col("before") / bucket_size).cast("long").alias("bucket")
+    r = r.join(pos.where("pid IS NOT NULL").select("pid", bucket), "pid")
+    q = q.join(pos.where("pid IS NULL").select("proj", bucket), "proj")
     ext = r.groupBy("bucket").agg(F.min("proj").alias("lo"), F.max("proj").alias("hi"))
     stats = r.agg(F.max("bucket").alias("maxb"), F.sum("w").alias("total_w")).first()
+    # positions of distinct points are consecutive: buckets 0..maxb all hold points
     maxb, total_w = int(stats["maxb"] if stats["maxb"] is not None else 0), float(stats["total_w"] or 0)
     need = float(min(k, total_w - (1 if exclude_self else 0)))
     r = r.checkpoint(eager=True)
-    pending = q.select("qid", "vec", "proj", "bucket").checkpoint(eager=True)
+    pending = q.select("qid", "vec", "proj", F.least("bucket", F.lit(maxb)).alias("bucket")).checkpoint(eager=True)
     out_path = scratch_path(spark, "knn")
     radius = 1
     while True:
@@ -108,8 +116,7 @@ def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_se
         pairs = cand.alias("q").join(r.alias("r"), F.col("q.cb") == F.col("r.bucket")).select(
             F.col("q.qid").alias("qid"), F.col("r.pid").alias("pid"), *[F.col(f"r.{p}") for p in payload],
             _dist(F.col("q.vec"), F.col("r.vec"), dim).alias("dist"),
-            (F.col("r.w") - F.when(F.lit(exclude_self) & (F.col("q.qid") == F.col("r.pid")), 1).otherwise(0))
-            .alias("w"))
+            (F.col("r.w") - F.when(F.col("q.qid") == F.col("r.pid"), 1).otherwise(0) if exclude_self else F.col("r.w")).alias("w"))
         pairs = pairs.where(F.col("w") > 0)
         win = Window.partitionBy("qid").orderBy("dist", "pid")
         before = F.coalesce(F.sum("w").over(win.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -145,12 +152,12 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     te = test.select("label", vector_to_array("features").alias("vec"))
     dim = len(tr.select("vec").first()["vec"])
     refs = distinct_points(tr, "vec", ["label"])
-    qs = te.select(F.xxhash64("vec").alias("qid"), "vec").dropDuplicates(["qid"])
+    qs = te.select(F.col("vec").alias("qid"), "vec").distinct()
     nn = knn_search(qs, refs, k, dim, payload=["label"])
     votes = nn.groupBy("qid", "label").agg(F.sum("c").alias("v"))
     best = votes.groupBy("qid").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("label").alias("l"))).alias("b"))
     pred = best.select("qid", F.col("b.l").alias("prediction"))
-    return te.withColumn("qid", F.xxhash64("vec")).join(pred, "qid").select("label", "prediction")
+    return te.withColumn("qid", F.col("vec")).join(pred, "qid").select("label", "prediction")
 
 
 def lof_scores(df: DataFrame, cols: list[str], k: int = 20) -> DataFrame:
@@ -169,7 +176,7 @@ def lof_scores(df: DataFrame, cols: list[str], k: int = 20) -> DataFrame:
     lof = (nn.join(lrd.select(F.col("qid").alias("pid"), F.col("lrd").alias("olrd")), "pid")
            .groupBy("qid").agg((F.sum(F.col("c") * F.col("olrd")) / F.sum("c")).alias("_m"))
            .join(lrd, "qid").select(F.col("qid").alias("pid"), (F.col("_m") / F.col("lrd")).alias("lof")))
-    return d.withColumn("pid", F.xxhash64(vec)).join(lof, "pid").drop("pid")
+    return d.withColumn("pid", vec).join(lof, "pid").drop("pid")
 
 
 def lof_flags(df: DataFrame, cols: list[str], k: int = 20, contamination: float = 0.05) -> DataFrame:

@@ -33,7 +33,7 @@ from tessera.functions.special import f_pvalue, norm_cdf, norm_ppf, t_pvalue
 def group_test(df: DataFrame, group: str, value: str) -> DataFrame:
     """Groups with >= 2 values: two -> pooled two-sample t (first minus
     second in key order), three or more -> one-way ANOVA F; fewer -> 'N/A'.
-    Columns: test_name, groups, statistic (4 dp), df1, df2."""
+    Columns: test_name, groups, statistic (4 dp; NULL if no group varies), df1, df2."""
     d = normalize_nulls(df.select(col(group).alias("g"), col(value).cast("double").alias("x")))
     d = d.where(F.col("g").isNotNull() & F.col("x").isNotNull())
     per = d.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
@@ -47,9 +47,9 @@ def group_test(df: DataFrame, group: str, value: str) -> DataFrame:
         F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2).alias("ssb"))
     x = a.crossJoin(ssb)
     k, N = F.col("k"), F.col("N")
-    sp2 = ((F.col("g1.n") - 1) * F.col("g1.v") + (F.col("g2.n") - 1) * F.col("g2.v")) / (N - 2)
-    t = (F.col("g1.m") - F.col("g2.m")) / F.sqrt(sp2 * (1 / F.col("g1.n") + 1 / F.col("g2.n")))
-    fstat = (F.col("ssb") / (k - 1)) / (F.col("ssw") / (N - k))
+    sp2 = F.try_divide((F.col("g1.n") - 1) * F.col("g1.v") + (F.col("g2.n") - 1) * F.col("g2.v"), N - 2)
+    t = F.try_divide(F.col("g1.m") - F.col("g2.m"), F.sqrt(sp2 * (1 / F.col("g1.n") + 1 / F.col("g2.n"))))
+    fstat = F.try_divide(F.try_divide(F.col("ssb"), k - 1), F.try_divide(F.col("ssw"), N - k))
     name = (F.when(k == 2, F.lit("Independent t-test"))
             .when(k >= 3, F.format_string("One-way ANOVA (%d groups)", k)).otherwise(F.lit("N/A")))
     stat = F.when(k == 2, t).when(k >= 3, fstat).otherwise(F.lit(0.0))
@@ -228,6 +228,3 @@ def shapiro(df: DataFrame, cols: list[str], alpha: float = 0.05, max_n: int = 50
     return res.select("column_name", "n", "statistic", "p_value", sig.alias("is_significant"),
                       interp.alias("interpretation"))
 
-
-def corr_strength(r):
-    return strength(r)

@@ -63,3 +63,24 @@ def test_isolation_forest_flags_contamination(spark):
     assert s["anomaly_count"] == 100
     ids = {r["id"] for r in flagged.where("is_anomaly").collect()}
     assert len(ids & set(range(20))) >= 18
+
+
+def test_knn_with_many_equal_projections(spark):
+    """Hundreds of points share a projection, then a wide gap: the nearest are on the other points' side."""
+    from tessera.operators.knn import distinct_points, knn_search
+    from pyspark.sql import functions as F
+    pts = [(0.0, float(y)) for y in range(-300, 301)] + [(1.0, 0.0)] + [(10_000.0 + 10 * i, 0.0) for i in range(2000)]
+    df = spark.createDataFrame([(list(p),) for p in pts], "vec array<double>")
+    refs = distinct_points(df, "vec")
+    queries = spark.createDataFrame([([1.0, 0.0],), ([0.0, 250.0],)], "vec array<double>").withColumn("qid", F.col("vec"))
+    out = knn_search(queries.select("qid", "vec"), refs, 5, 2, exclude_self=True).collect()
+    near = sorted(r["dist"] for r in out if r["qid"] == [1.0, 0.0])
+    assert near == pytest.approx([1.0, 2 ** 0.5, 2 ** 0.5, 5 ** 0.5, 5 ** 0.5])
+    assert sorted(r["dist"] for r in out if r["qid"] == [0.0, 250.0]) == pytest.approx([1.0, 1.0, 2.0, 2.0, 3.0])
+
+
+def test_forest_sample_is_never_empty():
+    from tessera.operators.anomaly import sample_bound
+    for n in (10 ** 6, 10 ** 9, 10 ** 12, 10 ** 15):
+        expected = n * (sample_bound(4 * 256 / n) + 1) / 2 ** 63
+        assert expected == pytest.approx(1024, rel=0.01)

@@ -75,7 +75,7 @@ def test_value_ranks_average(spark):
     rng = np.random.default_rng(9)
     x = rng.integers(0, 50, 2000)
     df = spark.createDataFrame([(int(v),) for v in x], "v long")
-    got = {r["v"]: r["rank_avg"] for r in value_ranks(df, buckets=8).collect()}
+    got = {r["v"]: r["rank_avg"] for r in value_ranks(df).collect()}
     want = pd.Series(x).rank(method="average")
     for v, rk in zip(x, want):
         assert got[int(v)] == rk
@@ -90,24 +90,33 @@ def test_exact_quantiles(spark):
         assert q[f"q{i}"] == pytest.approx(np.percentile(x, p * 100), abs=1e-12)
 
 
-def test_grouped_quantiles_both_paths(spark):
-    from tessera.functions.colstats import grouped_positions, grouped_quantiles, long_counts
+@pytest.mark.parametrize("runs", [1, 3, 50])
+def test_grouped_quantiles_for_any_number_of_runs(spark, runs):
+    from tessera.functions.colstats import grouped_quantiles, long_counts
     rng = np.random.default_rng(13)
     x = np.round(rng.normal(size=3000), 2)
     y = rng.integers(0, 7, 3000).astype(float)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, b double")
-    counts = long_counts(df, ["a", "b"])
-    direct = {r["column_name"]: r for r in grouped_quantiles(counts, [0.1, 0.5, 0.9]).collect()}
-    import tessera.functions.colstats as cs
-    old = cs.DIRECT_WINDOW_MAX
-    cs.grouped_positions.__defaults__ = (64, 10)  # force the bucketed path
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", runs)
     try:
-        bucketed = {r["column_name"]: r for r in grouped_quantiles(counts, [0.1, 0.5, 0.9]).collect()}
+        found = {r["column_name"]: r for r in grouped_quantiles(long_counts(df, ["a", "b"]), [0.1, 0.5, 0.9]).collect()}
     finally:
-        cs.grouped_positions.__defaults__ = (64, old)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     for name, arr in (("a", x), ("b", y)):
         for i, p in enumerate([0.1, 0.5, 0.9]):
-            want = np.percentile(arr, p * 100)
-            assert direct[name][f"q{i}"] == pytest.approx(want, abs=1e-12)
-            assert bucketed[name][f"q{i}"] == pytest.approx(want, abs=1e-12)
-    _ = grouped_positions
+            assert found[name][f"q{i}"] == pytest.approx(np.percentile(arr, p * 100), abs=1e-12)
+
+
+def test_no_run_holds_much_more_than_its_share(spark):
+    from tessera.functions.ranks import with_runs
+    counts = spark.range(20_000).selectExpr("id * id AS v", "1 AS cnt")
+    runs = {r["_run"]: r["count"] for r in with_runs(counts, [], "v").groupBy("_run").count().collect()}
+    assert len(runs) >= 6 and max(runs.values()) <= 2.5 * 20_000 / 8
+
+
+def test_constant_groups_have_no_statistic(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, x double")
+    assert stats.group_test(df, "g", "x").first()["statistic"] is None
+    three = df.union(spark.createDataFrame([("c", 3.0), ("c", 3.0)], "g string, x double"))
+    assert stats.group_test(three, "g", "x").first()["statistic"] is None
