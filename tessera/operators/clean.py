@@ -11,7 +11,8 @@ parse dates -> strip whitespace -> drop empty columns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +38,6 @@ UNKNOWN_FILL = "Unknown"
 _EDGE_WS = r"(?U)^\s+|\s+$"
 
 
-@dataclass
-class CleaningConfig:
-    remove_duplicates: bool = True
-    fill_numeric_nulls: bool = True
-    fill_categorical_nulls: bool = True
-    parse_dates: bool = True
-    strip_whitespace: bool = True
-    drop_empty_columns: bool = True
-    numeric_fill_strategy: str = "median"   # median | mean | zero
-    categorical_fill_strategy: str = "mode"  # mode | unknown
-    date_formats: list[str] = field(default_factory=lambda: list(DEFAULT_DATE_FORMATS))
-
-
 def to_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Coerce text to double; unparsable -> NULL."""
     s = set(cols)
@@ -61,6 +49,11 @@ def parse_timestamp(c, formats: list[str] | None = None):
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in fmts]).cast("timestamp_ntz")
 
 
+def time_col(df: DataFrame, name: str):
+    """A date argument: a text column is parsed (bad values -> NULL), any other is taken as it is."""
+    return parse_timestamp(col(name)) if isinstance(df.schema[name].dataType, T.StringType) else col(name)
+
+
 def date_text_cols(df: DataFrame) -> list[str]:
     strings = set(categorical_cols(df))
     return [c for c in df.columns if c in strings and any(k in c.lower() for k in DATE_PARSE_KEYWORDS)]
@@ -167,69 +160,94 @@ def fill_categorical(df: DataFrame, strategy: str = "mode",
 
 
 @dataclass
-class CleaningReport:
-    actions: list[str] = field(default_factory=list)
-    nulls_filled: int = 0
-    columns_dropped: list[str] = field(default_factory=list)
+class Known:
+    """What one aggregate over the de-duplicated table tells the later steps."""
+
+    rows: int
+    missing: dict[str, int]  # NULLs by column
+    dates: dict[str, int]  # values that parse, by text column named like a date
+
+
+#: What a step did: (column, cells or columns concerned, value used).
+Done = list[tuple[str, int, str | None]]
+Step = Callable[[DataFrame, Known], tuple[DataFrame, Done]]
+
+
+def numbers(strategy: str = "median") -> Step:
+    """Fill NULLs of numeric columns with their median or mean, or with zero."""
+    def fill_numbers(df: DataFrame, known: Known) -> tuple[DataFrame, Done]:
+        out, done = fill_numeric(df, strategy, known.missing)
+        return out, [(c, n, f"{v:.2f}") for c, n, v in done]
+    return fill_numbers
+
+
+def texts(strategy: str = "mode") -> Step:
+    """Fill NULLs of text columns with their mode or with the word for unknown."""
+    def fill_texts(df: DataFrame, known: Known) -> tuple[DataFrame, Done]:
+        return fill_categorical(df, strategy, known.missing)
+    return fill_texts
+
+
+def dates(formats: list[str] | None = None) -> Step:
+    """Turn text columns named like dates into timestamps."""
+    def read_dates(df: DataFrame, known: Known) -> tuple[DataFrame, Done]:
+        return parse_dates(df, formats, cols=[*known.dates]), [(c, n, None) for c, n in known.dates.items()]
+    return read_dates
+
+
+def edges() -> Step:
+    """Take white space off both ends of texts."""
+    def strip_edges(df: DataFrame, known: Known) -> tuple[DataFrame, Done]:
+        strings = categorical_cols(df)
+        return strip_whitespace(df, strings), [(c, known.rows, None) for c in strings]
+    return strip_edges
+
+
+def empties() -> Step:
+    """Drop columns without a value; the known counts decide, no row is read for it."""
+    def drop_empties(df: DataFrame, known: Known) -> tuple[DataFrame, Done]:
+        date = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
+        nothing = [c for c in df.columns if (known.dates[c] == 0 if c in date and c in known.dates
+                                             else known.rows == known.missing[c] and not isinstance(df.schema[c].dataType, T.StringType))]
+        # a text column without a value has been filled, unless texts() was left out
+        nothing += [c for c in df.columns if isinstance(df.schema[c].dataType, T.StringType) and known.rows == known.missing[c] and c not in known.dates
+                    and df.select(col(c)).where(col(c).isNotNull()).isEmpty()]
+        return df.drop(*nothing), [(c, known.rows, None) for c in df.columns if c in nothing]
+    return drop_empties
+
+
+def standard_steps() -> list[Step]:
+    return [numbers(), texts(), dates(), edges(), empties()]
 
 
-def clean(df: DataFrame, config: CleaningConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run the pipeline; returns (cleaned frame, one-row report frame).
+def clean(df: DataFrame, steps: list[Step] | None = None, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """De-duplicate (unless ``distinct`` is off) and run the steps in order.
 
-    The report's row counts are Spark aggregates over the input and the
-    output (lazy); the action texts come from the per-step decisions.
+    Returns the cleaned frame and a report of one row per fact: (ord, step,
+    column_name, amount, value). Facts are the rows and columns before and
+    after, the duplicate rows taken out, and per step and column the cells or
+    columns it concerned and the value it used. The table is written once to the
+    shared folder after de-duplication; one aggregate over it serves all steps.
     """
-    cfg = config or CleaningConfig()
-    rep = CleaningReport()
+    spark = df.sparkSession
     cur = normalize_nulls(df)
-    dup_col = F.lit(0).cast("long")
-    if cfg.remove_duplicates:
-        cur = drop_duplicates(cur)
-    if cfg.fill_numeric_nulls or cfg.fill_categorical_nulls or cfg.drop_empty_columns:
-        # the decision aggregates below each read `cur`: write it once to the
-        # shared checkpoint folder instead of recomputing input + dedupe shuffle
-        cur = materialize(cur, "clean")
-    # one aggregate: NULL counts of every column, shared by both fill steps
-    nn = cur.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count(col(c)).alias(f"_c{i}") for i, c in enumerate(cur.columns)]).first()
-    missing = {c: nn["_rows"] - nn[f"_c{i}"] for i, c in enumerate(cur.columns)}
-    if cfg.fill_numeric_nulls:
-        cur, filled = fill_numeric(cur, cfg.numeric_fill_strategy, missing)
-        for c, n, v in filled:
-            rep.nulls_filled += n
-            rep.actions.append(f"Filled {n} nulls in '{c}' with {cfg.numeric_fill_strategy} ({v:.2f})")
-    if cfg.fill_categorical_nulls:
-        cur, filled = fill_categorical(cur, cfg.categorical_fill_strategy, missing)
-        for c, n, v in filled:
-            rep.nulls_filled += n
-            rep.actions.append(f"Filled {n} nulls in '{c}' with '{v}'")
-    if cfg.parse_dates:
-        targets = date_text_cols(cur)
-        cur = parse_dates(cur, cfg.date_formats, cols=targets)
-        rep.actions += [f"Parsed '{c}' as datetime" for c in targets]
-    if cfg.strip_whitespace:
-        strings = categorical_cols(cur)
-        if strings:
-            cur = strip_whitespace(cur, strings)
-            rep.actions.append(f"Stripped whitespace from {len(strings)} text columns")
-    if cfg.drop_empty_columns:
-        cur, empty = drop_empty_columns(cur)
-        if empty:
-            rep.columns_dropped = empty
-            rep.actions.append(f"Dropped {len(empty)} empty columns: {', '.join(empty)}")
-    before = df.agg(F.count(F.lit(1)).cast("long").alias("rows_before"))
-    after = cur.agg(F.count(F.lit(1)).cast("long").alias("rows_after"))
-    if cfg.remove_duplicates:
-        dup_col = F.col("rows_before") - F.col("rows_after")
-    report = before.crossJoin(after).select(
-        "rows_before", "rows_after",
-        F.lit(len(df.columns)).cast("long").alias("columns_before"),
-        F.lit(len(cur.columns)).cast("long").alias("columns_after"),
-        F.lit(rep.nulls_filled).cast("long").alias("nulls_filled"),
-        dup_col.alias("duplicates_removed"),
-        F.lit(", ".join(rep.columns_dropped)).alias("columns_dropped"),
-        F.lit("; ".join(rep.actions)).alias("actions"))
-    return cur, report
+    cur = materialize(drop_duplicates(cur) if distinct else cur, "clean")
+    named = date_text_cols(cur)
+    row = cur.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(col(c)).alias(f"_c{i}") for i, c in enumerate(cur.columns)],
+                  *[F.count(parse_timestamp(col(c))).alias(f"_d{i}") for i, c in enumerate(named)]).first()
+    known = Known(row["_rows"], {c: row["_rows"] - row[f"_c{i}"] for i, c in enumerate(cur.columns)}, {c: row[f"_d{i}"] for i, c in enumerate(named)})
+    facts: list[tuple] = []
+    for step in standard_steps() if steps is None else steps:
+        cur, done = step(cur, known)
+        facts += [(step.__name__, c, n, v) for c, n, v in done]
+    facts = [("rows_after", None, known.rows, None), ("columns_before", None, len(df.columns), None), ("columns_after", None, len(cur.columns), None), *facts]
+    kind = "ord int, step string, column_name string, amount long, value string"
+    fixed = spark.createDataFrame([(i + 2, *x) for i, x in enumerate(facts)], kind)
+    before = df.agg(F.count(F.lit(1)).cast("long").alias("n"))  # counted only if the report is read
+    lazy = before.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(name).alias("step"), F.lit(None).cast("string").alias("column_name"), amount.alias("amount"), F.lit(None).cast("string").alias("value"))
+        for i, (name, amount) in enumerate((("rows_before", F.col("n")), ("duplicates", F.col("n") - F.lit(known.rows))))])).alias("x")).select("x.*")
+    return cur, lazy.unionByName(fixed)
 
 
 def narrow_types(df: DataFrame, float_tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:

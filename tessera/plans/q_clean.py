@@ -132,19 +132,19 @@ def cleaning_report(spark, d):
 
 
 oracle("cleaning_report", with_dirty(f""", {_PIPE}
-SELECT CAST((SELECT COUNT(*) FROM sales_dirty) AS BIGINT) AS rows_before,
-       CAST((SELECT COUNT(*) FROM dd) AS BIGINT) AS rows_after,
-       CAST(7 AS BIGINT) AS columns_before, CAST(6 AS BIGINT) AS columns_after,
-       CAST(med.nq + med.nr AS BIGINT) AS nulls_filled,
-       CAST((SELECT COUNT(*) FROM sales_dirty) - (SELECT COUNT(*) FROM dd) AS BIGINT) AS duplicates_removed,
-       'empty_num' AS columns_dropped,
-       concat_ws('; ',
-         printf('Filled %d nulls in ''quantity'' with median (%.2f)', med.nq, med.m),
-         printf('Filled %d nulls in ''region'' with ''%s''', med.nr, md.v),
-         'Parsed ''order_date_text'' as datetime',
-         'Stripped whitespace from 3 text columns',
-         'Dropped 1 empty columns: empty_num') AS actions
-FROM med, md"""))
+SELECT ord, step, column_name, CAST(amount AS BIGINT) AS amount, value FROM (VALUES
+  (0, 'rows_before', NULL, (SELECT COUNT(*) FROM sales_dirty), NULL),
+  (1, 'duplicates', NULL, (SELECT COUNT(*) FROM sales_dirty) - (SELECT COUNT(*) FROM dd), NULL),
+  (2, 'rows_after', NULL, (SELECT COUNT(*) FROM dd), NULL),
+  (3, 'columns_before', NULL, 7, NULL),
+  (4, 'columns_after', NULL, 6, NULL),
+  (5, 'fill_numbers', 'quantity', (SELECT nq FROM med), (SELECT printf('%.2f', m) FROM med)),
+  (6, 'fill_texts', 'region', (SELECT nr FROM med), (SELECT v FROM md)),
+  (7, 'read_dates', 'order_date_text', (SELECT COUNT(TRY_STRPTIME(order_date_text, '%Y-%m-%d')) FROM dd), NULL),
+  (8, 'strip_edges', 'region', (SELECT COUNT(*) FROM dd), NULL),
+  (9, 'strip_edges', 'amount_text', (SELECT COUNT(*) FROM dd), NULL),
+  (10, 'strip_edges', 'constant_text', (SELECT COUNT(*) FROM dd), NULL),
+  (11, 'drop_empties', 'empty_num', (SELECT COUNT(*) FROM dd), NULL)) AS r(ord, step, column_name, amount, value)"""))
 
 
 @register("narrow_types")
