@@ -2,9 +2,8 @@
 shared checkpoint / scratch folders.
 
 On a cluster the checkpoint folder comes from ``spark.checkpoint.dir`` (a
-shared file system path set by the cluster operator). We only fall back to a
-fresh local temporary folder when the setting is absent, which is the case in
-tests and local benchmarks.
+shared file system path set by the cluster operator). A local session without
+one, as in tests and benchmarks, gets a fresh temporary folder.
 """
 
 from __future__ import annotations
@@ -40,18 +39,38 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset."""
+    """Return the shared checkpoint folder. Only a local session, all of whose
+    tasks run on this machine, may have a temporary one; a cluster must name a
+    folder that its executors share."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def _status(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for any kind of URI."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _status(spark, path)
+    return bool(fs.exists(target))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, target = _status(spark, path)
+    return bool(fs.getFileStatus(target).isDirectory())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables.
 

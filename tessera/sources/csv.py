@@ -9,11 +9,11 @@ one distributed pass instead of opening each file on the driver.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import is_folder, path_exists
+
 # --- Fixed values: supported extensions, candidate delimiters ---------------
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
 DELIMITERS = [",", "\t", ";", "|"]
@@ -58,30 +58,49 @@ def clean_header(names: list[str]) -> list[str]:
     return [n.replace(_BOM, "").strip() for n in names]
 
 
+def _read_alike(spark: SparkSession, paths: str | list[str], sep: str, encoding: str, infer_schema: bool) -> DataFrame:
+    df = (spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
+          .option("encoding", encoding).option("recursiveFileLookup", "true").csv(paths))
+    if not df.columns:
+        raise ValueError(f"empty CSV input: {paths}")
+    return df.toDF(*clean_header(df.columns))
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
              infer_schema: bool = True) -> DataFrame:
     """CSV/TSV with a header row; header names trimmed and BOM-stripped.
-    Delimiter and encoding are sniffed (one distributed pass) when not given.
-    Raises FileNotFoundError / ValueError for a missing path, an unsupported
-    extension or an empty input."""
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if ":" not in path.split("/")[0] or path.startswith("file:"):
-        if not os.path.exists(local):
-            raise FileNotFoundError(path)
-        if os.path.isfile(local) and not local.lower().endswith(CSV_EXTENSIONS):
-            raise ValueError(f"unsupported file type: {path}")
-    if sep is None:
-        ds = [r["delimiter"] for r in csv_delimiters(spark, path).groupBy("delimiter").count()
-              .orderBy(F.col("count").desc(), "delimiter").limit(1).collect()]
-        sep = ds[0] if ds else DEFAULT_DELIMITER
-    if encoding is None:
-        bad = csv_encodings(spark, path).where(F.col("encoding") != "utf-8").limit(1).count()
-        encoding = "ISO-8859-1" if bad else "UTF-8"
-    df = (spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
-          .option("encoding", encoding).option("recursiveFileLookup", "true").csv(path))
-    if not df.columns:
+
+    Delimiter and encoding are sniffed per file (one distributed pass) when not
+    given; files that share both are read together and the groups are united by
+    column name (a column that a group lacks is NULL there; types that differ
+    between groups become text). Raises FileNotFoundError / ValueError for a
+    missing path, an unsupported extension or an empty input."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    if not is_folder(spark, path) and not path.lower().endswith(CSV_EXTENSIONS):
+        raise ValueError(f"unsupported file type: {path}")
+    if sep is not None and encoding is not None:
+        return _read_alike(spark, path, sep, encoding, infer_schema)
+    sniffed = csv_encodings(spark, path).join(csv_delimiters(spark, path), "file_path", "left").select(
+        "file_path", F.lit(sep).alias("delimiter") if sep else F.coalesce("delimiter", F.lit(DEFAULT_DELIMITER)).alias("delimiter"),
+        F.lit(encoding).alias("encoding") if encoding else "encoding")
+    kinds = sniffed.groupBy("delimiter", "encoding").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("delimiter", "encoding").collect()
+    if not kinds:
         raise ValueError(f"empty CSV input: {path}")
-    return df.toDF(*clean_header(df.columns))
+    enc = lambda e: {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}.get(e, e)
+    if len(kinds) == 1:
+        return _read_alike(spark, path, kinds[0]["delimiter"], enc(kinds[0]["encoding"]), infer_schema)
+    parts = [_read_alike(spark, k["files"], k["delimiter"], enc(k["encoding"]), infer_schema) for k in kinds]
+    types: dict[str, set] = {}
+    for p in parts:
+        for name, kind in p.dtypes:
+            types.setdefault(name, set()).add(kind)
+    mixed = {c for c, kinds_ in types.items() if len(kinds_) > 1}
+    out = None
+    for p in parts:
+        p = p.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in p.columns])
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> str:

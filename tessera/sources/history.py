@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.longform import top_k_per_group
+from tessera.session import path_exists
 
 # --- Fixed values: chat roles -------------------------------------------------
 CHAT_ROLES = ["user", "assistant", "system"]
@@ -24,30 +25,45 @@ def _path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
-def append(df: DataFrame, base: str, table: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(_path(base, table))
+#: Folders that the sessions of a table are hashed into, however many sessions there are.
+SLOTS = 64
 
 
-def read(spark: SparkSession, base: str, table: str) -> DataFrame:
+def slot(session_id):
+    return F.pmod(F.xxhash64(session_id), F.lit(SLOTS)).cast("int")
+
+
+def append(df: DataFrame, base: str, table: str) -> None:
+    """Append rows; those of a session go to the folder its id hashes to, the id itself stays a text column."""
+    if "session_id" in df.columns:
+        sessions = df.withColumn("session_id", F.col("session_id").cast("string"))
+        sessions.withColumn("slot", slot(F.col("session_id"))).write.mode("append").partitionBy("slot").parquet(_path(base, table))
+    else:
+        df.write.mode("append").parquet(_path(base, table))
+
+
+def exists(spark: SparkSession, base: str, table: str) -> bool:
+    return path_exists(spark, _path(base, table))
+
+
+def read(spark: SparkSession, base: str, table: str, session: str | None = None) -> DataFrame:
+    """A table, or one session of it, read from its one folder."""
     df = spark.read.parquet(_path(base, table))
-    if "session_id" in df.columns:  # partition values come back type-inferred
-        df = df.withColumn("session_id", F.col("session_id").cast("string"))
-    return df
+    if session is not None:
+        df = df.where((F.col("slot") == slot(F.lit(session))) & (F.col("session_id") == session))
+    return df.drop("slot")
 
 
 def append_history(df: DataFrame, base: str) -> None:
     """Rows: session_id, created_at, analysis_type, query, result (JSON text)."""
-    append(df, base, "analysis_history", ["session_id"])
+    append(df, base, "analysis_history")
 
 
 def history(spark: SparkSession, base: str, session: str | None = None, limit: int = 50) -> DataFrame:
     """Newest first; one session, or the newest ``limit`` of every session."""
-    h = read(spark, base, "analysis_history")
+    h = read(spark, base, "analysis_history", session)
     if session is not None:
-        return h.where(F.col("session_id") == session).orderBy(F.col("created_at").desc()).limit(int(limit))
+        return h.orderBy(F.col("created_at").desc()).limit(int(limit))
     return top_k_per_group(h, ["session_id"], [F.col("created_at").desc(), F.col("entry_id")], int(limit),
                            salt_on=F.xxhash64("entry_id")).drop("rank")
 
@@ -57,14 +73,14 @@ def append_chat(df: DataFrame, base: str) -> None:
     bad = df.where(~F.col("role").isin(*CHAT_ROLES)).limit(1).count()
     if bad:
         raise ValueError(f"role must be one of {CHAT_ROLES}")
-    append(df, base, "chat_history", ["session_id"])
+    append(df, base, "chat_history")
 
 
 def chat(spark: SparkSession, base: str, session: str | None = None, limit: int = 100) -> DataFrame:
     """Oldest first; one session, or the first ``limit`` of every session."""
-    c = read(spark, base, "chat_history")
+    c = read(spark, base, "chat_history", session)
     if session is not None:
-        return c.where(F.col("session_id") == session).orderBy("created_at").limit(int(limit))
+        return c.orderBy("created_at").limit(int(limit))
     return top_k_per_group(c, ["session_id"], [F.col("created_at"), F.col("entry_id")], int(limit),
                            salt_on=F.xxhash64("entry_id")).drop("rank")
 
@@ -73,7 +89,7 @@ def clear_chat(spark: SparkSession, base: str, session: str, new_base: str) -> s
     """Copy-on-write delete: the chat table without ``session`` is written to
     ``new_base`` (readers switch to it); returns the new base."""
     kept = read(spark, base, "chat_history").where(F.col("session_id") != session)
-    kept.write.mode("overwrite").partitionBy("session_id").parquet(_path(new_base, "chat_history"))
+    append(kept, new_base, "chat_history")
     return new_base
 
 
@@ -82,9 +98,9 @@ def register_models(spark: SparkSession, base: str, models: DataFrame) -> DataFr
     current max(version) for its name + its order within the batch; appended
     and returned."""
     from pyspark.sql import Window
-    try:
+    if exists(spark, base, "model_registry"):
         cur = read(spark, base, "model_registry").groupBy("name").agg(F.max("version").alias("_v"))
-    except Exception:  # noqa: BLE001 - first registration: no table yet
+    else:  # first registration
         cur = spark.createDataFrame([], "name string, _v long")
     w = Window.partitionBy("name").orderBy("created_at", "model_type")
     new = (models.join(cur, "name", "left")
@@ -112,9 +128,9 @@ def history_stats(spark: SparkSession, base: str) -> DataFrame:
     """Row counts of every history table present."""
     out = None
     for t in ("analysis_history", "chat_history", "model_registry", "data_profiles"):
-        try:
+        if exists(spark, base, t):
             part = read(spark, base, t).agg(F.count(F.lit(1)).cast("long").alias("rows"))
-        except Exception:  # noqa: BLE001 - table not written yet
+        else:
             part = spark.createDataFrame([(0,)], "rows long")
         part = part.select(F.lit(t).alias("table_name"), "rows")
         out = part if out is None else out.unionByName(part)
