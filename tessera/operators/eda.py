@@ -15,10 +15,11 @@ import numpy as np
 
 from tessera.functions.colstats import (comoments, corr_matrix_np, group_quantiles, grouped_positions, long_counts,
                                         power_moments, quantile_row)
-from tessera.functions.exprs import col, fixed, sample_kurt, sample_skew, spread, sql_round, stack_rows, strength
+from tessera.functions.exprs import col, fixed, sample_kurt, sample_skew, sql_round, stack_rows, strength
 from tessera.functions.longform import top_k_per_group, value_counts_long
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import categorical_cols, numeric_cols
+from tessera.session import stage_input
 
 QUARTILES = [0.25, 0.75]
 
@@ -42,53 +43,46 @@ def iqr_bounds_wide(d: DataFrame, n: int, k: float = 1.5) -> DataFrame:
 def univariate(df: DataFrame, cols: list[str] | None = None, digits: int = 4) -> DataFrame:
     """Per numeric column: count, mean, median, mode, std, variance, skewness,
     kurtosis (bias-corrected), min, max, Q1, Q3, IQR and the IQR outlier
-    count; NULLs dropped, an empty column reports zeros.
+    count; NULLs dropped, an empty column reports zeros, and what too few values
+    leave undefined (std below 2, skewness below 3, kurtosis below 4) is NULL.
 
     Eager report operator (k result rows): moments from shifted power sums
     (code-generated plain sums); quartiles and mode from ONE aggregate over
     the long-form value positions; outliers from a second pass over the same
-    (cached) positions. A small, narrowly split input is spread over the
-    cores and cached for the passes; a large input is re-scanned instead
-    (columnar, pruned to these columns)."""
+    (written) positions. A derived input is written once for the passes, a
+    plain table is read again (columnar, pruned to these columns)."""
     cols = cols or numeric_cols(df)
     k = len(cols)
-    d, small = spread(_dbl(df, cols), with_flag=True)
-    if small:
-        d = d.cache()
-    try:
-        mom = power_moments(d, k)
-        pos = grouped_positions(long_counts(d, [f"c{i}" for i in range(k)])).persist()
-        n = pos.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
-        j = pos.join(F.broadcast(n), "column_name")
-        aggs = [F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"))).getField("v").alias("mode")]
-        for i, p_ in enumerate([0.25, 0.5, 0.75]):
-            h = (F.col("_n") - 1) * p_
-            lo, hi = F.floor(h), F.ceil(h)
-            cov = lambda x: (F.col("before") <= x) & (x < F.col("before") + F.col("cnt"))
-            aggs += [F.max(F.when(cov(lo), F.col("value"))).alias(f"_lo{i}"),
-                     F.max(F.when(cov(hi), F.col("value"))).alias(f"_hi{i}"), F.first(h - lo).alias(f"_f{i}")]
-        qrows = {r["column_name"]: r for r in j.groupBy("column_name").agg(*aggs).collect()}  # k rows
-        qv = {}
-        for c, r in qrows.items():
-            qv[c] = [r[f"_lo{i}"] + r[f"_f{i}"] * (r[f"_hi{i}"] - r[f"_lo{i}"]) for i in range(3)]
-        bounds = [(c, v[0] - 1.5 * (v[2] - v[0]), v[2] + 1.5 * (v[2] - v[0])) for c, v in qv.items()]
-        bdf = df.sparkSession.createDataFrame(bounds, "column_name string, _lo double, _hi double")
-        outl = {r["column_name"]: r["o"] for r in pos.join(F.broadcast(bdf), "column_name").groupBy("column_name").agg(
-            F.sum(F.when((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")), F.col("cnt"))
-                  .otherwise(0)).alias("o")).collect()}
-        pos.unpersist()
-    finally:
-        if small:
-            d.unpersist()
-    rnd = lambda v: sql_round(float(v), digits) if v is not None else 0.0
+    d = stage_input(_dbl(df, cols), "univariate")
+    mom = power_moments(d, k)
+    pos = grouped_positions(long_counts(d, [f"c{i}" for i in range(k)]))
+    n = pos.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
+    j = pos.join(F.broadcast(n), "column_name")
+    aggs = [F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"))).getField("v").alias("mode")]
+    for i, p_ in enumerate([0.25, 0.5, 0.75]):
+        h = (F.col("_n") - 1) * p_
+        lo, hi = F.floor(h), F.ceil(h)
+        cov = lambda x: (F.col("before") <= x) & (x < F.col("before") + F.col("cnt"))
+        aggs += [F.max(F.when(cov(lo), F.col("value"))).alias(f"_lo{i}"),
+                 F.max(F.when(cov(hi), F.col("value"))).alias(f"_hi{i}"), F.first(h - lo).alias(f"_f{i}")]
+    qrows = {r["column_name"]: r for r in j.groupBy("column_name").agg(*aggs).collect()}  # k rows
+    qv = {}
+    for c, r in qrows.items():
+        qv[c] = [r[f"_lo{i}"] + r[f"_f{i}"] * (r[f"_hi{i}"] - r[f"_lo{i}"]) for i in range(3)]
+    bounds = [(c, v[0] - 1.5 * (v[2] - v[0]), v[2] + 1.5 * (v[2] - v[0])) for c, v in qv.items()]
+    bdf = df.sparkSession.createDataFrame(bounds, "column_name string, _lo double, _hi double")
+    outl = {r["column_name"]: r["o"] for r in pos.join(F.broadcast(bdf), "column_name").groupBy("column_name").agg(
+        F.sum(F.when((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi")), F.col("cnt"))
+              .otherwise(0)).alias("o")).collect()}
+    rnd = lambda v, n: sql_round(float(v), digits) if v is not None else (None if n else 0.0)
     rows = []
     for i, c in enumerate(cols):
         m, key = mom[i], f"c{i}"
         q = qv.get(key, [None, None, None])
         iqr = (q[2] - q[0]) if q[0] is not None else None
-        rows.append((c, int(m["n"] or 0), rnd(m["mean"]), rnd(q[1]), rnd(m["std"]), rnd(m["var"]), rnd(m["skew"]),
-                     rnd(m["kurt"]), rnd(m["min"]), rnd(m["max"]), rnd(q[0]), rnd(q[2]), rnd(iqr),
-                     int(outl.get(key) or 0), qrows[key]["mode"] if key in qrows else None))
+        r = lambda v, n=int(m["n"] or 0): rnd(v, n)
+        rows.append((c, int(m["n"] or 0), r(m["mean"]), r(q[1]), r(m["std"]), r(m["var"]), r(m["skew"]), r(m["kurt"]), r(m["min"]), r(m["max"]),
+                     r(q[0]), r(q[2]), r(iqr), int(outl.get(key) or 0), qrows[key]["mode"] if key in qrows else None))
     schema = ("column_name string, count long, mean double, median double, std double, variance double, "
               "skewness double, kurtosis double, min double, max double, q1 double, q3 double, iqr double, "
               "outlier_count long, mode double")
@@ -104,7 +98,7 @@ def corr_long(df: DataFrame, cols: list[str] | None = None, digits: int = 4) ->
     driver, whatever the row count."""
     cols = cols or numeric_cols(df)
     k = len(cols)
-    d = spread(_dbl(df, cols))
+    d = _dbl(df, cols)
     st = d.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)],
                *[(F.min(f"c{i}") == F.max(f"c{i}")).alias(f"k{i}") for i in range(k)]).first()
     shift = [float(st[f"m{i}"]) if st[f"m{i}"] is not None else 0.0 for i in range(k)]
@@ -133,8 +127,8 @@ def top_correlations(df: DataFrame, n: int = 10, cols: list[str] | None = None)
             .select("col1", "col2", "correlation", strength(F.col("correlation")).alias("strength")))
 
 
-def categorical_summary(df: DataFrame, max_cols: int = 10, k: int = 5) -> DataFrame:
-    """For the first ``max_cols`` text columns: distinct count, non-NULL count
+def categorical_summary(df: DataFrame, max_cols: int | None = None, k: int = 5) -> DataFrame:
+    """For all text columns, or the first ``max_cols``: distinct count, non-NULL count
     and the top-k values with counts (rank 1 = top value). One shuffle of
     the long form for all columns."""
     cols = categorical_cols(df)[:max_cols]
@@ -235,10 +229,11 @@ def anomaly_summary(flagged: DataFrame, method: str) -> DataFrame:
                        .alias("anomaly_pct"))
 
 
-def anomaly_details(flagged: DataFrame, n: int = 50, order_by: list[str] | None = None) -> DataFrame:
-    """The first n flagged rows in an explicit key order."""
+def anomaly_details(flagged: DataFrame, n: int | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """The flagged rows in an explicit key order; all of them, or the first n."""
     keys = order_by or [c for c in flagged.columns if c != "is_anomaly"]
-    return flagged.where("is_anomaly").drop("is_anomaly").orderBy(*[col(k) for k in keys]).limit(int(n))
+    out = flagged.where("is_anomaly").drop("is_anomaly").orderBy(*[col(k) for k in keys])
+    return out if n is None else out.limit(int(n))
 
 
 def outlier_summary(df: DataFrame, c: str, method: str = "iqr") -> DataFrame:
@@ -255,18 +250,19 @@ def outlier_summary(df: DataFrame, c: str, method: str = "iqr") -> DataFrame:
         "lower", "upper")
 
 
-def outlier_rows(df: DataFrame, c: str, key: list[str], method: str = "iqr", n: int = 100) -> DataFrame:
-    """First n outlying rows (key, value) by key."""
+def outlier_rows(df: DataFrame, c: str, key: list[str], method: str = "iqr", n: int | None = None) -> DataFrame:
+    """The outlying rows (key, value) by key; all of them, or the first n."""
     sub = df.select(*[col(k) for k in key], col(c))
     f = zscore_flags(sub, [c]) if method == "zscore" else iqr_flags(sub, [c])
-    return f.where(F.col("is_anomaly") & col(c).isNotNull()).drop("is_anomaly") \
-        .orderBy(*[col(k) for k in key], col(c)).limit(int(n))
+    out = f.where(F.col("is_anomaly") & col(c).isNotNull()).drop("is_anomaly").orderBy(*[col(k) for k in key], col(c))
+    return out if n is None else out.limit(int(n))
 
 
 def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over [min, max]: (bin, lower, upper, count); the
     max falls in the last bin. A constant column is one bin."""
-    bins = max(10, min(int(bins), 100))
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
     x = _dbl(df, [c]).where(F.col("c0").isNotNull())
     r = x.agg(F.min("c0").alias("_lo"), F.max("c0").alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / bins

@@ -16,16 +16,23 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import col, month_str
 from tessera.functions.nulls import normalize_nulls
+from tessera.operators.clean import time_col
+
+
+def _check_periods(periods: int) -> None:
+    if int(periods) != periods or periods < 1:
+        raise ValueError("periods must be a whole number of at least 1")
 
 
 def monthly_totals(df: DataFrame, date_col: str, value_col: str,
                    by: list[str] | None = None) -> DataFrame:
     """Sum of ``value_col`` per present calendar month (gaps are not filled).
 
-    Rows missing the date or the value are skipped. Columns: *by, period, value.
+    Rows missing the date or the value are skipped, and so are dates given as
+    text that do not parse. Columns: *by, period, value.
     """
     by = by or []
-    d = normalize_nulls(df.select(*[col(b) for b in by], col(date_col).alias("_d"),
+    d = normalize_nulls(df.select(*[col(b) for b in by], time_col(df, date_col).alias("_d"),
                                   col(value_col).cast("double").alias("_v")))
     d = d.where(F.col("_d").isNotNull() & F.col("_v").isNotNull())
     for b in by:  # pandas groupby drops NULL keys
@@ -71,7 +78,7 @@ def forecast_linear(df: DataFrame, date_col: str, value_col: str, periods: int =
     """OLS trend on the month index; ``periods`` steps ahead labelled 'Month +i'
     with a ±1.96·σ band, σ the population std of the in-sample residuals."""
     by = by or []
-    periods = max(1, min(int(periods), 12))
+    _check_periods(periods)
     m = _metrics(_linear_fit(monthly_indexed(df, date_col, value_col, by), by), by)
     steps = F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step")
     f = m.select(*by, "_a", "_b", "_last", "_resid_std", steps)
@@ -129,7 +136,7 @@ def forecast_ma(df: DataFrame, date_col: str, value_col: str, periods: int = 3,
     """Flat forecast = mean of the last ``min(window, n)`` months, band ±1.96·s
     with s the sample std (ddof 1) of that tail."""
     by = by or []
-    periods = max(1, min(int(periods), 12))
+    _check_periods(periods)
     ix = monthly_indexed(df, date_col, value_col, by)
     w_desc = Window.partitionBy(*by).orderBy(F.col("idx").desc())
     tail = ix.withColumn("_rk", F.row_number().over(w_desc)).where(F.col("_rk") <= window)
@@ -178,7 +185,7 @@ def forecast_rf(df: DataFrame, date_col: str, value_col: str, periods: int = 3,
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    periods = max(1, min(int(periods), 12))
+    _check_periods(periods)
     ix = monthly_indexed(df, date_col, value_col).withColumn("x", F.col("idx").cast("double"))
     va = VectorAssembler(inputCols=["x"], outputCol="features")
     model = RandomForestRegressor(numTrees=100, seed=seed, maxDepth=30, labelCol="value",

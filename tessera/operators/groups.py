@@ -49,16 +49,17 @@ def compare(df: DataFrame, cat: str, num: str) -> DataFrame:
 
 
 def _top(df: DataFrame, cat: str, num: str, n: int, desc: bool) -> DataFrame:
-    n = max(1, min(int(n), 20))
+    if n < 1:
+        raise ValueError("n must be at least 1")
     sums = _grouped(df, cat, num).groupBy(col(cat)).agg(
         F.coalesce(F.sum("_v"), F.lit(0.0)).alias("value"))
     order = F.col("value").desc() if desc else F.col("value").asc()
-    ranked = sums.orderBy(order, col(cat)).limit(n)
+    ranked = sums.orderBy(order, col(cat)).limit(int(n))
     return ranked.select(col(cat), F.round("value", 2).alias("value"))
 
 
 def top_n(df: DataFrame, cat: str, num: str, n: int = 5) -> DataFrame:
-    """Largest n category sums (n capped at 20); ties go to the smaller key."""
+    """Largest n category sums; ties go to the smaller key."""
     return _top(df, cat, num, n, True)
 
 
@@ -66,8 +67,8 @@ def bottom_n(df: DataFrame, cat: str, num: str, n: int = 5) -> DataFrame:
     return _top(df, cat, num, n, False)
 
 
-def top_rows(df: DataFrame, num: str, n: int = 10, max_cols: int = 6) -> DataFrame:
-    """Whole rows with the largest ``num``, first ``max_cols`` columns."""
+def top_rows(df: DataFrame, num: str, n: int = 10, max_cols: int | None = None) -> DataFrame:
+    """Whole rows with the largest ``num``; all columns, or the first ``max_cols``."""
     keep = df.columns[:max_cols]
     if num not in keep:
         keep = keep + [num]
@@ -164,11 +165,20 @@ def categorical_answer(df: DataFrame, c: str, n: int = 5) -> DataFrame:
         .orderBy(F.col("count").desc(), F.col("value"))
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, color: str | None = None,
-                   n: int = 2000, seed: int = 42) -> DataFrame:
-    """A deterministic point set for a scatter chart: the ``n`` rows with the
-    smallest seeded hash of all their columns (stable under repartition)."""
-    cols = [x, y] + ([color] if color else [])
-    d = normalize_nulls(df.select(*[col(c) for c in cols])).dropna(subset=[x, y])
-    h = F.xxhash64(F.lit(seed), *[col(c) for c in cols])
-    return d.withColumn("_h", h).orderBy("_h", *[col(c) for c in cols]).limit(int(n)).drop("_h")
+def scatter_bins(df: DataFrame, x: str, y: str, color: str | None = None, bins: int = 50) -> DataFrame:
+    """Data of a scatter chart from every row: (x_bin, y_bin, *color, count) on
+    an equal-width grid over the ranges of x and y, the maximum in the last bin;
+    a constant axis is one bin. Rows without x or y are left out."""
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
+    colors = [color] if color else []
+    d = normalize_nulls(df.select(col(x).cast("double").alias("_x"), col(y).cast("double").alias("_y"), *[col(c) for c in colors]))
+    d = d.dropna(subset=["_x", "_y"])
+    r = d.agg(*[f(c).alias(f"{c}{n}") for c in ("_x", "_y") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def place(c: str):
+        share = F.try_divide(F.col(c) - F.col(f"{c}lo"), F.col(f"{c}hi") - F.col(f"{c}lo"))
+        return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("long")
+
+    return (d.crossJoin(F.broadcast(r)).groupBy(place("_x").alias("x_bin"), place("_y").alias("y_bin"), *[col(c) for c in colors])
+            .agg(F.count(F.lit(1)).cast("long").alias("count")))

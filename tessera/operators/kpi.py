@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.exprs import col, fixed, month_str, signed_fixed, thousands
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import find_col
+from tessera.operators.clean import time_col
 from tessera.session import stage_input
 
 # --- Fixed values: KPI display currency sign ---------------------------------
@@ -147,7 +148,7 @@ def kpi_top_performers(df: DataFrame) -> DataFrame:
 
 
 def monthly_sums(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
-    d = normalize_nulls(df.select(col(date_col).alias("_d"), _num(df, value_col).alias("_v")))
+    d = normalize_nulls(df.select(time_col(df, date_col).alias("_d"), _num(df, value_col).alias("_v")))
     return (d.where(F.col("_d").isNotNull()).groupBy(month_str(F.col("_d")).alias("period"))
             .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("value")))
 

@@ -18,14 +18,14 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.exprs import col
 from tessera.functions.nulls import normalize_nulls
-from tessera.functions.ranks import value_ranks
-from tessera.session import materialize
+from tessera.functions.ranks import running_before
+from tessera.session import materialize, stage_input
 
 # --- Fixed values: the analysed application's split and seed ----------------
 TEST_SIZE = 0.2
@@ -237,33 +237,26 @@ def train_classification(df: DataFrame, target: str, features: list[str], model:
 def chrono_split(df: DataFrame, ts: str, test_frac: float = TEST_SIZE) -> DataFrame:
     """Adds ``is_test``: the last ceil(test_frac·n) rows in time order.
 
-    Positions come from the distributed global rank of the timestamp; rows
-    sharing the boundary timestamp are ordered by a hash of the whole row
-    (ranked the same distributed way), so no step gathers the data.
+    Rows are ordered by (time, all columns); rows without a time come first and
+    are kept. Equal rows are one counted entry of the distributed order, and only
+    one entry can straddle the border: its copies are made anew, so many for
+    training and the rest for testing. Every other row is compared with it.
     """
-    micros = F.unix_micros(col(ts).cast("timestamp")).cast("double")
-    d = df.withColumn("_t", micros)
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
-    r = value_ranks(d.select(F.col("_t").alias("v")))
-    k = F.col("_n") - F.ceil(F.col("_n") * test_frac)  # train size
-    j = d.join(r.select(F.col("v").alias("_t"), "rank_min", "cnt"), "_t").crossJoin(F.broadcast(n))
-    first_test = k + 1
-    whole_test = F.col("rank_min") >= first_test
-    whole_train = F.col("rank_min") + F.col("cnt") - 1 < first_test
-    j = j.withColumn("_h", F.xxhash64(*[col(c) for c in df.columns]).cast("double"))
-    boundary = j.where(~whole_test & ~whole_train)
-    hr = value_ranks(boundary.select(F.col("_h").alias("v"))).select(F.col("v").alias("_h"),
-                                                                     F.col("rank_min").alias("_hr"))
-    b = boundary.join(hr, "_h").withColumn("is_test", F.col("rank_min") + F.col("_hr") - 1 >= first_test)
-    rest = j.where(whole_test | whole_train).withColumn("is_test", whole_test)
-    keep = [col(c) for c in df.columns] + [F.col("is_test")]
-    return rest.select(*keep).unionByName(b.select(*keep))
-
-
-def sequence_split(df: DataFrame, order_col: str, test_frac: float = TEST_SIZE) -> DataFrame:
-    """``is_test`` for the last ceil(test_frac·n) rows of a small, already
-    aggregated series (e.g. months) ordered by ``order_col``."""
-    w = Window.orderBy(col(order_col))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    x = df.crossJoin(F.broadcast(n)).withColumn("_rn", F.row_number().over(w))
-    return x.withColumn("is_test", F.col("_rn") > F.col("_n") - F.ceil(F.col("_n") * test_frac)).drop("_rn", "_n")
+    keys = [F.unix_micros(col(ts).cast("timestamp")).alias("_t"), *[col(c) for c in df.columns]]
+    d = stage_input(df, "chrono").withColumn("_key", F.struct(*keys))
+    counts = d.groupBy("_key").agg(F.count(F.lit(1)).alias("_cnt"))
+    n = counts.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("_n"))
+    train = (F.col("_n") - F.ceil(F.col("_n") * test_frac)).cast("long")
+    placed = running_before(counts, "_key", "_cnt").crossJoin(F.broadcast(n))
+    # the entry that holds the first test row, and how many of its copies still train
+    edge = materialize(placed.where((F.col("before") <= train) & (train < F.col("before") + F.col("_cnt"))).select(
+        F.col("_key").alias("_edge"), F.col("_cnt"), (train - F.col("before")).alias("_train")), "chrono-edge")
+    border = edge.first()
+    names = [col(c) for c in df.columns]
+    if border is None:  # no rows, or none to test
+        return df.withColumn("is_test", F.lit(False))
+    one = F.broadcast(edge.select("_edge"))
+    rest = d.crossJoin(one).where(F.col("_key") != F.col("_edge")).select(*names, (F.col("_key") > F.col("_edge")).alias("is_test"))
+    copies = df.sparkSession.range(border["_cnt"]).crossJoin(F.broadcast(edge))
+    same = copies.select(*[F.col(f"_edge.`{c}`").alias(c) for c in df.columns], (F.col("id") >= F.col("_train")).alias("is_test"))
+    return rest.unionByName(same)

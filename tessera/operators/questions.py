@@ -129,8 +129,8 @@ def overview(df: DataFrame) -> DataFrame:
         "missing_values", "duplicate_rows")
 
 
-def overview_numeric(df: DataFrame, max_cols: int = 5) -> DataFrame:
-    """sum / mean / min / max (2 dp) of the first ``max_cols`` numeric columns."""
+def overview_numeric(df: DataFrame, max_cols: int | None = None) -> DataFrame:
+    """sum / mean / min / max (2 dp) of all numeric columns, or the first ``max_cols``."""
     from tessera.functions.exprs import stack_rows
     nums = numeric_cols(df)[:max_cols]
     d = normalize_nulls(df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(nums)]))
@@ -151,7 +151,7 @@ def suggested_bar_data(df: DataFrame, n: int = 8) -> DataFrame:
     cats, nums = categorical_cols(df), numeric_cols(df)
     if not (cats and nums):
         return df.sparkSession.createDataFrame([], "category string, value double")
-    t = groups._top(df, cats[0], nums[0], n, True) if n <= 20 else groups.share_of_total(df, cats[0], nums[0], n)
+    t = groups.top_n(df, cats[0], nums[0], n)
     return t.select(col(cats[0]).cast("string").alias("category"), "value")
 
 
@@ -214,12 +214,12 @@ def dataset_context(df: DataFrame, k: int = 5, sample_rows: int = 3) -> DataFram
         F.struct(F.lit("shape").alias("section"), F.lit("rows").alias("name"), F.col("rows").cast("string").alias("value")),
         F.struct(F.lit("shape").alias("section"), F.lit("columns").alias("name"),
                  F.col("columns").cast("string").alias("value")))).alias("s")).select("s.*")
-    nums = overview_numeric(df, 10).select(
+    nums = overview_numeric(df).select(
         F.lit("numeric").alias("section"), "column_name",
         F.format_string("sum=%s, mean=%s, min=%s, max=%s", F.col("total").cast("string"),
                         F.col("mean").cast("string"), F.col("min").cast("string"),
                         F.col("max").cast("string"))).toDF("section", "name", "value")
-    cats = categorical_cols(df)[:10]
+    cats = categorical_cols(df)
     if cats:
         tops = profile.top_values_text(df, cats, k).select(F.lit("top_values").alias("section"),
                                                             F.col("column_name").alias("name"),
@@ -247,7 +247,7 @@ def ask(df: DataFrame, question: str) -> DataFrame:
     cat = row["cat"] or (cats[0] if cats else None)
     intent = row["intent"]
     if intent == "anomalies":
-        return eda.iqr_bounds(df, nums[:6])
+        return eda.iqr_bounds(df, nums)
     if intent in ("top", "bottom") and num and cat:
         return (groups.top_n if intent == "top" else groups.bottom_n)(df, cat, num, row["n"])
     if intent == "total" and num:

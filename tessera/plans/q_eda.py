@@ -158,12 +158,12 @@ SELECT 'IQR' AS method, CAST(COUNT(*) FILTER (WHERE {_IQR_FLAG}) AS BIGINT) AS a
 @register("iqr_details")
 def iqr_details(spark, d):
     f = eda.iqr_flags(table(spark, d, "events").select(*EV), FEATURES)
-    return eda.anomaly_details(f, 50, order_by=EV)
+    return eda.anomaly_details(f, order_by=EV)
 
 
 oracle("iqr_details", f"""WITH q AS (SELECT {_iqr_cte('events', FEATURES)} FROM events)
 SELECT event_id, user_id, value FROM events, q WHERE {_IQR_FLAG}
-ORDER BY event_id, user_id, value LIMIT 50""")
+ORDER BY event_id, user_id, value""")
 
 _ZM = ", ".join(f"AVG({c}) AS m{i}, STDDEV_POP({c}) AS s{i}, STDDEV_SAMP({c}) AS ss{i}" for i, c in enumerate(FEATURES))
 _Z_FLAG = " OR ".join(f"COALESCE(s{i} > 0 AND ABS({c} - m{i}) / s{i} > 3, FALSE)" for i, c in enumerate(FEATURES))
@@ -215,7 +215,7 @@ oracle("outlier_rows", """
 WITH q AS (SELECT QUANTILE_CONT(value, 0.25) AS a, QUANTILE_CONT(value, 0.75) AS b FROM events)
 SELECT event_id, value FROM events, q
 WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)
-ORDER BY event_id, value LIMIT 100""")
+ORDER BY event_id, value""")
 
 
 @register("outlier_summary_z")

@@ -197,6 +197,25 @@ SELECT s."unique", s.mode, CAST(value AS VARCHAR) AS value, CAST(count AS BIGINT
 FROM (SELECT * FROM c ORDER BY count DESC, value LIMIT 5), s""")
 
 
-@register("scatter_sample")
-def scatter_sample(spark, d):
-    return g.scatter_sample(table(spark, d, "part"), "p_size", "p_retailprice", "p_brand", n=500)
+@register("scatter_bins")
+def scatter_bins(spark, d):
+    return g.scatter_bins(table(spark, d, "part"), "p_size", "p_retailprice", "p_brand", bins=40)
+
+
+oracle("scatter_bins", """
+WITH r AS (SELECT MIN(p_size)::DOUBLE AS xl, MAX(p_size)::DOUBLE AS xh, MIN(p_retailprice) AS yl, MAX(p_retailprice) AS yh
+           FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL)
+SELECT CAST(LEAST(FLOOR(COALESCE((p_size - xl) / NULLIF(xh - xl, 0), 0) * 40), 39) AS BIGINT) AS x_bin,
+       CAST(LEAST(FLOOR(COALESCE((p_retailprice - yl) / NULLIF(yh - yl, 0), 0) * 40), 39) AS BIGINT) AS y_bin,
+       p_brand, CAST(COUNT(*) AS BIGINT) AS count
+FROM part, r WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY 1, 2, 3""")
+
+
+@register("top_n_wide")
+def top_n_wide(spark, d):
+    return g.top_n(table(spark, d, "orders"), "o_custkey", "o_totalprice", 40)
+
+
+oracle("top_n_wide", """
+SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS value FROM orders WHERE o_custkey IS NOT NULL
+GROUP BY 1 ORDER BY SUM(o_totalprice) DESC, o_custkey LIMIT 40""")

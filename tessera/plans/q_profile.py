@@ -189,21 +189,6 @@ def _role_case(expr: str) -> str:
     return "CASE " + " ".join(parts) + " ELSE 'unknown' END"
 
 
-@register("column_roles")
-def column_roles(spark, d):
-    return pr.roles_table(sales(spark, d))
-
-
-_SALES_TYPES = [("order_id", "bigint"), ("line_no", "int"), ("order_date", "timestamp_ntz"),
-                ("customer_id", "bigint"), ("product", "string"), ("category", "string"),
-                ("region", "string"), ("quantity", "double"), ("sales", "double"), ("profit", "double"),
-                ("discount", "double")]
-
-oracle("column_roles", "SELECT position, column_name, data_type, " + _role_case("column_name") + """ AS role
-FROM (VALUES """ + ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(_SALES_TYPES)) +
-       ") AS v(position, column_name, data_type)")
-
-
 @register("dictionary_candidates")
 def dictionary_candidates(spark, d):
     return pr.dictionary_candidates(table(spark, d, "documents"))

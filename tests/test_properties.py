@@ -1,5 +1,6 @@
 """Property tests: idempotence, partitions of the data, invariance under
 repartitioning."""
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import clean, groups, ml, segment
@@ -54,16 +55,50 @@ def test_chrono_split_sizes(spark, sf):
     assert test.agg(F.min("o_orderdate")).first()[0] >= s.where(~F.col("is_test")).agg(F.max("o_orderdate")).first()[0]
 
 
-def test_category_rank_paths_agree(spark, sf):
-    s = sales(spark, sf)
-    a = _rows(segment.category_performance(s, "product", "sales"))
-    old = segment.DIRECT_WINDOW_MAX
-    segment.DIRECT_WINDOW_MAX = 1  # force the distributed-rank path
-    try:
-        b = _rows(segment.category_performance(s, "product", "sales"))
-    finally:
-        segment.DIRECT_WINDOW_MAX = old
-    assert a == b and [r[0] for r in sorted(a)] == list(range(1, len(a) + 1))
+def test_category_ranks_are_dense(spark, sf):
+    rows = _rows(segment.category_performance(sales(spark, sf), "product", "sales"))
+    assert [r[0] for r in sorted(rows)] == list(range(1, len(rows) + 1))
+
+
+def test_zero_total_has_no_share(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "c string, v double")
+    assert [r["share_pct"] for r in segment.category_performance(df, "c", "v").collect()] == [None, None]
+
+
+def test_chrono_split_with_equal_and_missing_times(spark):
+    import datetime
+    day = datetime.datetime(2024, 1, 1)
+    same = spark.createDataFrame([(1, day)] * 10, "k int, t timestamp")
+    assert sorted(r.is_test for r in ml.chrono_split(same, "t").collect()) == [False] * 8 + [True] * 2
+    rows = [(i, None if i < 3 else day + datetime.timedelta(days=i)) for i in range(10)]
+    out = ml.chrono_split(spark.createDataFrame(rows, "k int, t timestamp"), "t").collect()
+    assert sorted(r.k for r in out) == list(range(10)) and {r.k for r in out if r.is_test} == {8, 9}
+    assert ml.chrono_split(spark.createDataFrame([], "k int, t timestamp"), "t").collect() == []
+
+
+def test_limits_are_the_callers(spark):
+    from tessera.operators import eda, forecast
+    df = spark.range(60).selectExpr("concat('k', id) AS c", "cast(id AS double) AS v")
+    assert groups.top_n(df, "c", "v", 40).count() == 40
+    assert eda.histogram(df, "v", 3).count() == 3
+    with pytest.raises(ValueError):
+        groups.top_n(df, "c", "v", 0)
+    with pytest.raises(ValueError):
+        forecast.forecast_linear(df, "c", "v", 0)
+
+
+def test_text_dates_that_do_not_parse_are_left_out(spark):
+    from tessera.operators import forecast, kpi
+    df = spark.createDataFrame([("a", "2024-01-05", 1.0), ("a", "no date", 5.0), ("b", "2024-02-01", 2.0)], "c string, d string, v double")
+    assert {r["period"]: r["value"] for r in forecast.monthly_totals(df, "d", "v").collect()} == {"2024-01": 1.0, "2024-02": 2.0}
+    assert {r["period"]: r["value"] for r in kpi.monthly_sums(df, "d", "v").collect()} == {"2024-01": 1.0, "2024-02": 2.0}
+    assert {r["customer"]: r["recency"] for r in segment.rfm_metrics(df, "c", "d", "v").collect()} == {"a": 27, "b": 0}
+
+
+def test_univariate_of_too_few_values(spark):
+    from tessera.operators import eda
+    r = eda.univariate(spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")).collect()
+    assert (r[0]["skewness"], r[0]["kurtosis"], r[0]["mean"]) == (None, None, 1.5) and r[1]["mean"] == 0.0
 
 
 def test_detect_unknown_method_is_iqr(spark, sf):
