@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tessera.operators import kpi, segment as seg
+from pyspark.sql import functions as F
+
 from tessera.plans.catalog import register
 from tessera.plans.oracle import oracle
-from tessera.plans.views import sales, table, with_sales
+from tessera.plans.views import sales, sales_dirty, table, with_dirty, with_sales
 
 _AGG = """a AS (SELECT COALESCE(SUM(sales), 0.0) AS tot, AVG(sales) AS avg, COALESCE(SUM(quantity), 0.0) AS qty,
                COALESCE(SUM(profit), 0.0) AS p, COUNT(*) FILTER (WHERE profit < 0) AS neg, COUNT(*) AS n,
@@ -160,3 +162,32 @@ SELECT CAST(top AS VARCHAR) AS top_performer, CAST(bottom AS VARCHAR) AS bottom_
        printf('''%s'' leads with %s%% market share', top, CAST(top_share AS VARCHAR)) AS leader_insight,
        CASE WHEN n > 1 THEN 'Top-to-bottom ratio: ' || format('{{:.1f}}', CASE WHEN bt > 0 THEN tt / bt ELSE 0.0 END)
             || 'x' ELSE '' END AS ratio_insight FROM x"""))
+
+
+@register("rfm_text")
+def rfm_text(spark, d):
+    """Recency, frequency and value by order with dates given as text."""
+    m = seg.rfm_metrics(sales_dirty(spark, d), "order_id", "order_date_text", "quantity")
+    return m.select("customer", "recency", "frequency", F.round("monetary", 2).alias("monetary"))
+
+
+oracle("rfm_text", with_dirty("""
+, t AS (SELECT order_id, TRY_STRPTIME(order_date_text, '%Y-%m-%d') AS dt, quantity FROM sales_dirty),
+k AS (SELECT * FROM t WHERE dt IS NOT NULL AND quantity IS NOT NULL)
+SELECT order_id AS customer, CAST(FLOOR((epoch((SELECT MAX(dt) FROM k)) - epoch(MAX(dt))) / 86400) AS BIGINT) AS recency,
+       CAST(COUNT(*) AS BIGINT) AS frequency, ROUND(SUM(quantity), 2) AS monetary
+FROM k GROUP BY order_id"""))
+
+
+@register("kpi_time_text")
+def kpi_time_text(spark, d):
+    return kpi.mom_growth(sales_dirty(spark, d), "order_date_text", "quantity")
+
+
+oracle("kpi_time_text", with_dirty("""
+, m AS (SELECT strftime(TRY_STRPTIME(order_date_text, '%Y-%m-%d'), '%Y-%m') AS period, COALESCE(SUM(quantity), 0.0) AS value
+        FROM sales_dirty WHERE TRY_STRPTIME(order_date_text, '%Y-%m-%d') IS NOT NULL GROUP BY 1),
+o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY period DESC) AS r FROM m)
+SELECT a.period AS last_period, ROUND(a.value, 2) AS last_value, ROUND(b.value, 2) AS previous_value,
+       ROUND(CASE WHEN b.value > 0 THEN (a.value - b.value) / b.value * 100 END, 4) AS growth_pct
+FROM (SELECT * FROM o WHERE r = 1) a LEFT JOIN (SELECT * FROM o WHERE r = 2) b ON TRUE"""))

@@ -279,3 +279,41 @@ r AS (SELECT x, y, dist, SUM(w) OVER (PARTITION BY x, y ORDER BY dist ROWS BETWE
              AS before FROM d WHERE w > 0)
 SELECT x AS c_acctbal, CAST(y AS INTEGER) AS c_nationkey, ROUND(MAX(dist), 6) AS kdist, CAST(5 AS BIGINT) AS k
 FROM r WHERE COALESCE(before, 0) < 5 GROUP BY x, y""")
+
+
+_GRID_K = 5
+
+
+@register("knn_grid")
+def knn_grid(spark, d):
+    """Exact neighbours on integer features, where many points share a projection."""
+    li = table(spark, d, "lineitem")
+    pts = knn.distinct_points(li.select(F.array(F.col("l_linenumber").cast("double"), F.col("l_quantity").cast("double")).alias("vec")), "vec")
+    nn = knn.knn_search(pts.select(F.col("pid").alias("qid"), "vec"), pts.withColumn("w", F.lit(1).cast("long")), _GRID_K, 2, exclude_self=True)
+    return nn.groupBy("qid").agg(F.round(F.max("dist"), 6).alias("kdist"), F.round(F.sum(F.col("dist") * F.col("c")), 6).alias("total")).select(
+        F.col("qid")[0].cast("int").alias("l_linenumber"), F.col("qid")[1].alias("l_quantity"), "kdist", "total")
+
+
+oracle("knn_grid", f"""
+WITH p AS (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
+d AS (SELECT a.x, a.y, SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist,
+             ROW_NUMBER() OVER (PARTITION BY a.x, a.y ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS r
+      FROM p a, p b WHERE a.x <> b.x OR a.y <> b.y)
+SELECT CAST(x AS INTEGER) AS l_linenumber, y AS l_quantity, ROUND(MAX(dist), 6) AS kdist, ROUND(SUM(dist), 6) AS total
+FROM d WHERE r <= {_GRID_K} GROUP BY x, y""")
+
+
+@register("chrono_split_rows")
+def chrono_split_rows(spark, d):
+    """The split row by row, on data with equal rows and without a time on some."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 7 != 0, F.trunc("o_orderdate", "month")).cast("timestamp").alias("month"))
+    return ml.chrono_split(o, "month").groupBy("priority", F.date_format("month", "yyyy-MM").alias("month"), "is_test").agg(
+        F.count(F.lit(1)).cast("long").alias("rows"))
+
+
+oracle("chrono_split_rows", """
+WITH o AS (SELECT o_orderpriority AS priority, CASE WHEN o_orderkey % 7 <> 0 THEN DATE_TRUNC('month', o_orderdate) END AS month FROM orders),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY month NULLS FIRST, priority NULLS FIRST) AS place, COUNT(*) OVER () AS n FROM o)
+SELECT priority, strftime(month, '%Y-%m') AS month, place > n - CEIL(n * 0.2) AS is_test, CAST(COUNT(*) AS BIGINT) AS rows
+FROM r GROUP BY 1, 2, 3""")

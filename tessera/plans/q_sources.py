@@ -40,6 +40,21 @@ def csv_roundtrip(spark, d):
 oracle("csv_roundtrip", "SELECT * FROM orders")
 
 
+@register("csv_mixed_folder")
+def csv_mixed_folder(spark, d):
+    """One folder with a comma / UTF-8 and a semicolon / Latin-1 part."""
+    root = scratch_path(spark, "csv_mixed")
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n"), F.when(F.col("lang") == "fr", "été; ä").otherwise("a, b").alias("note"))
+    csv.write_csv(docs.where("doc_id % 2 = 0"), f"{root}/even")
+    csv.write_csv(docs.where("doc_id % 2 <> 0"), f"{root}/odd", sep=";", encoding="ISO-8859-1")
+    back = csv.read_csv(spark, root)
+    return back.select(F.col("doc_id").cast("long"), "lang", F.col("n").cast("long"), "note")
+
+
+oracle("csv_mixed_folder", """
+SELECT doc_id, lang, CAST(LENGTH(text) AS BIGINT) AS n, CASE WHEN lang = 'fr' THEN 'été; ä' ELSE 'a, b' END AS note FROM documents""")
+
+
 @register("csv_encodings")
 def csv_encodings(spark, d):
     e = csv.csv_encodings(spark, _csv_fixture(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tessera.operators import forecast as fc
 from tessera.plans.catalog import register
 from tessera.plans.oracle import oracle
-from tessera.plans.views import sales, with_sales
+from tessera.plans.views import sales, sales_dirty, with_dirty, with_sales
 
 _M = """m AS (SELECT strftime(order_date, '%Y-%m') AS period, SUM(sales) AS value
            FROM sales WHERE order_date IS NOT NULL AND sales IS NOT NULL GROUP BY 1),
@@ -147,3 +147,29 @@ UNION ALL
 SELECT 'Month +' || CAST(step AS VARCHAR) AS period, ROUND(a + b * (last_idx + step), 2) AS value,
        'Forecast' AS kind
 FROM s, (SELECT UNNEST(range(1, 4)) AS step) t"""))
+
+
+@register("forecast_linear_24")
+def forecast_linear_24(spark, d):
+    return fc.forecast_linear(sales(spark, d), "order_date", "sales", periods=24)
+
+
+oracle("forecast_linear_24", with_sales(f""", {_M}, {_LIN}
+SELECT CAST(step AS BIGINT) AS step, 'Month +' || CAST(step AS VARCHAR) AS period,
+       ROUND(a + b * (last_idx + step), 2) AS forecast,
+       ROUND(a + b * (last_idx + step) - 1.96 * sd, 2) AS lower,
+       ROUND(a + b * (last_idx + step) + 1.96 * sd, 2) AS upper
+FROM s, (SELECT UNNEST(range(1, 25)) AS step) x"""))
+
+
+@register("monthly_trend_text")
+def monthly_trend_text(spark, d):
+    """Dates given as text, some of which do not parse."""
+    from pyspark.sql import functions as F
+    return fc.monthly_totals(sales_dirty(spark, d), "order_date_text", "quantity").select(
+        "period", F.round("value", 2).alias("value"))
+
+
+oracle("monthly_trend_text", with_dirty("""
+SELECT strftime(TRY_STRPTIME(order_date_text, '%Y-%m-%d'), '%Y-%m') AS period, ROUND(SUM(quantity), 2) AS value
+FROM sales_dirty WHERE TRY_STRPTIME(order_date_text, '%Y-%m-%d') IS NOT NULL AND quantity IS NOT NULL GROUP BY 1"""))

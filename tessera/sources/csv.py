@@ -41,6 +41,7 @@ def csv_delimiters(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, delimiter): among the candidates that occur, the one whose
     per-line count varies least, then the most frequent; ',' when none."""
     lines = _lines(spark, path).where(F.length("value") > 0)
+    lines = lines.withColumn("value", F.regexp_replace("value", r'"[^"]*"', ""))  # what is quoted delimits nothing
     arr = F.array(*[F.struct(F.lit(i).alias("d"),
                              (F.length("value") - F.length(F.replace(F.col("value"), F.lit(d), F.lit(""))))
                              .alias("n")) for i, d in enumerate(DELIMITERS)])
