@@ -28,10 +28,10 @@ def _dbl(df: DataFrame, cols: list[str]) -> DataFrame:
     return normalize_nulls(df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
 
 
-def iqr_bounds_wide(d: DataFrame, n: int, k: float = 1.5) -> DataFrame:
+def iqr_bounds_wide(d: DataFrame, n: int, k: float = 1.5, approx: bool = False) -> DataFrame:
     """One row: q1_i, q3_i, lo_i, hi_i for columns c0..c{n-1} of ``d``
-    (exact quartiles from the long-form distributed positions)."""
-    q = quantile_row(d, [f"c{i}" for i in range(n)], QUARTILES)
+    (exact quartiles from the distributed positions, or sketched ones)."""
+    q = quantile_row(d, [f"c{i}" for i in range(n)], QUARTILES, approx)
     sel = []
     for i in range(n):
         q1, q3 = F.col(f"q{i}_0"), F.col(f"q{i}_1")
@@ -164,10 +164,10 @@ def eda_insights(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return skew.unionByName(outl).unionByName(top3)
 
 
-def iqr_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
+def iqr_bounds(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """Per column: Q1, Q3, lower/upper fence (2 dp) and outlier count."""
     d = _dbl(df, cols)
-    b = iqr_bounds_wide(d, len(cols))
+    b = iqr_bounds_wide(d, len(cols), approx=approx)
     cnt = d.crossJoin(F.broadcast(b)).agg(
         *[F.count_if((F.col(f"c{i}") < F.col(f"lo{i}")) | (F.col(f"c{i}") > F.col(f"hi{i}"))).alias(f"o{i}")
           for i in range(len(cols))])
@@ -178,11 +178,11 @@ def iqr_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
     return stack_rows(wide, rows)
 
 
-def iqr_flags(df: DataFrame, cols: list[str]) -> DataFrame:
+def iqr_flags(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """``df`` plus ``is_anomaly``: any column outside its IQR fences (NULLs
     never flag). Bounds reach the rows as a broadcast one-row frame."""
     d = normalize_nulls(df)
-    b = iqr_bounds_wide(_dbl(df, cols), len(cols))
+    b = iqr_bounds_wide(_dbl(df, cols), len(cols), approx=approx)
     flag = F.lit(False)
     for i, c in enumerate(cols):
         x = col(c).cast("double")

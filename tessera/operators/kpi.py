@@ -188,7 +188,9 @@ def kpi_time(df: DataFrame) -> DataFrame:
 
 
 def kpi_dashboard(df: DataFrame) -> DataFrame:
-    df = stage_input(df, "kpi")  # six KPI families read the same input
+    # six KPI families read the same input: only the columns that they found
+    found = set(detect(df).values())
+    df = stage_input(df.select(*[col(c) for c in df.columns if c in found]), "kpi")
     out = kpi_revenue(df)
     for f in (kpi_profit, kpi_volume, kpi_customer, kpi_top_performers, kpi_time):
         out = out.unionByName(f(df))

@@ -83,7 +83,7 @@ def prepare(df: DataFrame, target: str, features: list[str], encode_target: bool
     return va.transform(scaled).select("label", "features", "is_test", *sc)
 
 
-def _regressor(name: str, n_train: int, y_std: float):
+def _regressor(name: str, n_train: int, y_std: float, max_depth: int = 10):
     if name == "linear":
         return LinearRegression(regParam=0.0, solver="normal")
     if name == "ridge":  # sklearn alpha=1 in Spark's label-scaled objective
@@ -94,7 +94,7 @@ def _regressor(name: str, n_train: int, y_std: float):
                                 maxIter=1000)
     if name == "rf":
         return RandomForestRegressor(numTrees=100, seed=RANDOM_STATE, featureSubsetStrategy="all",
-                                     maxDepth=10, maxBins=64)
+                                     maxDepth=max_depth, maxBins=64)
     if name == "gbt":
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
     raise ValueError(f"unknown regressor {name!r}")
@@ -165,15 +165,18 @@ def _importance(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc())
 
 
-def train_regression(df: DataFrame, target: str, features: list[str], model: str = "rf"):
+def train_regression(df: DataFrame, target: str, features: list[str], model: str = "rf", max_depth: int = 10):
     """Fit on the train split, score the test split.
-    Returns (metrics frame, importance frame, predictions frame)."""
+    Returns (metrics frame, importance frame, predictions frame).
+
+    ``max_depth`` limits the trees of the random forest; Spark allows up to 30,
+    and every level is a pass over the data."""
     # written once to the shared checkpoint folder: fit, scoring and metrics
     # then read it instead of recomputing encoding, split and scaling
     prep = materialize(prepare(df, target, features), "ml_prep")
     train, test = prep.where(~F.col("is_test")), prep.where(F.col("is_test"))
     st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    est = _regressor(model, st["n"], st["s"] or 0.0)
+    est = _regressor(model, st["n"], st["s"] or 0.0, max_depth)
     fitted = est.fit(train)
     pred = fitted.transform(test).select("label", "prediction")
     m = regression_metrics(pred).select(F.lit(model).alias("model"), "mae", "rmse", "r2",
@@ -198,8 +201,12 @@ def _rff(prep: DataFrame, n_features: int, dim: int = 100, seed: int = RANDOM_ST
     return x.select("label", "is_test", array_to_vector("_z").alias("features"))
 
 
-def train_classification(df: DataFrame, target: str, features: list[str], model: str = "rf"):
-    """Returns (metrics frame, importance frame, predictions frame)."""
+def train_classification(df: DataFrame, target: str, features: list[str], model: str = "rf",
+                         max_depth: int = 12):
+    """Returns (metrics frame, importance frame, predictions frame).
+
+    ``max_depth`` limits the trees of the random forest; Spark allows up to 30,
+    and every level is a pass over the data."""
     prep = prepare(df, target, features, encode_target=True)
     if model == "svm":
         prep = _rff(prep, len(features))
@@ -211,7 +218,7 @@ def train_classification(df: DataFrame, target: str, features: list[str], model:
         est = LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                  standardization=False, family="auto")
     elif model == "rf":
-        est = RandomForestClassifier(numTrees=100, seed=RANDOM_STATE, maxDepth=12, maxBins=64)
+        est = RandomForestClassifier(numTrees=100, seed=RANDOM_STATE, maxDepth=max_depth, maxBins=64)
     elif model == "gbt":
         base = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
         est = base if k <= 2 else OneVsRest(classifier=base)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.longform import value_counts_long
 from tessera.functions.schema import categorical_cols, numeric_cols
 from tessera.operators import eda, groups, profile
+from tessera.session import stage_input
 
 
 def report_sheets(df: DataFrame) -> dict[str, DataFrame]:
@@ -32,6 +33,7 @@ def report_sheets(df: DataFrame) -> dict[str, DataFrame]:
 def report_bundle(df: DataFrame, path: str, fmt: str = "parquet") -> dict[str, str]:
     """Write every sheet under ``path/<sheet>``; returns {sheet: path}."""
     out = {}
+    df = stage_input(df, "report")  # every sheet reads the same input
     for name, sheet in report_sheets(df).items():
         p = f"{path.rstrip('/')}/{name}"
         w = sheet.write.mode("overwrite")

@@ -120,3 +120,10 @@ def test_constant_groups_have_no_statistic(spark):
     assert stats.group_test(df, "g", "x").first()["statistic"] is None
     three = df.union(spark.createDataFrame([("c", 3.0), ("c", 3.0)], "g string, x double"))
     assert stats.group_test(three, "g", "x").first()["statistic"] is None
+
+
+def test_sketched_quantiles_are_near(spark):
+    from tessera.functions.colstats import quantile_row
+    df = spark.range(50_001).selectExpr("cast(id AS double) AS v", "cast(NULL AS double) AS w")
+    r = quantile_row(df, ["v", "w"], [0.25, 0.5], approx=True).first()
+    assert abs(r["q0_0"] - 12_500) <= 50 and abs(r["q0_1"] - 25_000) <= 50 and r["q1_0"] is None
