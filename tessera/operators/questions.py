@@ -53,6 +53,8 @@ DEFAULT_TOP_N = 5
 MAX_TOP_N = 20
 INSIGHT_SALES_WORDS = ["sales", "revenue"]
 INSIGHT_PROFIT_WORDS = ["profit"]
+INSIGHT_SALES_WORDS_V1 = ["sales", "revenue", "amount", "total"]
+INSIGHT_PROFIT_WORDS_V1 = ["profit", "margin"]
 # --- end of fixed values ---------------------------------------------------
 
 
@@ -206,6 +208,67 @@ def business_insights(df: DataFrame) -> DataFrame:
     return out
 
 
+def business_insights_v1(df: DataFrame) -> DataFrame:
+    """The older rules, one row per finding: (kind, column_name, label, value).
+
+    Totals and means of sales-like columns, totals and negative rows of
+    profit-like ones, the best value of each of the first two text columns by
+    each of the first two numeric ones, and the five most frequent values of the
+    first text column with their share of all rows in %.
+    """
+    nums, cats = numeric_cols(df), categorical_cols(df)
+    d = normalize_nulls(df)
+    facts = []
+    for i, c in enumerate(nums):
+        x, low = col(c).cast("double"), c.lower()
+        total = (F.lit("total"), c, F.round(F.coalesce(F.sum(x), F.lit(0.0)), 2))
+        if any(w in low for w in INSIGHT_SALES_WORDS_V1):
+            facts += [total, (F.lit("mean"), c, F.round(F.avg(x), 2))]
+        if any(w in low for w in INSIGHT_PROFIT_WORDS_V1):
+            facts += [(F.lit("profit total"), c, total[2]), (F.lit("negative rows"), c, F.nullif(F.count_if(x < 0), F.lit(0)).cast("double"))]
+    no_label = F.lit(None).cast("string").alias("label")
+    parts = []
+    if facts:  # one pass for all of them
+        one = d.agg(*[v.alias(f"v{i}") for i, (_, _, v) in enumerate(facts)])
+        rows = F.explode(F.array(*[F.struct(k.alias("kind"), F.lit(c).alias("column_name"), no_label, F.col(f"v{i}").cast("double").alias("value"))
+                                   for i, (k, c, _) in enumerate(facts)])).alias("r")
+        parts.append(one.select(rows).select("r.*").where("kind <> 'negative rows' OR value IS NOT NULL"))
+    for cat in cats[:2]:
+        for num in nums[:2]:
+            best = groups.best_by(df, cat, num)
+            parts.append(best.select(F.lit(f"top {cat}").alias("kind"), F.lit(num).alias("column_name"), F.col("best").alias("label"), F.col("value").cast("double").alias("value")))
+    if cats:
+        share = groups.value_counts(df, cats[0], 5)
+        parts.append(share.select(F.lit("share").alias("kind"), F.lit(cats[0]).alias("column_name"), F.col("value").alias("label"), F.round("pct", 1).alias("value")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "kind string, column_name string, label string, value double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def overview_text(df: DataFrame, k: int = 3) -> DataFrame:
+    """Distinct count and the k most frequent values of every text column:
+    (column_name, unique, rank, value, count)."""
+    return eda.categorical_summary(df, k=k).select("column_name", "unique", "rank", "value", "count")
+
+
+def find_column(df: DataFrame, name: str) -> str | None:
+    """A column by its name, else the first that contains it (letter case aside)."""
+    if name in df.columns:
+        return name
+    return next((c for c in df.columns if name.lower() in c.lower()), None)
+
+
+def column_stats(df: DataFrame, name: str) -> DataFrame:
+    """Statistics of the column that ``name`` means: numeric or text."""
+    c = find_column(df, name)
+    if c is None:
+        raise ValueError(f"no column is called {name!r}; there are {', '.join(df.columns)}")
+    return groups.numeric_summary(df, c) if c in numeric_cols(df) else groups.categorical_answer(df, c)
+
+
 def dataset_context(df: DataFrame, k: int = 5, sample_rows: int = 3) -> DataFrame:
     """Compact summary rows (section, name, value): shape, numeric summaries,
     top values of text columns and a few sample rows (ordered by all columns)."""
@@ -232,16 +295,17 @@ def dataset_context(df: DataFrame, k: int = 5, sample_rows: int = 3) -> DataFram
     return shape.unionByName(nums).unionByName(tops).unionByName(sample)
 
 
-def ask(df: DataFrame, question: str) -> DataFrame:
+def ask(df: DataFrame, question: str, version: int = 2) -> DataFrame:
     """Driver-side dispatch of ONE question to the operator it names; the
     answer is computed on Spark. (The same rules over a question table are
-    ``classify_questions``.)"""
+    ``classify_questions``.) ``version`` 1 knows counts too, and answers what it
+    does not know with the statistics of a column that the question names."""
     q = question.lower()
     spark = df.sparkSession
     row = spark.createDataFrame([(q,)], "q string").select(
-        intent_expr(F.col("q")).alias("intent"), topn_expr(F.col("q")).alias("n"),
-        match_column_expr(F.col("q"), numeric_cols(df)).alias("num"),
-        match_column_expr(F.col("q"), categorical_cols(df)).alias("cat")).first()
+        intent_expr(F.col("q"), version).alias("intent"), topn_expr(F.col("q")).alias("n"),
+        match_column_expr(F.col("q"), numeric_cols(df), version).alias("num"),
+        match_column_expr(F.col("q"), categorical_cols(df), version).alias("cat")).first()
     nums, cats, dates = numeric_cols(df), categorical_cols(df), date_cols(df)
     num = row["num"] or (nums[0] if nums else None)
     cat = row["cat"] or (cats[0] if cats else None)
@@ -266,6 +330,10 @@ def ask(df: DataFrame, question: str) -> DataFrame:
         return suggested_charts(df)
     if intent == "insights":
         return business_insights(df)
+    if intent == "count":
+        return groups.value_counts(df, cat) if cat else df.agg(F.count(F.lit(1)).cast("long").alias("rows"))
+    if intent == "general" and (row["num"] or row["cat"]):
+        return column_stats(df, row["num"] or row["cat"])
     return overview(df)
 
 

@@ -155,6 +155,48 @@ def dataset_context(spark, d):
 
 @register("ask")
 def ask(spark, d):
+    """No column is called "categories", so the first text column is taken."""
     return qs.ask(sales(spark, d), "What are the top 5 categories by sales?")
 
 
+oracle("ask", with_sales("""
+SELECT product, ROUND(COALESCE(SUM(sales), 0.0), 2) AS value FROM sales WHERE product IS NOT NULL
+GROUP BY product ORDER BY COALESCE(SUM(sales), 0.0) DESC, product LIMIT 5"""))
+
+
+@register("ask_count")
+def ask_count(spark, d):
+    return qs.ask(sales(spark, d), "How many rows of each region?", version=1)
+
+
+oracle("ask_count", with_sales("""
+SELECT region AS value, CAST(COUNT(*) AS BIGINT) AS count, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM sales), 4) AS pct
+FROM sales WHERE region IS NOT NULL GROUP BY region"""))
+
+
+@register("overview_text")
+def overview_text(spark, d):
+    return qs.overview_text(sales(spark, d))
+
+
+oracle("overview_text", with_sales("\n" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS column_name, "unique", CAST(rank AS BIGINT) AS rank, value, count FROM (
+  SELECT {c} AS value, CAST(COUNT(*) AS BIGINT) AS count, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) AS rank,
+         CAST(COUNT(*) OVER () AS BIGINT) AS "unique" FROM sales WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 3""" for c in SALES_CAT)))
+
+
+@register("business_insights_v1")
+def business_insights_v1(spark, d):
+    return qs.business_insights_v1(sales(spark, d))
+
+
+oracle("business_insights_v1", with_sales("""
+SELECT 'total' AS kind, 'sales' AS column_name, CAST(NULL AS VARCHAR) AS label, ROUND(SUM(sales), 2) AS value FROM sales
+UNION ALL SELECT 'mean', 'sales', NULL, ROUND(AVG(sales), 2) FROM sales
+UNION ALL SELECT 'profit total', 'profit', NULL, ROUND(SUM(profit), 2) FROM sales
+UNION ALL SELECT 'negative rows', 'profit', NULL, CAST(COUNT(*) AS DOUBLE) FROM sales WHERE profit < 0 HAVING COUNT(*) > 0
+UNION ALL """ + " UNION ALL ".join(f"""SELECT * FROM (SELECT 'top {c}', '{n}', {c}, ROUND(SUM(CAST({n} AS DOUBLE)), 2) FROM sales
+  WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY SUM(CAST({n} AS DOUBLE)) DESC, {c} LIMIT 1)""" for c in SALES_CAT[:2] for n in SALES_NUM[:2]) + """
+UNION ALL SELECT * FROM (SELECT 'share', 'product', product, ROUND(ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM sales), 4), 1) FROM sales
+  WHERE product IS NOT NULL GROUP BY product ORDER BY COUNT(*) DESC, product LIMIT 5)"""))
+
+
