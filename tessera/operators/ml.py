@@ -12,10 +12,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -40,11 +39,15 @@ def hash_split(df: DataFrame, test_frac: float = TEST_SIZE, seed: int = RANDOM_S
 
 
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (StringIndexer, alphabetical)."""
-    stages = [StringIndexer(inputCol=c, outputCol=c + suffix, stringOrderType="alphabetAsc",
-                            handleInvalid="keep") for c in cols]
-    out = Pipeline(stages=stages).fit(df).transform(df)
-    return out.select(*df.columns, *[F.col(c + suffix).cast("long").alias(c + suffix) for c in cols])
+    """Sorted distinct values -> 0..k-1, NULL -> k. A code is the value's place
+    in the distributed order; no vocabulary passes through the driver."""
+    out = df = stage_input(df, "label")
+    for i, c in enumerate(cols):
+        values = df.select(col(c).alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.max(F.lit(1)).cast("long").alias("_one"))
+        codes = running_before(values, "_v", "_one").select(F.col("_v").alias(f"_v{i}"), F.col("before").cast("long").alias(f"_code{i}"))
+        size = codes.agg(F.count(F.lit(1)).alias(f"_size{i}"))
+        out = out.join(codes, col(c) == F.col(f"_v{i}"), "left").crossJoin(F.broadcast(size))
+    return out.select(*[col(c) for c in df.columns], *[F.coalesce(f"_code{i}", f"_size{i}").alias(c + suffix) for i, c in enumerate(cols)])
 
 
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None,

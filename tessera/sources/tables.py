@@ -32,14 +32,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     r = spark.read.format("jdbc").option("url", url)
     for k, v in (properties or {}).items():
         r = r.option(k, v)
-    if table:
-        r = r.option("dbtable", table)
-        if partition_column:
-            r = (r.option("partitionColumn", partition_column).option("lowerBound", lower_bound)
-                 .option("upperBound", upper_bound).option("numPartitions", num_partitions))
-    else:
-        r = r.option("query", query)
-    return r.load()
+    if partition_column:  # a query is read in parallel like a table, as a derived table
+        return (r.option("dbtable", table or f"({query}) q").option("partitionColumn", partition_column).option("lowerBound", lower_bound)
+                .option("upperBound", upper_bound).option("numPartitions", num_partitions).load())
+    return (r.option("dbtable", table) if table else r.option("query", query)).load()
 
 
 def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
