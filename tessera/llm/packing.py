@@ -1,6 +1,6 @@
 """Token ids packed into fixed-length rows by best-fit decreasing.
 
-Texts are encoded by ``bpe``, cut losslessly into pieces of at most ``capacity``
+Texts are encoded by a byte-level BPE, which gives every byte back, cut losslessly into pieces of at most ``capacity``
 tokens, and the pieces of a window of about ``WINDOW`` tokens go, longest first,
 each into the row with the least room that still holds it. Rows by their free
 room are the leaves of a segment tree over the capacities, so the search takes
@@ -14,16 +14,17 @@ segment comes from.
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.bpe import LEXICON, Encoder, Transducer, build_lexicon
 from tessera.llm.common import col, emit, slices
 from tessera.llm.warc import file_system
 from tessera.session import materialize
@@ -95,28 +96,34 @@ def pack_window(docs: list[tuple[int | None, np.ndarray]], capacity: int, pad: i
                "doc_ids": [pieces[p][0] for p in row], "offsets": [pieces[p][1] for p in row]}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         lexicon_size: int = LEXICON, window: int = WINDOW) -> DataFrame:
+@lru_cache(maxsize=2)
+def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
+    """A tokenizer from the text of its rank file; a worker builds it once."""
+    merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+
+
+def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+         window: int = WINDOW) -> DataFrame:
     """(part, row, n_tokens, ids, positions, cu_seqlens, doc_ids, offsets): the packed rows of all whole texts.
 
     ids and positions are little-endian matrices of ``capacity`` columns, ids of
     16 bits if the vocabulary allows, else 32; behind n_tokens they hold the
-    padding (the last special token) and zeros. Segment k is ids[cu_seqlens[k]:
-    cu_seqlens[k + 1]], the tokens of document doc_ids[k] from offsets[k] on. Null
-    and empty texts have no tokens and no segment; repeated rows are packed each
-    for itself; an empty table gives an empty result. Other columns are not read.
+    padding (the first id that the vocabulary leaves free) and zeros. Segment k
+    is ids[cu_seqlens[k]:cu_seqlens[k + 1]], the tokens of document doc_ids[k]
+    from offsets[k] on. Null and empty texts have no tokens and no segment;
+    repeated rows are packed each for itself; an empty table gives an empty
+    result. Other columns are not read.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = f.read()
-    lexicon = build_lexicon(docs, tokenizer, text_col, lexicon_size).rpartition("/")[2]
+    with open(ranks_path, "rb") as f:
+        ranks = f.read()  # a file of fixed size; tasks get it with their code
     schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()),
                         ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, Transducer.open(SparkFiles.get(lexicon)))
-        size = len(encoder.tok.tokens)
-        kind, pad, number = "<u2" if size <= 1 << 16 else "<u4", size - 1, 0
-        part_no = TaskContext.get().partitionId()
+        encode = encoding(ranks, pattern)
+        pad, number, part_no = encode.max_token_value + 1, 0, TaskContext.get().partitionId()
+        kind = "<u2" if pad < 1 << 16 else "<u4"
 
         def packed(docs: list) -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -128,16 +135,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         held, tokens = [], 0
         for part in slices(batches):
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                held.append((doc_id, np.frombuffer(ids, "<u4").astype(kind)))
-                tokens += len(ids) // 4
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids = np.array(encode.encode_ordinary(text or ""), kind)
+                held.append((doc_id, ids))
+                tokens += len(ids)
                 if tokens >= window:
                     yield from packed(held)
                     held, tokens = [], 0
         if held:
             yield from packed(held)
 
-    return docs.select(col(id_col).cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(
+    return docs.select(col(id_col).cast("long"), col(text_col).cast("string")).mapInArrow(
         run, "part int, row long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<long>")
 
 

@@ -4,14 +4,18 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-import tokenizers
 from pyarrow import fs
 
 from tessera.llm import packing, warc
 from tessera.session import scratch_path
 from tests.llm import cases
 
-PATH = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def library():
+    return packing.encoding(open(RANKS[0], "rb").read(), RANKS[1])
 
 
 def slow_best_fit(lengths, capacity):
@@ -70,32 +74,31 @@ def unpacked(rows, kind="<u2"):
 
 
 @pytest.mark.parametrize("window", [50, 1 << 20])
-def test_lossless(spark, window):
-    library = tokenizers.Tokenizer.from_file(PATH)
+def test_lossless(spark, library, window):
     expected = defaultdict(list)
     for doc_id, text, *_ in cases.ROWS:
-        ids = library.encode(text or "", add_special_tokens=False).ids
+        ids = library.encode_ordinary(text or "")
         expected[doc_id] += [(at, ids[at: at + 64]) for at in range(0, len(ids), 64)]
-    rows = packing.pack(cases.docs(spark), PATH, capacity=64, window=window).collect()
+    rows = packing.pack(cases.docs(spark), *RANKS, capacity=64, window=window).collect()
     assert {k: sorted(v) for k, v in unpacked(rows).items()} == {k: sorted(v) for k, v in expected.items() if v}
     assert all(len(r.ids) == 128 for r in rows) and len({(r.part, r.row) for r in rows}) == len(rows)
-    assert packing.pack(cases.empty(spark), PATH).collect() == []
+    assert packing.pack(cases.empty(spark), *RANKS).collect() == []
 
 
-def test_registered_query_fills_its_rows(spark):
+def test_registered_query_fills_its_rows(spark, library):
     from tessera.llm.queries import QUERIES
     sf = "/root/testdata/sf0.01"
-    library = tokenizers.Tokenizer.from_file(PATH)
     rows = QUERIES["op10_packing"](spark, sf).collect()
     docs = unpacked(rows)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for doc_id, text in texts.items():
-        assert [x for _, ids in sorted(docs.get(doc_id, [])) for x in ids] == library.encode(text or "", add_special_tokens=False).ids
+        assert library.decode([x for _, ids in sorted(docs.get(doc_id, [])) for x in ids]) == (text or "")
+        assert [x for _, ids in sorted(docs.get(doc_id, [])) for x in ids] == library.encode_ordinary(text or "")
     assert sum(r.n_tokens for r in rows) >= .98 * packing.CAPACITY * len(rows)
 
 
 def test_matrices(spark):
-    packed = packing.pack(cases.docs(spark), PATH, capacity=64)
+    packed = packing.pack(cases.docs(spark), *RANKS, capacity=64)
     rows, found = {bytes(r.ids) + bytes(r.positions): r.cu_seqlens for r in packed.collect()}, {}
     for m in packing.write_matrices(packed, scratch_path(spark, "matrices")).collect():
         system, path = warc.file_system(m.stem)
