@@ -146,7 +146,7 @@ def _partners(distinct: DataFrame, min_words: int) -> DataFrame:
     keys = keys.select("a", "b", "first", "e.k", "e.own")
     shared = keys.groupBy("k").agg(F.count("*").alias("rows"), F.sum("own").alias("owned")).where("rows > 1 AND owned > 0").select("k")
     shared = materialize(shared, "shared-halves")
-    return keys.join(shared, "k", "left_semi").select("a", "b", "first").distinct()
+    return keys.join(shared.hint("merge"), "k", "left_semi").select("a", "b", "first").distinct()
 
 
 def neighbourhood(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +212,16 @@ def _variants(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "u long, v long, place int, a long, b long, doc_id long, line_no int")
 
 
+def _meeting(variants: DataFrame) -> DataFrame:
+    """The variants whose key another line has too; most keys belong to one line and end here.
+
+    The shared keys grow with the corpus, so here and above the join is a merge
+    join at every size: one plan, whose hot keys Spark can split."""
+    shared = variants.groupBy("u", "v").agg(*(f(c).alias(f"{c}{i}") for c in ("a", "b") for i, f in enumerate((F.min, F.max))))
+    shared = materialize(shared.where("a0 <> a1 OR b0 <> b1").select("u", "v"), "shared-variants")
+    return variants.join(shared.hint("merge"), ["u", "v"], "left_semi")
+
+
 def _candidates(variants: DataFrame) -> DataFrame:
     """(a, b, c, d): line (a, b) has the earlier line (c, d) as the earliest of one of its groups."""
     me = F.struct("doc_id", "line_no", "a", "b")
@@ -254,7 +264,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(distinct, "distinct-lines")
     texts = materialize(_texts(docs, _partners(distinct, min_words), id_col, text_col), "line-texts")
     variants = materialize(_variants(texts), "line-variants")
-    near = materialize(_verified(_candidates(variants), texts), "near-lines").withColumn("near", F.lit(True))
+    meeting = materialize(_meeting(variants), "meeting-variants")
+    near = materialize(_verified(_candidates(meeting), texts), "near-lines").withColumn("near", F.lit(True))
     acting = distinct.where("rows > 1").select("a", "b", "first").join(near, ["a", "b"], "full").select(
         "a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
     found = every.select("doc_id", "line_no", "a", "b").join(acting, ["a", "b"])
