@@ -29,6 +29,11 @@ def utf8(name: str) -> Column:
     return col(name).cast("binary")
 
 
+def text_mark(name: str) -> Column:
+    """Hash of a text, which tells apart rows that share an id; null is as empty."""
+    return F.xxhash64(F.coalesce(col(name).cast("string"), F.lit("")))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that only a few hundred whole texts are Python objects at a time."""
     for batch in batches:

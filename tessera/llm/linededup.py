@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is a duplicate if an earlier line, in order of (doc_id, line number), is
-equal to it or, from ``min_words`` words on, at most one edit away: one word put
+A line is a duplicate if an earlier line, in order of (doc_id, hash of the text,
+line number), is equal to it or, from ``min_words`` words on, at most one edit away: one word put
 in, left out or replaced. Lines are compared lower-cased (A-Z) with single
 blanks; lines without a word are never duplicates.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, emit, slices, utf8
+from tessera.llm.common import col, emit, slices, text_mark, utf8
 from tessera.session import materialize
 
 MIN_WORDS = 10
@@ -94,7 +94,7 @@ def _long(*parts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()),
+LINES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()),
                    ("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64())])
 
 
@@ -111,13 +111,13 @@ def _halves(words: list[bytes], ends: np.ndarray, n: np.ndarray, powers: Powers)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line with a word: its place, 128-bit hash, number of words and half keys."""
+    """One row for each line with a word: its place (doc_id, mark of the text, line number), 128-bit hash, number of words and half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for part in slices(batches, 256):
-            ids, numbers, digests, sizes, keys = [], [], [], [], [[], [], [], []]
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            ids, marks, numbers, digests, sizes, keys = [], [], [], [], [], [[], [], [], []]
+            for doc_id, mark, text in zip(*(c.to_pylist() for c in part.columns)):
                 words, n = [], []
                 for number, line in enumerate((text or b"").split(b"\n")):
                     if found := line.lower().split():
@@ -127,16 +127,17 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         digests.append(xxhash.xxh3_128_digest(b" ".join(found)))
                 if n:
                     ids += [doc_id] * len(n)
+                    marks += [mark] * len(n)
                     sizes += n
                     n = np.array(n)
                     for k, x in zip(keys, _halves(words, np.cumsum(n), n, powers)):
                         k.append(x)
             if ids:
                 ab = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield emit(LINES, ids, numbers, pa.array(ab[:, 0]), pa.array(ab[:, 1]), sizes, *(pa.array(np.concatenate(k)) for k in keys))
+                yield emit(LINES, ids, marks, numbers, pa.array(ab[:, 0]), pa.array(ab[:, 1]), sizes, *(pa.array(np.concatenate(k)) for k in keys))
 
-    return docs.select(col(id_col).cast("long"), utf8(text_col)).mapInArrow(
-        run, "doc_id long, line_no int, a long, b long, n int, k0 long, k1 long, k2 long, k3 long")
+    return docs.select(col(id_col).cast("long"), text_mark(text_col), utf8(text_col)).mapInArrow(
+        run, "doc_id long, mark long, line_no int, a long, b long, n int, k0 long, k1 long, k2 long, k3 long")
 
 
 def _partners(distinct: DataFrame, min_words: int) -> DataFrame:
@@ -174,42 +175,42 @@ def one_edit(a: bytes, b: bytes) -> bool:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, doc_id, line_no, text): the normal form of each wanted line, read at its first occurrence."""
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("first.line_no", "a", "b"))).alias("__want"))
-    found = docs.select(col(id_col).cast("long").alias("__id"), utf8(text_col).alias("__text")).join(
-        by_doc, F.col("__id").eqNullSafe(F.col("__doc"))).select("__id", "__text", "__want")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("text", pa.binary())])
+    """(a, b, doc_id, mark, line_no, text): the normal form of each wanted line, read at its first occurrence."""
+    by_doc = wanted.groupBy(F.col("first.doc_id").alias("__doc"), F.col("first.mark").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("first.line_no", "a", "b"))).alias("__want"))
+    found = docs.select(col(id_col).cast("long").alias("__id"), text_mark(text_col).alias("__mark"), utf8(text_col).alias("__text")).join(
+        by_doc, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__of"))).select("__id", "__mark", "__text", "__want")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int32()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = []
-            for doc_id, text, want in zip(*(c.to_pylist() for c in part.columns)):
+            for doc_id, mark, text, want in zip(*(c.to_pylist() for c in part.columns)):
                 all_lines = (text or b"").split(b"\n")
                 for x in want:
-                    # rows that repeat an id with another text do not hold the line
+                    # another text with the same mark may not hold the line
                     line = normal(all_lines[x["line_no"]]) if x["line_no"] < len(all_lines) else b""
                     if tuple(np.frombuffer(xxhash.xxh3_128_digest(line), "<i8").tolist()) == (x["a"], x["b"]):
-                        rows.append((x["a"], x["b"], doc_id, x["line_no"], line))
+                        rows.append((x["a"], x["b"], doc_id, mark, x["line_no"], line))
             if rows:
                 yield emit(schema, *zip(*rows))
 
-    return found.mapInArrow(run, "a long, b long, doc_id long, line_no int, text binary").dropDuplicates(["a", "b"])
+    return found.mapInArrow(run, "a long, b long, doc_id long, mark long, line_no int, text binary").dropDuplicates(["a", "b"])
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("place", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("place", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for part in slices(batches, 64):
-            found = [neighbourhood(t, powers) for t in part.column(4).to_pylist()]
+            found = [neighbourhood(t, powers) for t in part.column(5).to_pylist()]
             times = np.array([len(x[0]) for x in found])
-            own = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1, 3)]
+            own = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1, 3, 4)]
             ids = part.column(2).take(pa.array(np.repeat(np.arange(len(found)), times)))
             u, v, place = (np.concatenate(x) for x in zip(*found))
-            yield emit(schema, pa.array(u), pa.array(v), pa.array(place.astype(np.int32)), pa.array(own[0]), pa.array(own[1]), ids, pa.array(own[2].astype(np.int32)))
+            yield emit(schema, pa.array(u), pa.array(v), pa.array(place.astype(np.int32)), pa.array(own[0]), pa.array(own[1]), ids, pa.array(own[2]), pa.array(own[3].astype(np.int32)))
 
-    return texts.mapInArrow(run, "u long, v long, place int, a long, b long, doc_id long, line_no int")
+    return texts.mapInArrow(run, "u long, v long, place int, a long, b long, doc_id long, mark long, line_no int")
 
 
 def _meeting(variants: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def _meeting(variants: DataFrame) -> DataFrame:
 
 def _candidates(variants: DataFrame) -> DataFrame:
     """(a, b, c, d): line (a, b) has the earlier line (c, d) as the earliest of one of its groups."""
-    me = F.struct("doc_id", "line_no", "a", "b")
+    me = F.struct("doc_id", "mark", "line_no", "a", "b")
     mine = variants.select("u", "v", "place", me.alias("me"))
     whole, cut = mine.where("place = -1").select("u", "v", F.col("me").alias("other")), mine.where("place >= 0")
     replaced = cut.groupBy("u", "v", "place").agg(F.min("me").alias("other"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
@@ -251,15 +252,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, exact, near): for documents with duplicate lines the numbers (from 0) of those that equal an earlier
+    """(doc_id, mark, exact, near): for documents with duplicate lines the numbers (from 0) of those that equal an earlier
     line and of those that are one edit from one.
 
     Null and empty texts have no lines to compare. A null doc_id comes before
-    all others. Rows that repeat a doc_id share one answer; lines that the first
-    of them holds are not duplicates of themselves. Other columns are not read.
+    all others, and texts that share an id come in order of mark, a hash of the
+    text. Rows that repeat a doc_id and its text are one document with one answer;
+    its lines are not duplicates of themselves. Other columns are not read.
     """
     every = materialize(lines(docs, id_col, text_col), "lines")
-    distinct = every.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"),
+    distinct = every.groupBy("a", "b").agg(F.min(F.struct("doc_id", "mark", "line_no")).alias("first"), F.count("*").alias("rows"),
                                            *(F.max(k).alias(k) for k in ("n", "k0", "k1", "k2", "k3")))
     distinct = materialize(distinct, "distinct-lines")
     texts = materialize(_texts(docs, _partners(distinct, min_words), id_col, text_col), "line-texts")
@@ -268,22 +270,22 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialize(_verified(_candidates(meeting), texts), "near-lines").withColumn("near", F.lit(True))
     acting = distinct.where("rows > 1").select("a", "b", "first").join(near, ["a", "b"], "full").select(
         "a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = every.select("doc_id", "line_no", "a", "b").join(acting, ["a", "b"])
-    again = ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
-    found = found.where(F.col("near") | again).select("doc_id", F.struct("line_no", again.alias("again")).alias("x"))
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
-    return found.select("doc_id", *(F.expr(f"transform(filter(x, e -> {which} e.again), e -> e.line_no)").alias(name)
+    found = every.select("doc_id", "mark", "line_no", "a", "b").join(acting, ["a", "b"])
+    again = ~F.struct("doc_id", "mark", "line_no").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
+    found = found.where(F.col("near") | again).select("doc_id", "mark", F.struct("line_no", again.alias("again")).alias("x"))
+    found = found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    return found.select("doc_id", "mark", *(F.expr(f"transform(filter(x, e -> {which} e.again), e -> e.line_no)").alias(name)
                                     for name, which in (("exact", ""), ("near", "NOT"))))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, exact, near, n_kept) of every row of ``docs``: lines in all (a null text has none), the numbers
     of the duplicates, and how many lines stay."""
-    found = duplicate_lines(docs, id_col, text_col, min_words).withColumnRenamed("doc_id", "__doc")
-    counted = docs.select(col(id_col).cast("long").alias("doc_id"),
+    found = duplicate_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"doc_id": "__doc", "mark": "__of"})
+    counted = docs.select(col(id_col).cast("long").alias("doc_id"), text_mark(text_col).alias("__mark"),
                           F.coalesce(F.regexp_count(col(text_col).cast("string"), F.lit("\n")) + 1, F.lit(0)).cast("long").alias("n_lines"))
     none = F.array().cast("array<int>")
-    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select(
+    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__of")), "left").select(
         "doc_id", "n_lines", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
     return out.withColumn("n_kept", F.col("n_lines") - F.size("exact") - F.size("near"))
 
@@ -295,9 +297,9 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A document that had lines with words and keeps none of them goes; one that never had any stays as it is.
     """
     found = duplicate_lines(docs, id_col, text_col, min_words).select(
-        F.col("doc_id").alias("__doc"), F.concat("exact", "near").alias("__gone"))
+        F.col("doc_id").alias("__doc"), F.col("mark").alias("__of"), F.concat("exact", "near").alias("__gone"))
     at, names = docs.columns.index(text_col), docs.columns
-    joined = docs.join(found, col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left").select(*[col(c) for c in names], "__gone")
+    joined = docs.join(found, col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (text_mark(text_col) == F.col("__of")), "left").select(*[col(c) for c in names], "__gone")
     length = names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

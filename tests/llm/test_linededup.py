@@ -109,3 +109,24 @@ def test_stage_rewrites_texts(spark):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect() if r.doc_id < 5) == [
         (1, rows[0][1], 1), (2, "other line", 10), (4, "", 0)]
     assert {r.doc_id for r in out.collect()} == {1, 2, 4, 5}
+
+
+def test_rows_that_share_an_id(spark):
+    """Null ids and repeated ids with other texts: each text has its own answer, as if it had its own id."""
+    alone = [f"{w} one two three four five six seven eight nine" for w in ("ant", "bee", "cow", "dog")]
+    near = alone[0].replace("five", "5")
+    texts = ["copied", "copied\nbee", "cow", "dog\ncopied\nemu", alone[0], f"fox\n{near}", f"{near.upper()}\ngnu", alone[1].replace("one", "1 1 1")]
+    for ids in ([None] * len(texts), [5] * len(texts), [None, 5] * (len(texts) // 2)):
+        rows = list(zip(ids, texts, ["en"] * len(texts), ["s"] * len(texts), [1] * len(texts)))
+        df = cases.docs(spark, rows)
+        marks = {r.text: r.mark for r in df.select("text", linededup.text_mark("text").alias("mark")).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1]]))
+        expected = brute([(i, r[1]) for i, r in enumerate(order)])
+        answers = [expected.get(i, ([], [])) for i in range(len(order))]
+        report = linededup.line_report(df).collect()
+        n = [len(r[1].split("\n")) for r in order]
+        assert sorted(((r.doc_id, r.n_lines, r.exact, r.near, r.n_kept) for r in report), key=str) == sorted(
+            ((r[0], m, a, b, m - len(a) - len(b)) for r, m, (a, b) in zip(order, n, answers)), key=str)
+        left = ["\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in a + b) for r, (a, b) in zip(order, answers)]
+        assert sorted(r.text for r in linededup.without_duplicate_lines(df).collect()) == sorted(x for x in left if x)
+        assert sum(len(a) for a, _ in answers) >= 3 and any(b for _, b in answers)
