@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, emit, slices, utf8
+from tessera.llm.common import col, emit, slices, text_mark, utf8
 from tessera.session import materialize
 
 #: A bucket with more fingerprints than this is compared as pairs of tiles.
@@ -66,15 +66,15 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as the signed long with the same bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, mark, fp): the hash of the text, and the fingerprint as the signed long with the same bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fp = np.array([fingerprint(t, shingle, seed) for t in part.column(1).to_pylist()], np.uint64)
-            yield emit(schema, part.column(0), pa.array(fp.view(np.int64)))
+            fp = np.array([fingerprint(t, shingle, seed) for t in part.column(2).to_pylist()], np.uint64)
+            yield emit(schema, *part.columns[:2], pa.array(fp.view(np.int64)))
 
-    return docs.select(col(id_col).cast("long"), utf8(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(col(id_col).cast("long"), text_mark(text_col), utf8(text_col)).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def sliced_links(fps: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -258,6 +258,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _rooted(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: its first (no_id, doc_id, mark), null ids last, and the smallest fingerprint of its group."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+    distinct = materialize(marked.groupBy("fp").agg(first), "distinct-fingerprints")
+    group = components(links(distinct, radius))
+    return distinct.join(group, distinct.fp == group.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     radius: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
@@ -269,21 +277,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    group = components(links(distinct, radius))
-    rooted = distinct.join(group, distinct.fp == group.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = _rooted(marked, radius)
+    smallest = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Rows of ``docs`` that stay: one document of each group, that with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4,
+               seed: int = 42) -> DataFrame:
+    """Rows of ``docs`` that stay: one document of each group, that with the smallest id, null ids last, and among
+    texts that share it the one with the smallest hash.
 
-    Rows that repeat an id count as one document. All columns are kept, whatever
-    their names.
+    Rows that repeat an id and its text count as one document. All columns are
+    kept, whatever their names.
     """
-    marks = near_duplicates(docs, id_col, text_col, **how)
-    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id_col])
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    stay = _rooted(marked, radius).groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("__stay"), F.col("first.mark").alias("__of"))
+    same = col(id_col).cast("long").eqNullSafe(F.col("__stay")) & (F.col("__mark") == F.col("__of"))
+    kept = docs.withColumn("__mark", text_mark(text_col)).join(stay, same, "left_semi")
+    return kept.dropDuplicates([id_col, "__mark"]).select(*[col(c) for c in docs.columns])

@@ -107,3 +107,14 @@ def test_keep_first(spark):
     assert kept.columns == cases.docs(spark).columns
     marks = brute(cases.ROWS)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _, c in marks if i is not None and i == c})
+
+
+def test_keep_first_decides_for_each_group(spark):
+    """Null ids and repeated ids: every group keeps one document, whatever ids its rows share."""
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "ant bee cow dog elk".split()]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (9, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4])]
+    kept = simhash.keep_first(cases.docs(spark, [(*r, "en", "s", 1) for r in rows]))
+    fps = [slow_fingerprint(t) for t in texts]
+    assert min((a ^ b).bit_count() for a in fps for b in fps if a != b) > 4
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, texts[0]), (None, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4])], key=str)
