@@ -3,12 +3,12 @@
 Candidates are found in every whole text: values assigned to a credential word,
 access keys, long hex runs, and bare tokens that look random. The hash of each
 value is aggregated over the corpus by distinct repositories and owners. A value
-that many owners hold is a copied example; one that a single owner holds and
-that looks random is a live-looking credential of that owner; the rest is
-shared. A bare token becomes a finding if its value stands in a credential's
+that many owners or many repositories hold is a copied example; one that a single
+owner holds in few repositories and that looks random is a live-looking credential
+of that owner; the rest is shared. A bare token becomes a finding if its value stands in a credential's
 place somewhere in the corpus, or if it is live-looking itself.
 
-Partial counts are one row per value and owner before any value's rows meet, and
+Partial counts are one row per value, owner and repository, then one per value and owner, before any value's rows meet, and
 findings go back to their texts by a join that Spark can split.
 """
 
@@ -38,6 +38,8 @@ TOKEN = re.compile(rb"[A-Za-z0-9+/_-]{20,}")
 WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 #: From so many owners on a value is an example.
 EXAMPLE_OWNERS = 3
+#: From so many distinct repositories on a value is an example, even with one owner.
+EXAMPLE_REPOSITORIES = 10
 #: Bits a character from which a value looks random.
 ENTROPY = 3.0
 
@@ -80,7 +82,7 @@ def find(text: bytes) -> list[tuple[int, int, int, bytes]]:
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
     """One row per text: its base counts and digest, and its candidates as an array."""
     item = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
-                      ("live", pa.bool_()), ("once", pa.bool_())])
+                      ("live", pa.bool_())])
     schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.string()), ("mark", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()),
                         ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("found", pa.list_(item))])
 
@@ -89,7 +91,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
             rows = []
             for text in part.column(3).to_pylist():
                 text = text or b""
-                found, items, seen, byte, point = find(text), [], set(), 0, 0
+                found, items, byte, point = find(text), [], 0, 0
                 points = {}
                 for at in sorted({x for f in found for x in (f[0], f[2])}):  # offsets in code points
                     point += at - byte if text.isascii() else len(text[byte:at].decode("utf-8", "replace"))
@@ -98,8 +100,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
                 for start, kind, end, value in found:
                     a, b = np.frombuffer(xxhash.xxh3_128_digest(value), "<i8").tolist()
                     items.append({"start": points[start], "kind": kind, "end": points[end], "a": a, "b": b,
-                                  "live": looks_live(value), "once": value not in seen})
-                    seen.add(value)
+                                  "live": looks_live(value)})
                 base = ",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in items if x["kind"] < 3)
                 n = Counter(x["kind"] for x in items)
                 rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), items))
@@ -108,21 +109,23 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFra
     mark = F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")))
     return docs.select(col(id_col).cast("long"), F.coalesce(col(owner_col).cast("string"), F.lit("")), mark, utf8(text_col)).mapInArrow(
         run, "doc_id long, owner string, mark long, n_assign long, n_access long, n_hex long, base_sha256 string, "
-             "found array<struct<start:long,kind:int,end:long,a:long,b:long,live:boolean,once:boolean>>")
+             "found array<struct<start:long,kind:int,end:long,a:long,b:long,live:boolean>>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(a, b, repositories, owners, keyed): per value hash the texts and owners that hold it, and whether it ever stands in a credential's place."""
-    by_owner = found.groupBy("a", "b", "owner").agg(F.sum(F.col("once").cast("long")).alias("texts"), F.max(F.col("kind") < 2).alias("keyed"))
+    """(a, b, repositories, owners, keyed): per value hash the distinct texts (doc_id, mark) of each owner and the owners
+    that hold it, and whether it ever stands in a credential's place."""
+    by_text = found.groupBy("a", "b", "owner", "doc_id", "mark").agg(F.max(F.col("kind") < 2).alias("keyed"))
+    by_owner = by_text.groupBy("a", "b", "owner").agg(F.count("*").alias("texts"), F.max("keyed").alias("keyed"))
     return by_owner.groupBy("a", "b").agg(F.sum("texts").alias("repositories"), F.count("*").alias("owners"), F.max("keyed").alias("keyed"))
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-             example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+             example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, found) of every row of ``docs``.
 
     Each text is a repository of its own, ``owner_col`` its owner; a null owner
-    counts as one owner without a name. found holds kind, span (code points, end
+    counts as one owner without a name, and repeated rows as one text. found holds kind, span (code points, end
     exclusive), repositories, owners and verdict (live, example or shared), or is
     null without any.
     Null and empty texts have no findings. Repeated rows get equal answers, an
@@ -131,7 +134,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     scanned = materialize(scan(docs, id_col, text_col, owner_col), "candidates")
     each = scanned.select("doc_id", "owner", "mark", F.explode("found").alias("x")).select("doc_id", "owner", "mark", "x.*")
     held = ownership(each)
-    verdict = (F.when(F.col("owners") >= example_owners, F.lit("example"))
+    verdict = (F.when((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories), F.lit("example"))
                .when(F.col("live") & (F.col("owners") == 1), F.lit("live")).otherwise(F.lit("shared")))
     judged = each.join(held, ["a", "b"]).withColumn("verdict", verdict).where((F.col("kind") < 3) | F.col("keyed") | (F.col("verdict") == "live"))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)

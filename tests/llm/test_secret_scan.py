@@ -62,3 +62,13 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert found[13].spans == f"token:5:{5 + len(COPIED)}" and found[13].n_example == 1 and found[13].found[0].owners == 5
     assert found[14].n_live == 0 and found[14].n_assign == 1 and "token" not in found[14].spans
     assert found[15].spans == "" and found[16].spans == ""  # a random string of two owners that never stood as a credential
+
+
+def test_many_texts_of_one_owner_are_copies(spark):
+    n = secret_scan.EXAMPLE_REPOSITORIES
+    rows = [(i, f"password = {COPIED} in {i}", "en", "me", 1) for i in range(n)] + [(100 + i, f"bare {BARE} in {i}", "en", "me", 1) for i in range(n)]
+    rows += [(200, f"token: {LIVE}", "en", "me", 1)] * n + [(201, f"token: {LIVE} or {LIVE}", "en", "me", 1)]
+    found = {r.doc_id: r for r in secret_scan.findings(cases.docs(spark, rows)).collect()}
+    assert all((found[i].n_example, found[i].n_live, found[i].found[0].repositories, found[i].found[0].owners) == (1, 0, n, 1) for i in range(n))
+    assert all(found[100 + i].spans == "" for i in range(n))  # a string that many texts hold and that never stood as a credential
+    assert found[200].n_live == 1 and found[201].n_live == 2 and found[200].found[0].repositories == 2  # repeated rows are one text
