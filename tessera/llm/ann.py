@@ -136,6 +136,10 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(F.coalesce("vec", F.array().cast("array<double>")), lambda x: x != 0))
 
 
+def once(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5,
                probes: float = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id ``every`` divides its k nearest by cosine.
@@ -143,18 +147,20 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     All other vectors are candidates; ties go to the smaller id, and fewer than
     k candidates give as many rows. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do those whose length is not the most
-    frequent one, or rows without an id. Rows that repeat an id count once. An
-    empty table gives an empty result; other columns are not read.
+    frequent one, or rows without an id. Rows that repeat an id count once, with
+    the least of their vectors that take part. An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     taking = valid(vectors, id_col, vector_col)
-    lengths = taking.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    lengths = taking.select("vec_id", F.size("vec").alias("n")).distinct().groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
     if lengths is None:
         return spark.createDataFrame([], schema)
     dims = lengths.n
     taking = taking.where(F.size("vec") == dims)
-    sample = taking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    # one row per id before anything is cut to k or to the sample: of rows that repeat it, that with the least vector
+    picked = taking.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = once(taking.join(F.broadcast(picked), "vec_id", "left_semi")).orderBy(F.xxhash64("vec_id"), "vec_id").toArrow()
     index = Index.fit(sample["vec_id"].to_numpy(), _matrix(sample["vec"].combine_chunks(), dims))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +169,7 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             yield emit(out, pa.array(index.lists_of(_matrix(part.column(1), dims))), *part.columns)
 
     batch_schema = [("vec_id", pa.int64()), ("vec", pa.list_(pa.float64()))]
-    assigned = materialize(taking.mapInArrow(assign, "list int, vec_id long, vec array<double>"), "assigned")
+    assigned = materialize(once(taking).mapInArrow(assign, "list int, vec_id long, vec array<double>"), "assigned")
     sizes = {r["list"]: r["count"] for r in assigned.groupBy("list").count().collect()}  # a row per list
 
     # candidates: blocks of bytes; a large list is dealt to several tasks

@@ -78,6 +78,20 @@ def test_few_and_odd_vectors(spark):
     assert ann.neighbours(spark.createDataFrame([(0, [1.0], 0)], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("seeds", [ann.SEEDS, 3])
+def test_repeated_rows_take_no_places(spark, monkeypatch, seeds):
+    monkeypatch.setattr(ann, "SEEDS", seeds)
+    ids, x = clustered(300)
+    x[7], x[8] = x[0] + .001, x[50] + .001
+    again = np.concatenate([ids, [7] * 12, [8] * 12, [0] * 3])
+    found, true = got(ann.neighbours(frame(spark, again, x[again]), probes=1)), brute(ids, x)
+    assert {q: [j for j, _ in v] for q, v in found.items()} == {q: [j for j, _ in v] for q, v in true.items()}
+    other = [(7, [9.0] * 32, 0), (7, [-9.0] * 32, 0)]  # of different vectors the least one counts
+    x[7] = -9.0
+    df = frame(spark, ids[ids != 7], x[ids != 7]).union(spark.createDataFrame(other, SCHEMA))
+    assert {q: [j for j, _ in v] for q, v in got(ann.neighbours(df, probes=1)).items()} == {q: [j for j, _ in v] for q, v in brute(ids, x).items()}
+
+
 def test_squares_out_of_range():
     x, y = np.array([[1e200, 1e200], [1e-200, 0]]), np.array([[1e200, 0], [1e-200, 1e-200]])
     assert ann.cosines(x, y) == pytest.approx([.5 ** .5, .5 ** .5])
