@@ -52,6 +52,18 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
             .drop("_salt", "_r1"))
 
 
+def occurrences(counts: DataFrame, keys: list[str], count: str, at_once: int = 1024) -> DataFrame:
+    """One row per copy of counted rows: ``keys`` and the copy's number ``_occ``
+    from 0. A hot row is dealt out in runs of ``at_once`` copies, so that its
+    copies are made by many tasks."""
+    runs = F.floor((F.col(count) - 1) / at_once).cast("long")
+    dealt = counts.select(*keys, count, F.explode(F.sequence(F.lit(0).cast("long"), runs)).alias("_run"))
+    dealt = dealt.repartition(*keys, "_run")
+    start = F.col("_run") * at_once
+    end = F.least(start + at_once, F.col(count)) - 1
+    return dealt.select(*keys, F.explode(F.sequence(start, end)).alias("_occ"))
+
+
 def modes(df: DataFrame, cols: list[str], as_string: bool = True) -> DataFrame:
     """(column_name, mode, mode_count): most frequent non-NULL value per
     column, the smallest value among ties. Counting is a shuffled groupBy and

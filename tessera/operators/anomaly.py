@@ -4,9 +4,10 @@ Isolation Forest (Liu, Ting & Zhou 2008), library defaults: 100 trees, each
 grown on 256 rows sampled without replacement, random feature and random
 split between the node's min and max, depth limit ceil(log2 256) = 8.
 
-* Sampling: each row joins tree t when a seeded hash of (t, row) falls under
-  a rate giving ~4x256 candidates per tree; the 256 smallest hashes per tree
-  are kept (salted top-k). Nothing is gathered beyond 100 x 256 rows.
+* Sampling: rows collapse to (row, count); each copy joins tree t when a seeded
+  hash of (t, row, number of the copy) falls under a rate giving ~4x256
+  candidates per tree, so copies join independently of each other; the 256
+  smallest hashes per tree are kept (salted top-k). Nothing is gathered beyond 100 x 256 rows.
 * Building: ``groupBy(tree).applyInPandas`` grows the trees in parallel.
 * Scoring: the forest is at most 100 x 511 nodes by construction — a proven
   size bound — so it is collected once and shipped to a ``mapInPandas``
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.longform import top_k_per_group
+from tessera.functions.longform import occurrences, top_k_per_group
 from tessera.functions.ranks import exact_quantiles
 from tessera.operators import eda
 from tessera.operators.knn import lof_flags
@@ -82,18 +83,21 @@ def build_forest(df: DataFrame, cols: list[str], n_trees: int = N_TREES, max_sam
                  seed: int = SEED) -> DataFrame:
     """The forest as node rows (tree, node, feature, threshold, left, right,
     size, depth, leaf)."""
-    d = df.dropna(subset=cols).select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    n = d.count()
+    xs = [f"x{i}" for i in range(len(cols))]
+    # grouping takes 0.0 and -0.0 as one value
+    d = df.dropna(subset=cols).select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(cols, xs)]).groupBy(*xs).agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    n = d.agg(F.coalesce(F.sum("_cnt"), F.lit(0))).first()[0]
     psi = min(max_samples, n)
     rate = min(1.0, 4.0 * psi / max(n, 1))
-    d = d.withColumn("_rh", F.xxhash64(F.lit(seed), *[F.col(f"x{i}") for i in range(len(cols))]))
-    # per (tree, row) a 63-bit hash; keep candidates under the rate, a bound of the same 63 bits
+    d = occurrences(d, xs, "_cnt")
+    # per (tree, copy) a 63-bit hash; keep candidates under the rate, a bound of the same 63 bits
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    th = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_rh"), *[F.col(f"x{i}") for i in range(len(cols))]), 1)
+    th = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_occ"), *[F.col(x) for x in xs]), 1)
     cand = d.select("*", F.explode(F.filter(trees, lambda t: th(t) <= sample_bound(rate))).alias("tree"))
     cand = cand.withColumn("_h", th(F.col("tree")))
-    sample = top_k_per_group(cand, ["tree"], [F.col("_h"), *[F.col(f"x{i}") for i in range(len(cols))]], psi,
-                             salt_on=F.col("_h")).drop("_h", "_rh", "rank")
+    sample = top_k_per_group(cand, ["tree"], [F.col("_h"), *[F.col(x) for x in xs], F.col("_occ")], psi,
+                             salt_on=F.col("_h")).drop("_h", "_occ", "rank")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     k = len(cols)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import col, fixed, safe_corr, strength
-from tessera.functions.longform import top_k_per_group
+from tessera.functions.longform import occurrences, top_k_per_group
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.ranks import value_ranks
 from tessera.functions.special import f_pvalue, norm_cdf, norm_ppf, t_pvalue
@@ -200,16 +200,16 @@ def shapiro(df: DataFrame, cols: list[str], alpha: float = 0.05, max_n: int = 50
             seed: int = 42) -> DataFrame:
     """Shapiro-Wilk per column on at most ``max_n`` non-NULL values; when a
     column has more, the sample is the ``max_n`` values with the smallest
-    seeded hash (deterministic, salted top-k — no column is ever gathered
+    seeded hash of value and number of the copy, so that copies are drawn
+    independently (deterministic, salted top-k — no column is ever gathered
     whole). Columns: column_name, n, statistic, p_value, is_significant,
     interpretation."""
-    keyed = normalize_nulls(df).select(*[col(c) for c in cols],
-                                       F.xxhash64(F.lit(seed), *[col(c) for c in df.columns]).alias("_h"))
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("value")) for c in cols])
-    long = (keyed.select(F.explode(arr).alias("kv"), "_h")
-            .select("kv.column_name", "kv.value", F.xxhash64("_h", "kv.column_name").alias("_h"))
-            .where(F.col("value").isNotNull()))
-    sample = top_k_per_group(long, ["column_name"], [F.col("_h"), F.col("value")], max_n,
+    counts = (normalize_nulls(df).select(F.explode(arr).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
+              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_cnt")))
+    long = occurrences(counts, ["column_name", "value"], "_cnt").withColumn(
+        "_h", F.xxhash64(F.lit(seed), "column_name", "value", "_occ"))
+    sample = top_k_per_group(long, ["column_name"], [F.col("_h"), F.col("value"), F.col("_occ")], max_n,
                              salt_on=F.col("_h")).select("column_name", "value")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -84,3 +84,29 @@ def test_forest_sample_is_never_empty():
     for n in (10 ** 6, 10 ** 9, 10 ** 12, 10 ** 15):
         expected = n * (sample_bound(4 * 256 / n) + 1) / 2 ** 63
         assert expected == pytest.approx(1024, rel=0.01)
+
+
+def test_copies_join_a_tree_independently(spark):
+    """A third of the rows is one row, the rest 49 kinds: every tree draws its full sample, with a third of the hot row."""
+    n = 15_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") % 49 + 1.0).alias("x"))
+    nodes = anomaly.build_forest(df, ["x"]).toPandas()
+    assert nodes.loc[nodes["node"] == 0, "size"].tolist() == [256] * anomaly.N_TREES
+    left = nodes[nodes["leaf"] & nodes["size"].between(55, 120)].groupby("tree").size()  # copies of the hot row end in one leaf
+    assert len(left) >= 95
+    scores = {r["x"]: r["score"] for r in anomaly.isolation_scores(df, ["x"]).distinct().collect()}
+    assert len(scores) == 50
+
+
+def test_occurrences_number_every_copy(spark):
+    from tessera.functions.longform import occurrences
+    df = spark.createDataFrame([("a", 1), ("b", 7), (None, 8), ("c", 3000)], "k string, n long")
+    got = occurrences(df, ["k"], "n", 4).groupBy("k").agg(F.sort_array(F.collect_list("_occ")).alias("o")).collect()
+    assert {r["k"]: r["o"] for r in got} == {"a": [0], "b": list(range(7)), None: list(range(8)), "c": list(range(3000))}
+
+
+def test_shapiro_sample_draws_copies_independently(spark):
+    from tessera.operators.stats import shapiro
+    df = spark.range(4000).select((F.col("id") % 20).cast("double").alias("x"))
+    row = shapiro(df, ["x"], max_n=100).first()
+    assert row["n"] == 100 and .9 < row["statistic"] < .99  # all 200 copies of one value gave no statistic
