@@ -51,6 +51,13 @@ _NEVER = 1 << 62
 _WIDTHS = (8, 16, 32)  # bytes of the pieces that are merged side by side; longer ones are merged alone
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies show for each byte: itself if printable, else one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
 class Tokenizer:
     """A word-end BPE tokenizer read from its JSON description."""
 
@@ -63,7 +70,7 @@ class Tokenizer:
             self.tokens[i] = token
         # left id << 32 | right id -> rank << 32 | merged id
         self.merges = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(spec["model"]["merges"])}
-        shown = self._byte_letters()
+        shown = byte_letters()
         self.inner = [vocab[shown[b]] for b in range(256)]
         self.last = [vocab[shown[b] + self.end] for b in range(256)]
         self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
@@ -74,13 +81,6 @@ class Tokenizer:
         self.split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(PIECES), "removed", invert=True)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
 
-    @staticmethod
-    def _byte_letters() -> list[str]:
-        """The letter that byte-level vocabularies show for each byte: itself if printable, else one from 256 on."""
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        other = iter(range(256, 512))
-        return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-
     def words(self, text: str) -> list[str]:
         """The normalized words of a text without special tokens.
 
