@@ -1,70 +1,48 @@
-"""Exact k-nearest-neighbour search without an all-pairs join.
+"""Exact k-nearest-neighbour search by a metric partition.
 
 Points are first collapsed to distinct vectors with a multiplicity, so a
 value repeated by a third of all rows is one point; a point is known by its
-vector itself, not by a hash of it. Distinct reference points are ordered along
-their principal direction u (covariance from one aggregate; only the d×d matrix
-reaches the driver), points of equal projection by their vector, and cut into
-buckets of ``bucket_size`` consecutive points by their exact distributed
-position. Bucket numbers are dense, so the next unexamined bucket always exists.
-
-A query first looks only at the buckets within ``radius`` of its own. The
-answer is *proved* exact when the projected gap to the nearest unexamined
-bucket is at least the k-th distance found (projection never increases
-distances). Unproved queries go round again with a doubled radius; every
-round is a bounded equi-join on bucket ids, and the loop ends when every
-query is proved (at worst when the radius spans all buckets). For data of
-low intrinsic dimension a query is proved after one or two rounds, so the
-work stays near-linear; for isotropic high-dimensional data the radius
-grows, which is the inherent cost of exact search there.
+vector itself, not by a hash of it.
+
+1. Pivots are a hash sample of the distinct points, about one for ``cell_size``
+   of them and at most ``MAX_PIVOTS``. Every point belongs to the cell of its
+   nearest pivot; a cell is known by its pivot, its least and greatest distance
+   from it and its weight (one row a pivot on the driver).
+2. A query has a first bound from these rows alone: the cells whose farthest
+   points are nearest hold k points within it. It searches its own cell, which
+   tightens the bound.
+3. By the triangle inequality a cell can hold a closer point only if the
+   bound reaches its ring around the pivot and the plane between its pivot and
+   the query's own. The query visits these cells, and no others: two rounds,
+   whatever the data, and the answer is exact.
+
+A cell is searched in blocks of at most ``BLOCK`` points and ``CHUNK`` queries
+(hashed, so a dense cell is many tasks). Inside a block only points whose
+distance from the pivot differs from the query's by no more than the bound are
+compared, and at most k points (one more if a query may meet itself) leave it
+for each query. The cost is near-linear for data of low intrinsic dimension;
+for isotropic high-dimensional data the bounds exclude fewer cells, which is
+the inherent cost of exact search there.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.colstats import comoments
-from tessera.functions.ranks import exact_quantiles, value_positions
-from tessera.session import ensure_checkpoint_dir, scratch_path
-
-_INF = float("inf")
-
-
-def _dot(vec, u: list[float]):
-    """x·u unrolled into plain arithmetic (stays in generated code)."""
-    e = F.lit(0.0)
-    for i, x in enumerate(u):
-        e = e + vec[i] * F.lit(float(x))
-    return e
+from tessera.functions.ranks import exact_quantiles
+from tessera.session import materialize
 
-
-def _dist(a, b, dim: int):
-    """Euclidean distance, unrolled over the known dimension."""
-    e = F.lit(0.0)
-    for i in range(dim):
-        d = a[i] - b[i]
-        e = e + d * d
-    return F.sqrt(e)
-
-
-def principal_direction(points: DataFrame, dim: int, w: str = "w") -> list[float]:
-    """Leading eigenvector of the covariance of the distinct points' ``vec``
-    (weighted by multiplicity). Co-moments come from numpy partials per
-    Arrow batch summed by Spark; only the d×d matrix reaches the driver."""
-    cols = points.select(*[F.col("vec")[i].cast("double").alias(f"c{i}") for i in range(dim)],
-                         F.col(w).cast("double").alias("_w"))
-    # replicate weights by scaling: Σ w·x and Σ w·x·xᵀ via sqrt(w)-scaled rows
-    scaled = cols.select(*[(F.col(f"c{i}") * F.sqrt("_w")).alias(f"c{i}") for i in range(dim)],
-                         F.sqrt("_w").alias(f"c{dim}"))
-    mom = comoments(scaled, dim + 1, [0.0] * (dim + 1))
-    sab = mom["sab"]
-    n = sab[dim, dim]                       # Σ w
-    s1 = sab[:dim, dim]                     # Σ w·x
-    cov = sab[:dim, :dim] / n - np.outer(s1 / n, s1 / n)
-    vals, vecs = np.linalg.eigh(cov)
-    return [float(x) for x in vecs[:, int(np.argmax(vals))]]
+#: Pivots, and rows of cell statistics, that the driver and each task hold.
+MAX_PIVOTS = 4096
+BLOCK = 8192
+CHUNK = 4096
+#: Relative slack of the bounds, far above rounding: they only exclude.
+_SLACK = 1e-9
+_GRID = 1 << 20  # distances computed at a time
 
 
 def distinct_points(df: DataFrame, vec_col: str, extra: list[str] | None = None) -> DataFrame:
@@ -75,72 +53,213 @@ def distinct_points(df: DataFrame, vec_col: str, extra: list[str] | None = None)
     return g.select(pid.alias("pid"), "vec", *extra, "w")
 
 
+def _matrix(column, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances between the rows of a and b, summed dimension by dimension."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        d = a[:, i, None] - b[None, :, i]
+        out += d * d
+    return np.sqrt(out)
+
+
+class Cells:
+    """The pivots with their cells' rings and weights: what a task needs to place points and to bound queries."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, n = pivots, len(pivots)
+        self.between = _distances(pivots, pivots)
+        self.low, self.high, self.weight, self.count = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
+
+    def place(self, vecs: np.ndarray):
+        """(rows, distances to all pivots) in slices of bounded size."""
+        step = max(1, _GRID // len(self.pivots))
+        for at in range(0, len(vecs), step):
+            yield slice(at, at + step), _distances(vecs[at: at + step], self.pivots)
+
+    def first_bound(self, far: np.ndarray, k: int) -> np.ndarray:
+        """Within it lie k points: cells in order of their farthest possible point, until their weight is k."""
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(self.weight[order], axis=1) >= k
+        first = enough.argmax(axis=1)
+        bound = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
+        return np.where(enough[np.arange(len(far)), first], bound, np.inf)
+
+    def within_reach(self, d: np.ndarray, own: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which cells can hold a point no farther than ``bound`` (one row per query)."""
+        bound = bound[:, None] * (1 + _SLACK) + _SLACK
+        mine = d[np.arange(len(d)), own][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d * d - mine * mine) / (2 * self.between[own])
+        plane[np.arange(len(d)), own] = -np.inf  # no plane before the own cell
+        slack = _SLACK * (1 + d)
+        return (self.count > 0) & (plane - slack <= bound) & (d - self.high - slack <= bound) & (self.low - d - slack <= bound)
+
+
+def _pivots(refs: DataFrame, dim: int, n: int, cell_size: int) -> np.ndarray:
+    wanted = int(min(MAX_PIVOTS, max(1, -(-n // cell_size))))
+    rows = refs.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
+    return np.array([r["vec"] for r in rows], np.float64).reshape(-1, dim)
+
+
+def _placed(df: DataFrame, cells: Cells, k: int | None = None) -> DataFrame:
+    """``df`` plus its cell and the distance to that pivot; with ``k`` also the first bound."""
+    dim = cells.pivots.shape[1]
+    added = [("cell", T.IntegerType()), ("pd", T.DoubleType())] + ([("bound", T.DoubleType())] if k else [])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
+
+    def run(batches):
+        for batch in batches:
+            vecs = _matrix(batch.column(batch.schema.get_field_index("vec")), dim)
+            cell, pd, bound = np.zeros(len(vecs), np.int32), np.zeros(len(vecs)), np.zeros(len(vecs))
+            for rows, d in cells.place(vecs):
+                cell[rows] = own = d.argmin(axis=1)
+                pd[rows] = d[np.arange(len(d)), own]
+                if k:
+                    bound[rows] = cells.first_bound(d + cells.high, k)
+            extra = [pa.array(cell), pa.array(pd)] + ([pa.array(bound)] if k else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _visits(queries: DataFrame, cells: Cells) -> DataFrame:
+    """A row for every query and every cell but its own that its bound reaches; ``pd`` is the distance to that cell's pivot."""
+    dim = cells.pivots.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            vecs = _matrix(batch.column(batch.schema.get_field_index("vec")), dim)
+            own, bound = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "bound"))
+            for rows, d in cells.place(vecs):
+                reach = cells.within_reach(d, own[rows], bound[rows])
+                reach[np.arange(len(d)), own[rows]] = False
+                row, cell = np.nonzero(reach)
+                for at in range(0, len(row), 1 << 16):
+                    some, c = row[at: at + (1 << 16)], cell[at: at + (1 << 16)]
+                    part = batch.take(pa.array(some + rows.start))
+                    new = {"cell": pa.array(c.astype(np.int32)), "pd": pa.array(d[some, c])}
+                    yield pa.RecordBatch.from_arrays([new.get(n, part.column(i)) for i, n in enumerate(part.schema.names)], names=part.schema.names)
+
+    return queries.mapInArrow(run, queries.schema)
+
+
+def block_best(q: np.ndarray, q_pd: np.ndarray, bound: np.ndarray, r: np.ndarray, r_pd: np.ndarray, w: np.ndarray, k: int):
+    """(query rows, point rows, distances): for each query its nearest points of a block up to weight k, none beyond its bound.
+
+    Points are in order of their ids, and so are points of equal distance.
+    """
+    by_pd = np.argsort(r_pd, kind="stable")
+    ring, slack = r_pd[by_pd], _SLACK * (1 + q_pd)
+    reach = bound * (1 + _SLACK) + slack
+    low, high = np.searchsorted(ring, q_pd - reach - slack, "left"), np.searchsorted(ring, q_pd + reach + slack, "right")
+    found: list[tuple] = []
+    order = np.argsort(low, kind="stable")
+    at = 0
+    while at < len(order):
+        some, top = [order[at]], high[order[at]]
+        while at + len(some) < len(order) and (len(some) + 1) * (max(top, high[order[at + len(some)]]) - low[some[0]]) <= _GRID:
+            top = max(top, high[order[at + len(some)]])
+            some.append(order[at + len(some)])
+        at += len(some)
+        near = np.sort(by_pd[low[some[0]]: top])
+        if not len(near):
+            continue
+        for i, d in zip(some, _distances(q[some], r[near])):
+            if len(d) > k:  # every point weighs one at least: the k-th distance and its ties are enough
+                keep = np.flatnonzero(d <= min(np.partition(d, k - 1)[k - 1], reach[i]))
+            else:
+                keep = np.flatnonzero(d <= reach[i])
+            keep = keep[np.argsort(d[keep], kind="stable")]
+            before = np.cumsum(w[near[keep]]) - w[near[keep]]
+            keep = keep[before < k]
+            found.append((np.full(len(keep), i), near[keep], d[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _search(queries: DataFrame, refs: DataFrame, cells: Cells, k: int, payload: list[str]) -> DataFrame:
+    """(qid, pid, *payload, dist, w, cell, block): the block searches of queries placed in cells."""
+    spark, dim = refs.sparkSession, cells.pivots.shape[1]
+    asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+    rows = [(int(c), int(-(-cells.count[c] // BLOCK)), int(-(-n // CHUNK))) for c, n in asked.items()]
+    layout = F.broadcast(spark.createDataFrame(rows, "cell int, blocks int, chunks int"))
+    q = queries.join(layout, "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+    q = q.select("qid", "vec", "pd", "bound", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    r = refs.join(layout, "cell").withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
+    r = r.select(F.col("pid"), F.col("vec").alias("rvec"), F.col("pd").alias("rpd"), *payload, "w", F.col("cell").alias("rcell"),
+                 F.col("block").alias("rblock"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("rchunk"))
+    fields = [T.StructField("qid", queries.schema["qid"].dataType), T.StructField("pid", refs.schema["pid"].dataType), *(refs.schema[p] for p in payload),
+              T.StructField("dist", T.DoubleType()), T.StructField("w", T.LongType()), T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())]
+    schema = T.StructType(fields)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = schema.names
+        if not left.num_rows or not right.num_rows:
+            i = j = np.zeros(0, np.int64)
+            dist, weight = np.zeros(0), np.zeros(0, np.int64)
+        else:
+            vecs = _matrix(right.column("rvec"), dim)
+            extra = [np.array(right.column(p).to_pylist(), dtype=object) for p in reversed(payload)]
+            ranked = [np.unique(x.astype(str) if any(not isinstance(v, (int, float)) for v in x) else x.astype(float), return_inverse=True)[1] for x in extra]
+            right = right.take(pa.array(np.lexsort([*ranked, *(vecs[:, d] for d in reversed(range(dim)))])))
+            vecs, weights = _matrix(right.column("rvec"), dim), right.column("w").to_numpy()
+            i, j, dist = block_best(_matrix(left.column("vec"), dim), left.column("pd").to_numpy(), left.column("bound").to_numpy(),
+                                    vecs, right.column("rpd").to_numpy(), weights, k)
+            weight = weights[j]
+        columns = [left.column("qid").take(pa.array(i)), right.column("pid").take(pa.array(j)), *(right.column(p).take(pa.array(j)) for p in payload),
+                   pa.array(dist), pa.array(weight, pa.int64()), pa.array(np.full(len(i), key[0].as_py(), np.int32)), pa.array(np.full(len(i), key[1].as_py(), np.int32))]
+        return pa.table(columns, names=names)
+
+    return q.groupBy("cell", "block", "chunk").cogroup(r.groupBy("rcell", "rblock", "rchunk")).applyInArrow(run, schema)
+
+
+def _nearest(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """``found`` cut to the k nearest copies of every query; ``c`` of a point's copies are among them."""
+    weight = F.col("w") - F.when(F.col("qid") == F.col("pid"), 1).otherwise(0) if exclude_self else F.col("w")
+    left = found.withColumn("w", weight).where("w > 0")
+    win = Window.partitionBy("qid").orderBy("dist", "pid").rowsBetween(Window.unboundedPreceding, -1)
+    top = left.withColumn("_before", F.coalesce(F.sum("w").over(win), F.lit(0))).where(F.col("_before") < k)
+    return top.withColumn("c", F.least(F.col("w"), F.lit(k) - F.col("_before"))).drop("_before", "w", "cell", "block")
+
+
 def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_self: bool = False,
-               bucket_size: int = 256, payload: list[str] | None = None) -> DataFrame:
+               cell_size: int = 512, payload: list[str] | None = None) -> DataFrame:
     """Exact weighted kNN.
 
-    queries: (qid, vec); refs: (pid, vec, w, *payload). Returns
-    (qid, pid, dist, c, *payload) where ``c`` is the number of copies of
-    reference point ``pid`` among the k nearest (sum of c per qid = k, or
-    all reference weight when there is less). With ``exclude_self`` a query
-    whose qid equals a pid does not count one copy of itself (training-set
-    neighbours, as in LOF).
+    queries: (qid, vec), a row per qid; refs: (pid, vec, w, *payload) with pid the
+    vector, or a struct of it and the payload. Returns (qid, pid, *payload,
+    dist, c) where ``c`` is the number of copies of reference point ``pid`` among
+    the k nearest (sum of c per qid = k, or all reference weight when there is
+    less); points of equal distance are taken in order of pid. With
+    ``exclude_self`` a query whose qid equals a pid does not count one copy of
+    itself (training-set neighbours, as in LOF). No references or no queries
+    give an empty result.
     """
     payload = payload or []
-    spark = refs.sparkSession
-    ensure_checkpoint_dir(spark)
-    u = principal_direction(refs, dim)
-    r = refs.withColumn("proj", _dot(F.col("vec"), u))
-    q = queries.withColumn("proj", _dot(F.col("vec"), u))
-    # position among distinct reference points in order of (projection, point); queries have weight 0 and come first
-    # among points of their own projection
-    key = lambda pid: F.struct("proj", pid.alias("pid"))
-    both = (r.select(key(F.col("pid")).alias("v"), F.lit(1.0).alias("_w"))
-            .unionByName(q.select(key(F.lit(None).cast(r.schema["pid"].dataType)).alias("v"), F.lit(0.0).alias("_w"))))
-    pos = value_positions(both, "v", "_w").select(F.col("v.proj").alias("proj"), F.col("v.pid").alias("pid"), "before")
-    bucket = F.floor(F.col("before") / bucket_size).cast("long").alias("bucket")
-    r = r.join(pos.where("pid IS NOT NULL").select("pid", bucket), "pid")
-    q = q.join(pos.where("pid IS NULL").select("proj", bucket), "proj")
-    ext = r.groupBy("bucket").agg(F.min("proj").alias("lo"), F.max("proj").alias("hi"))
-    stats = r.agg(F.max("bucket").alias("maxb"), F.sum("w").alias("total_w")).first()
-    # positions of distinct points are consecutive: buckets 0..maxb all hold points
-    maxb, total_w = int(stats["maxb"] if stats["maxb"] is not None else 0), float(stats["total_w"] or 0)
-    need = float(min(k, total_w - (1 if exclude_self else 0)))
-    r = r.checkpoint(eager=True)
-    pending = q.select("qid", "vec", "proj", F.least("bucket", F.lit(maxb)).alias("bucket")).checkpoint(eager=True)
-    out_path = scratch_path(spark, "knn")
-    radius = 1
-    while True:
-        cand = pending.withColumn("cb", F.explode(F.sequence(F.col("bucket") - radius, F.col("bucket") + radius)))
-        cand = cand.where((F.col("cb") >= 0) & (F.col("cb") <= maxb))
-        pairs = cand.alias("q").join(r.alias("r"), F.col("q.cb") == F.col("r.bucket")).select(
-            F.col("q.qid").alias("qid"), F.col("r.pid").alias("pid"), *[F.col(f"r.{p}") for p in payload],
-            _dist(F.col("q.vec"), F.col("r.vec"), dim).alias("dist"),
-            (F.col("r.w") - F.when(F.col("q.qid") == F.col("r.pid"), 1).otherwise(0) if exclude_self else F.col("r.w")).alias("w"))
-        pairs = pairs.where(F.col("w") > 0)
-        win = Window.partitionBy("qid").orderBy("dist", "pid")
-        before = F.coalesce(F.sum("w").over(win.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        top = pairs.withColumn("_before", before).where(F.col("_before") < k)
-        top = top.withColumn("c", F.least(F.col("w"), F.lit(k) - F.col("_before"))).drop("_before", "w")
-        summ = top.groupBy("qid").agg(F.max("dist").alias("dk"), F.sum("c").alias("got"))
-        edge = (pending.select("qid", "proj", "bucket")
-                .join(ext.select(F.col("bucket").alias("lb"), F.col("lo")), F.col("lb") == F.col("bucket") - radius,
-                      "left")
-                .join(ext.select(F.col("bucket").alias("hb"), F.col("hi")), F.col("hb") == F.col("bucket") + radius,
-                      "left"))
-        gap = F.least(F.when(F.col("bucket") - radius > 0, F.col("proj") - F.col("lo")).otherwise(F.lit(_INF)),
-                      F.when(F.col("bucket") + radius < maxb, F.col("hi") - F.col("proj")).otherwise(F.lit(_INF)))
-        status = edge.join(summ, "qid", "left").select(
-            "qid", ((F.coalesce(F.col("got"), F.lit(0)) >= need) &
-                    (gap >= F.coalesce(F.col("dk"), F.lit(0.0)))).alias("ok"))
-        status = status.checkpoint(eager=True)
-        ok_ids = status.where("ok").select("qid")
-        top.join(ok_ids, "qid", "left_semi").write.mode("append").parquet(out_path)
-        pending = pending.join(status.where(~F.col("ok")).select("qid"), "qid", "left_semi").checkpoint(eager=True)
-        if pending.isEmpty() or radius > maxb:
-            break
-        radius = radius * 2 + 1
-    return spark.read.parquet(out_path)
+    most = k + 1 if exclude_self else k
+    refs, queries = materialize(refs, "knn-points"), materialize(queries.select("qid", "vec"), "knn-queries")
+    n = refs.count()
+    if not n:
+        empty = T.StructType([queries.schema["qid"], refs.schema["pid"], *(refs.schema[p] for p in payload), T.StructField("dist", T.DoubleType()), T.StructField("c", T.LongType())])
+        return refs.sparkSession.createDataFrame([], empty)
+    cells = Cells(_pivots(refs, dim, n, cell_size))
+    refs = materialize(_placed(refs, cells), "knn-cells")
+    for r in refs.groupBy("cell").agg(F.min("pd").alias("a"), F.max("pd").alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
+        cells.low[r["cell"]], cells.high[r["cell"]], cells.weight[r["cell"]], cells.count[r["cell"]] = r["a"], r["b"], r["w"], r["n"]
+    queries = materialize(_placed(queries, cells, most), "knn-queries")
+    near = materialize(_search(queries, refs, cells, most, payload), "knn-own")
+    got = _nearest(near, k, exclude_self).groupBy("qid").agg(F.max("dist").alias("dk"), F.sum("c").alias("got"))
+    tighter = F.when(F.col("got") >= k, F.least("bound", "dk")).otherwise(F.col("bound"))
+    bounded = queries.join(got.withColumnRenamed("qid", "of"), F.col("qid") == F.col("of"), "left")
+    visits = materialize(_visits(bounded.select("qid", "vec", "cell", "pd", F.coalesce(tighter, F.col("bound")).alias("bound")), cells), "knn-visits")
+    beyond = _search(visits, refs, cells, most, payload)
+    return materialize(_nearest(near.unionByName(beyond), k, exclude_self), "knn")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
@@ -150,7 +269,10 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     tr = train.select("label", vector_to_array("features").alias("vec"))
     te = test.select("label", vector_to_array("features").alias("vec"))
-    dim = len(tr.select("vec").first()["vec"])
+    one = tr.select("vec").first()
+    if one is None:  # nothing to vote
+        return te.select("label", F.lit(None).cast("double").alias("prediction")).limit(0)
+    dim = len(one["vec"])
     refs = distinct_points(tr, "vec", ["label"])
     qs = te.select(F.col("vec").alias("qid"), "vec").distinct()
     nn = knn_search(qs, refs, k, dim, payload=["label"])
@@ -182,7 +304,7 @@ def lof_scores(df: DataFrame, cols: list[str], k: int = 20) -> DataFrame:
 def lof_flags(df: DataFrame, cols: list[str], k: int = 20, contamination: float = 0.05) -> DataFrame:
     """Rows with LOF above the (1 − contamination) quantile are anomalies;
     incomplete rows are never flagged."""
-    s = lof_scores(df, cols, k)
+    s = materialize(lof_scores(df, cols, k), "lof")  # read for the threshold and for the flags
     thr = exact_quantiles(s, "lof", [1.0 - contamination]).select(F.col("q0").alias("_thr"))
     flagged = s.crossJoin(F.broadcast(thr)).withColumn("is_anomaly", F.col("lof") > F.col("_thr")).drop("_thr")
     incomplete = df.where(" OR ".join(f"`{c}` IS NULL" for c in cols) if cols else "false")

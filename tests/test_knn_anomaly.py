@@ -23,7 +23,7 @@ def test_knn_search_exact(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
     vec = F.array("x", "y")
     dp = knn.distinct_points(df.select(vec.alias("vec")), "vec")
-    nn = knn.knn_search(dp.select(F.col("pid").alias("qid"), "vec"), dp, 5, 2, exclude_self=True, bucket_size=16)
+    nn = knn.knn_search(dp.select(F.col("pid").alias("qid"), "vec"), dp, 5, 2, exclude_self=True, cell_size=16)
     kd = {tuple(r["vec"]): r["kd"] for r in nn.groupBy("qid").agg(F.max("dist").alias("kd"))
           .join(dp.select(F.col("pid").alias("qid"), "vec"), "qid").collect()}
     want = _brute_kdist(pts, 5)
@@ -110,3 +110,68 @@ def test_shapiro_sample_draws_copies_independently(spark):
     df = spark.range(4000).select((F.col("id") % 20).cast("double").alias("x"))
     row = shapiro(df, ["x"], max_n=100).first()
     assert row["n"] == 100 and .9 < row["statistic"] < .99  # all 200 copies of one value gave no statistic
+
+
+def _brute_weighted(queries, pts, w, k, exclude):
+    """(query, point) -> copies among the k nearest, by distance and then point."""
+    out = {}
+    for q in queries:
+        d = np.zeros(len(pts))
+        for i in range(pts.shape[1]):
+            d += (pts[:, i] - q[i]) ** 2
+        left = k
+        for j in sorted(range(len(pts)), key=lambda j: (np.sqrt(d[j]), tuple(pts[j]))):
+            n = min(left, w[j] - (exclude and tuple(pts[j]) == tuple(q)))
+            if n > 0:
+                out[tuple(q), tuple(pts[j])] = n
+                left -= n
+    return out
+
+
+def _fixture(kind):
+    rng = np.random.default_rng(5)
+    if kind == "grid":
+        return np.array([(x, y) for x in range(30) for y in range(20)], float)
+    if kind == "clustered":
+        centres = rng.uniform(-1000, 1000, (6, 3))
+        return np.round(np.concatenate([rng.normal(c, 0.5, (120, 3)) for c in centres] + [rng.uniform(-1000, 1000, (30, 3))]), 2)
+    if kind == "line":
+        return np.stack([np.repeat(np.arange(50.0), 8), np.zeros(400), np.tile(np.arange(8.0), 50) * 1e-7], axis=1)
+    return rng.normal(size=(400, 10))
+
+
+@pytest.mark.parametrize("kind", ["grid", "clustered", "line", "ten"])
+@pytest.mark.parametrize("exclude", [True, False])
+def test_metric_partition_equals_brute_force(spark, kind, exclude, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "CHUNK", 30)
+    pts = np.unique(_fixture(kind), axis=0)
+    w = [1 + i % 3 for i in range(len(pts))]
+    refs = spark.createDataFrame([(p.tolist(), p.tolist(), n) for p, n in zip(pts, w)], "pid array<double>, vec array<double>, w long")
+    queries = refs.select(F.col("pid").alias("qid"), "vec").where(F.pmod(F.xxhash64("pid"), F.lit(4)) == 0) if exclude else \
+        spark.createDataFrame([((p + 0.25).tolist(),) * 2 for p in pts[::5]], "qid array<double>, vec array<double>")
+    asked = np.array([r["qid"] for r in queries.collect()])
+    rows = knn.knn_search(queries, refs, 4, pts.shape[1], exclude_self=exclude, cell_size=25).collect()
+    assert {(tuple(r["qid"]), tuple(r["pid"])): r["c"] for r in rows} == _brute_weighted(asked, pts, w, 4, exclude)
+
+
+def test_few_rows_leave_a_block():
+    rng = np.random.default_rng(8)
+    q, r = rng.normal(size=(50, 3)), rng.normal(size=(3_000, 3))
+    pivot = np.zeros(3)
+    away = lambda x: np.sqrt(((x - pivot) ** 2).sum(axis=1))
+    i, j, d = knn.block_best(q, away(q), np.full(50, np.inf), r, away(r), np.ones(3_000, np.int64), 7)
+    assert np.bincount(i).tolist() == [7] * 50
+    assert all(np.allclose(d[i == x], np.sort(np.sqrt(((r - q[x]) ** 2).sum(axis=1)))[:7]) for x in range(50))
+
+
+def test_no_references_or_too_few(spark):
+    empty = spark.createDataFrame([], "pid array<double>, vec array<double>, w long")
+    queries = spark.createDataFrame([([1.0], [1.0])], "qid array<double>, vec array<double>")
+    assert knn.knn_search(queries, empty, 3, 1).collect() == []
+    few = spark.createDataFrame([([1.0], [1.0], 1), ([9.0], [9.0], 1)], empty.schema)
+    assert [(r["pid"], r["c"]) for r in knn.knn_search(queries, few, 5, 1).orderBy("dist").collect()] == [([1.0], 1), ([9.0], 1)]
+    assert knn.knn_search(queries.limit(0), few, 5, 1).collect() == []
+    from pyspark.ml.linalg import Vectors
+    rows = spark.createDataFrame([(1.0, Vectors.dense([1.0]))], ["label", "features"])
+    assert knn.knn_classify(rows.limit(0), rows).collect() == []
