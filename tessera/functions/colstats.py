@@ -1,10 +1,7 @@
 """Scalable per-column statistics shared by the profiling / EDA operators.
 
-* ``power_moments``: count, mean, variance, skewness, kurtosis, min, max
-  from shifted power sums Σ(x−s)^k (s = the column mean from a cheap first
-  pass, for numerical stability). Only plain sums, so the aggregate stays in
-  whole-stage code generation; columns are batched to stay under the
-  code-generation field limit.
+* ``moments_of_counts``: count, mean, variance, skewness, kurtosis, min, max
+  of counted values: central moments per Arrow batch, merged pairwise.
 * ``long_counts`` + ``grouped_quantiles``: exact linear-interpolated
   quantiles for many columns (or many groups) from ONE shuffle of
   (group, value) -> count, positions from the range-partitioned order. No task ever
@@ -24,47 +21,64 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ranks import running_before
 
-_BATCH_COLS = 12  # 12 columns x 7 buffer fields stays under the 100-field codegen limit
-
-
-def _batches(n: int, size: int = _BATCH_COLS):
-    return [list(range(i, min(i + size, n))) for i in range(0, n, size)]
-
-
-def power_moments(d: DataFrame, k: int) -> dict[int, dict]:
-    """For double columns c0..c{k-1} of ``d``: {i: n, mean, var, std, skew
-    (G1), kurt (G2), min, max}. Driver receives O(k) numbers."""
-    means = d.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()
-    shift = [float(means[f"m{i}"]) if means[f"m{i}"] is not None else 0.0 for i in range(k)]
-    out: dict[int, dict] = {}
-    for batch in _batches(k):
-        aggs = []
-        for i in batch:
-            a = F.col(f"c{i}") - F.lit(shift[i])
-            aggs += [F.count(a).alias(f"n{i}"), F.sum(a).alias(f"s1_{i}"), F.sum(a * a).alias(f"s2_{i}"),
-                     F.sum(a * a * a).alias(f"s3_{i}"), F.sum(a * a * a * a).alias(f"s4_{i}"),
-                     F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}")]
-        r = d.agg(*aggs).first()
-        for i in batch:
-            n = r[f"n{i}"]
-            st = {"n": n, "mean": None, "var": None, "std": None, "skew": None, "kurt": None,
-                  "min": r[f"lo{i}"], "max": r[f"hi{i}"]}
-            if n:
-                e1, e2, e3, e4 = (r[f"s1_{i}"] / n, r[f"s2_{i}"] / n, r[f"s3_{i}"] / n, r[f"s4_{i}"] / n)
-                m2 = max(e2 - e1 * e1, 0.0)
-                m3 = e3 - 3 * e1 * e2 + 2 * e1 ** 3
-                m4 = e4 - 4 * e1 * e3 + 6 * e1 * e1 * e2 - 3 * e1 ** 4
-                st["mean"] = means[f"m{i}"]  # the exact first-pass average
-                if n > 1:
-                    st["var"] = m2 * n / (n - 1)
-                    st["std"] = float(np.sqrt(st["var"]))
-                const = m2 <= 1e-300 or (r[f"hi{i}"] == r[f"lo{i}"])
-                if n >= 3:
-                    st["skew"] = 0.0 if const else (m3 / m2 ** 1.5) * np.sqrt(n * (n - 1)) / (n - 2)
-                if n >= 4:
-                    st["kurt"] = 0.0 if const else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6)
-            out[i] = {k2: (float(v) if isinstance(v, (float, np.floating)) else v) for k2, v in st.items()}
-    return out
+
+def _merged(n, mean, m2, m3, m4, by, size):
+    """Central moments (n, mean, m2, m3, m4) of parts merged by their group number."""
+    total = np.bincount(by, n, size)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = np.bincount(by, n * mean, size) / total
+    d = mean - np.nan_to_num(centre)[by]
+    return (total, centre, np.bincount(by, m2 + n * d * d, size), np.bincount(by, m3 + 3 * d * m2 + n * d ** 3, size),
+            np.bincount(by, m4 + 4 * d * m3 + 6 * d * d * m2 + n * d ** 4, size))
+
+
+def moments_of_counts(counts: DataFrame, group: str = "column_name") -> dict[str, dict]:
+    """Per group of (group, value, cnt): n, mean, var, std, skew (G1), kurt (G2), min, max in one pass.
+
+    Central moments up to the fourth are built per Arrow batch about the batch's
+    own mean and merged about the common one, batch by batch, task by task: no
+    pass for the mean, no cancellation of power sums. A task sends a row per
+    group; the driver gets a row per group and task."""
+
+    def partial(it):
+        held = None
+        for pdf in it:
+            names, by = np.unique(pdf["g"].to_numpy(dtype=object).astype(str), return_inverse=True)
+            v, n, k = pdf["value"].to_numpy(dtype="float64"), pdf["cnt"].to_numpy(dtype="float64"), len(names)
+            zero = np.zeros(len(v))
+            part = pd.DataFrame(dict(zip(("n", "mean", "m2", "m3", "m4"), _merged(n, v, zero, zero, zero, by, k)), g=names))
+            ends = pd.Series(v).groupby(by)
+            part["lo"], part["hi"] = ends.min().to_numpy(), ends.max().to_numpy()
+            held = part if held is None else _together(pd.concat([held, part], ignore_index=True))
+        if held is not None:
+            yield held[["g", "n", "mean", "m2", "m3", "m4", "lo", "hi"]]
+
+    def _together(parts):
+        names, by = np.unique(parts["g"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        out = pd.DataFrame(dict(zip(("n", "mean", "m2", "m3", "m4"), _merged(*(parts[c].to_numpy() for c in ("n", "mean", "m2", "m3", "m4")), by, len(names))), g=names))
+        ends = parts.groupby(by)
+        out["lo"], out["hi"] = ends["lo"].min().to_numpy(), ends["hi"].max().to_numpy()
+        return out
+
+    rows = counts.select(F.col(group).alias("g"), F.col("value").cast("double").alias("value"), "cnt").mapInPandas(
+        partial, "g string, n double, mean double, m2 double, m3 double, m4 double, lo double, hi double").collect()
+    if not rows:
+        return {}
+    found = _together(pd.DataFrame([r.asDict() for r in rows]))
+    return {r.g: _shape(int(r.n), r.mean, r.m2 / r.n, r.m3 / r.n, r.m4 / r.n, r.lo, r.hi) for r in found.itertuples()}
+
+
+def _shape(n, mean, m2, m3, m4, lo, hi) -> dict:
+    st = {"n": n, "mean": float(mean), "var": None, "std": None, "skew": None, "kurt": None, "min": float(lo), "max": float(hi)}
+    if n > 1:
+        st["var"] = float(m2 * n / (n - 1))
+        st["std"] = float(np.sqrt(st["var"]))
+    const = m2 <= 1e-300 or hi == lo
+    if n >= 3:
+        st["skew"] = 0.0 if const else float((m3 / m2 ** 1.5) * np.sqrt(n * (n - 1)) / (n - 2))
+    if n >= 4:
+        st["kurt"] = 0.0 if const else float((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6))
+    return st
 
 
 def long_counts(df: DataFrame, cols: list[str], as_double: bool = True) -> DataFrame:
@@ -89,8 +103,12 @@ def grouped_positions(counts: DataFrame, group: str = "column_name") -> DataFram
 def grouped_quantiles(counts: DataFrame, probs: list[float], group: str = "column_name") -> DataFrame:
     """(group, q0..q{m-1}): exact linearly interpolated quantiles per group."""
     pos = grouped_positions(counts, group)
-    n = pos.groupBy(group).agg(F.sum("cnt").alias("_n"))
-    j = pos.join(n, group)
+    return quantiles_of_positions(pos, pos.groupBy(group).agg(F.sum("cnt").alias("_n")), probs, group)
+
+
+def quantiles_of_positions(pos: DataFrame, sizes: DataFrame, probs: list[float], group: str = "column_name") -> DataFrame:
+    """``grouped_quantiles`` from positions and the groups' sizes (group, _n)."""
+    j = pos.join(sizes, group)
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * p

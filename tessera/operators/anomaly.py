@@ -30,6 +30,7 @@ from tessera.functions.longform import occurrences, top_k_per_group
 from tessera.functions.ranks import exact_quantiles
 from tessera.operators import eda
 from tessera.operators.knn import lof_flags
+from tessera.session import materialize
 
 N_TREES = 100
 MAX_SAMPLES = 256
@@ -160,7 +161,7 @@ def isolation_scores(df: DataFrame, cols: list[str], n_trees: int = N_TREES, max
 
 
 def isolation_flags(df: DataFrame, cols: list[str], contamination: float = 0.05) -> DataFrame:
-    s = isolation_scores(df, cols)
+    s = materialize(isolation_scores(df, cols), "isolation")  # read for the threshold and for the flags
     thr = exact_quantiles(s, "score", [1.0 - contamination]).select(F.col("q0").alias("_thr"))
     flagged = s.crossJoin(F.broadcast(thr)).withColumn("is_anomaly", F.col("score") > F.col("_thr")) \
         .drop("_thr", "score")

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 import numpy as np
 
 from tessera.functions.colstats import (comoments, corr_matrix_np, group_quantiles, grouped_positions, long_counts,
-                                        power_moments, quantile_row)
+                                        moments_of_counts, quantile_row)
 from tessera.functions.exprs import col, fixed, sample_kurt, sample_skew, sql_round, stack_rows, strength
 from tessera.functions.longform import top_k_per_group, value_counts_long
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import categorical_cols, numeric_cols
-from tessera.session import stage_input
+from tessera.session import materialize, stage_input
 
 QUARTILES = [0.25, 0.75]
 
@@ -46,18 +46,16 @@ def univariate(df: DataFrame, cols: list[str] | None = None, digits: int = 4) ->
     count; NULLs dropped, an empty column reports zeros, and what too few values
     leave undefined (std below 2, skewness below 3, kurtosis below 4) is NULL.
 
-    Eager report operator (k result rows): moments from shifted power sums
-    (code-generated plain sums); quartiles and mode from ONE aggregate over
-    the long-form value positions; outliers from a second pass over the same
-    (written) positions. A derived input is written once for the passes, a
-    plain table is read again (columnar, pruned to these columns)."""
+    Eager report operator (k result rows): one scan counts the values of all
+    columns, their positions are written once, and moments (merged central
+    moments), quartiles, mode and outliers are read from that table."""
     cols = cols or numeric_cols(df)
     k = len(cols)
-    d = stage_input(_dbl(df, cols), "univariate")
-    mom = power_moments(d, k)
-    pos = grouped_positions(long_counts(d, [f"c{i}" for i in range(k)]))
-    n = pos.groupBy("column_name").agg(F.sum("cnt").alias("_n"))
-    j = pos.join(F.broadcast(n), "column_name")
+    pos = materialize(grouped_positions(long_counts(_dbl(df, cols), [f"c{i}" for i in range(k)])), "univariate")
+    none = dict.fromkeys(("n", "mean", "var", "std", "skew", "kurt", "min", "max"))
+    mom = moments_of_counts(pos)
+    sizes = df.sparkSession.createDataFrame([(c, m["n"]) for c, m in mom.items()], "column_name string, _n long")
+    j = pos.join(F.broadcast(sizes), "column_name")
     aggs = [F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"))).getField("v").alias("mode")]
     for i, p_ in enumerate([0.25, 0.5, 0.75]):
         h = (F.col("_n") - 1) * p_
@@ -77,7 +75,8 @@ def univariate(df: DataFrame, cols: list[str] | None = None, digits: int = 4) ->
     rnd = lambda v, n: sql_round(float(v), digits) if v is not None else (None if n else 0.0)
     rows = []
     for i, c in enumerate(cols):
-        m, key = mom[i], f"c{i}"
+        key = f"c{i}"
+        m = mom.get(key, none)
         q = qv.get(key, [None, None, None])
         iqr = (q[2] - q[0]) if q[0] is not None else None
         r = lambda v, n=int(m["n"] or 0): rnd(v, n)

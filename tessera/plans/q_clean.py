@@ -80,8 +80,8 @@ oracle("fill_numeric_median", with_dirty("""
 SELECT order_id, COALESCE(quantity, (SELECT QUANTILE_CONT(quantity, 0.5) FROM sales_dirty)) AS quantity,
        empty_num FROM sales_dirty"""))
 oracle("fill_numeric_mean", with_dirty("""
-SELECT order_id, COALESCE(quantity, (SELECT AVG(quantity) FROM sales_dirty)) AS quantity,
-       empty_num FROM sales_dirty"""))
+SELECT order_id, COALESCE(quantity, m) AS quantity, empty_num
+FROM sales_dirty, (SELECT AVG(quantity) AS m FROM sales_dirty)"""))
 oracle("fill_numeric_zero", with_dirty("""
 SELECT order_id, COALESCE(quantity, 0.0) AS quantity, COALESCE(empty_num, 0.0) AS empty_num FROM sales_dirty"""))
 

@@ -78,6 +78,17 @@ def top_rows(spark, d):
 
 
 oracle("top_rows", with_sales("""
+SELECT * FROM sales
+ORDER BY sales DESC NULLS LAST, order_id, line_no, order_date, customer_id, product, category, region, quantity, profit, discount
+LIMIT 10"""))
+
+
+@register("top_rows_six")
+def top_rows_six(spark, d):
+    return g.top_rows(sales(spark, d), "sales", 10, max_cols=6)
+
+
+oracle("top_rows_six", with_sales("""
 SELECT order_id, line_no, order_date, customer_id, product, category, sales FROM sales
 ORDER BY sales DESC NULLS LAST, order_id, line_no, order_date, customer_id, product, category
 LIMIT 10"""))
