@@ -87,6 +87,18 @@ def csv_inventory(spark, d):
         F.sum("row_estimate").cast("long").alias("row_estimate"), F.sum("rows").cast("long").alias("rows"))
 
 
+@register("csv_record_counts")
+def csv_record_counts(spark, d):
+    """Conversations with line breaks and quotes inside quoted fields, written as CSV and counted split by split."""
+    root = scratch_path(spark, "csv")
+    lines = table(spark, d, "conversations").withColumn("text", F.concat(F.col("text"), F.lit('\n\n"quoted", '), F.col("role"), F.lit("\r\nend")))
+    lines.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(root)
+    return csv.csv_inventory(spark, root).agg(F.sum("rows").cast("long").alias("rows"), (F.sum("lines") > F.sum("rows")).alias("spans_lines"))
+
+
+oracle("csv_record_counts", "SELECT CAST(COUNT(*) AS BIGINT) AS rows, TRUE AS spans_lines FROM conversations")
+
+
 @register("sql_query")
 def sql_query(spark, d):
     tables.register_views(spark, {"orders": table(spark, d, "orders")})
@@ -102,8 +114,8 @@ FROM orders GROUP BY o_orderpriority""")
 
 @register("table_counts")
 def table_counts(spark, d):
-    meta = tables.catalog_metadata({t: table(spark, d, t) for t in TABLES})
-    return meta.select("table_name", "column_count", "rows")
+    tables.register_views(spark, {t: table(spark, d, t) for t in TABLES})
+    return tables.table_counts(spark, TABLES)
 
 
 oracle("table_counts", "\nUNION ALL\n".join(
@@ -113,7 +125,16 @@ oracle("table_counts", "\nUNION ALL\n".join(
 
 @register("catalog_metadata")
 def catalog_metadata(spark, d):
-    return tables.catalog_metadata({t: table(spark, d, t) for t in TABLES})
+    tables.register_views(spark, {t: table(spark, d, t) for t in TABLES})
+    return tables.catalog_metadata(spark, TABLES)
+
+
+_SPARK_TYPE = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>'
+  WHEN 'DOUBLE[]' THEN 'array<double>' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'FLOAT' THEN 'float' WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' END"""
+oracle("catalog_metadata", "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS table_name, CAST(ROW_NUMBER() OVER () - 1 AS INTEGER) AS position, column_name, {_SPARK_TYPE} AS data_type,
+  "null" = 'YES' AS nullable, (SELECT CAST(COUNT(*) AS BIGINT) FROM {t}) AS rows FROM (DESCRIBE {t})""" for t in TABLES))
 
 
 @register("events_props_flatten")
@@ -196,6 +217,25 @@ SELECT session_id, entry_id, role, content FROM (
 WHERE rn <= 100""")
 
 
+@register("chat_cleared")
+def chat_cleared(spark, d):
+    """Sessions whose number 3 divides are cleared, then speak once more."""
+    base = scratch_path(spark, "chat")
+    rows = _history_rows(spark, d).select("session_id", "entry_id", "created_at", "role", F.col("text").alias("content"))
+    hist.append_chat(rows, base)
+    gone = rows.where(F.col("session_id").cast("long") % 3 == 0)
+    hist.clear_chats(spark, base, gone.select("session_id"))
+    hist.append_chat(gone.groupBy("session_id").agg(F.max("entry_id").alias("last")).select(
+        "session_id", (F.col("last") + 1).alias("entry_id"), (F.col("last") + 1).alias("created_at"), F.lit("user").alias("role"), F.lit("again").alias("content")), base)
+    return hist.chat(spark, base, limit=1000).groupBy("session_id").agg(F.count(F.lit(1)).alias("entries"), F.min("entry_id").cast("long").alias("first_entry"))
+
+
+oracle("chat_cleared", """
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE LEAST(COUNT(*), 1000) END AS entries,
+       CAST(CASE WHEN conv_id % 3 = 0 THEN MAX(turn) + 1 ELSE MIN(turn) END AS BIGINT) AS first_entry
+FROM conversations GROUP BY conv_id""")
+
+
 @register("history_stats")
 def history_stats(spark, d):
     base = scratch_path(spark, "hstats")
@@ -255,17 +295,64 @@ def profile_saved(spark, d):
     from tessera.operators import profile
     from tessera.plans.views import sales_dirty
     base = scratch_path(spark, "profiles")
-    hist.save_profile(profile.column_profile(sales_dirty(spark, d)), base, "sales_dirty")
+    dirty = sales_dirty(spark, d)
+    hist.save_profile(profile.column_profile(dirty), base, "sales_dirty", dirty)
     saved = hist.read(spark, base, "data_profiles")
     return saved.select("dataset", F.get_json_object("profile_json", "$.column_name").alias("column_name"),
-                        F.get_json_object("profile_json", "$.missing_count").cast("long").alias("missing_count"))
+                        F.get_json_object("profile_json", "$.missing_count").cast("long").alias("missing_count"), "total_rows", "total_columns", "quality_score")
 
 
 def _profile_saved_sql() -> str:
     from tessera.plans.oracle import ORACLE
     from tessera.plans import q_profile  # noqa: F401 - registers missing_by_column
-    return ("SELECT 'sales_dirty' AS dataset, column_name, missing_count FROM ("
-            + ORACLE["missing_by_column"] + ")")
+    return (f"SELECT 'sales_dirty' AS dataset, m.column_name, m.missing_count, v.total_rows, v.total_columns, q.quality_score FROM ({ORACLE['missing_by_column']}) m, "
+            f"({ORACLE['validate_dataset']}) v, ({ORACLE['quality_score']}) q")
 
 
 oracle("profile_saved", _profile_saved_sql())
+
+
+@register("model_store")
+def model_store(spark, d):
+    """Train, store and load a linear model; measures of its scores over the whole table."""
+    from tessera.operators import ml
+    from tessera.sources import models
+    base, rows = scratch_path(spark, "models"), table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    models.train_and_store(spark, base, "price", rows, "l_extendedprice", ["l_quantity"], test_frac=0.0)
+    scored = models.score(spark, base, "price", rows)
+    return ml.regression_metrics(scored.withColumnRenamed("l_extendedprice", "label"), digits=2)
+
+
+oracle("model_store", """
+WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, AVG(l_extendedprice) AS m FROM lineitem)
+SELECT ROUND(AVG(ABS(l_extendedprice - a - b * l_quantity)), 2) AS mae, ROUND(SQRT(AVG((l_extendedprice - a - b * l_quantity) ** 2)), 2) AS rmse,
+       ROUND(1 - SUM((l_extendedprice - a - b * l_quantity) ** 2) / SUM((l_extendedprice - m) ** 2), 2) AS r2, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem, f""")
+
+
+@register("profile_merged")
+def profile_merged(spark, d):
+    """The saved profile of half the line items merged with that of the other half; sketch figures against exact ones."""
+    from tessera.operators import sketches
+    from tessera.session import materialize
+    rows = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    half = F.col("l_quantity") < 20
+    saved = materialize(sketches.profile_state(rows.where(half)), "profile-state")
+    found = sketches.read_state(sketches.merge_states(saved.unionByName(sketches.profile_state(rows.where(~half)))))
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in rows.columns])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("u")) for c in rows.columns])).alias("x")).select("x.*")
+    return found.join(F.broadcast(exact), F.col("column_name") == F.col("c")).select(
+        "column_name", "rows", "missing", F.round("mean", 2).alias("mean"), "least", "greatest",
+        (F.abs(F.col("distinct") - F.col("u")) <= 0.06 * F.col("u") + 1).alias("distinct_ok"),
+        F.when(F.col("u") <= 50, F.col("top")[0]["value"]).alias("most_frequent"), F.when(F.col("u") <= 50, F.col("top")[0]["count"]).alias("times"))
+
+
+def _merged_sql(c: str, number: bool) -> str:
+    value = f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)" if number else c
+    mean, least, greatest = (f"ROUND(AVG({c}), 2)", f"MIN({c})", f"MAX({c})") if number else ("CAST(NULL AS DOUBLE)",) * 3
+    return f"""SELECT '{c}' AS column_name, CAST(COUNT(*) AS BIGINT) AS rows, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS missing, {mean} AS mean, {least} AS least,
+  {greatest} AS greatest, TRUE AS distinct_ok,
+  CASE WHEN COUNT(DISTINCT {c}) <= 50 THEN (SELECT v FROM (SELECT {value} AS v, COUNT(*) AS k FROM lineitem GROUP BY {c}) ORDER BY k DESC, v LIMIT 1) END AS most_frequent,
+  CASE WHEN COUNT(DISTINCT {c}) <= 50 THEN (SELECT CAST(MAX(k) AS BIGINT) FROM (SELECT COUNT(*) AS k FROM lineitem GROUP BY {c})) END AS times FROM lineitem"""
+
+
+oracle("profile_merged", " UNION ALL ".join(_merged_sql(c, n) for c, n in (("l_quantity", True), ("l_extendedprice", True), ("l_returnflag", False), ("l_linestatus", False))))

@@ -9,7 +9,11 @@ one distributed pass instead of opening each file on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import is_folder, path_exists
@@ -109,33 +113,60 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8")
     return path
 
 
-def csv_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, records): the records of every file, the header among them, where quoted fields may span lines.
+
+    A file need not be one task. Whether a line ends a record depends on the
+    quotes before it, so each split counts for both cases: the records that end
+    in it if it begins outside of quotes, and if it begins inside. Splits of a
+    file, in order, are composed by the running sum of their quotes. Blank lines
+    between records are none; a file that ends inside quotes ends its last
+    record. Quotes inside quoted fields are doubled (RFC 4180)."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
+             .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"),
+                     quotes.cast("long").alias("quotes"), (F.length(F.trim("value")) == 0).alias("blank")))
+    schema = pa.schema([("file_path", pa.string()), ("start", pa.int64()), ("quotes", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[int]] = {}  # a row per split
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, blank = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            files = batch.column(0).dictionary_encode()
+            where = np.stack([files.indices.to_numpy(), batch.column(1).to_numpy()])
+            edges = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges, edges[1:]):
+                state = held.setdefault((files.dictionary[int(where[0, x])].as_py(), int(where[1, x])), [0, 0, 0])
+                after = (state[0] + np.cumsum(n[x:y])) % 2
+                before = (after - n[x:y]) % 2
+                state[1] += int(((after == 0) & ~(blank[x:y] & (before == 0))).sum())
+                state[2] += int(((after == 1) & ~(blank[x:y] & (before == 1))).sum())
+                state[0] += int(n[x:y].sum())
+        rows = [(f, s, *v) for (f, s), v in held.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    splits = lines.mapInArrow(run, "file_path string, start long, quotes long, outside long, inside long")
+    order = Window.partitionBy("file_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    entered = splits.withColumn("before", F.coalesce(F.sum("quotes").over(order), F.lit(0)) % 2)
+    ended = F.sum(F.when(F.col("before") == 0, F.col("outside")).otherwise(F.col("inside")))
+    return entered.groupBy("file_path").agg((ended + F.sum("quotes") % 2).alias("records"))
+
+
+def csv_inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: size, encoding, delimiter, line count, average line
     length in bytes, the size-based row estimate (size / average line length
-    − 1) and the exact record count from the CSV parser (quoted fields may
-    span lines). Files are parsed in at most one pass per distinct
-    delimiter."""
+    − 1) and the exact number of records without the header (quoted fields may
+    span lines and splits)."""
     lines = _lines(spark, path)
     per = lines.groupBy("file_path").agg(
         F.first("file_size").alias("size_bytes"), F.count(F.lit(1)).alias("lines"),
         F.avg(F.octet_length("value") + 1).alias("avg_line_len"))
     sniff = csv_encodings(spark, path).join(csv_delimiters(spark, path), "file_path")
-    groups = sniff.select("delimiter", "encoding").distinct().collect()  # <= 4 x 2 combinations
-    counts = None
-    for g in groups:
-        files = [r["file_path"] for r in sniff.where((F.col("delimiter") == g["delimiter"])
-                                                     & (F.col("encoding") == g["encoding"])).collect()]
-        enc = "UTF-8" if g["encoding"] == "utf-8" else "ISO-8859-1"
-        c = (spark.read.option("header", True).option("sep", g["delimiter"]).option("encoding", enc)
-             .option("multiLine", multi_line).csv(files)
-             .groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("rows")))
-        counts = c if counts is None else counts.unionByName(c)
-    out = per.join(sniff, "file_path")
-    if counts is not None:
-        out = out.join(counts, "file_path", "left")
-    else:
-        out = out.withColumn("rows", F.lit(0))
+    out = per.join(sniff, "file_path").join(csv_records(spark, path), "file_path", "left")
     return out.select("file_path", F.col("size_bytes").cast("long"), "encoding", "delimiter",
                       F.col("lines").cast("long"), F.round("avg_line_len", 2).alias("avg_line_len"),
                       F.floor(F.col("size_bytes") / F.col("avg_line_len") - 1).cast("long").alias("row_estimate"),
-                      F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"))
+                      F.greatest(F.coalesce(F.col("records"), F.lit(0)) - 1, F.lit(0)).cast("long").alias("rows"))

@@ -48,7 +48,7 @@ def exists(spark: SparkSession, base: str, table: str) -> bool:
 
 def read(spark: SparkSession, base: str, table: str, session: str | None = None) -> DataFrame:
     """A table, or one session of it, read from its one folder."""
-    df = spark.read.parquet(_path(base, table))
+    df = spark.read.option("mergeSchema", table in ("model_registry", "data_profiles")).parquet(_path(base, table))  # older rows lack the later columns
     if session is not None:
         df = df.where((F.col("slot") == slot(F.lit(session))) & (F.col("session_id") == session))
     return df.drop("slot")
@@ -77,24 +77,45 @@ def append_chat(df: DataFrame, base: str) -> None:
 
 
 def chat(spark: SparkSession, base: str, session: str | None = None, limit: int = 100) -> DataFrame:
-    """Oldest first; one session, or the first ``limit`` of every session."""
-    c = read(spark, base, "chat_history", session)
+    """Oldest first; one session, or the first ``limit`` of every session. What
+    was said up to a session's last clearing is hidden."""
+    c = _uncleared(spark, base, read(spark, base, "chat_history", session))
     if session is not None:
         return c.orderBy("created_at").limit(int(limit))
     return top_k_per_group(c, ["session_id"], [F.col("created_at"), F.col("entry_id")], int(limit),
                            salt_on=F.xxhash64("entry_id")).drop("rank")
 
 
-def clear_chat(spark: SparkSession, base: str, session: str, new_base: str) -> str:
-    """Copy-on-write delete: the chat table without ``session`` is written to
-    ``new_base`` (readers switch to it); returns the new base."""
-    kept = read(spark, base, "chat_history").where(F.col("session_id") != session)
-    append(kept, new_base, "chat_history")
+def _uncleared(spark: SparkSession, base: str, chat_rows: DataFrame) -> DataFrame:
+    if not exists(spark, base, "chat_cleared"):
+        return chat_rows
+    last = read(spark, base, "chat_cleared").groupBy(F.col("session_id").alias("_session")).agg(F.max("cleared_to").alias("_to"))
+    kept = chat_rows.join(last, F.col("session_id") == F.col("_session"), "left")
+    return kept.where(F.col("_to").isNull() | (F.col("created_at") > F.col("_to"))).drop("_session", "_to")
+
+
+def clear_chats(spark: SparkSession, base: str, sessions: DataFrame) -> None:
+    """Delete the chats of ``sessions`` (session_id) as they are now: a line per session in the table of clearings
+    says up to when, and reading joins it. No file of the chat table is touched, whatever its size; what a session
+    says later is kept. ``compact_chat`` drops the hidden rows for good."""
+    ids = sessions.select(F.col("session_id").cast("string").alias("_session")).distinct()
+    now = read(spark, base, "chat_history").join(ids, F.col("session_id") == F.col("_session"), "left_semi")
+    append(now.groupBy("session_id").agg(F.max("created_at").alias("cleared_to")), base, "chat_cleared")
+
+
+def clear_chat(spark: SparkSession, base: str, session: str) -> None:
+    """``clear_chats`` of one session."""
+    clear_chats(spark, base, spark.createDataFrame([(session,)], "session_id string"))
+
+
+def compact_chat(spark: SparkSession, base: str, new_base: str) -> str:
+    """Write the chat table without its cleared rows to ``new_base`` (readers switch to it); the new base."""
+    append(_uncleared(spark, base, read(spark, base, "chat_history")), new_base, "chat_history")
     return new_base
 
 
 def register_models(spark: SparkSession, base: str, models: DataFrame) -> DataFrame:
-    """models: (name, model_type, created_at, metrics). Each gets version =
+    """models: (name, model_type, created_at, metrics, ...). Each gets version =
     current max(version) for its name + its order within the batch; appended
     and returned."""
     from pyspark.sql import Window
@@ -117,10 +138,15 @@ def list_models(spark: SparkSession, base: str, model_type: str | None = None, l
     return m.orderBy(F.col("created_at").desc(), F.col("name"), F.col("version").desc()).limit(int(limit))
 
 
-def save_profile(profile_rows: DataFrame, base: str, dataset: str, score_col: str = "quality_score") -> None:
-    """Store a profile frame as JSON text rows with its data set name."""
+def save_profile(profile_rows: DataFrame, base: str, dataset: str, data: DataFrame | None = None) -> None:
+    """Store a profile frame as JSON text rows with its data set name and, given the data, their quality score and
+    their numbers of rows and columns."""
     rows = profile_rows.select(F.lit(dataset).alias("dataset"), F.current_timestamp().alias("created_at"),
                                F.to_json(F.struct(*profile_rows.columns)).alias("profile_json"))
+    if data is not None:
+        from tessera.operators.profile import quality_score
+        facts = quality_score(data).select("quality_score").crossJoin(data.agg(F.count(F.lit(1)).alias("total_rows")))
+        rows = rows.crossJoin(F.broadcast(facts)).withColumn("total_columns", F.lit(len(data.columns)).cast("long"))  # one row
     append(rows, base, "data_profiles")
 
 

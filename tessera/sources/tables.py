@@ -43,15 +43,21 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def catalog_metadata(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_count, columns, rows), tables sorted by name. The
-    row counts are one aggregate per table, unioned into one job."""
-    out = None
-    for name in sorted(tables):
-        df = tables[name]
-        cols = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-        part = df.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(
-            F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("long").alias("column_count"),
-            F.lit(cols).alias("columns"), "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+def catalog_metadata(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(table_name, position, column_name, data_type, nullable, rows) of the catalog's tables and views, or of those in
+    ``names``: types and nullability as the catalog lists them, row counts from one aggregate per table in one job."""
+    listed = sorted(t.name for t in spark.catalog.listTables() if names is None or t.name in names)
+    missing = sorted(set(names or []) - set(listed))
+    if missing:
+        raise ValueError(f"not in the catalog: {', '.join(missing)}")
+    columns = [(t, i, c.name, c.dataType, c.nullable) for t in listed for i, c in enumerate(spark.catalog.listColumns(f"`{t}`"))]
+    out = spark.createDataFrame(columns, "table_name string, position int, column_name string, data_type string, nullable boolean")
+    counts = spark.createDataFrame([], "_table string, rows long")
+    for t in listed:
+        counts = counts.unionByName(spark.table(f"`{t}`").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("_table"), "rows"))
+    return out.join(F.broadcast(counts), F.col("table_name") == F.col("_table"), "left").drop("_table")  # a row per table
+
+
+def table_counts(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(table_name, column_count, rows) of the catalog's tables and views."""
+    return catalog_metadata(spark, names).groupBy("table_name").agg(F.count(F.lit(1)).alias("column_count"), F.max("rows").alias("rows"))

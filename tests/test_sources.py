@@ -1,5 +1,7 @@
 """Sources and sinks: CSV header cleaning / sniffing, JSON flattening,
 history tables, streaming ingest."""
+import glob
+import os
 import os
 
 import pytest
@@ -59,8 +61,15 @@ def test_history_roundtrip(spark):
     bad = spark.createDataFrame([("s3", 0, 0, "robot", "x")], rows.schema)
     with pytest.raises(ValueError):
         history.append_chat(bad, base)
-    new_base = history.clear_chat(spark, base, "s1", scratch_path(spark, "test-history-v2"))
-    assert {r["session_id"] for r in history.read(spark, new_base, "chat_history").collect()} == {"s2"}
+    files = sorted((p, os.path.getmtime(p)) for p in glob.glob(f"{base}/chat_history/**", recursive=True))
+    history.clear_chat(spark, base, "s1")
+    assert files == sorted((p, os.path.getmtime(p)) for p in glob.glob(f"{base}/chat_history/**", recursive=True))
+    assert history.chat(spark, base, "s1").collect() == [] and [r["content"] for r in history.chat(spark, base, "s2").collect()] == ["x"]
+    history.append_chat(spark.createDataFrame([("s1", 9, 9, "user", "later")], rows.schema), base)
+    assert [r["content"] for r in history.chat(spark, base, "s1").collect()] == ["later"]
+    assert {r["session_id"] for r in history.chat(spark, base).collect()} == {"s1", "s2"}
+    new_base = history.compact_chat(spark, base, scratch_path(spark, "test-history-v2"))
+    assert {(r["session_id"], r["content"]) for r in history.read(spark, new_base, "chat_history").collect()} == {("s1", "later"), ("s2", "x")}
 
 
 def test_model_registry_versions(spark):
@@ -83,3 +92,37 @@ def test_streaming_ingest_exactly_once(spark):
     assert ingest.ingest_now(spark, landing, schema, table_path, ckpt).count() == 10
     # a second run over the same files appends nothing
     assert ingest.ingest_now(spark, landing, schema, table_path, ckpt).count() == 10
+
+
+def test_records_of_files_cut_into_many_splits(spark, tmp_path):
+    import csv as std
+    import random
+    from tessera.sources import csv
+    rng, expected = random.Random(4), {}
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n"), ("c.csv", "\n")):
+        rows = [["id", "text"]] + [[str(i), rng.choice(["plain", 'a "quoted" word', "two\nlines", "", "\n\n", ',"', "x" * rng.randint(0, 90)])] for i in range(900)]
+        with open(tmp_path / name, "w", newline="") as f:
+            std.writer(f, lineterminator=end).writerows(rows)
+        expected[name] = len(rows)
+    with open(tmp_path / "c.csv", "a") as f:
+        f.write('\n\n901,"never closed\nto the end')
+    expected["c.csv"] += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200b", "1000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {os.path.basename(r["file_path"]): r["records"] for r in csv.csv_records(spark, str(tmp_path)).collect()}
+            assert got == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_catalog_lists_types_and_nullability(spark):
+    from pyspark.sql import types as T
+    from tessera.sources import tables
+    schema = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("v", T.StringType(), True)])
+    tables.register_views(spark, {"t_catalog": spark.createDataFrame([(1, "a"), (2, None)], schema)})
+    rows = [tuple(r) for r in tables.catalog_metadata(spark, ["t_catalog"]).orderBy("position").collect()]
+    assert rows == [("t_catalog", 0, "k", "bigint", False, 2), ("t_catalog", 1, "v", "string", True, 2)]
+    with pytest.raises(ValueError):
+        tables.catalog_metadata(spark, ["no_such_table"])
