@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -106,6 +107,8 @@ class Tokenizer:
         raw, rank = piece.encode(), self.merges.get
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
+        if len(ids) > _WIDTHS[-1]:
+            return self._merge_long(ids)
         pairs = [rank(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:])]
         while pairs and (best := min(pairs)) != _NEVER:
             at = pairs.index(best)
@@ -117,6 +120,27 @@ class Tokenizer:
                 pairs[at] = rank(ids[at] << 32 | ids[at + 1], _NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges for a long piece: pairs wait in a heap by rank and place, tokens are linked to their neighbours."""
+        rank, n = self.merges.get, len(ids)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(best, at) for at in range(n - 1) if (best := rank(ids[at] << 32 | ids[at + 1], _NEVER)) != _NEVER]
+        heapq.heapify(heap)
+        while heap:
+            best, at = heapq.heappop(heap)
+            right = after[at]
+            if ids[at] < 0 or right >= n or rank(ids[at] << 32 | ids[right], _NEVER) != best:
+                continue  # one of the two has been merged since
+            ids[at], ids[right] = best & 0xFFFFFFFF, -1
+            after[at] = end = after[right]
+            if end < n:
+                before[end] = at
+                if (new := rank(ids[at] << 32 | ids[end], _NEVER)) != _NEVER:
+                    heapq.heappush(heap, (new, at))
+            if (left := before[at]) >= 0 and (new := rank(ids[left] << 32 | ids[at], _NEVER)) != _NEVER:
+                heapq.heappush(heap, (new, left))
+        return [x for x in ids if x >= 0]
+
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """``piece_ids`` of many pieces side by side, as bytes: one step merges the best pair of every piece."""
         raw = [p.encode() for p in pieces]

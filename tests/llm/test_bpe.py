@@ -93,3 +93,16 @@ def test_word_counts_cover_all_texts(spark):
         for w in tok.words(text or ""):
             expected[w] = expected.get(w, 0) + 1
     assert counted == expected
+
+
+def test_long_pieces_are_merged_in_time(library):
+    import time
+    tok, rng = bpe.Tokenizer(DESCRIPTION), random.Random(9)
+    pieces = ["a" * n for n in (31, 32, 33, 34, 100, 999)] + ["".join(rng.choice("acgt") for _ in range(n)) for n in (33, 500, 5_000)] + \
+        ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (40, 3_000)] + ["漢字かな" * 50]
+    for piece in pieces:
+        assert tok.piece_ids(piece) == library.encode(piece, add_special_tokens=False).ids
+    long = "".join(rng.choice("acgt") for _ in range(1_000_000))
+    start = time.perf_counter()
+    ids = tok.piece_ids(long)
+    assert time.perf_counter() - start < 60 and ids == library.encode(long, add_special_tokens=False).ids
