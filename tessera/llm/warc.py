@@ -268,8 +268,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True, run_length: int =
             ("refers_to", pa.int64()), ("url", pa.string()), *([("payload", pa.binary())] if payloads else [])]
     schema = pa.schema(kind)
     runs = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("records", F.lit(1)) - 1, F.lit(run_length).cast("long"))).alias("first"))
-    # one run a task as far as there are tasks
-    dealt = runs.repartition("path", "first")
+    # about one run a task: a given number of partitions is not merged, however few bytes the runs' rows have
+    dealt = runs.repartition(max(1, runs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
