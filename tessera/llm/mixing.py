@@ -21,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.longform import occurrences
 from tessera.llm.common import WORD, col
-from tessera.session import materialize
+from tessera.session import materialize, stage_input
 
 #: Bins of one source by rank; the border bin alone is sorted.
 BINS = 4_096
@@ -44,7 +45,8 @@ def _key(doc_id: Column, mark: Column, source: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """(source, source_size, target): one row per source.
+    """(source, source_size, target): one row per source; their running sums are
+    one task's, so sources may be some millions, not documents.
 
     The sources in order of code point, null last, take the weights in turn and
     share ``share`` times all words. A target stops at MOST times its source's
@@ -85,15 +87,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     An empty table gives an empty result; other columns are not read. The same
     rows give the same mix.
     """
-    sized = materialize(sizes(docs, id_col, text_col, source_col), "sizes")
-    share_of = materialize(targets(sized, weights, share), "targets")
+    same = ["doc_id", "source", "size", "mark", "key"]
+    counted = materialize(sizes(docs, id_col, text_col, source_col).groupBy(*same).agg(F.count("*").alias("rows")), "sizes")
+    share_of = materialize(targets(counted.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share), "targets")
+    # a row for every copy, each with its number: equal rows are drawn independently
+    several = occurrences(counted.where("rows > 1"), same, "rows").withColumnRenamed("_occ", "occ")
+    sized = counted.where("rows = 1").select(*same, F.lit(0).cast("long").alias("occ")).unionByName(several)
     other = share_of.withColumnRenamed("source", "of")
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    marked = sized.join(other, sized.source.eqNullSafe(other.of)).drop("of").withColumn("ratio", ratio)
+    marked = sized.join(other, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("ratio", ratio)
     marked = marked.withColumn("whole", F.when(F.col("size") > 0, F.floor("ratio")).otherwise(F.lit(0)).cast("long"))
     f = F.col("ratio") - F.floor("ratio")
     # 52 bits of a hash as a number within (0, 1)
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark")).cast("binary")), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark"), F.col("occ").cast("string")).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     rank = (u / (1 - u)) / (f / (1 - f) * tempered(F.col("size")))
     marked = marked.withColumn("rank", F.when((f > 0) & (F.col("size") > 0), rank))
@@ -112,7 +118,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # whole bins before the border are taken, the border bin is put in order
     border = bins.where("before < left AND before + words > left")
     inside = marked.join(border, marked.source.eqNullSafe(F.col("bin_source")) & (marked.bin == F.col("bin_no")))
-    order = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "mark", "occ").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     one = so_far + F.col("size") / 2 <= F.col("left")
     kept = ["doc_id", "source", "size", "key", "source_size", "target"]
@@ -131,21 +137,32 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows that the mix takes, with all columns of ``docs``, each as often as its copies.
 
     Rows equal in id, text and source share the copies of all of them out in turn.
+    They are numbered by chunks of 2^16 rows of the input, so a row that makes up
+    a third of the table is many tasks.
     """
-    taken = mix(docs, id_col, text_col, source_col, **how).groupBy(F.col("key").alias("__key")).agg(
-        F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    docs = stage_input(docs, "to-mix")  # read twice: its rows must be numbered alike
+    taken = mix(docs, id_col, text_col, source_col, **how).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     mark = F.md5(F.coalesce(col(text_col).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("__key", _key(col(id_col).cast("long"), mark, col(source_col).cast("string"))).join(taken, "__key")
-    place = F.row_number().over(Window.partitionBy("__key").orderBy("__rows")) - 1
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__at") < F.col("__copies") % F.col("__rows")).cast("long")
-    keyed = keyed.withColumn("__at", place).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(MOST)))).where(F.col("__copy") <= share)
-    return keyed.select(*[col(c) for c in docs.columns])
+    key = _key(col(id_col).cast("long"), mark, col(source_col).cast("string"))
+    ids = docs.select(key.alias("key"), F.monotonically_increasing_id().alias("row")).withColumn("chunk", F.shiftright("row", 16))
+    ids = materialize(ids, "mixed-rows")
+    chunks = ids.groupBy("key", "chunk").agg(F.count("*").alias("n")).join(taken, "key")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = chunks.select(F.col("key").alias("of"), F.col("chunk").alias("part"), F.floor(F.col("copies") / F.col("rows")).alias("each"),
+                           (F.col("copies") % F.col("rows") - before).alias("more"))
+    place = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("row"))
+    share = ids.join(chunks, (F.col("key") == F.col("of")) & (F.col("chunk") == F.col("part"))).withColumn("share", F.col("each") + (place <= F.col("more")).cast("long"))
+    share = materialize(share.where("share > 0").select(F.col("row").alias("of"), "share"), "mixed-shares")
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")).join(share, F.col("row") == F.col("of"))
+    copies = rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share"))))
+    return copies.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 #: The operator with default parameters in DuckDB's SQL: sizes, targets by the common level, ranks and running sums without bins.
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(text, '')) AS mark FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(text, '')) AS mark,
+    row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS occ FROM documents),
 source_sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM sized GROUP BY source),
 weighted AS (
@@ -159,16 +176,16 @@ common AS (SELECT max(level) AS level FROM levels WHERE level * weight <= cap),
 targets AS (
   SELECT source, source_size, coalesce(least(cap, weight * (SELECT level FROM common)), cap) AS target FROM levels),
 ratios AS (
-  SELECT s.doc_id, s.source, s.size, s.mark, t.source_size, t.target,
+  SELECT s.doc_id, s.source, s.size, s.mark, s.occ, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
-    (('0x' || substr(md5('42:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.mark), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+    (('0x' || substr(md5('42:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.mark || ':' || s.occ), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 ranked AS (
   SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS f FROM ratios),
 ordered AS (
   SELECT *, f > 0 AND size > 0 AS drawn,
     coalesce(sum(size) FILTER (f > 0 AND size > 0) OVER (PARTITION BY source ORDER BY
-      CASE WHEN f > 0 AND size > 0 THEN (u / (1 - u)) / (f / (1 - f) * pow(greatest(size, 1)::DOUBLE, -0.25)) END NULLS LAST, doc_id, mark
+      CASE WHEN f > 0 AND size > 0 THEN (u / (1 - u)) / (f / (1 - f) * pow(greatest(size, 1)::DOUBLE, -0.25)) END NULLS LAST, doc_id, mark, occ
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far
   FROM ranked),
 copied AS (

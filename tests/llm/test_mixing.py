@@ -1,6 +1,6 @@
 import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -31,17 +31,19 @@ def brute(rows):
     sizes = defaultdict(int)
     for r in rows:
         sizes[r[3]] += words(r[1])
-    targets, out, by = shared_out(sizes), [], defaultdict(list)
+    targets, out, by, seen = shared_out(sizes), [], defaultdict(list), Counter()
     for doc_id, text, _, source, _ in rows:
         ratio = targets[source] / sizes[source] if sizes[source] else 0
         mark = hashlib.md5((text or "").encode()).hexdigest()
-        u = (int(hashlib.md5(f"42:{'' if doc_id is None else doc_id}:{mark}".encode()).hexdigest()[:13], 16) + .5) / 2**52
+        occ = seen[doc_id, mark, source]
+        seen[doc_id, mark, source] += 1
+        u = (int(hashlib.md5(f"42:{'' if doc_id is None else doc_id}:{mark}:{occ}".encode()).hexdigest()[:13], 16) + .5) / 2**52
         f, n = ratio - math.floor(ratio + 1e-12), words(text)
         rank = u / (1 - u) / (f / (1 - f) * max(n, 1) ** -.25) if f > 1e-9 and n else math.inf
-        by[source].append([rank, doc_id is not None, doc_id or 0, mark, n, math.floor(ratio + 1e-12)])
+        by[source].append([rank, doc_id is not None, doc_id or 0, mark, occ, n, math.floor(ratio + 1e-12)])
     for source, docs in by.items():
-        left, so_far = targets[source] - sum(d[5] * d[4] for d in docs), 0
-        for rank, known, doc_id, _, n, whole in sorted(docs):
+        left, so_far = targets[source] - sum(d[6] * d[5] for d in docs), 0
+        for rank, known, doc_id, _, _, n, whole in sorted(docs):
             more = rank < math.inf and so_far + n / 2 <= left + 1e-9
             so_far += n if rank < math.inf else 0
             out.append((doc_id if known else None, source, n, round(targets[source], 6), (whole + more) * n))
@@ -115,3 +117,23 @@ def test_oracle(spark, sf):
     names = [d[0] for d in expected.description]
     rows = QUERIES["op9_mixing"](spark, sf).select(*names).collect()
     assert sorted(((*r[:3], round(r[3], 6), *r[4:]) for r in rows)) == sorted((*r[:3], round(r[3], 6), *r[4:]) for r in expected.fetchall())
+
+
+def test_copies_of_a_row_are_drawn_independently(spark):
+    """Half the rows are one row, the others distinct: both get their share of second copies."""
+    rows = [(1, "one two three four", "en", "a", 1)] * 3_000 + [(i, "one two three four", "en", "a", 1) for i in range(2, 3_002)] + \
+        [(i, "w", "en", "b", 1) for i in range(9_000, 9_200)] + [(i, "one two three four", "en", "c", 1) for i in range(10_000, 12_000)]
+    out = mixing.mix(cases.docs(spark, rows)).where("source = 'a'").collect()
+    least = min(r.copies for r in out)
+    more = lambda some: sum(r.copies - least for r in some) / len(some)
+    same, others = [r for r in out if r.doc_id == 1], [r for r in out if r.doc_id != 1]
+    assert len(same) == 3_000 and 0 < more(out) < 1 and abs(more(same) - more(others)) < .05
+    found = mixing.mixed_documents(cases.docs(spark, rows).repartition(3)).where("source = 'a' AND doc_id = 1").count()
+    assert found == sum(r.copies for r in same)
+
+
+def test_equal_rows_with_other_columns_share_in_turn(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "a", i) for i in range(9)] + [(2, "a b c", "en", "b", 1)] * 3, cases.SCHEMA)
+    copies = Counter(r.n_chars for r in mixing.mixed_documents(docs).where("doc_id = 1").collect())
+    total = sum(r.copies for r in mixing.mix(docs).where("doc_id = 1").collect())
+    assert sum(copies.values()) == total and max(copies.values()) - min([copies[i] for i in range(9)]) <= 1
