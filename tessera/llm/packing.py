@@ -9,12 +9,15 @@ log2(capacity) steps however many rows are open.
 A task packs window after window of its own input: tokens are never shuffled and
 memory is bounded by the window. A row holds the ids, the cumulative lengths of
 its segments, positions that start again at every segment, and where each
-segment comes from.
+segment comes from. Rows are written as binary files under the shared folder, at
+most ``ROWS`` a file, and read back from the committed manifest, one task a file.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,13 +27,20 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.common import col, emit, slices
 from tessera.llm.warc import file_system
-from tessera.session import materialize
+from tessera.session import materialize, scratch_path
 
 CAPACITY = 2_048
 WINDOW = 1 << 20
+#: Rows of one file.
+ROWS = 8_192
+#: Longer runs of blanks are taken out before the pattern, whose matcher backtracks over them on its stack.
+_RUN = 4_096
+# Fixed value: the characters of \\s.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % _RUN)
 
 
 class Room:
@@ -103,6 +113,22 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
+def token_ids(encode: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a whole text.
+
+    The pattern ends a piece before every run of blanks and takes the run as one
+    piece, but for its last blank where a word follows. So a long run, without
+    that blank, is merged as a piece and the texts around it are encoded as usual.
+    """
+    out, at = [], 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encode.encode_ordinary(text[at: run.start()])
+        out += encode._core_bpe.encode_single_piece(text[run.start(): end].encode())
+        at = end
+    return out + encode.encode_ordinary(text[at:])
+
+
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
          window: int = WINDOW) -> DataFrame:
     """(part, row, n_tokens, ids, positions, cu_seqlens, doc_ids, offsets): the packed rows of all whole texts.
@@ -136,7 +162,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         held, tokens = [], 0
         for part in slices(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = np.array(encode.encode_ordinary(text or ""), kind)
+                ids = np.array(token_ids(encode, text or ""), kind)
                 held.append((doc_id, ids))
                 tokens += len(ids)
                 if tokens >= window:
@@ -149,30 +175,80 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         run, "part int, row long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<long>")
 
 
+_ENDS = ("ids", "pos", "cu", "seg")
+_SEGMENT = "<?qq"
+
+
 def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
-    """Write the packed rows as binary files in a folder that all executors share; the manifest (stem, rows).
+    """Write the packed rows as binary files in a folder that all executors share; the manifest (stem, part, row, rows).
 
     ``stem``.ids and ``stem``.pos are the matrices row after row, ``stem``.cu the
     cumulative lengths of all rows as 32-bit integers, each row led by their
-    number. Only files in the manifest count: what a lost attempt leaves is not
+    number, ``stem``.seg the document (a byte that is 0 for a null id, the id) and
+    the offset of each segment. A stem holds ``rows`` rows of one part from ``row``
+    on. Only files in the manifest count: what a lost attempt leaves is not
     among them.
     """
-    schema = pa.schema([("stem", pa.string()), ("rows", pa.int64())])
+    schema = pa.schema([("stem", pa.string()), ("part", pa.int32()), ("row", pa.int64()), ("rows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, rows, files = f"{folder}/{uuid.uuid4().hex}", 0, []
-        for part in slices(batches):
-            if not files:
-                system, path = file_system(uri)
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                files = [system.open_output_stream(f"{path}.{end}") for end in ("ids", "pos", "cu")]
-            for ids, positions, ends in zip(*(c.to_pylist() for c in part.columns)):
-                for file, data in zip(files, (ids, positions, np.array([len(ends), *ends], "<u4").tobytes())):
-                    file.write(data)
-                rows += 1
-        if files:
+        stem = None
+
+        def closed() -> pa.RecordBatch:
             for file in files:
                 file.close()
-            yield emit(schema, [uri], [rows])
+            return emit(schema, [stem], [first[0]], [first[1]], [rows])
+
+        for batch in slices(batches):
+            for part, row, _, *data, docs, offsets in zip(*(c.to_pylist() for c in batch.columns)):
+                if stem is None:
+                    stem, first, rows = f"{folder}/{uuid.uuid4().hex}", (part, row), 0
+                    system, path = file_system(stem)
+                    system.create_dir(path.rpartition("/")[0], recursive=True)
+                    files = [system.open_output_stream(f"{path}.{end}") for end in _ENDS]
+                segments = b"".join(struct.pack(_SEGMENT, d is not None, d or 0, at) for d, at in zip(docs, offsets))
+                for file, x in zip(files, (data[0], data[1], np.array([len(data[2]), *data[2]], "<u4").tobytes(), segments)):
+                    file.write(x)
+                rows += 1
+                if rows == ROWS:
+                    yield closed()
+                    stem = None
+        if stem is not None:
+            yield closed()
+
+    return materialize(packed.mapInArrow(run, "stem string, part int, row long, rows long"), "matrices")
 
-    return materialize(packed.select("ids", "positions", "cu_seqlens").mapInArrow(run, "stem string, rows long"), "matrices")
+
+def read_matrices(manifest: DataFrame, schema: str, capacity: int = CAPACITY) -> DataFrame:
+    """The packed rows of the files in a manifest; a file is one task's, read from its beginning to its end."""
+    kinds = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()),
+                       ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64()))])
+    dealt = manifest.repartition(max(1, manifest.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            stem, number, first, rows = (c[0].as_py() for c in part.columns)
+            system, path = file_system(stem)
+            ids, positions, ends, segments = (system.open_input_stream(f"{path}.{end}") for end in _ENDS)
+            width = [system.get_file_info(f"{path}.{end}").size // rows for end in ("ids", "pos")]
+            if width[0] % capacity or width[1] % capacity:
+                raise ValueError(f"{stem}: rows are not of {capacity} columns")
+            for at in range(0, rows, 256):
+                found = []
+                for row in range(at, min(at + 256, rows)):
+                    n = int.from_bytes(ends.read(4), "little")
+                    lengths = np.frombuffer(ends.read(4 * n), "<u4").tolist()
+                    from_ = [struct.unpack(_SEGMENT, segments.read(struct.calcsize(_SEGMENT))) for _ in lengths[1:]]
+                    found.append((number, first + row, lengths[-1], ids.read(width[0]), positions.read(width[1]), lengths,
+                                  [d if known else None for known, d, _ in from_], [x for *_, x in from_]))
+                yield emit(kinds, *zip(*found))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def pack_to_files(docs: DataFrame, ranks_path: str, pattern: str, **how) -> DataFrame:
+    """``pack`` with its rows written to matrices in the shared folder and read back from there."""
+    packed = pack(docs, ranks_path, pattern, **how)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
+    folder = scratch_path(docs.sparkSession, "matrices")
+    return read_matrices(write_matrices(packed, folder), schema, how.get("capacity", CAPACITY))

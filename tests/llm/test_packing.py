@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from pyarrow import fs
 
 from tessera.llm import packing, warc
 from tessera.session import scratch_path
@@ -97,15 +96,32 @@ def test_registered_query_fills_its_rows(spark, library):
     assert sum(r.n_tokens for r in rows) >= .98 * packing.CAPACITY * len(rows)
 
 
-def test_matrices(spark):
+@pytest.mark.parametrize("rows", [3, 8_192])
+def test_matrices(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "ROWS", rows)
     packed = packing.pack(cases.docs(spark), *RANKS, capacity=64)
-    rows, found = {bytes(r.ids) + bytes(r.positions): r.cu_seqlens for r in packed.collect()}, {}
-    for m in packing.write_matrices(packed, scratch_path(spark, "matrices")).collect():
+    whole = {(r.part, r.row): tuple(r) for r in packed.collect()}
+    manifest = packing.write_matrices(packed, scratch_path(spark, "matrices"))
+    assert sum(m.rows for m in manifest.collect()) == len(whole) and all(m.rows <= rows for m in manifest.collect())
+    for m in manifest.collect():
         system, path = warc.file_system(m.stem)
-        ids, pos, cu = (system.open_input_stream(f"{path}.{end}").read() for end in ("ids", "pos", "cu"))
+        ids, cu = (system.open_input_stream(f"{path}.{end}").read() for end in ("ids", "cu"))
         cu = np.frombuffer(cu, "<u4").tolist()
         for k in range(m.rows):
             n = cu.pop(0)
-            found[ids[128 * k: 128 * k + 128] + pos[128 * k: 128 * k + 128]], cu = cu[:n], cu[n:]
+            assert ids[128 * k: 128 * k + 128] == bytes(whole[m.part, m.row + k][3]) and cu[:n] == whole[m.part, m.row + k][5]
+            cu = cu[n:]
         assert not cu
-    assert found == rows and fs.LocalFileSystem
+    back = packing.pack_to_files(cases.docs(spark), *RANKS, capacity=64).collect()
+    assert {(r.part, r.row): tuple(r) for r in back} == whole
+    assert packing.pack_to_files(cases.empty(spark), *RANKS).collect() == []
+
+
+def test_long_runs_of_blanks(library):
+    rng = random.Random(2)
+    for blank in (" ", "\t", "\n", " \n", "\u3000", "\xa0 "):
+        for n in (4_095, 4_096, 9_000):
+            for text in (blank * n, "a" + blank * n, blank * n + "b c", "x  y" + blank * n + "z" + blank * n + "!", "." + blank * n + "\n7"):
+                assert packing.token_ids(library, text) == library.encode_ordinary(text)
+    for text in (" " * 5_000_000, "a" + "\t" * 5_000_000 + "b", "b" * 1_000_000, "".join(rng.choice(" \t\n") for _ in range(1_000_000)) + "end"):
+        assert library.decode(packing.token_ids(library, text)) == text
