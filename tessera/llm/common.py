@@ -24,6 +24,17 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(name: str) -> Column:
     """The bytes of a text column: they reach Python without being decoded."""
     return col(name).cast("binary")

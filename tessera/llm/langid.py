@@ -177,15 +177,20 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows of ``docs`` whose text is in one of the learned languages, with all their columns.
 
     A text goes if it has no letter or if its profile is as far from every
-    language as unrelated text (score under ``min_score``).
+    language as unrelated text (score under ``min_score``). Where no text has a
+    language to learn from, nothing can be told apart: all texts with a letter stay.
     """
     model = learn(docs.where(~held_out(id_col)), text_col, lang_col)
     verdict = pa.schema([("keep", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [model.predict(t) for t in part.column(at).to_pylist()]
-            yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], verdict.field(0).type))
+            texts = part.column(at).to_pylist()
+            if model.languages:
+                keep = [lang != UNKNOWN and score >= min_score for lang, score in map(model.predict, texts)]
+            else:
+                keep = [len(grams(t)) > 0 for t in texts]
+            yield part.filter(pa.array(keep, verdict.field(0).type))
 
     at = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)

@@ -294,7 +294,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     stay = _rooted(marked, radius).groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("__stay"), F.col("first.mark").alias("__of"))
-    same = col(id_col).cast("long").eqNullSafe(F.col("__stay")) & (F.col("__mark") == F.col("__of"))
-    kept = docs.withColumn("__mark", text_mark(text_col)).join(stay, same, "left_semi")
-    return kept.dropDuplicates([id_col, "__mark"]).select(*[col(c) for c in docs.columns])
+        F.col("first.doc_id").alias("stay"), F.col("first.mark").alias("of"))
+    rows = docs.select(F.struct("*").alias("doc"), col(id_col).cast("long").alias("id"), text_mark(text_col).alias("mark"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay")) & (F.col("mark") == F.col("of")), "left_semi").dropDuplicates(["id", "mark"])
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -66,3 +66,8 @@ def test_stage_keeps_written_language(spark):
     kept = langid.keep_identified(cases.docs(spark))
     assert kept.columns == cases.docs(spark).columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 2, 6, None, 8, 9, 10], key=str)
+
+
+def test_a_corpus_without_labels_keeps_its_texts(spark):
+    rows = [(i, t, None, "a", 1) for i, t in enumerate(["An English text", "Ein deutscher Text", "123 !!", None, ""])]
+    assert sorted(r.doc_id for r in langid.keep_identified(cases.docs(spark, rows)).collect()) == [0, 1]

@@ -48,5 +48,5 @@ def test_awkward_and_empty_tables(spark):
 
 def test_registered():
     names = [k for k in entry.queries() if k.startswith("op") and k[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
