@@ -92,7 +92,7 @@ def materialize(df, name: str, mode: str = "overwrite", path: str | None = None)
     return spark.read.parquet(path)
 
 
-_DERIVED = ("Join", "Aggregate", "Union", "Window", "Generate", "Expand")
+_DERIVED = ("Join", "Aggregate", "Union", "Window", "Generate", "Expand", "Sort", "Repartition", "MapIn", "FlatMap")
 
 
 def stage_input(df, name: str = "stage"):
@@ -102,7 +102,12 @@ def stage_input(df, name: str = "stage"):
     it in every job. A plain (pruned) file scan is returned unchanged.
     (Branches of ONE lazy plan need no staging: Spark reuses their common
     exchanges.)"""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(f"{op} " in plan or f"{op}[" in plan for op in _DERIVED):
-        return materialize(df, name)
-    return df
+    return materialize(df, name) if any(n.startswith(_DERIVED) for n in _node_names(df._jdf.queryExecution().optimizedPlan())) else df
+
+
+def _node_names(plan):
+    """Names of the operators of a logical plan."""
+    yield plan.nodeName()
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _node_names(children.apply(i))
