@@ -32,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, emit, slices, text_mark, utf8
+from tessera.llm.common import col, emit, slices, text_mark, unused, utf8
 from tessera.session import materialize
 
 MIN_WORDS = 10
 # The polynomial's moduli and base.
 _PRIMES = np.array([2147483647, 2147483629, 2147483587], np.uint64)
 _BASE = 1_103_515_245
+_SIGN = 1 << 63
 
 
 def normal(line: bytes) -> bytes:
@@ -98,15 +99,13 @@ LINES = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("line_no", pa.
                    ("k0", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64())])
 
 
-def _halves(words: list[bytes], ends: np.ndarray, n: np.ndarray, powers: Powers) -> list[np.ndarray]:
-    """Keys of the halves of each line: (first, second) for its own length, then for one word less."""
-    h, starts, out = Hashed(words, powers), ends - n, []
-    for less in (0, 1):
-        size = np.maximum(n - less, 0)
+def _halves(words: list[bytes]) -> list[int]:
+    """Keys of the halves of a line, signed: (first, second) for its own length, then for one word less."""
+    out, n = [], len(words)
+    for size in (n, n - 1):
         half = size // 2
-        first = h.stretch(starts, starts + half)
-        second = h.stretch(ends - (size - half), ends)
-        out += [_long(size * 2, *first), _long(size * 2 + 1, *second)]
+        out.append(xxhash.xxh64_intdigest(b" ".join(words[:half]), 2 * size) - _SIGN)
+        out.append(xxhash.xxh64_intdigest(b" ".join(words[n - size + half:]), 2 * size + 1) - _SIGN)
     return out
 
 
@@ -114,27 +113,20 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row for each line with a word: its place (doc_id, mark of the text, line number), 128-bit hash, number of words and half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for part in slices(batches, 256):
-            ids, marks, numbers, digests, sizes, keys = [], [], [], [], [], [[], [], [], []]
+            ids, marks, numbers, digests, sizes, keys = [], [], [], [], [], []
             for doc_id, mark, text in zip(*(c.to_pylist() for c in part.columns)):
-                words, n = [], []
-                for number, line in enumerate((text or b"").split(b"\n")):
-                    if found := line.lower().split():
-                        words += found
-                        n.append(len(found))
+                for number, line in enumerate((text or b"").lower().split(b"\n")):
+                    if found := line.split():
+                        ids.append(doc_id)
+                        marks.append(mark)
                         numbers.append(number)
+                        sizes.append(len(found))
                         digests.append(xxhash.xxh3_128_digest(b" ".join(found)))
-                if n:
-                    ids += [doc_id] * len(n)
-                    marks += [mark] * len(n)
-                    sizes += n
-                    n = np.array(n)
-                    for k, x in zip(keys, _halves(words, np.cumsum(n), n, powers)):
-                        k.append(x)
+                        keys += _halves(found)
             if ids:
-                ab = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield emit(LINES, ids, marks, numbers, pa.array(ab[:, 0]), pa.array(ab[:, 1]), sizes, *(pa.array(np.concatenate(k)) for k in keys))
+                ab, four = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2), np.array(keys, np.int64).reshape(-1, 4)
+                yield emit(LINES, ids, marks, numbers, pa.array(ab[:, 0]), pa.array(ab[:, 1]), sizes, *(pa.array(np.ascontiguousarray(four[:, k])) for k in range(4)))
 
     return docs.select(col(id_col).cast("long"), text_mark(text_col), utf8(text_col)).mapInArrow(
         run, "doc_id long, mark long, line_no int, a long, b long, n int, k0 long, k1 long, k2 long, k3 long")
@@ -296,10 +288,10 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     A document that had lines with words and keeps none of them goes; one that never had any stays as it is.
     """
-    found = duplicate_lines(docs, id_col, text_col, min_words).select(
-        F.col("doc_id").alias("__doc"), F.col("mark").alias("__of"), F.concat("exact", "near").alias("__gone"))
+    doc, of, lost = unused(docs, "doc", "of", "gone")
+    found = duplicate_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(doc), F.col("mark").alias(of), F.concat("exact", "near").alias(lost))
     at, names = docs.columns.index(text_col), docs.columns
-    joined = docs.join(found, col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (text_mark(text_col) == F.col("__of")), "left").select(*[col(c) for c in names], "__gone")
+    joined = docs.join(found, col(id_col).cast("long").eqNullSafe(F.col(doc)) & (text_mark(text_col) == F.col(of)), "left").select(*[col(c) for c in names], lost)
     length = names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
