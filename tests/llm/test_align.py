@@ -123,3 +123,16 @@ def test_long_runs(library):
     for text in (" " * 300_000, "a" * 100_000, "\t" * 100_000):
         (a, b), = pair.encode([text])
         assert a and b
+
+
+def test_the_faster_matcher_gives_the_same_ids(library):
+    rng, pair = random.Random(11), align.pair_of(open(PATHS[0], encoding="utf-8").read(), open(PATHS[1], "rb").read())
+    assert pair.cuts and pair.fast
+    letters = "abcdefgstrelvdmXYZ0123456789'-_=+/.,;:!?<>|#\n  "
+    for n in [*range(1, 60)] * 20 + [4_000] * 5:
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert [x[0] for x in pair.encode([text], True)] == [x[0] for x in pair.encode([text])]
+    vocabulary = [t for t in pair.bytes_a if t.isascii() and len(t) > 2]
+    text = b"".join(rng.choice(vocabulary) for _ in range(20_000)).decode()
+    text = "".join(c for c in text if c.isprintable() or c == "\n")
+    assert [*pair.encode([text], True)] == [*pair.encode([text])]
