@@ -11,8 +11,13 @@ series are fitted in parallel, one key group per task.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.exprs import col, month_str
 from tessera.functions.nulls import normalize_nulls
@@ -177,36 +182,102 @@ def history_forecast_union(df: DataFrame, date_col: str, value_col: str,
     return hist.unionByName(fc)
 
 
-def forecast_rf(df: DataFrame, date_col: str, value_col: str, periods: int = 3,
-                seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Random forest (100 trees) on the month index; flat beyond the last
-    split. Returns (forecast rows, in-sample metrics). Trained with Spark ML
-    on the monthly frame (one row per month)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+# --- Random forest on the month index -----------------------------------------
+# With one feature and unlimited depth, a tree ends with one leaf per sampled month
+# and cuts half-way between neighbours: it predicts the value of the nearest sampled
+# month, of two equally near ones the earlier. So the forest is its samples, exactly.
+
+TREES = 100
+_PRIME = 2147483647
+
+
+def bootstrap(n: int, trees: int, seed: int) -> np.ndarray:
+    """(trees, n) places drawn with replacement, by integer arithmetic that SQL can repeat. They depend on the length of a
+    series alone, so a series has the same forest beside others as by itself."""
+    tree, draw = np.arange(trees, dtype=np.int64)[:, None], np.arange(n, dtype=np.int64)[None, :]
+    s = (seed * 7919 + tree * 104729 + draw * 1299709 + 1) % _PRIME
+    for _ in range(3):
+        s = (s ^ (s >> 15)) * 48271 % _PRIME
+    return s % n
+
+
+def forest_values(value: np.ndarray, at: np.ndarray, trees: int = TREES, seed: int = 42) -> np.ndarray:
+    """Forest trained on ``value`` at places 0, 1, ...; its predictions at the places ``at``, to six digits after the point
+    (the mean of 100 amounts often lies half-way between two cents, where the order of adding would decide)."""
+    total = np.zeros(len(at))
+    for sample in bootstrap(len(value), trees, seed):
+        s = np.unique(sample)
+        total += value[s[np.searchsorted((s[1:] + s[:-1]) / 2, at, side="left")]]
+    return np.round(total / trees, 6)
+
+
+def _forest(ix: DataFrame, by: list[str], periods: int, trees: int, seed: int, test_frac: float = 0.0, least: int = 1) -> DataFrame:
+    """Months and ``periods`` steps beyond (value NULL) of every series with ``least`` months: *by, idx, value, is_test,
+    _pred. The last ceil(test_frac * n) months are not trained on. A task holds one series: its months."""
+    keep = [ix.schema[b] for b in by]
+    schema = T.StructType(keep + [T.StructField("idx", T.LongType()), T.StructField("value", T.DoubleType()),
+                                  T.StructField("is_test", T.BooleanType()), T.StructField("_pred", T.DoubleType())])
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        value, n = pdf["value"].to_numpy(float), len(pdf)
+        train = n - math.ceil(n * test_frac)
+        if n < least or train < 1:
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+        at = np.arange(n + periods)
+        out = pd.DataFrame({b: pd.Series([pdf[b].iloc[0]] * len(at), index=at, dtype=object) for b in by}, index=at)
+        out["idx"], out["value"] = at, np.append(value, np.full(periods, np.nan))
+        out["is_test"], out["_pred"] = (at >= train) & (at < n), forest_values(value[:train], at, trees, seed)
+        return out
+
+    grown = ix.select(*by, "idx", "value").groupBy(*by).applyInPandas(grow, schema)
+    return grown.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def _fit_quality(rows: DataFrame, by: list[str]) -> list:
+    """Aggregates mae, rmse and r2 of value against _pred; rows must carry the mean as _ybar."""
+    e = F.col("value") - F.col("_pred")
+    return [F.round(F.avg(F.abs(e)), 2).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
+            F.round(1 - F.try_divide(F.sum(e * e), F.sum((F.col("value") - F.col("_ybar")) ** 2)), 4).alias("r2")]
+
+
+def _steps(rows: DataFrame, by: list[str], last: str) -> DataFrame:
+    """The rows beyond the last month as step and period."""
+    step = (F.col("idx") - F.col(last)).cast("long")
+    return rows.where(F.col("idx") > F.col(last)).withColumn("step", step).withColumn("period", F.concat(F.lit("Month +"), F.col("step").cast("string")))
+
 
+def forecast_rf(df: DataFrame, date_col: str, value_col: str, periods: int = 3, seed: int = 42, by: list[str] | None = None,
+                trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """Random forest of fully grown trees on the month index, per series of ``by``; flat beyond the last month. Returns
+    (forecast rows with a ±1.96·σ band of the in-sample residuals, in-sample metrics)."""
+    by = by or []
     _check_periods(periods)
-    ix = monthly_indexed(df, date_col, value_col).withColumn("x", F.col("idx").cast("double"))
-    va = VectorAssembler(inputCols=["x"], outputCol="features")
-    model = RandomForestRegressor(numTrees=100, seed=seed, maxDepth=30, labelCol="value",
-                                  featureSubsetStrategy="all").fit(va.transform(ix))
-    fitted = model.transform(va.transform(ix)).withColumnRenamed("prediction", "_pred")
-    ybar = fitted.agg(F.avg("value").alias("_ybar"))
-    f = fitted.crossJoin(F.broadcast(ybar))
-    e = F.col("value") - F.col("_pred")
-    met = f.agg(F.lit("Random Forest").alias("method"), F.round(F.avg(F.abs(e)), 2).alias("mae"),
-                F.round(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-                F.round(1 - F.try_divide(F.sum(e * e), F.sum((F.col("value") - F.col("_ybar")) ** 2)), 4).alias("r2"),
-                F.stddev_pop(e).alias("_sd"), F.max("idx").alias("_last"))
-    fut = met.select("_sd", "_last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
-    fut = va.transform(fut.withColumn("x", (F.col("_last") + F.col("step")).cast("double")))
-    p = model.transform(fut)
-    out = p.select(F.col("step").cast("long").alias("step"),
-                   F.concat(F.lit("Month +"), F.col("step").cast("string")).alias("period"),
-                   F.round("prediction", 2).alias("forecast"),
-                   F.round(F.col("prediction") - 1.96 * F.col("_sd"), 2).alias("lower"),
-                   F.round(F.col("prediction") + 1.96 * F.col("_sd"), 2).alias("upper"))
-    return out, met.select("method", "mae", "rmse", "r2")
+    rows = _forest(monthly_indexed(df, date_col, value_col, by), by, periods, trees, seed)
+    w = Window.partitionBy(*by)
+    rows = rows.withColumn("_ybar", F.avg("value").over(w)).withColumn("_sd", F.stddev_pop(F.col("value") - F.col("_pred")).over(w)) \
+        .withColumn("_last", F.max(F.when(F.col("value").isNotNull(), F.col("idx"))).over(w))
+    met = rows.where(F.col("value").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *_fit_quality(rows, by)) \
+        .where(F.col("_n") > 0).select(*by, F.lit("Random Forest").alias("method"), "mae", "rmse", "r2")
+    band = 1.96 * F.col("_sd")
+    out = _steps(rows, by, "_last").select(*by, "step", "period", F.round("_pred", 2).alias("forecast"), F.round(F.col("_pred") - band, 2).alias("lower"),
+                                           F.round(F.col("_pred") + band, 2).alias("upper"))
+    return out, met
+
+
+def forecast_holdout_rf(df: DataFrame, date_col: str, value_col: str, test_frac: float = 0.2, periods: int = 3, by: list[str] | None = None,
+                        seed: int = 42, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """``forecast_holdout`` with the random forest, per series of ``by``: (metrics, forecast)."""
+    by = by or []
+    _check_periods(periods)
+    rows = _forest(monthly_indexed(df, date_col, value_col, by), by, periods, trees, seed, test_frac, least=4)
+    w = Window.partitionBy(*by)
+    rows = rows.withColumn("_last", F.max(F.when(F.col("value").isNotNull(), F.col("idx"))).over(w)) \
+        .withColumn("n_train", F.count_if(F.col("value").isNotNull() & ~F.col("is_test")).over(w).cast("long")) \
+        .withColumn("_ybar", F.avg(F.when(F.col("is_test"), F.col("value"))).over(w))
+    mae, _, r2 = _fit_quality(rows, by)
+    met = rows.where("is_test").groupBy(*by).agg(F.first("n_train").alias("n_train"), F.count(F.lit(1)).cast("long").alias("n_test"), mae, r2).where(F.col("n_test") > 0)
+    return met, _steps(rows, by, "_last").select(*by, "step", "period", F.round("_pred", 2).alias("forecast"))
 
 
 def forecast_holdout(df: DataFrame, date_col: str, value_col: str, test_frac: float = 0.2,

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tessera.functions.exprs import col
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.ranks import running_before
+from tessera.functions.schema import numeric_cols
 from tessera.session import materialize, stage_input
 
 # --- Fixed values: the analysed application's split and seed ----------------
@@ -188,6 +189,20 @@ def train_regression(df: DataFrame, target: str, features: list[str], model: str
     return m, _importance(fitted, features, df.sparkSession), pred
 
 
+def feature_regression(df: DataFrame, target: str | None = None, features: list[str] | None = None, max_depth: int = 10):
+    """Forecast of a table without dates: a random forest of the ``target`` (default: the first numeric column) on
+    ``features`` (default: the first two other numeric ones). Returns what ``train_regression`` does; ValueError with
+    fewer than two numeric columns or no feature."""
+    nums = numeric_cols(df)
+    if len(nums) < 2:
+        raise ValueError("feature regression needs at least two numeric columns")
+    target = nums[0] if target is None else target
+    features = [c for c in nums if c != target][:2] if features is None else features
+    if not features or target in features:
+        raise ValueError("feature regression needs features other than its target")
+    return train_regression(df, target, features, "rf", max_depth)
+
+
 def _rff(prep: DataFrame, n_features: int, dim: int = 100, seed: int = RANDOM_STATE) -> DataFrame:
     """Random Fourier features approximating an RBF kernel with
     gamma = 1 / (n_features · Var(X)) (the 'scale' rule) on the scaled inputs
@@ -217,14 +232,19 @@ def train_classification(df: DataFrame, target: str, features: list[str], model:
     train, test = prep.where(~F.col("is_test")), prep.where(F.col("is_test"))
     n_train = train.count()
     k = train.select("label").distinct().count()
+    if model == "gbt" and k > 2:  # Spark's booster knows two classes
+        from tessera.operators import boosting
+        booster = boosting.fit(train)
+        pred = boosting.predict(booster, test).select("label", "prediction")
+        imp = df.sparkSession.createDataFrame(list(zip(features, boosting.importance(booster))), "feature string, importance double")
+        return classification_metrics(pred).select(F.lit(model).alias("model"), "*"), imp.orderBy(F.col("importance").desc()), pred
     if model == "logistic":
         est = LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                                  standardization=False, family="auto")
     elif model == "rf":
         est = RandomForestClassifier(numTrees=100, seed=RANDOM_STATE, maxDepth=max_depth, maxBins=64)
     elif model == "gbt":
-        base = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
-        est = base if k <= 2 else OneVsRest(classifier=base)
+        est = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
     elif model == "svm":
         base = LinearSVC(maxIter=50, tol=1e-4, regParam=1.0 / max(n_train, 1))
         est = base if k <= 2 else OneVsRest(classifier=base)

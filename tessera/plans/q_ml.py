@@ -40,6 +40,12 @@ def clf_knn(spark, d):
                                    "knn")[0]
 
 
+@register("clf_gbt_multi")
+def clf_gbt_multi(spark, d):
+    """Five classes: one tree per class and round."""
+    return ml.train_classification(table(spark, d, "customer"), "c_mktsegment", ["c_acctbal", "c_nationkey"], "gbt")[0]
+
+
 @register("feature_importance")
 def feature_importance(spark, d):
     return ml.train_regression(table(spark, d, "part"), "p_retailprice", REG_FEATURES, "rf")[1]
@@ -47,8 +53,7 @@ def feature_importance(spark, d):
 
 @register("feature_regression")
 def feature_regression(spark, d):
-    # no-date path: random forest on the first two other numeric columns
-    m, imp, _ = ml.train_regression(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_partkey"], "rf")
+    m, imp, _ = ml.feature_regression(table(spark, d, "lineitem"), "l_extendedprice")
     return m.crossJoin(imp)
 
 
@@ -229,16 +234,80 @@ def knn_neighbors(spark, d):
         .select(F.col("vec")[0].alias("c_acctbal"), F.col("vec")[1].cast("int").alias("c_nationkey"), "kdist", "k")
 
 
+def _forest_sql(by: str, n_train: str = "n", least: int = 1, periods: int = 3) -> str:
+    """CTEs up to ``p``: (key, idx, value, is_test, pred, n) of months and steps beyond, by the forest's own draws."""
+    mix = "xor(s, s >> 15) * 48271 % 2147483647 AS s"
+    return f"""m AS (SELECT {by} AS key, strftime(order_date, '%Y-%m') AS period, SUM(sales) AS value FROM sales
+      WHERE order_date IS NOT NULL AND sales IS NOT NULL AND {by} IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT key, value, ROW_NUMBER() OVER (PARTITION BY key ORDER BY period) - 1 AS idx FROM m),
+n AS (SELECT key, n, CAST({n_train} AS BIGINT) AS k FROM (SELECT key, COUNT(*) AS n FROM i GROUP BY key) WHERE n >= {least}),
+s0 AS (SELECT key, k, t, (42 * 7919 + t * 104729 + idx * 1299709 + 1) % 2147483647 AS s
+       FROM n JOIN i USING (key), (SELECT UNNEST(range(0, 100)) AS t) WHERE idx < k),
+s1 AS (SELECT key, k, t, {mix} FROM s0), s2 AS (SELECT key, k, t, {mix} FROM s1), s3 AS (SELECT key, k, t, {mix} FROM s2),
+d AS (SELECT DISTINCT key, t, s % k AS place FROM s3),
+c AS (SELECT key, t, place, LAG(place) OVER o AS prev, LEAD(place) OVER o AS nxt FROM d WINDOW o AS (PARTITION BY key, t ORDER BY place)),
+x AS (SELECT key, idx, value, k, n FROM i JOIN n USING (key) UNION ALL SELECT key, n + step, NULL, k, n FROM n, (SELECT UNNEST(range(0, {periods})) AS step)),
+p AS (SELECT x.key, x.idx, x.value, x.n, x.k, x.idx >= x.k AND x.idx < x.n AS is_test, ROUND(AVG(v.value), 6) AS pred
+      FROM x JOIN c ON c.key = x.key AND (prev IS NULL OR 2 * x.idx > prev + place) AND (nxt IS NULL OR 2 * x.idx <= place + nxt)
+      JOIN i v ON v.key = c.key AND v.idx = c.place GROUP BY ALL)"""
+
+
+_RF_FUTURE = """CAST(idx - n + 1 AS BIGINT) AS step, 'Month +' || CAST(idx - n + 1 AS VARCHAR) AS period, ROUND(pred, 2) AS forecast"""
+_RF_BAND = "ROUND(pred - 1.96 * sd, 2) AS lower, ROUND(pred + 1.96 * sd, 2) AS upper"
+_RF_SD = "(SELECT key, STDDEV_POP(value - pred) AS sd FROM p WHERE value IS NOT NULL GROUP BY key)"
+_RF_QUALITY = """ROUND(AVG(ABS(value - pred)), 2) AS mae, ROUND(SQRT(AVG((value - pred) * (value - pred))), 2) AS rmse,
+       ROUND(1 - SUM((value - pred) * (value - pred)) / SUM((value - ybar) * (value - ybar)), 4) AS r2"""
+_RF_HOLDOUT = "n - CEIL(n * CAST(0.2 AS DOUBLE))"
+
+
 @register("forecast_rf")
 def forecast_rf(spark, d):
     return fc.forecast_rf(sales(spark, d), "order_date", "sales")[0]
 
 
+oracle("forecast_rf", with_sales(f""", {_forest_sql("1")}
+SELECT {_RF_FUTURE}, {_RF_BAND} FROM p JOIN {_RF_SD} USING (key) WHERE idx >= n"""))
+
+
 @register("forecast_rf_metrics")
 def forecast_rf_metrics(spark, d):
     return fc.forecast_rf(sales(spark, d), "order_date", "sales")[1]
 
 
+oracle("forecast_rf_metrics", with_sales(f""", {_forest_sql("1")}
+SELECT 'Random Forest' AS method, {_RF_QUALITY} FROM (SELECT *, AVG(value) OVER () AS ybar FROM p WHERE value IS NOT NULL)"""))
+
+
+@register("forecast_rf_by_region")
+def forecast_rf_by_region(spark, d):
+    return fc.forecast_rf(sales(spark, d), "order_date", "sales", by=["region"])[0]
+
+
+oracle("forecast_rf_by_region", with_sales(f""", {_forest_sql("region")}
+SELECT key AS region, {_RF_FUTURE}, {_RF_BAND} FROM p JOIN {_RF_SD} USING (key) WHERE idx >= n"""))
+
+
+@register("forecast_holdout_rf_by_product")
+def forecast_holdout_rf_by_product(spark, d):
+    """One small forest per product: as many series as there are products."""
+    return fc.forecast_holdout_rf(sales(spark, d), "order_date", "sales", by=["product"])[0]
+
+
+oracle("forecast_holdout_rf_by_product", with_sales(f""", {_forest_sql("product", _RF_HOLDOUT, 4)}
+SELECT key AS product, CAST(ANY_VALUE(k) AS BIGINT) AS n_train, CAST(COUNT(*) AS BIGINT) AS n_test, ROUND(AVG(ABS(value - pred)), 2) AS mae,
+       ROUND(1 - SUM((value - pred) * (value - pred)) / NULLIF(SUM((value - ybar) * (value - ybar)), 0), 4) AS r2
+FROM (SELECT *, AVG(value) OVER (PARTITION BY key) AS ybar FROM p WHERE is_test) GROUP BY key"""))
+
+
+@register("forecast_holdout_rf_future")
+def forecast_holdout_rf_future(spark, d):
+    return fc.forecast_holdout_rf(sales(spark, d), "order_date", "sales")[1]
+
+
+oracle("forecast_holdout_rf_future", with_sales(f""", {_forest_sql("1", _RF_HOLDOUT, 4)}
+SELECT {_RF_FUTURE} FROM p WHERE idx >= n"""))
+
+
 _HO = """m AS (SELECT strftime(order_date, '%Y-%m') AS period, SUM(sales) AS value
            FROM sales WHERE order_date IS NOT NULL AND sales IS NOT NULL GROUP BY 1),
 i AS (SELECT period, value, ROW_NUMBER() OVER (ORDER BY period) - 1 AS idx, COUNT(*) OVER () AS n FROM m),
