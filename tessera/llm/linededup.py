@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import col, emit, slices, text_mark, unused, utf8
 from tessera.session import materialize
 
-MIN_WORDS = 10
+#: Below six words, lines of one text in another's words meet by chance (README has the counts for 2 to 10).
+MIN_WORDS = 6
 # The polynomial's moduli and base.
 _PRIMES = np.array([2147483647, 2147483629, 2147483587], np.uint64)
 _BASE = 1_103_515_245
