@@ -6,7 +6,8 @@
    blocks of at most ``BLOCK`` vectors, each one row with the vectors' bytes, so
    a list that holds a third of all rows is many blocks.
 3. Every query visits its nearest lists (``PROBES`` of them all). A query starts
-   with the distance of its k-th nearest in the sample as its threshold.
+   with the distance of its k-th nearest in the sample as its threshold, and the
+   k-th nearest found in a block tightens it for the rest of the block.
 4. In a block the rotated vectors are scanned in column blocks. After d of D
    dimensions a candidate is abandoned if its partial squared distance exceeds
    threshold x d / D x (1 + EPSILON / sqrt(d))^2: after a random rotation this
@@ -124,6 +125,14 @@ def scan(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.
     return row[place < k], ids[at[place < k]], score[place < k], read
 
 
+def tightened(best: np.ndarray, limits: np.ndarray, row: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best scores of each query (ascending) and the thresholds after a slice whose hits are grouped by query row."""
+    new = np.full_like(best, -np.inf)
+    new[row, np.arange(len(row)) - np.searchsorted(row, row)] = score
+    best = np.sort(np.concatenate([best, new], axis=1), axis=1)[:, best.shape[1]:]
+    return best, np.minimum(limits, 2 - 2 * best[:, 0])
+
+
 def _matrix(part: pa.Array, dims: int) -> np.ndarray:
     return part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
@@ -178,28 +187,33 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     dealt = dealt.repartition("list", "part").sortWithinPartitions("list", "part")
     blocks = dealt.select("list", "vec_id", "vec").mapInArrow(_packer(BLOCK, dims), "list int, ids binary, block binary")
 
-    # queries: one row for each visited list, packed likewise
+    # queries: one row for each visited list, packed likewise; the threshold follows the vector
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("list", pa.int32()), *batch_schema])
         for part in slices(batches, 256):
-            lists = index.probes_of(_matrix(part.column(1), dims), probes)
-            again = part.take(pa.array(np.repeat(np.arange(part.num_rows), lists.shape[1])))
-            yield emit(out, pa.array(lists.ravel()), *again.columns)
+            ids, x = part.column(0).to_numpy(), _matrix(part.column(1), dims)
+            lists, (_, _, _, limits) = index.probes_of(x, probes), index.seeded(ids, x, k)
+            again = np.repeat(np.arange(len(ids)), lists.shape[1])
+            flat = np.column_stack([x, limits])[again].ravel()
+            asked = pa.ListArray.from_arrays(pa.array(np.arange(len(again) + 1) * (dims + 1), pa.int32()), pa.array(flat))
+            yield emit(out, pa.array(lists.ravel()), pa.array(ids[again]), asked)
 
     asking = assigned.where(F.col("vec_id") % every == 0).select("vec_id", "vec")
     visits = asking.mapInArrow(visit, "list int, vec_id long, vec array<double>").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(8)))
     visits = visits.repartition("list", "part").sortWithinPartitions("list", "part").select("list", "vec_id", "vec")
-    chunks = visits.mapInArrow(_packer(CHUNK, dims), "list int, query_ids binary, queries binary")
+    chunks = visits.mapInArrow(_packer(CHUNK, dims + 1), "list int, query_ids binary, queries binary")
 
     hit = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             ids, block, query_ids, queries = (np.frombuffer(part.column(i)[0].as_buffer(), t) for i, t in enumerate(("<i8", "<f8", "<i8", "<f8")))
-            block, queries = block.reshape(-1, dims), queries.reshape(-1, dims)
-            _, _, _, limits = index.seeded(query_ids, queries, k)
+            block, queries = block.reshape(-1, dims), queries.reshape(-1, dims + 1)
+            queries, limits = np.ascontiguousarray(queries[:, :dims]), queries[:, dims]
+            best = np.full((len(queries), k), -np.inf)
             for at in range(0, len(ids), 1024):
                 row, found, score, _ = scan(ids[at: at + 1024], block[at: at + 1024], query_ids, queries, limits, index.rotation, k)
+                best, limits = tightened(best, limits, row, score)
                 yield emit(hit, pa.array(query_ids[row]), pa.array(found), pa.array(score))
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

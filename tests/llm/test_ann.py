@@ -60,6 +60,14 @@ def test_scan_abandons_early_and_keeps_the_near():
     assert hits >= 97
 
 
+def test_thresholds_tighten_to_the_kth_best():
+    best, limits = np.full((3, 2), -np.inf), np.array([np.inf, 0.5, 0.1])
+    best, limits = ann.tightened(best, limits, np.array([0, 1, 1, 2]), np.array([.9, .8, .6, .2]))
+    assert limits == pytest.approx([np.inf, .5, .1]) and best[1] == pytest.approx([.6, .8])
+    best, limits = ann.tightened(best, limits, np.array([0, 0, 1]), np.array([.95, .3, .9]))
+    assert limits == pytest.approx([.2, .4, .1]) and best[0] == pytest.approx([.9, .95])
+
+
 def test_equal_vectors_tie_to_the_smaller_id(spark):
     ids, x = clustered(400)
     x[100:300] = x[100]
