@@ -15,7 +15,7 @@ from tessera.functions.exprs import col, fixed, month_str, signed_fixed, thousan
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import find_col
 from tessera.operators.clean import time_col
-from tessera.session import stage_input
+from tessera.session import materialize
 
 # --- Fixed values: KPI display currency sign ---------------------------------
 CURRENCY = "₹"
@@ -55,96 +55,112 @@ def _num(df: DataFrame, c: str):
     return col(c).cast("double")
 
 
-def kpi_revenue(df: DataFrame) -> DataFrame:
+_KEYS = ("product", "region", "category", "customer", "month")
+
+
+def _summary(df: DataFrame, cols: dict, *keys: str) -> DataFrame:
+    """One pass over the table: a row of totals (``_role`` is "all"; none if there is
+    no row) and, by grouping sets, a row per value of each key. Sums are partial in
+    every task, so a value of a third of all rows is a row per task."""
+    number = lambda role: _num(df, cols[role]) if cols[role] else F.lit(None).cast("double")
+    key = lambda k: month_str(time_col(df, cols["date"])) if k == "month" else col(cols[k])
+    d = normalize_nulls(df.select(*[number(r).alias(f"_{r}") for r in ("sales", "profit", "quantity")], *[key(k).alias(k) for k in keys]))
+    zero = F.lit(0.0)
+    sums = [F.coalesce(F.sum("_sales"), zero).alias("_tot"), F.avg("_sales").alias("_avg"), F.coalesce(F.sum("_quantity"), zero).alias("_qty"),
+            F.coalesce(F.sum("_profit"), zero).alias("_p"), F.count_if(F.col("_profit") < 0).alias("_neg"), F.count(F.lit(1)).alias("_n")]
+    if not keys:
+        return d.agg(*sums).withColumn("_role", F.lit("all"))
+    g = d.groupingSets([*[[F.col(k)] for k in keys], []], *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_gid"), *sums)
+    every = (1 << len(keys)) - 1  # a key that is grouped by has its bit at 0, the first key the highest bit
+    role = F.lit("all")
+    for i, k in enumerate(keys):
+        role = F.when(F.col("_gid") == every - (1 << (len(keys) - 1 - i)), k).otherwise(role)
+    return g.withColumn("_role", role).drop("_gid")
+
+
+def _totals(g: DataFrame) -> DataFrame:
+    """The totals of a summary as one row, and ``_u``, its number of customers."""
+    whole = lambda c: F.max(F.when(F.col("_role") == "all", F.col(c)))
+    zero = lambda c, z: F.coalesce(whole(c), F.lit(z)).alias(c)
+    u = F.count_if((F.col("_role") == "customer") & F.col("customer").isNotNull()) if "customer" in g.columns else F.lit(0)
+    return g.agg(zero("_tot", 0.0), whole("_avg").alias("_avg"), zero("_qty", 0.0), zero("_p", 0.0), zero("_neg", 0), zero("_n", 0), u.alias("_u"))
+
+
+def _money(x):
+    return F.concat(F.lit(CURRENCY), thousands(x))
+
+
+def _revenue(cols: dict) -> list:
+    if not cols["sales"]:
+        return []
+    tot, avg, rpu = F.col("_tot"), F.col("_avg"), F.when(F.col("_qty") > 0, F.col("_tot") / F.col("_qty")).otherwise(F.lit(0.0))
+    entries = [(None, _row(1, "Total Revenue", tot, _money(tot), "revenue")), (None, _row(2, "Average Order Value", avg, _money(avg), "revenue"))]
+    return entries + ([(None, _row(3, "Revenue Per Unit", rpu, _money(rpu), "revenue"))] if cols["quantity"] else [])
+
+
+def _profit(cols: dict) -> list:
+    if not cols["profit"]:
+        return []
+    tp, neg = F.col("_p"), F.col("_neg")
+    entries = [(None, _row(4, "Total Profit", tp, _money(tp), "profit"))]
+    if cols["sales"]:
+        margin = tp / F.col("_tot") * 100
+        entries.append((F.col("_tot") > 0, _row(5, "Profit Margin", margin, F.concat(fixed(margin, 1), F.lit("%")), "profit")))
+    share = F.concat(fixed(neg * 100.0 / F.col("_n"), 1), F.lit("% of transactions"))
+    return entries + [(neg > 0, _row(6, "Loss Transactions", neg, neg.cast("string"), "profit", share))]
+
+
+def _volume(cols: dict) -> list:
+    return [(None, _row(7, "Total Quantity", F.col("_qty"), thousands(F.col("_qty")), "volume"))] if cols["quantity"] else []
+
+
+def _customer(cols: dict) -> list:
+    if not cols["customer"]:
+        return []
+    u, spend = F.col("_u"), F.when(F.col("_u") > 0, F.col("_tot") / F.col("_u")).otherwise(F.lit(0.0))
+    entries = [(None, _row(8, "Unique Customers", u, thousands(u), "customer"))]
+    return entries + ([(None, _row(9, "Avg Spend/Customer", spend, _money(spend), "customer"))] if cols["sales"] else [])
+
+
+def _told(df: DataFrame, family, *keys: str) -> DataFrame:
     cols = detect(df)
-    s, q = cols["sales"], cols["quantity"]
-    if not s:
-        return _empty(df.sparkSession)
-    d = normalize_nulls(df)
-    aggs = [F.coalesce(F.sum(_num(d, s)), F.lit(0.0)).alias("_tot"), F.avg(_num(d, s)).alias("_avg")]
-    if q:
-        aggs.append(F.coalesce(F.sum(_num(d, q)), F.lit(0.0)).alias("_qty"))
-    a = d.agg(*aggs)
-    tot, avg = F.col("_tot"), F.col("_avg")
-    entries = [(None, _row(1, "Total Revenue", tot, F.concat(F.lit(CURRENCY), thousands(tot)), "revenue")),
-               (None, _row(2, "Average Order Value", avg, F.concat(F.lit(CURRENCY), thousands(avg)), "revenue"))]
-    if q:
-        rpu = F.when(F.col("_qty") > 0, tot / F.col("_qty")).otherwise(F.lit(0.0))
-        entries.append((None, _row(3, "Revenue Per Unit", rpu, F.concat(F.lit(CURRENCY), thousands(rpu)),
-                                   "revenue")))
-    return _rows(a, entries)
+    entries = family(cols)
+    return _rows(_totals(_summary(df, cols, *keys)), entries) if entries else _empty(df.sparkSession)
+
+
+def kpi_revenue(df: DataFrame) -> DataFrame:
+    return _told(df, _revenue)
 
 
 def kpi_profit(df: DataFrame) -> DataFrame:
-    cols = detect(df)
-    p, s = cols["profit"], cols["sales"]
-    if not p:
-        return _empty(df.sparkSession)
-    d = normalize_nulls(df)
-    aggs = [F.coalesce(F.sum(_num(d, p)), F.lit(0.0)).alias("_p"),
-            F.count_if(_num(d, p) < 0).alias("_neg"), F.count(F.lit(1)).alias("_n")]
-    if s:
-        aggs.append(F.coalesce(F.sum(_num(d, s)), F.lit(0.0)).alias("_s"))
-    a = d.agg(*aggs)
-    tp = F.col("_p")
-    entries = [(None, _row(4, "Total Profit", tp, F.concat(F.lit(CURRENCY), thousands(tp)), "profit"))]
-    if s:
-        margin = tp / F.col("_s") * 100
-        entries.append((F.col("_s") > 0, _row(5, "Profit Margin", margin, F.concat(fixed(margin, 1), F.lit("%")),
-                                                "profit")))
-    neg = F.col("_neg")
-    entries.append((neg > 0, _row(6, "Loss Transactions", neg, neg.cast("string"), "profit",
-                                  F.concat(fixed(neg * 100.0 / F.col("_n"), 1), F.lit("% of transactions")))))
-    return _rows(a, entries)
+    return _told(df, _profit)
 
 
 def kpi_volume(df: DataFrame) -> DataFrame:
-    q = detect(df)["quantity"]
-    if not q:
-        return _empty(df.sparkSession)
-    d = normalize_nulls(df)
-    a = d.agg(F.coalesce(F.sum(_num(d, q)), F.lit(0.0)).alias("_q"))
-    return _rows(a, [(None, _row(7, "Total Quantity", F.col("_q"), thousands(F.col("_q")), "volume"))])
+    return _told(df, _volume)
 
 
 def kpi_customer(df: DataFrame) -> DataFrame:
-    cols = detect(df)
-    c, s = cols["customer"], cols["sales"]
-    if not c:
-        return _empty(df.sparkSession)
-    d = normalize_nulls(df)
-    # distinct customers: a shuffled groupBy on the key, then a count
-    uniq = d.select(col(c)).where(col(c).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("_u"))
-    if s:
-        uniq = uniq.crossJoin(d.agg(F.coalesce(F.sum(_num(d, s)), F.lit(0.0)).alias("_s")))
-    u = F.col("_u")
-    entries = [(None, _row(8, "Unique Customers", u, thousands(u), "customer"))]
-    if s:
-        spend = F.when(u > 0, F.col("_s") / u).otherwise(F.lit(0.0))
-        entries.append((None, _row(9, "Avg Spend/Customer", spend, F.concat(F.lit(CURRENCY), thousands(spend)),
-                                   "customer")))
-    return _rows(uniq, entries)
+    return _told(df, _customer, "customer")
+
 
+_LEADERS = ((10, "product", "Top Product"), (11, "region", "Top Region"), (12, "category", "Top Category"))
 
-def _top_label(df: DataFrame, key: str, value: str) -> DataFrame:
-    d = normalize_nulls(df.select(col(key).alias("_k"), _num(df, value).alias("_v"))).where(F.col("_k").isNotNull())
-    sums = d.groupBy("_k").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"))
-    return sums.orderBy(F.col("_s").desc(), F.col("_k")).limit(1).select(F.col("_k").cast("string").alias("_k"))
+
+def _leaders(g: DataFrame, roles: list[str]) -> DataFrame:
+    out = _empty(g.sparkSession)
+    for ord_, role, name in _LEADERS:
+        if role in roles:
+            best = g.where((F.col("_role") == role) & F.col(role).isNotNull()).orderBy(F.col("_tot").desc(), role).limit(1)
+            label = best.select(F.col(role).cast("string").alias("_k"))
+            out = out.unionByName(_rows(label, [(None, _row(ord_, name, F.lit(0.0), F.col("_k"), "performance"))]))
+    return out
 
 
 def kpi_top_performers(df: DataFrame) -> DataFrame:
     cols = detect(df)
-    s = cols["sales"]
-    out = _empty(df.sparkSession)
-    if not s:
-        return out
-    for ord_, role, name in ((10, "product", "Top Product"), (11, "region", "Top Region"),
-                             (12, "category", "Top Category")):
-        k = cols[role]
-        if k:
-            t = _top_label(df, k, s)
-            out = out.unionByName(_rows(t, [(None, _row(ord_, name, F.lit(0.0), F.col("_k"), "performance"))]))
-    return out
+    roles = [role for _, role, _ in _LEADERS if cols[role]] if cols["sales"] else []
+    return _leaders(materialize(_summary(df, cols, *roles), "kpi"), roles) if roles else _empty(df.sparkSession)
 
 
 def monthly_sums(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
@@ -168,12 +184,8 @@ def mom_growth(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
                     F.round(g, 4).alias("growth_pct"))
 
 
-def kpi_time(df: DataFrame) -> DataFrame:
-    cols = detect(df)
-    dc, s = cols["date"], cols["sales"]
-    if not (dc and s):
-        return _empty(df.sparkSession)
-    m = monthly_sums(df, dc, s)
+def _time(m: DataFrame) -> DataFrame:
+    """Growth and best month of (period, value)."""
     last2 = m.orderBy(F.col("period").desc()).limit(2).agg(
         F.max_by("value", "period").alias("_last"), F.min_by("value", "period").alias("_prev"),
         F.count(F.lit(1)).alias("_n"))
@@ -187,13 +199,25 @@ def kpi_time(df: DataFrame) -> DataFrame:
     return _rows(a, entries)
 
 
+def kpi_time(df: DataFrame) -> DataFrame:
+    cols = detect(df)
+    if not (cols["date"] and cols["sales"]):
+        return _empty(df.sparkSession)
+    return _time(monthly_sums(df, cols["date"], cols["sales"]))
+
+
 def kpi_dashboard(df: DataFrame) -> DataFrame:
-    # six KPI families read the same input: only the columns that they found
-    found = set(detect(df).values())
-    df = stage_input(df.select(*[col(c) for c in df.columns if c in found]), "kpi")
-    out = kpi_revenue(df)
-    for f in (kpi_profit, kpi_volume, kpi_customer, kpi_top_performers, kpi_time):
-        out = out.unionByName(f(df))
+    """All families from one pass over the input, whose summary (a row per key value) is written once."""
+    cols = detect(df)
+    leaders = [role for _, role, _ in _LEADERS if cols[role]] if cols["sales"] else []
+    keys = leaders + (["customer"] if cols["customer"] else []) + (["month"] if cols["date"] and cols["sales"] else [])
+    entries = [e for family in (_revenue, _profit, _volume, _customer) for e in family(cols)]
+    g = materialize(_summary(df, cols, *keys), "kpi")
+    out = _rows(_totals(g), entries) if entries else _empty(df.sparkSession)
+    out = out.unionByName(_leaders(g, leaders))
+    if "month" in keys:
+        months = g.where((F.col("_role") == "month") & F.col("month").isNotNull())
+        out = out.unionByName(_time(months.select(F.col("month").alias("period"), F.col("_tot").alias("value"))))
     return out
 
 
