@@ -53,11 +53,13 @@ def value_positions(df: DataFrame, v: str = "v", w: str | None = None) -> DataFr
     return running_before(counts, "v", "wsum")
 
 
-def value_ranks(values: DataFrame, col: str = "v") -> DataFrame:
+def value_ranks(values: DataFrame, col: str = "v", weight: str | None = None) -> DataFrame:
     """(v, cnt, rank_min, rank_avg) for every distinct non-NULL value of
-    ``values[col]``. rank_avg is the pandas/scipy 'average' tie rank."""
-    counts = (values.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-              .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
+    ``values[col]``. rank_avg is the pandas/scipy 'average' tie rank. A row counts
+    ``weight`` times (default: once)."""
+    times = F.col(weight) if weight else F.lit(1).cast("long")
+    counts = (values.select(F.col(col).alias("v"), times.alias("_w")).where(F.col("v").isNotNull())
+              .groupBy("v").agg(F.sum("_w").alias("cnt")))
     return running_before(counts, "v", "cnt").select(
         "v", "cnt", (F.col("before") + 1).cast("long").alias("rank_min"),
         (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank_avg"))

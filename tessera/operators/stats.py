@@ -7,8 +7,8 @@ final p-value is computed by a small pandas UDF over the result row(s).
 * t-test / ANOVA: one ``groupBy(group)`` with n, mean, var; the between /
   within sums are an aggregate over the (few) group rows.
 * Pearson: ``regr_*`` co-moments over complete pairs.
-* Spearman: exact average ranks from the distributed global rank, then
-  Pearson on the ranks.
+* Spearman: exact average ranks of the counted pairs from the distributed
+  global rank, then Pearson on the ranks, weighted by the counts.
 * Shapiro-Wilk (Royston 1995): a seeded hash sample of at most 5000 values
   per column (the test is defined on that sample size), tested per column
   with ``groupBy(column).applyInPandas``.
@@ -28,6 +28,7 @@ from tessera.functions.longform import occurrences, top_k_per_group
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.ranks import value_ranks
 from tessera.functions.special import f_pvalue, norm_cdf, norm_ppf, t_pvalue
+from tessera.session import materialize
 
 
 def group_test(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -82,9 +83,10 @@ def group_test_p(df: DataFrame, group: str, value: str, alpha: float = 0.05) ->
 
 
 def _corr_result(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    r = safe_corr(F.col(a), F.col(b))
-    n = F.regr_count(F.col(b), F.col(a))
-    x = pairs.agg(r.alias("_r"), n.alias("n"))
+    return _with_t(pairs.agg(safe_corr(F.col(a), F.col(b)).alias("_r"), F.regr_count(F.col(b), F.col(a)).alias("n")))
+
+
+def _with_t(x: DataFrame) -> DataFrame:
     t = F.when(F.abs(F.col("_r")) < 1,
                F.col("_r") * F.sqrt((F.col("n") - 2) / (1 - F.col("_r") ** 2)))
     return x.select(F.round("_r", 4).alias("r"), F.col("n").cast("long").alias("n"),
@@ -97,18 +99,26 @@ def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
     return _corr_result(d, "x", "y").select("r", "n", "t")
 
 
-def _ranked_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+def _rank_corr(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows are counted per (x, y) first: ranks and co-moments are those of the
+    counted pairs, so a pair held by a third of all rows is one row in both joins."""
     d = normalize_nulls(df.select(col(a).cast("double").alias("x"), col(b).cast("double").alias("y")))
     d = d.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    rx = value_ranks(d.select(F.col("x").alias("v"))).select(F.col("v").alias("x"), F.col("rank_avg").alias("rx"))
-    ry = value_ranks(d.select(F.col("y").alias("v"))).select(F.col("v").alias("y"), F.col("rank_avg").alias("ry"))
-    return d.join(rx, "x").join(ry, "y").select("rx", "ry")
+    pairs = materialize(d.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_cnt")), "pairs")
+    rx = value_ranks(pairs, "x", "_cnt").select(F.col("v").alias("x"), F.col("rank_avg").alias("rx"))
+    ry = value_ranks(pairs, "y", "_cnt").select(F.col("v").alias("y"), F.col("rank_avg").alias("ry"))
+    n = pairs.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).alias("n"))
+    centre = (F.col("n") + 1) / 2.0  # the mean of n average ranks
+    u, v, w = F.col("rx") - centre, F.col("ry") - centre, F.col("_cnt")
+    moments = pairs.join(rx, "x").join(ry, "y").crossJoin(F.broadcast(n)).agg(
+        F.sum(w * u * v).alias("xy"), F.sum(w * u * u).alias("xx"), F.sum(w * v * v).alias("yy"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    varies = (F.col("xx") > 0) & (F.col("yy") > 0)
+    return _with_t(moments.select(F.when(varies, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("_r"), "n"))
 
 
 def spearman_test(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman ρ = Pearson r of the average ranks (complete pairs), n, t."""
-    return _corr_result(_ranked_pairs(df, a, b), "rx", "ry").select(
-        F.col("r").alias("rho"), "n", "t")
+    return _rank_corr(df, a, b).select(F.col("r").alias("rho"), "n", "t")
 
 
 def _with_p(res: DataFrame, name: str, label: str, words: tuple, alpha: float) -> DataFrame:
@@ -130,8 +140,7 @@ def pearson_test_p(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFr
 
 
 def spearman_test_p(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
-    return _with_p(_corr_result(_ranked_pairs(df, a, b), "rx", "ry"), "Spearman Correlation", "Spearman ρ",
-                   ("monotonic", "relationship"), alpha)
+    return _with_p(_rank_corr(df, a, b), "Spearman Correlation", "Spearman ρ", ("monotonic", "relationship"), alpha)
 
 
 # ---------------------------------------------------------------- Shapiro-Wilk

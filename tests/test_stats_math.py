@@ -71,6 +71,41 @@ def test_spearman_matches_pandas(spark):
     assert rho == round(want, 4)
 
 
+def test_spearman_counts_equal_pairs(spark):
+    rows = [(1.0, 2.0)] * 300 + [(float(i % 7), float((i * i) % 11)) for i in range(200)] + [(None, 1.0), (float("nan"), 2.0), (3.0, None)]
+    got = stats.spearman_test(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()
+    x = pd.DataFrame(rows, columns=["a", "b"]).dropna()
+    assert got["n"] == len(x) == 500 and got["rho"] == round(x["a"].rank().corr(x["b"].rank()), 4)
+    constant = stats.spearman_test(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double"), "a", "b").first()
+    assert constant["rho"] is None and constant["n"] == 2
+    none = stats.spearman_test(spark.createDataFrame([], "a double, b double"), "a", "b").first()
+    assert none["rho"] is None and none["n"] == 0
+
+
+def test_equal_totals_are_ranked_by_name(spark):
+    from tessera.operators import segment
+    rows = [(f"c{i:03d}", 0.0) for i in range(150)] + [("z", 5.0), ("y", 5.0), (None, 9.0), ("w", -1.0), ("v", None)]
+    got = segment.category_performance(spark.createDataFrame(rows, "c string, x double"), "c", "x")
+    ranks = {r["category"]: r["rank"] for r in got.collect()}
+    assert ranks["y"] == 1 and ranks["z"] == 2 and ranks["c000"] == 3 and ranks["c149"] == 152 and ranks["v"] == 153 and ranks["w"] == 154
+
+
+def test_kpi_dashboard_reads_its_input_once(spark):
+    from tessera.operators import kpi
+    rows = [("p1", "r1", 7, 10.0, -1.0, "2024-01-03"), ("p2", "r1", 7, 30.0, 2.0, "2024-02-03"), (None, "r2", None, 5.0, None, None), ("p1", None, 8, None, 1.0, "2024-02-01")]
+    schema = "product string, region string, customer_id long, sales double, profit double, order_date string"
+    got = {r["name"]: (r["value"], r["formatted"]) for r in kpi.kpi_dashboard(spark.createDataFrame(rows, schema)).collect()}
+    assert got["Total Revenue"][0] == 45.0 and got["Average Order Value"][0] == 15.0 and got["Unique Customers"][0] == 2
+    assert got["Top Product"][1] == "p2" and got["Top Region"][1] == "r1" and got["MoM Growth"][0] == 200.0 and got["Best Month"][1] == "2024-02"
+    assert got["Loss Transactions"] == (1.0, "1") and "Total Quantity" not in got and "Top Category" not in got
+    empty = {r["name"]: r["value"] for r in kpi.kpi_dashboard(spark.createDataFrame([], schema)).collect()}
+    assert empty["Total Revenue"] == 0.0 and empty["Average Order Value"] is None and empty["Unique Customers"] == 0
+    assert kpi.kpi_dashboard(spark.createDataFrame([("a",)], "note string")).count() == 0
+    d = spark.createDataFrame(rows, schema)
+    plan = kpi._summary(d, kpi.detect(d), "product", "region", "customer", "month")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("Aggregate") == 1
+
+
 def test_value_ranks_average(spark):
     rng = np.random.default_rng(9)
     x = rng.integers(0, 50, 2000)
