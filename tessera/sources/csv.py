@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import is_folder, path_exists
+from tessera.session import is_folder, materialize, path_exists
 
 # --- Fixed values: supported extensions, candidate delimiters ---------------
 CSV_EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -33,30 +33,34 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
                     F.col("_metadata.file_size").alias("file_size"), "value"))
 
 
+def csv_sniff(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, encoding, delimiter, size_bytes, lines, avg_line_len) of every file in one scan.
+
+    The encoding is 'utf-8' when every line is valid UTF-8, else 'latin-1' (which
+    decodes any byte string). The delimiter is, among the candidates that occur in
+    lines that are not empty, the one whose count per line varies least, then the
+    most frequent; ',' when none does. What is quoted delimits nothing."""
+    bare = F.regexp_replace("value", r'"[^"]*"', "")
+    found = [F.when(F.length("value") > 0, F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))) for d in DELIMITERS]
+    per = _lines(spark, path).select("file_path", "file_size", F.is_valid_utf8("value").cast("int").alias("ok"), (F.octet_length("value") + 1).alias("bytes"),
+                                     *[n.alias(f"n{i}") for i, n in enumerate(found)])
+    per = per.groupBy("file_path").agg(
+        F.first("file_size").cast("long").alias("size_bytes"), F.count(F.lit(1)).cast("long").alias("lines"), F.avg("bytes").alias("avg_line_len"), F.min("ok").alias("ok"),
+        *[F.sum(f"n{i}").alias(f"t{i}") for i in range(len(DELIMITERS))], *[F.var_pop(f"n{i}").alias(f"v{i}") for i in range(len(DELIMITERS))])
+    seen = F.array(*[F.when(F.col(f"t{i}") > 0, F.struct(F.col(f"v{i}").alias("var"), (-F.col(f"t{i}")).alias("nt"), F.lit(i).alias("d"))) for i in range(len(DELIMITERS))])
+    names = F.element_at(F.array(*[F.lit(d) for d in DELIMITERS]), F.array_min(seen).getField("d") + 1)
+    return per.select("file_path", F.when(F.col("ok") == 1, "utf-8").otherwise("latin-1").alias("encoding"),
+                      F.coalesce(names, F.lit(DEFAULT_DELIMITER)).alias("delimiter"), "size_bytes", "lines", "avg_line_len")
+
+
 def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, encoding): 'utf-8' when every line of the file is valid
-    UTF-8, else 'latin-1' (which decodes any byte string)."""
-    return (_lines(spark, path).groupBy("file_path")
-            .agg(F.min(F.is_valid_utf8(F.col("value")).cast("int")).alias("_ok"))
-            .select("file_path", F.when(F.col("_ok") == 1, "utf-8").otherwise("latin-1").alias("encoding")))
+    """(file_path, encoding) as ``csv_sniff`` finds it."""
+    return csv_sniff(spark, path).select("file_path", "encoding")
 
 
 def csv_delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, delimiter): among the candidates that occur, the one whose
-    per-line count varies least, then the most frequent; ',' when none."""
-    lines = _lines(spark, path).where(F.length("value") > 0)
-    lines = lines.withColumn("value", F.regexp_replace("value", r'"[^"]*"', ""))  # what is quoted delimits nothing
-    arr = F.array(*[F.struct(F.lit(i).alias("d"),
-                             (F.length("value") - F.length(F.replace(F.col("value"), F.lit(d), F.lit(""))))
-                             .alias("n")) for i, d in enumerate(DELIMITERS)])
-    per = lines.select("file_path", F.explode(arr).alias("x")).select("file_path", "x.d", "x.n")
-    stats = per.groupBy("file_path", "d").agg(F.sum("n").alias("total"), F.var_pop("n").alias("var"))
-    best = (stats.where(F.col("total") > 0).groupBy("file_path")
-            .agg(F.min(F.struct("var", (-F.col("total")).alias("nt"), "d")).alias("b")))
-    files = lines.select("file_path").distinct()
-    names = F.element_at(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("b.d") + 1)
-    return files.join(best, "file_path", "left").select(
-        "file_path", F.coalesce(names, F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
+    """(file_path, delimiter) as ``csv_sniff`` finds it."""
+    return csv_sniff(spark, path).select("file_path", "delimiter")
 
 
 def clean_header(names: list[str]) -> list[str]:
@@ -75,7 +79,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
              infer_schema: bool = True) -> DataFrame:
     """CSV/TSV with a header row; header names trimmed and BOM-stripped.
 
-    Delimiter and encoding are sniffed per file (one distributed pass) when not
+    Delimiter and encoding are sniffed per file (one distributed scan) when not
     given; files that share both are read together and the groups are united by
     column name (a column that a group lacks is NULL there; types that differ
     between groups become text). Raises FileNotFoundError / ValueError for a
@@ -86,16 +90,18 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         raise ValueError(f"unsupported file type: {path}")
     if sep is not None and encoding is not None:
         return _read_alike(spark, path, sep, encoding, infer_schema)
-    sniffed = csv_encodings(spark, path).join(csv_delimiters(spark, path), "file_path", "left").select(
-        "file_path", F.lit(sep).alias("delimiter") if sep else F.coalesce("delimiter", F.lit(DEFAULT_DELIMITER)).alias("delimiter"),
-        F.lit(encoding).alias("encoding") if encoding else "encoding")
-    kinds = sniffed.groupBy("delimiter", "encoding").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("delimiter", "encoding").collect()
+    sniffed = materialize(csv_sniff(spark, path).select(
+        "file_path", F.lit(sep).alias("delimiter") if sep else "delimiter", F.lit(encoding).alias("encoding") if encoding else "encoding"), "sniffed")
+    kinds = sniffed.select("delimiter", "encoding").distinct().orderBy("delimiter", "encoding").collect()
     if not kinds:
         raise ValueError(f"empty CSV input: {path}")
     enc = lambda e: {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}.get(e, e)
-    if len(kinds) == 1:
+    if len(kinds) == 1:  # the folder itself: no list of files
         return _read_alike(spark, path, kinds[0]["delimiter"], enc(kinds[0]["encoding"]), infer_schema)
-    parts = [_read_alike(spark, k["files"], k["delimiter"], enc(k["encoding"]), infer_schema) for k in kinds]
+    parts = []
+    for k in kinds:  # a reader takes its files by name, as it lists those of a folder
+        files = sniffed.where((F.col("delimiter") == k["delimiter"]) & (F.col("encoding") == k["encoding"])).select("file_path").orderBy("file_path")
+        parts.append(_read_alike(spark, [r["file_path"] for r in files.toLocalIterator()], k["delimiter"], enc(k["encoding"]), infer_schema))
     types: dict[str, set] = {}
     for p in parts:
         for name, kind in p.dtypes:
@@ -160,12 +166,7 @@ def csv_inventory(spark: SparkSession, path: str) -> DataFrame:
     length in bytes, the size-based row estimate (size / average line length
     − 1) and the exact number of records without the header (quoted fields may
     span lines and splits)."""
-    lines = _lines(spark, path)
-    per = lines.groupBy("file_path").agg(
-        F.first("file_size").alias("size_bytes"), F.count(F.lit(1)).alias("lines"),
-        F.avg(F.octet_length("value") + 1).alias("avg_line_len"))
-    sniff = csv_encodings(spark, path).join(csv_delimiters(spark, path), "file_path")
-    out = per.join(sniff, "file_path").join(csv_records(spark, path), "file_path", "left")
+    out = csv_sniff(spark, path).join(csv_records(spark, path), "file_path", "left")
     return out.select("file_path", F.col("size_bytes").cast("long"), "encoding", "delimiter",
                       F.col("lines").cast("long"), F.round("avg_line_len", 2).alias("avg_line_len"),
                       F.floor(F.col("size_bytes") / F.col("avg_line_len") - 1).cast("long").alias("row_estimate"),
