@@ -34,8 +34,10 @@ RANDOM_STATE = 42
 
 
 def hash_split(df: DataFrame, test_frac: float = TEST_SIZE, seed: int = RANDOM_STATE) -> DataFrame:
-    """Adds ``is_test``: a seeded hash of all columns below ``test_frac``."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in df.columns]), F.lit(10_000))
+    """Adds ``is_test``: the MD5 of the seed and all columns as text, joined by '|' and
+    empty where NULL, has its first 32 bits modulo 10 000 below ``test_frac`` of that."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn("is_test", h < int(round(test_frac * 10_000)))
 
 

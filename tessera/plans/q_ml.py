@@ -22,7 +22,44 @@ def _docs(spark, d):
 @register("ml_prepare")
 def ml_prepare(spark, d):
     p = ml.prepare(table(spark, d, "part"), "p_retailprice", REG_FEATURES)
-    return p.select("label", "is_test", *[c + "_scaled" for c in REG_FEATURES])
+    return p.select("label", "is_test", *[F.round(c + "_scaled", 6).alias(c + "_scaled") for c in REG_FEATURES])
+
+
+def _split(*texts: str) -> str:
+    """The split's rule on columns as text, seed first."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', '42', {', '.join(texts)})), 1, 8) AS BIGINT) % 10000 < 2000"
+
+
+_PREPARED = f"""WITH e AS (SELECT CAST(p_size AS DOUBLE) AS a, CAST(DENSE_RANK() OVER (ORDER BY p_brand) - 1 AS DOUBLE) AS b,
+             CAST(DENSE_RANK() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS c, p_retailprice AS y
+      FROM part WHERE p_size IS NOT NULL AND p_brand IS NOT NULL AND p_type IS NOT NULL AND p_retailprice IS NOT NULL),
+h AS (SELECT *, {_split('a', 'b', 'c', 'y')} AS is_test FROM e),
+m AS (SELECT AVG(a) AS ma, STDDEV_POP(a) AS sa, AVG(b) AS mb, STDDEV_POP(b) AS sb, AVG(c) AS mc, STDDEV_POP(c) AS sc,
+             AVG(y) AS my FROM h WHERE NOT is_test),
+z AS (SELECT y, is_test, (a - ma) / sa AS x1, (b - mb) / sb AS x2, (c - mc) / sc AS x3, my FROM h, m)"""
+
+oracle("ml_prepare", _PREPARED + """
+SELECT y AS label, is_test, ROUND(x1, 6) AS p_size_scaled, ROUND(x2, 6) AS p_brand_scaled, ROUND(x3, 6) AS p_type_scaled FROM z""")
+
+
+def _least_squares(model: str, penalty: float) -> str:
+    """Normal equations of three centred features by Cramer's rule; the penalty is on squared weights, not on the intercept."""
+    return f"""{_PREPARED},
+g AS (SELECT SUM(x1 * x1) + {penalty} AS a, SUM(x1 * x2) AS b, SUM(x1 * x3) AS c, SUM(x2 * x2) + {penalty} AS d, SUM(x2 * x3) AS e,
+             SUM(x3 * x3) + {penalty} AS f, SUM(x1 * (y - my)) AS u, SUM(x2 * (y - my)) AS v, SUM(x3 * (y - my)) AS w,
+             COUNT(*) AS n_train FROM z WHERE NOT is_test),
+s AS (SELECT n_train, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det,
+             u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w) AS d1,
+             a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c) AS d2,
+             a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c) AS d3 FROM g),
+p AS (SELECT y, my + (d1 * x1 + d2 * x2 + d3 * x3) / det AS yhat, n_train, AVG(y) OVER () AS ybar FROM z, s WHERE is_test)
+SELECT '{model}' AS model, ROUND(AVG(ABS(y - yhat)), 4) AS mae, ROUND(SQRT(AVG((y - yhat) * (y - yhat))), 4) AS rmse,
+       ROUND(1 - SUM((y - yhat) * (y - yhat)) / SUM((y - ybar) * (y - ybar)), 4) AS r2,
+       CAST(MAX(n_train) AS BIGINT) AS n_train, CAST(COUNT(*) AS BIGINT) AS n_test FROM p"""
+
+
+oracle("reg_linear", _least_squares("linear", 0.0))
+oracle("reg_ridge", _least_squares("ridge", 1.0))
 
 
 for _m in ("linear", "ridge", "lasso", "rf", "gbt"):
@@ -181,6 +218,11 @@ def train_test_split(spark, d):
     return s.groupBy("is_test").agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 
+oracle("train_test_split", f"""
+SELECT {_split('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority')} AS is_test,
+       CAST(COUNT(*) AS BIGINT) AS rows FROM orders GROUP BY 1""")
+
+
 @register("chrono_split")
 def chrono_split(spark, d):
     s = ml.chrono_split(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
