@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import col
+from tessera.functions.exprs import col, fixed
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.schema import categorical_cols, date_cols, numeric_cols
 from tessera.operators import eda, forecast, groups, profile
+from tessera.session import stage_input
 
 # --- Fixed values: intent keyword cascades (order matters) -------------------
 INTENTS_V2 = [
@@ -208,15 +209,16 @@ def business_insights(df: DataFrame) -> DataFrame:
     return out
 
 
-def business_insights_v1(df: DataFrame) -> DataFrame:
+def business_insights_v1(df: DataFrame, max_text: int | None = None, max_numeric: int | None = None, k: int = 5) -> DataFrame:
     """The older rules, one row per finding: (kind, column_name, label, value).
 
     Totals and means of sales-like columns, totals and negative rows of
-    profit-like ones, the best value of each of the first two text columns by
-    each of the first two numeric ones, and the five most frequent values of the
-    first text column with their share of all rows in %.
+    profit-like ones, the best value of each text column by each numeric one (all
+    of them, or the first ``max_text`` and ``max_numeric``), and the ``k`` most
+    frequent values of the first text column with their share of all rows in %.
     """
     nums, cats = numeric_cols(df), categorical_cols(df)
+    df = stage_input(df.select(*[col(c) for c in nums + cats]), "insights")
     d = normalize_nulls(df)
     facts = []
     for i, c in enumerate(nums):
@@ -233,12 +235,16 @@ def business_insights_v1(df: DataFrame) -> DataFrame:
         rows = F.explode(F.array(*[F.struct(k.alias("kind"), F.lit(c).alias("column_name"), no_label, F.col(f"v{i}").cast("double").alias("value"))
                                    for i, (k, c, _) in enumerate(facts)])).alias("r")
         parts.append(one.select(rows).select("r.*").where("kind <> 'negative rows' OR value IS NOT NULL"))
-    for cat in cats[:2]:
-        for num in nums[:2]:
-            best = groups.best_by(df, cat, num)
-            parts.append(best.select(F.lit(f"top {cat}").alias("kind"), F.lit(num).alias("column_name"), F.col("best").alias("label"), F.col("value").cast("double").alias("value")))
+    picked = nums[:max_numeric]
+    for cat in cats[:max_text] if picked else []:  # one grouping per text column, for all numeric ones
+        sums = d.where(col(cat).isNotNull()).groupBy(col(cat).cast("string").alias("k")).agg(
+            *[F.coalesce(F.sum(col(c).cast("double")), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(picked)])
+        best = sums.agg(*[F.min(F.struct((-F.col(f"s{i}")).alias("v"), "k")).alias(f"b{i}") for i in range(len(picked))])
+        rows = [F.struct(F.lit(f"top {cat}").alias("kind"), F.lit(c).alias("column_name"), F.col(f"b{i}.k").alias("label"), F.round(-F.col(f"b{i}.v"), 2).alias("value"))
+                for i, c in enumerate(picked)]
+        parts.append(best.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("label").isNotNull()))
     if cats:
-        share = groups.value_counts(df, cats[0], 5)
+        share = groups.value_counts(df, cats[0], k)
         parts.append(share.select(F.lit("share").alias("kind"), F.lit(cats[0]).alias("column_name"), F.col("value").alias("label"), F.round("pct", 1).alias("value")))
     if not parts:
         return df.sparkSession.createDataFrame([], "kind string, column_name string, label string, value double")
@@ -271,7 +277,8 @@ def column_stats(df: DataFrame, name: str) -> DataFrame:
 
 def dataset_context(df: DataFrame, k: int = 5, sample_rows: int = 3) -> DataFrame:
     """Compact summary rows (section, name, value): shape, numeric summaries,
-    top values of text columns and a few sample rows (ordered by all columns)."""
+    top values of text columns and a few sample rows (ordered by all columns;
+    doubles to four digits)."""
     ov = overview(df)
     shape = ov.select(F.explode(F.array(
         F.struct(F.lit("shape").alias("section"), F.lit("rows").alias("name"), F.col("rows").cast("string").alias("value")),
@@ -279,9 +286,8 @@ def dataset_context(df: DataFrame, k: int = 5, sample_rows: int = 3) -> DataFram
                  F.col("columns").cast("string").alias("value")))).alias("s")).select("s.*")
     nums = overview_numeric(df).select(
         F.lit("numeric").alias("section"), "column_name",
-        F.format_string("sum=%s, mean=%s, min=%s, max=%s", F.col("total").cast("string"),
-                        F.col("mean").cast("string"), F.col("min").cast("string"),
-                        F.col("max").cast("string"))).toDF("section", "name", "value")
+        F.format_string("sum=%s, mean=%s, min=%s, max=%s", *[fixed(F.col(c), 2) for c in ("total", "mean", "min", "max")])
+    ).toDF("section", "name", "value")
     cats = categorical_cols(df)
     if cats:
         tops = profile.top_values_text(df, cats, k).select(F.lit("top_values").alias("section"),
@@ -291,7 +297,7 @@ def dataset_context(df: DataFrame, k: int = 5, sample_rows: int = 3) -> DataFram
         tops = df.sparkSession.createDataFrame([], "section string, name string, value string")
     sample = groups.preview(df, sample_rows).select(
         F.lit("sample").alias("section"), F.lit("row").alias("name"),
-        F.to_json(F.struct(*[col(c) for c in df.columns])).alias("value"))
+        F.to_json(F.struct(*[F.round(col(c), 4).alias(c) if t == "double" else col(c) for c, t in df.dtypes])).alias("value"))
     return shape.unionByName(nums).unionByName(tops).unionByName(sample)
 
 

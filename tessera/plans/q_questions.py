@@ -153,6 +153,21 @@ def dataset_context(spark, d):
     return qs.dataset_context(sales(spark, d))
 
 
+_JSON = " || ',' || ".join(f"""'"{c}":' || """ + (f"'\"' || {c} || '\"'" if c in SALES_CAT else
+                           f"'\"' || strftime({c}, '%Y-%m-%dT%H:%M:%S') || '.000\"'" if c == "order_date" else
+                           f"CAST({c} AS VARCHAR)" if c.endswith("_id") or c == "line_no" else f"CAST(ROUND({c}, 4) AS VARCHAR)")
+                           for c in ["order_id", "line_no", "order_date", "customer_id", "product", "category", "region", "quantity", "sales", "profit", "discount"])
+
+oracle("dataset_context", with_sales("""
+SELECT 'shape' AS section, 'rows' AS name, CAST(COUNT(*) AS VARCHAR) AS value FROM sales UNION ALL SELECT 'shape', 'columns', '11'
+""" + "".join(f"""UNION ALL SELECT 'numeric', '{c}', format('sum={{:.2f}}, mean={{:.2f}}, min={{:.2f}}, max={{:.2f}}', ROUND(SUM(CAST({c} AS DOUBLE)), 2),
+  ROUND(AVG(CAST({c} AS DOUBLE)), 2), ROUND(MIN(CAST({c} AS DOUBLE)), 2), ROUND(MAX(CAST({c} AS DOUBLE)), 2)) FROM sales
+""" for c in SALES_NUM) + "".join(f"""UNION ALL SELECT 'top_values', '{c}', string_agg(t, '; ' ORDER BY i) FROM (
+  SELECT {c} || '=' || COUNT(*) AS t, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) AS i FROM sales GROUP BY {c}) WHERE i <= 5
+""" for c in SALES_CAT) + f"""UNION ALL SELECT * FROM (SELECT 'sample', 'row', '{{' || {_JSON} || '}}' FROM sales ORDER BY ALL_COLS LIMIT 3)""".replace(
+    "ALL_COLS", "order_id, line_no, order_date, customer_id, product, category, region, quantity, sales, profit, discount")))
+
+
 @register("ask")
 def ask(spark, d):
     """No column is called "categories", so the first text column is taken."""
@@ -195,7 +210,7 @@ UNION ALL SELECT 'mean', 'sales', NULL, ROUND(AVG(sales), 2) FROM sales
 UNION ALL SELECT 'profit total', 'profit', NULL, ROUND(SUM(profit), 2) FROM sales
 UNION ALL SELECT 'negative rows', 'profit', NULL, CAST(COUNT(*) AS DOUBLE) FROM sales WHERE profit < 0 HAVING COUNT(*) > 0
 UNION ALL """ + " UNION ALL ".join(f"""SELECT * FROM (SELECT 'top {c}', '{n}', {c}, ROUND(SUM(CAST({n} AS DOUBLE)), 2) FROM sales
-  WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY SUM(CAST({n} AS DOUBLE)) DESC, {c} LIMIT 1)""" for c in SALES_CAT[:2] for n in SALES_NUM[:2]) + """
+  WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY SUM(CAST({n} AS DOUBLE)) DESC, {c} LIMIT 1)""" for c in SALES_CAT for n in SALES_NUM) + """
 UNION ALL SELECT * FROM (SELECT 'share', 'product', product, ROUND(ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM sales), 4), 1) FROM sales
   WHERE product IS NOT NULL GROUP BY product ORDER BY COUNT(*) DESC, product LIMIT 5)"""))
 
