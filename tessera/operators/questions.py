@@ -175,6 +175,39 @@ def suggested_charts(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "rank int, chart string, x string, y string")
 
 
+def chart_data(df: DataFrame, bars: int = 8, bins: int = 30) -> DataFrame:
+    """The data of every chart that ``suggested_charts`` names, from all rows:
+    (rank, chart, x, y, value). Bars are the ``bars`` largest sums, the scatter
+    chart counts rows on a grid of ``bins`` by ``bins``, the line is the sum per
+    month, the histogram counts rows per bin, the heatmap has a correlation per pair."""
+    text = lambda e: e.cast("string")
+    no_y = F.lit(None).cast("string")
+    nums = numeric_cols(df)
+    needed = {*categorical_cols(df)[:1], *date_cols(df)[:1], *nums}
+    df = stage_input(df.select(*[col(c) for c in df.columns if c in needed]), "charts")
+    parts = []
+    for r in suggested_charts(df).collect():  # at most five rows, from the schema alone
+        if r["chart"] == "Bar Chart":
+            d = suggested_bar_data(df, bars).select(F.col("category").alias("x"), no_y.alias("y"), "value")
+        elif r["chart"] == "Scatter":
+            d = groups.scatter_bins(df, r["x"], r["y"], bins=bins).select(text(F.col("x_bin")), text(F.col("y_bin")), F.col("count").cast("double"))
+        elif r["chart"] == "Line":
+            if r["y"] is None:
+                continue  # dates alone have no values to draw
+            d = forecast.monthly_totals(df, r["x"], r["y"]).select("period", no_y, F.round("value", 2))
+        elif r["chart"] == "Histogram":
+            d = eda.histogram(df, r["x"], bins).select(text(F.col("bin")), no_y, F.col("count").cast("double"))
+        else:
+            d = eda.corr_matrix(df, nums)
+        parts.append(d.select(F.lit(r["rank"]).alias("rank"), F.lit(r["chart"]).alias("chart"), *d.columns).toDF("rank", "chart", "x", "y", "value"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rank int, chart string, x string, y string, value double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def business_insights(df: DataFrame) -> DataFrame:
     """Per sales-like numeric column: total, mean and the top value of the
     first text column; per profit-like column: count of negative rows.

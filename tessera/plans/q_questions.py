@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import questions as qs
 from tessera.plans.catalog import register
 from tessera.plans.oracle import oracle
+from tessera.plans.q_eda import _pairs_sql
 from tessera.plans.views import sales, table, with_sales
 
 # Column lists of the `sales` fixture (schema facts, used by the oracle SQL).
@@ -133,6 +134,26 @@ SELECT CAST(product AS VARCHAR) AS category, ROUND(v, 2) AS value FROM (
   GROUP BY product ORDER BY v DESC, product LIMIT 8)"""))
 
 
+@register("chart_data")
+def chart_data(spark, d):
+    """Bars, scatter grid, line, histogram and heatmap of the sales table."""
+    return qs.chart_data(sales(spark, d))
+
+
+_CELL = "CAST(LEAST(FLOOR(COALESCE(({c} - {c}_lo) / NULLIF({c}_hi - {c}_lo, 0), 0) * 30), 29) AS BIGINT)"
+oracle("chart_data", with_sales(f"""
+, r AS (SELECT MIN(order_id)::DOUBLE AS order_id_lo, MAX(order_id)::DOUBLE AS order_id_hi, MIN(line_no)::DOUBLE AS line_no_lo, MAX(line_no)::DOUBLE AS line_no_hi FROM sales)
+SELECT CAST(1 AS INTEGER) AS rank, 'Bar Chart' AS chart, product AS x, CAST(NULL AS VARCHAR) AS y, ROUND(v, 2) AS value FROM (
+  SELECT product, SUM(CAST(order_id AS DOUBLE)) AS v FROM sales WHERE product IS NOT NULL GROUP BY product ORDER BY v DESC, product LIMIT 8)
+UNION ALL SELECT 2, 'Scatter', CAST({_CELL.format(c='order_id')} AS VARCHAR), CAST({_CELL.format(c='line_no')} AS VARCHAR), CAST(COUNT(*) AS DOUBLE)
+  FROM sales, r WHERE order_id IS NOT NULL AND line_no IS NOT NULL GROUP BY 3, 4
+UNION ALL SELECT 3, 'Line', strftime(order_date, '%Y-%m'), NULL, ROUND(SUM(CAST(order_id AS DOUBLE)), 2)
+  FROM sales WHERE order_date IS NOT NULL AND order_id IS NOT NULL GROUP BY 3
+UNION ALL SELECT 4, 'Histogram', CAST(CAST(LEAST(FLOOR((order_id - order_id_lo) / ((order_id_hi - order_id_lo) / 30)), 29) AS BIGINT) AS VARCHAR), NULL,
+  CAST(COUNT(*) AS DOUBLE) FROM sales, r WHERE order_id IS NOT NULL GROUP BY 3
+UNION ALL SELECT 5, 'Heatmap', col1, col2, correlation FROM ({_pairs_sql('sales', SALES_NUM)})"""))
+
+
 @register("business_insights")
 def business_insights(spark, d):
     return qs.business_insights(sales(spark, d))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.plans.catalog import register
 from tessera.plans.oracle import oracle
-from tessera.plans.views import TABLES, sales, table
+from tessera.plans.q_eda import _pairs_sql
+from tessera.plans.q_questions import SALES_NUM
+from tessera.plans.views import TABLES, sales, table, with_sales
 from tessera.session import scratch_path
 from tessera.sources import csv, history as hist, json as js, report, tables
 from tessera.streaming import ingest
@@ -169,10 +171,32 @@ SELECT o_custkey, o_orderstatus, o_totalprice AS "price.o_totalprice", o_orderpr
 FROM orders""")
 
 
+def _sheet(name):
+    """One sheet of the sales report, written and read back."""
+    def run(spark, d):
+        paths = report.report_bundle(sales(spark, d), scratch_path(spark, "report"), only=[name])
+        return spark.read.parquet(paths[name])
+    return run
+
+
+for _name in ("raw_data", "statistics", "correlations", "category_summary"):
+    register(f"report_{_name}")(_sheet(_name))
+
+oracle("report_raw_data", with_sales("SELECT * FROM sales"))
+oracle("report_statistics", with_sales(" UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, CAST(COUNT({c}) AS BIGINT) AS count, ROUND(AVG({c}), 4) AS mean, ROUND(STDDEV_SAMP({c}), 4) AS std,
+       ROUND(CAST(MIN({c}) AS DOUBLE), 4) AS min, ROUND(QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25), 4) AS q25, ROUND(QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5), 4) AS q50,
+       ROUND(QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75), 4) AS q75, ROUND(CAST(MAX({c}) AS DOUBLE), 4) AS max FROM sales""" for c in SALES_NUM)))
+oracle("report_correlations", with_sales(f"SELECT col1, col2, correlation FROM ({_pairs_sql('sales', SALES_NUM)})"))
+oracle("report_category_summary", with_sales("""
+SELECT product, ROUND(SUM(CAST(order_id AS DOUBLE)), 2) AS sum, ROUND(AVG(order_id), 2) AS mean, CAST(COUNT(order_id) AS BIGINT) AS count
+FROM sales WHERE product IS NOT NULL GROUP BY product"""))
+
+
 @register("report_category_counts")
 def report_category_counts(spark, d):
-    root = scratch_path(spark, "report")
-    paths = report.report_bundle(sales(spark, d), root)
+    """The whole bundle is written, one sheet read back."""
+    paths = report.report_bundle(sales(spark, d), scratch_path(spark, "report"))
     return spark.read.parquet(paths["category_counts"])
 
 
