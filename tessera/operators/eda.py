@@ -23,6 +23,12 @@ from tessera.session import materialize, stage_input
 
 QUARTILES = [0.25, 0.75]
 
+# --- Fixed values: texts of the findings, which must read alike ----------------
+SKEW_TEXT = "'%s' is highly skewed to the %s (%s)"
+OUTLIERS_TEXT = "'%s' has %d outliers (%s%%)"
+CORRELATION_TEXT = "Strong correlation between '%s' and '%s' (%s)"
+# --- end of fixed values ---------------------------------------------------
+
 
 def _dbl(df: DataFrame, cols: list[str]) -> DataFrame:
     return normalize_nulls(df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
@@ -149,16 +155,16 @@ def eda_insights(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     u = univariate(df, cols)
     skew = u.where(F.abs("skewness") > 1).select(
         F.lit("skew").alias("kind"), "column_name",
-        F.format_string("'%s' is highly skewed to the %s (%s)", F.col("column_name"),
+        F.format_string(SKEW_TEXT, F.col("column_name"),
                         F.when(F.col("skewness") > 0, "right").otherwise("left"),
                         fixed(F.col("skewness"), 2)).alias("message"))
     outl = u.where(F.col("outlier_count") > 0).select(
         F.lit("outliers").alias("kind"), "column_name",
-        F.format_string("'%s' has %d outliers (%s%%)", F.col("column_name"), F.col("outlier_count"),
+        F.format_string(OUTLIERS_TEXT, F.col("column_name"), F.col("outlier_count"),
                         fixed(F.try_divide(F.col("outlier_count") * 100.0, F.col("count")), 1)).alias("message"))
     top3 = top_correlations(df, 3, cols).where(F.col("strength") == "strong").select(
         F.lit("correlation").alias("kind"), F.concat_ws("|", "col1", "col2").alias("column_name"),
-        F.format_string("Strong correlation between '%s' and '%s' (%s)", F.col("col1"), F.col("col2"),
+        F.format_string(CORRELATION_TEXT, F.col("col1"), F.col("col2"),
                         fixed(F.col("correlation"), 3)).alias("message"))
     return skew.unionByName(outl).unionByName(top3)
 

@@ -31,6 +31,17 @@ from tessera.functions.special import f_pvalue, norm_cdf, norm_ppf, t_pvalue
 from tessera.session import materialize
 
 
+# --- Fixed values: texts of the interpretations, which must read alike --------
+FEW_GROUPS_TEXT = "Need at least 2 groups with data"
+TWO_DIFFER_TEXT = "Significant difference between groups (p=%s)"
+TWO_ALIKE_TEXT = "No significant difference between groups (p=%s)"
+DIFFERENCE_TEXT = "Significant difference among %d groups (p=%s)"
+NO_DIFFERENCE_TEXT = "No significant difference among %d groups (p=%s)"
+NOT_NORMAL_TEXT = "'%s' does NOT follow a normal distribution (p=%s)"
+NORMAL_TEXT = "'%s' appears normally distributed (p=%s)"
+# --- end of fixed values ---------------------------------------------------
+
+
 def group_test(df: DataFrame, group: str, value: str) -> DataFrame:
     """Groups with >= 2 values: two -> pooled two-sample t (first minus
     second in key order), three or more -> one-way ANOVA F; fewer -> 'N/A'.
@@ -70,13 +81,13 @@ def group_test_p(df: DataFrame, group: str, value: str, alpha: float = 0.05) ->
     g = g.withColumn("p_value", p)
     sig = F.col("p_value") < alpha
     pt = fixed(F.col("p_value"), 4)
-    interp = (F.when(F.col("groups") < 2, F.lit("Need at least 2 groups with data"))
+    interp = (F.when(F.col("groups") < 2, F.lit(FEW_GROUPS_TEXT))
               .when(F.col("groups") == 2,
-                    F.when(sig, F.concat(F.lit("Significant difference between groups (p="), pt, F.lit(")")))
-                    .otherwise(F.concat(F.lit("No significant difference between groups (p="), pt, F.lit(")"))))
-              .otherwise(F.when(sig, F.format_string("Significant difference among %d groups (p=%s)",
+                    F.when(sig, F.format_string(TWO_DIFFER_TEXT, pt))
+                    .otherwise(F.format_string(TWO_ALIKE_TEXT, pt)))
+              .otherwise(F.when(sig, F.format_string(DIFFERENCE_TEXT,
                                                      F.col("groups"), pt))
-                         .otherwise(F.format_string("No significant difference among %d groups (p=%s)",
+                         .otherwise(F.format_string(NO_DIFFERENCE_TEXT,
                                                     F.col("groups"), pt))))
     return g.select("test_name", "groups", "statistic", "df1", "df2", F.round("p_value", 4).alias("p_value"),
                     sig.alias("is_significant"), interp.alias("interpretation"), F.lit(alpha).alias("alpha"))
@@ -230,9 +241,9 @@ def shapiro(df: DataFrame, cols: list[str], alpha: float = 0.05, max_n: int = 50
     res = sample.groupBy("column_name").applyInPandas(
         run, "column_name string, n long, statistic double, p_value double")
     sig = F.col("p_value") < alpha
-    interp = F.when(sig, F.format_string("'%s' does NOT follow a normal distribution (p=%s)",
+    interp = F.when(sig, F.format_string(NOT_NORMAL_TEXT,
                                          F.col("column_name"), fixed(F.col("p_value"), 4))) \
-              .otherwise(F.format_string("'%s' appears normally distributed (p=%s)",
+              .otherwise(F.format_string(NORMAL_TEXT,
                                          F.col("column_name"), fixed(F.col("p_value"), 4)))
     return res.select("column_name", "n", "statistic", "p_value", sig.alias("is_significant"),
                       interp.alias("interpretation"))
