@@ -42,6 +42,11 @@ oracle("ml_prepare", _PREPARED + """
 SELECT y AS label, is_test, ROUND(x1, 6) AS p_size_scaled, ROUND(x2, 6) AS p_brand_scaled, ROUND(x3, 6) AS p_type_scaled FROM z""")
 
 
+_QUALITY = """SELECT '{model}' AS model, ROUND(AVG(ABS(y - yhat)), 4) AS mae, ROUND(SQRT(AVG((y - yhat) * (y - yhat))), 4) AS rmse,
+       ROUND(1 - SUM((y - yhat) * (y - yhat)) / SUM((y - ybar) * (y - ybar)), 4) AS r2,
+       CAST(MAX(n_train) AS BIGINT) AS n_train, CAST(COUNT(*) AS BIGINT) AS n_test FROM p"""
+
+
 def _least_squares(model: str, penalty: float) -> str:
     """Normal equations of three centred features by Cramer's rule; the penalty is on squared weights, not on the intercept."""
     return f"""{_PREPARED},
@@ -53,11 +58,22 @@ s AS (SELECT n_train, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d
              a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c) AS d2,
              a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c) AS d3 FROM g),
 p AS (SELECT y, my + (d1 * x1 + d2 * x2 + d3 * x3) / det AS yhat, n_train, AVG(y) OVER () AS ybar FROM z, s WHERE is_test)
-SELECT '{model}' AS model, ROUND(AVG(ABS(y - yhat)), 4) AS mae, ROUND(SQRT(AVG((y - yhat) * (y - yhat))), 4) AS rmse,
-       ROUND(1 - SUM((y - yhat) * (y - yhat)) / SUM((y - ybar) * (y - ybar)), 4) AS r2,
-       CAST(MAX(n_train) AS BIGINT) AS n_train, CAST(COUNT(*) AS BIGINT) AS n_test FROM p"""
-
-
+{_QUALITY.format(model=model)}"""
+
+
+_SOFT = "SIGN({x}) * GREATEST(ABS({x}) - 1, 0)"
+
+# coordinate descent on the co-moments: squared error / 2n + sum of absolute weights
+oracle("reg_lasso", f"""WITH RECURSIVE {_PREPARED.removeprefix("WITH ")},
+g AS (SELECT AVG(x1 * x2) AS a, AVG(x1 * x3) AS b, AVG(x2 * x3) AS c, AVG(x1 * (y - my)) AS u, AVG(x2 * (y - my)) AS v,
+             AVG(x3 * (y - my)) AS w, COUNT(*) AS n_train FROM z WHERE NOT is_test),
+l AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2, CAST(0 AS DOUBLE) AS w3
+      UNION ALL
+      SELECT i + 1, n1, n2, {_SOFT.format(x="(w - b * n1 - c * n2)")} FROM (
+        SELECT *, {_SOFT.format(x="(v - a * n1 - c * w3)")} AS n2 FROM (
+          SELECT l.*, g.*, {_SOFT.format(x="(u - a * w2 - b * w3)")} AS n1 FROM l, g WHERE i < 200))),
+p AS (SELECT y, my + w1 * x1 + w2 * x2 + w3 * x3 AS yhat, n_train, AVG(y) OVER () AS ybar FROM z, l, g WHERE is_test AND i = 200)
+{_QUALITY.format(model="lasso")}""")
 oracle("reg_linear", _least_squares("linear", 0.0))
 oracle("reg_ridge", _least_squares("ridge", 1.0))
 
