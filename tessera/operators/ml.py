@@ -25,11 +25,14 @@ from tessera.functions.exprs import col
 from tessera.functions.nulls import normalize_nulls
 from tessera.functions.ranks import running_before
 from tessera.functions.schema import numeric_cols
+from tessera.operators import forest
 from tessera.session import materialize, stage_input
 
 # --- Fixed values: the analysed application's split and seed ----------------
 TEST_SIZE = 0.2
 RANDOM_STATE = 42
+FOREST_TREES = 100
+FOREST_BINS = 64
 # --- end of fixed values ---------------------------------------------------
 
 
@@ -99,8 +102,8 @@ def _regressor(name: str, n_train: int, y_std: float, max_depth: int = 10):
         return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, tol=1e-10,
                                 maxIter=1000)
     if name == "rf":
-        return RandomForestRegressor(numTrees=100, seed=RANDOM_STATE, featureSubsetStrategy="all",
-                                     maxDepth=max_depth, maxBins=64)
+        return RandomForestRegressor(numTrees=FOREST_TREES, seed=RANDOM_STATE, featureSubsetStrategy="all",
+                                     maxDepth=max_depth, maxBins=FOREST_BINS)
     if name == "gbt":
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=RANDOM_STATE)
     raise ValueError(f"unknown regressor {name!r}")
@@ -167,6 +170,10 @@ def _importance(model, features: list[str], spark) -> DataFrame:
         vals = [abs(v) for v in model.coefficients.toArray().tolist()]
     else:
         return spark.createDataFrame([], "feature string, importance double")
+    return _importance_rows(vals, features, spark)
+
+
+def _importance_rows(vals: list[float], features: list[str], spark) -> DataFrame:
     rows = [(f, float(v)) for f, v in zip(features, vals)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc())
 
@@ -175,20 +182,26 @@ def train_regression(df: DataFrame, target: str, features: list[str], model: str
     """Fit on the train split, score the test split.
     Returns (metrics frame, importance frame, predictions frame).
 
-    ``max_depth`` limits the trees of the random forest; Spark allows up to 30,
-    and every level is a pass over the data."""
+    ``max_depth`` limits the trees of the random forest. It is grown from the
+    counted cells of the binned features (``operators/forest.py``); where they are
+    too many for that, by Spark ML, which allows 30 levels and passes over the data
+    for each."""
     # written once to the shared checkpoint folder: fit, scoring and metrics
     # then read it instead of recomputing encoding, split and scaling
     prep = materialize(prepare(df, target, features), "ml_prep")
     train, test = prep.where(~F.col("is_test")), prep.where(F.col("is_test"))
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    est = _regressor(model, st["n"], st["s"] or 0.0, max_depth)
-    fitted = est.fit(train)
-    pred = fitted.transform(test).select("label", "prediction")
+    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"), F.avg("label").alias("m")).first()
+    scaled = [c + "_scaled" for c in features]
+    on_cells = forest.fit_forest(train, scaled, FOREST_TREES, max_depth, FOREST_BINS, RANDOM_STATE, st["m"]) if model == "rf" and st["n"] else None
+    if on_cells is not None:
+        imp, pred = _importance_rows(on_cells.importances, features, df.sparkSession), on_cells.predict(test)
+    else:
+        fitted = _regressor(model, st["n"], st["s"] or 0.0, max_depth).fit(train)
+        imp, pred = _importance(fitted, features, df.sparkSession), fitted.transform(test).select("label", "prediction")
     m = regression_metrics(pred).select(F.lit(model).alias("model"), "mae", "rmse", "r2",
                                         F.lit(st["n"]).cast("long").alias("n_train"),
                                         F.col("n").alias("n_test"))
-    return m, _importance(fitted, features, df.sparkSession), pred
+    return m, imp, pred
 
 
 def feature_regression(df: DataFrame, target: str | None = None, features: list[str] | None = None, max_depth: int = 10):
