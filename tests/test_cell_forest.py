@@ -62,3 +62,19 @@ def test_more_cells_than_a_task_holds_go_to_spark_ml(spark, monkeypatch):
     monkeypatch.setattr(forest, "MAX_CELLS", 8)
     metrics, imp, pred = ml.train_regression(_rows(spark), "label", ["x", "y"], "rf", max_depth=3)
     assert metrics.first()["r2"] > 0.8 and imp.count() == 2 and pred.count() == metrics.first()["n_test"]
+
+
+def test_boosting_on_cells_is_boosting_on_rows(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 20, 800), rng.integers(0, 9, 800)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(x, y, x * 2.0 + (y > 4) * 5.0 + rng.normal(0, 1, 800))]
+    df = spark.createDataFrame(rows, "x double, y double, label double")
+    model, test = ml._boosted_on_cells(df, df, ["x", "y"])
+    got = model.transform(test).select("label", "prediction").orderBy("label").toPandas()
+    data = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
+    plain = GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=ml.RANDOM_STATE).fit(data)
+    want = plain.transform(data).orderBy("label").toPandas()
+    assert got["prediction"].to_numpy() == pytest.approx(want["prediction"].to_numpy(), abs=1e-6)
+    assert model.featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=1e-6)
