@@ -79,3 +79,13 @@ def test_headline_query_prunes_every_scan(spark, sf):
     assert li and all("l_shipdate" not in s and "l_returnflag" not in s for s in li)
     # the date / value NULL filter reaches the scans as pushed filters
     assert "PushedFilters: [IsNotNull(o_orderdate)" in p
+
+
+def test_dirty_sales_read_each_table_once(spark, sf):
+    from tessera.plans.views import sales, sales_dirty
+    dirty = sales_dirty(spark, sf)
+    plan = dirty._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and plan.lower().count("union") == 0
+    clean = sales(spark, sf)
+    assert dirty.count() == clean.count() + clean.where("order_id % 23 = 0").count()
+    assert dirty.where("order_id % 23 = 0").groupBy(*dirty.columns).count().where("count % 2 = 1").isEmpty()
