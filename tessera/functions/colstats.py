@@ -101,14 +101,14 @@ def grouped_positions(counts: DataFrame, group: str = "column_name") -> DataFram
 
 
 def grouped_quantiles(counts: DataFrame, probs: list[float], group: str = "column_name") -> DataFrame:
-    """(group, q0..q{m-1}): exact linearly interpolated quantiles per group."""
-    pos = grouped_positions(counts, group)
-    return quantiles_of_positions(pos, pos.groupBy(group).agg(F.sum("cnt").alias("_n")), probs, group)
+    """(group, q0..q{m-1}): exact linearly interpolated quantiles per group.
 
+    Every position carries its group's size: a join by group would deal a whole group to one task."""
+    return quantiles_of_positions(running_before(counts.select(group, "value", "cnt"), "value", "cnt", [group], "_n"), probs, group)
 
-def quantiles_of_positions(pos: DataFrame, sizes: DataFrame, probs: list[float], group: str = "column_name") -> DataFrame:
-    """``grouped_quantiles`` from positions and the groups' sizes (group, _n)."""
-    j = pos.join(sizes, group)
+
+def quantiles_of_positions(pos: DataFrame, probs: list[float], group: str = "column_name") -> DataFrame:
+    """``grouped_quantiles`` from positions with their group's size (group, value, cnt, before, _n)."""
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * p
@@ -116,7 +116,7 @@ def quantiles_of_positions(pos: DataFrame, sizes: DataFrame, probs: list[float],
         cov = lambda x: (F.col("before") <= x) & (x < F.col("before") + F.col("cnt"))
         aggs += [F.max(F.when(cov(lo), F.col("value"))).alias(f"_lo{i}"),
                  F.max(F.when(cov(hi), F.col("value"))).alias(f"_hi{i}"), F.first(h - lo).alias(f"_f{i}")]
-    a = j.groupBy(group).agg(*aggs)
+    a = pos.groupBy(group).agg(*aggs)
     return a.select(group, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
                              .alias(f"q{i}") for i in range(len(probs))])
 

@@ -29,20 +29,22 @@ def with_runs(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     return materialize(ordered.withColumn("_run", F.spark_partition_id()), "positions")
 
 
-def running_before(counts: DataFrame, value: str, weight: str, group: list[str] | None = None) -> DataFrame:
+def running_before(counts: DataFrame, value: str, weight: str, group: list[str] | None = None, total: str | None = None) -> DataFrame:
     """``counts`` (one row per group and value) plus ``before``: the weight of
-    all smaller values of the same group."""
+    all smaller values of the same group, and as ``total`` that of the whole group."""
     group = group or []
     tagged = with_runs(counts, group, value)
     keys = [F.col(f"`{g}`") for g in group]
     zero = F.lit(0).cast(counts.schema[weight].dataType)
     earlier = Window.unboundedPreceding, -1
     totals = tagged.groupBy("_run", *keys).agg(F.sum(weight).alias("_total"))
+    whole = [F.sum("_total").over(Window.partitionBy(*keys)).alias(total)] if total else []
     offset = totals.select("_run", *keys, F.coalesce(
-        F.sum("_total").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(*earlier)), zero).alias("_offset"))
+        F.sum("_total").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(*earlier)), zero).alias("_offset"), *whole)
     inside = F.sum(weight).over(Window.partitionBy("_run", *keys).orderBy(F.col(f"`{value}`")).rowsBetween(*earlier))
     joined = tagged.join(offset, ["_run", *group])
-    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], (F.col("_offset") + F.coalesce(inside, zero)).alias("before"))
+    before = (F.col("_offset") + F.coalesce(inside, zero)).alias("before")
+    return joined.select(*[F.col(f"`{c}`") for c in counts.columns], before, *([total] if total else []))
 
 
 def value_positions(df: DataFrame, v: str = "v", w: str | None = None) -> DataFrame:

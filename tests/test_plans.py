@@ -89,3 +89,20 @@ def test_dirty_sales_read_each_table_once(spark, sf):
     clean = sales(spark, sf)
     assert dirty.count() == clean.count() + clean.where("order_id % 23 = 0").count()
     assert dirty.where("order_id % 23 = 0").groupBy(*dirty.columns).count().where("count % 2 = 1").isEmpty()
+
+
+def test_a_group_of_quantiles_is_not_dealt_to_one_task(spark):
+    """What is dealt out by the group alone are partial results (a row per group and task), never the positions."""
+    import re
+
+    from tessera.functions.colstats import grouped_quantiles
+    counts = spark.range(5_000).select(F.lit("a").alias("column_name"), F.col("id").cast("double").alias("value"), F.lit(1).cast("long").alias("cnt"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a table of any size
+    try:
+        q = grouped_quantiles(counts, [0.25, 0.5])
+        assert q.first().asDict() == {"column_name": "a", "q0": 1249.75, "q1": 2499.5}
+        p = _plan(q)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"Join \[column_name#\d+\]", p)
