@@ -1,24 +1,26 @@
-"""Exact k-nearest-neighbour search by a metric partition.
+"""Exact k-nearest-neighbour search by a partition into boxes.
 
 Points are first collapsed to distinct vectors with a multiplicity, so a
 value repeated by a third of all rows is one point; a point is known by its
 vector itself, not by a hash of it.
 
-1. Pivots are a hash sample of the distinct points, about one for ``cell_size``
-   of them and at most ``MAX_PIVOTS``. Every point belongs to the cell of its
-   nearest pivot; a cell is known by its pivot, its least and greatest distance
-   from it and its weight (one row a pivot on the driver).
-2. A query has a first bound from these rows alone: the cells whose farthest
-   points are nearest hold k points within it. It searches its own cell, which
+1. A hash sample of the distinct points is halved again and again, across the
+   widest feature, until there is about a cell for ``cell_size`` points (at most
+   ``MAX_CELLS``). A point finds its cell by walking down these cuts; a cell is
+   known by the least box around its points and by its weight (one row a cell on
+   the driver).
+2. A query has a first bound from these rows alone: the farthest corner of the
+   least box above its cell that holds k points. It searches its own cell, which
    tightens the bound.
-3. By the triangle inequality a cell can hold a closer point only if the
-   bound reaches its ring around the pivot and the plane between its pivot and
-   the query's own. The query visits these cells, and no others: two rounds,
+3. A cell can hold a closer point only if its box is within the bound. The query
+   walks down the boxes and visits these cells, and no others: two rounds,
    whatever the data, and the answer is exact.
 
-A cell is searched in blocks of at most ``BLOCK`` points and ``CHUNK`` queries
+What a query costs depends on the size of a cell, not on the number of points (up
+to ``MAX_CELLS`` cells of ``cell_size``); finding its cells is a walk of logarithmic
+length. A cell is searched in blocks of at most ``BLOCK`` points and ``CHUNK`` queries
 (hashed, so a dense cell is many tasks). Inside a block only points whose
-distance from the pivot differs from the query's by no more than the bound are
+distance from the cell's centre differs from the query's by no more than the bound are
 compared, and at most k points (one more if a query may meet itself) leave it
 for each query. The cost is near-linear for data of low intrinsic dimension;
 for isotropic high-dimensional data the bounds exclude fewer cells, which is
@@ -33,16 +35,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.ranks import exact_quantiles
+from tessera.functions.ranks import exact_quantiles, running_before
 from tessera.session import materialize
 
-#: Pivots, and rows of cell statistics, that the driver and each task hold.
-MAX_PIVOTS = 4096
+#: Cells, of which the driver and each task hold a box.
+MAX_CELLS = 1 << 16
+#: Points of the sample for each cell; a table of so many points is its own sample.
+SAMPLE, WHOLE = 8, 4096
 BLOCK = 8192
 CHUNK = 4096
 #: Relative slack of the bounds, far above rounding: they only exclude.
 _SLACK = 1e-9
-_GRID = 1 << 20  # distances computed at a time
+_GRID = 1 << 18  # distances computed at a time
 
 
 def distinct_points(df: DataFrame, vec_col: str, extra: list[str] | None = None) -> DataFrame:
@@ -68,81 +72,147 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """The pivots with their cells' rings and weights: what a task needs to place points and to bound queries."""
-
-    def __init__(self, pivots: np.ndarray):
-        self.pivots, n = pivots, len(pivots)
-        self.between = _distances(pivots, pivots)
-        self.low, self.high, self.weight, self.count = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n), np.zeros(n, np.int64)
-
-    def place(self, vecs: np.ndarray):
-        """(rows, distances to all pivots) in slices of bounded size."""
-        step = max(1, _GRID // len(self.pivots))
-        for at in range(0, len(vecs), step):
-            yield slice(at, at + step), _distances(vecs[at: at + step], self.pivots)
-
-    def first_bound(self, far: np.ndarray, k: int) -> np.ndarray:
-        """Within it lie k points: cells in order of their farthest possible point, until their weight is k."""
-        order = np.argsort(far, axis=1)
-        enough = np.cumsum(self.weight[order], axis=1) >= k
-        first = enough.argmax(axis=1)
-        bound = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
-        return np.where(enough[np.arange(len(far)), first], bound, np.inf)
-
-    def within_reach(self, d: np.ndarray, own: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """Which cells can hold a point no farther than ``bound`` (one row per query)."""
-        bound = bound[:, None] * (1 + _SLACK) + _SLACK
-        mine = d[np.arange(len(d)), own][:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d * d - mine * mine) / (2 * self.between[own])
-        plane[np.arange(len(d)), own] = -np.inf  # no plane before the own cell
-        slack = _SLACK * (1 + d)
-        return (self.count > 0) & (plane - slack <= bound) & (d - self.high - slack <= bound) & (self.low - d - slack <= bound)
-
-
-def _pivots(refs: DataFrame, dim: int, n: int, cell_size: int) -> np.ndarray:
-    wanted = int(min(MAX_PIVOTS, max(1, -(-n // cell_size))))
-    rows = refs.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
-    return np.array([r["vec"] for r in rows], np.float64).reshape(-1, dim)
-
-
-def _placed(df: DataFrame, cells: Cells, k: int | None = None) -> DataFrame:
-    """``df`` plus its cell and the distance to that pivot; with ``k`` also the first bound."""
-    dim = cells.pivots.shape[1]
-    added = [("cell", T.IntegerType()), ("pd", T.DoubleType())] + ([("bound", T.DoubleType())] if k else [])
+    """The cuts of a sample with the boxes and weights of what lies between them: what a task needs to place points and to bound queries.
+
+    Nodes are in order of their making, parents first; ``cell`` numbers those that are not cut."""
+
+    def __init__(self, sample: np.ndarray, wanted: int):
+        dim, most = sample.shape[1], -(-len(sample) // wanted)
+        nodes: list[tuple] = []  # feature, cut, first child, cell
+        self.parent, centres = [-1], []
+        todo, at = [np.arange(len(sample))], 0
+        while at < len(todo):
+            rows = todo[at]
+            todo[at] = None
+            cut = _cut(sample[rows]) if len(rows) > most else None
+            if cut is None:
+                nodes.append((0, 0.0, -1, len(centres)))
+                centres.append(sample[rows].mean(axis=0))
+            else:
+                nodes.append((*cut, len(todo), -1))
+                below = sample[rows, cut[0]] <= cut[1]
+                todo += [rows[below], rows[~below]]
+                self.parent += [at, at]
+            at += 1
+        self.feature, self.child, self.cell = (np.array([n[i] for n in nodes], np.int64) for i in (0, 2, 3))
+        self.cut, self.centres = np.array([n[1] for n in nodes]), np.array(centres).reshape(-1, dim)
+        self.node = np.flatnonzero(self.cell >= 0)  # of a cell
+        self.count = np.zeros(len(centres), np.int64)
+        self.low, self.high, self.weight = np.full((len(nodes), dim), np.inf), np.full((len(nodes), dim), -np.inf), np.zeros(len(nodes))
+
+    def hold(self, rows, k: int) -> None:
+        """Takes (cell, count, weight, lowest, highest) of every cell, and for its queries the least box above it with k points."""
+        for cell, count, weight, low, high in rows:
+            at = self.node[cell]
+            self.count[cell], self.weight[at], self.low[at], self.high[at] = count, weight, low, high
+        for at in range(len(self.parent) - 1, 0, -1):
+            up = self.parent[at]
+            self.weight[up] += self.weight[at]
+            np.minimum(self.low[up], self.low[at], out=self.low[up])
+            np.maximum(self.high[up], self.high[at], out=self.high[up])
+        enough = np.full(len(self.parent), -1)
+        for at, up in enumerate(self.parent):
+            enough[at] = at if self.weight[at] >= k else enough[up] if up >= 0 else -1
+        self.enough = enough[self.node]
+
+    def place(self, vecs: np.ndarray) -> np.ndarray:
+        """The cell of every vector."""
+        node = np.zeros(len(vecs), np.int64)
+        going = np.flatnonzero(self.child[node] >= 0)
+        while len(going):
+            at = node[going]
+            at = self.child[at] + ~(vecs[going, self.feature[at]] <= self.cut[at])
+            node[going] = at
+            going = going[self.child[at] >= 0]
+        return self.cell[node]
+
+    def from_centre(self, vecs: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        return np.sqrt(((vecs - self.centres[cell]) ** 2).sum(axis=1))
+
+    def first_bound(self, vecs: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Within it lie the points that the cells were to hold."""
+        box = self.enough[cell]
+        far = np.maximum(np.abs(vecs - self.low[box]), np.abs(self.high[box] - vecs))
+        return np.where(box >= 0, np.sqrt((far * far).sum(axis=1)), np.inf)
+
+    def within_reach(self, vecs: np.ndarray, bound: np.ndarray):
+        """(rows, cells) in parts of bounded size: cells that can hold a point no farther than ``bound``."""
+        bound = bound * (1 + _SLACK) + _SLACK
+        todo = [(np.arange(len(vecs)), np.zeros(len(vecs), np.int64))]
+        while todo:
+            row, at = todo.pop()
+            if len(row) > _GRID:
+                half = len(row) // 2
+                todo += [(row[:half], at[:half]), (row[half:], at[half:])]
+                continue
+            away = np.maximum(np.maximum(self.low[at] - vecs[row], vecs[row] - self.high[at]), 0.0)
+            near = np.sqrt((away * away).sum(axis=1)) <= bound[row]
+            row, at = row[near], at[near]
+            inner = self.child[at] >= 0
+            if not inner.all():
+                yield row[~inner], self.cell[at[~inner]]
+            if inner.any():
+                row, first = row[inner], self.child[at[inner]]
+                todo.append((np.concatenate([row, row]), np.concatenate([first, first + 1])))
+
+
+def _cut(points: np.ndarray) -> tuple[int, float] | None:
+    """(feature, highest value of the lower half): across the widest feature of those that give no part under a quarter, if any."""
+    n, best = len(points), None
+    for f in range(points.shape[1]):
+        v = np.sort(points[:, f])
+        some = [int(i) for i in (np.searchsorted(v, v[n // 2], "left"), np.searchsorted(v, v[n // 2], "right")) if 0 < i < n]
+        if not some:
+            continue
+        i = min(some, key=lambda i: abs(2 * i - n))
+        least = min(i, n - i)
+        rank = (1, v[n - 1 - n // 8] - v[n // 8]) if 4 * least >= n else (0, least)
+        if best is None or rank > best[0]:
+            best = rank, f, float(v[i - 1])
+    return best and best[1:]
+
+
+def _cells(refs: DataFrame, dim: int, n: int, cell_size: int) -> Cells:
+    wanted = min(MAX_CELLS, -(-n // cell_size))
+    vecs = refs.select("vec")
+    if n > max(WHOLE, SAMPLE * wanted):
+        vecs = vecs.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 40)) < int(SAMPLE * wanted / n * (1 << 40)))
+    sample = _matrix(vecs.toArrow().column("vec"), dim)  # at most SAMPLE * MAX_CELLS rows, or WHOLE
+    sample = np.unique(sample[np.isfinite(sample).all(axis=1)], axis=0)
+    return Cells(sample if len(sample) else np.zeros((1, dim)), wanted)
+
+
+def _placed(df: DataFrame, cells: Cells, bounded: bool = False) -> DataFrame:
+    """``df`` plus its cell and the distance to that centre; ``bounded`` adds the first bound."""
+    dim = cells.centres.shape[1]
+    added = [("cell", T.IntegerType()), ("pd", T.DoubleType())] + ([("bound", T.DoubleType())] if bounded else [])
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in added)])
 
     def run(batches):
         for batch in batches:
             vecs = _matrix(batch.column(batch.schema.get_field_index("vec")), dim)
-            cell, pd, bound = np.zeros(len(vecs), np.int32), np.zeros(len(vecs)), np.zeros(len(vecs))
-            for rows, d in cells.place(vecs):
-                cell[rows] = own = d.argmin(axis=1)
-                pd[rows] = d[np.arange(len(d)), own]
-                if k:
-                    bound[rows] = cells.first_bound(d + cells.high, k)
-            extra = [pa.array(cell), pa.array(pd)] + ([pa.array(bound)] if k else [])
+            cell = cells.place(vecs)
+            extra = [pa.array(cell.astype(np.int32)), pa.array(cells.from_centre(vecs, cell))] + ([pa.array(cells.first_bound(vecs, cell))] if bounded else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def _visits(queries: DataFrame, cells: Cells) -> DataFrame:
-    """A row for every query and every cell but its own that its bound reaches; ``pd`` is the distance to that cell's pivot."""
-    dim = cells.pivots.shape[1]
+    """A row for every query and every cell but its own that its bound reaches; ``pd`` is the distance to that cell's centre."""
+    dim = cells.centres.shape[1]
 
     def run(batches):
         for batch in batches:
             vecs = _matrix(batch.column(batch.schema.get_field_index("vec")), dim)
             own, bound = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "bound"))
-            for rows, d in cells.place(vecs):
-                reach = cells.within_reach(d, own[rows], bound[rows])
-                reach[np.arange(len(d)), own[rows]] = False
-                row, cell = np.nonzero(reach)
+            for row, cell in cells.within_reach(vecs, bound):
+                other = (cell != own[row]) & (cells.count[cell] > 0)
+                row, cell = row[other], cell[other]
                 for at in range(0, len(row), 1 << 16):
                     some, c = row[at: at + (1 << 16)], cell[at: at + (1 << 16)]
-                    part = batch.take(pa.array(some + rows.start))
-                    new = {"cell": pa.array(c.astype(np.int32)), "pd": pa.array(d[some, c])}
+                    part = batch.take(pa.array(some))
+                    new = {"cell": pa.array(c.astype(np.int32)), "pd": pa.array(cells.from_centre(vecs[some], c))}
                     yield pa.RecordBatch.from_arrays([new.get(n, part.column(i)) for i, n in enumerate(part.schema.names)], names=part.schema.names)
 
     return queries.mapInArrow(run, queries.schema)
@@ -169,15 +239,18 @@ def block_best(q: np.ndarray, q_pd: np.ndarray, bound: np.ndarray, r: np.ndarray
         near = np.sort(by_pd[low[some[0]]: top])
         if not len(near):
             continue
-        for i, d in zip(some, _distances(q[some], r[near])):
-            if len(d) > k:  # every point weighs one at least: the k-th distance and its ties are enough
-                keep = np.flatnonzero(d <= min(np.partition(d, k - 1)[k - 1], reach[i]))
-            else:
-                keep = np.flatnonzero(d <= reach[i])
-            keep = keep[np.argsort(d[keep], kind="stable")]
-            before = np.cumsum(w[near[keep]]) - w[near[keep]]
-            keep = keep[before < k]
-            found.append((np.full(len(keep), i), near[keep], d[keep]))
+        some = np.asarray(some)
+        dist, limit = _distances(q[some], r[near]), reach[some]
+        if len(near) > k:  # every point weighs one at least: the k-th distance and its ties are enough
+            limit = np.minimum(np.partition(dist, k - 1, axis=1)[:, k - 1], limit)
+        row, point = np.nonzero(dist <= limit[:, None])
+        d = dist[row, point]
+        by = np.lexsort((point, d, row))
+        row, point, d = row[by], near[point[by]], d[by]
+        before = np.cumsum(w[point]) - w[point]
+        first = np.searchsorted(row, row, "left")  # of the same query
+        keep = before - before[first] < k
+        found.append((some[row[keep]], point[keep], d[keep]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -185,9 +258,9 @@ def block_best(q: np.ndarray, q_pd: np.ndarray, bound: np.ndarray, r: np.ndarray
 
 def _search(queries: DataFrame, refs: DataFrame, cells: Cells, k: int, payload: list[str]) -> DataFrame:
     """(qid, pid, *payload, dist, w, cell, block): the block searches of queries placed in cells."""
-    spark, dim = refs.sparkSession, cells.pivots.shape[1]
-    asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
-    rows = [(int(c), int(-(-cells.count[c] // BLOCK)), int(-(-n // CHUNK))) for c, n in asked.items()]
+    spark, dim = refs.sparkSession, cells.centres.shape[1]
+    asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+    rows = [(int(c), int(-(-cells.count[c] // BLOCK)), int(-(-n // CHUNK))) for c, n in asked.items() if cells.count[c]]
     layout = F.broadcast(spark.createDataFrame(rows, "cell int, blocks int, chunks int"))
     q = queries.join(layout, "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
     q = q.select("qid", "vec", "pd", "bound", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -219,17 +292,22 @@ def _search(queries: DataFrame, refs: DataFrame, cells: Cells, k: int, payload:
     return q.groupBy("cell", "block", "chunk").cogroup(r.groupBy("rcell", "rblock", "rchunk")).applyInArrow(run, schema)
 
 
+def _weights(found: DataFrame, exclude_self: bool) -> DataFrame:
+    """``found`` without the copy of itself that a query does not count."""
+    weight = F.col("w") - F.when(F.col("qid") == F.col("pid"), 1).otherwise(0) if exclude_self else F.col("w")
+    return found.withColumn("w", weight).where("w > 0")
+
+
 def _nearest(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """``found`` cut to the k nearest copies of every query; ``c`` of a point's copies are among them."""
-    weight = F.col("w") - F.when(F.col("qid") == F.col("pid"), 1).otherwise(0) if exclude_self else F.col("w")
-    left = found.withColumn("w", weight).where("w > 0")
+    left = _weights(found, exclude_self)
     win = Window.partitionBy("qid").orderBy("dist", "pid").rowsBetween(Window.unboundedPreceding, -1)
     top = left.withColumn("_before", F.coalesce(F.sum("w").over(win), F.lit(0))).where(F.col("_before") < k)
     return top.withColumn("c", F.least(F.col("w"), F.lit(k) - F.col("_before"))).drop("_before", "w", "cell", "block")
 
 
 def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_self: bool = False,
-               cell_size: int = 512, payload: list[str] | None = None) -> DataFrame:
+               cell_size: int = 1024, payload: list[str] | None = None) -> DataFrame:
     """Exact weighted kNN.
 
     queries: (qid, vec), a row per qid; refs: (pid, vec, w, *payload) with pid the
@@ -248,16 +326,17 @@ def knn_search(queries: DataFrame, refs: DataFrame, k: int, dim: int, exclude_se
     if not n:
         empty = T.StructType([queries.schema["qid"], refs.schema["pid"], *(refs.schema[p] for p in payload), T.StructField("dist", T.DoubleType()), T.StructField("c", T.LongType())])
         return refs.sparkSession.createDataFrame([], empty)
-    cells = Cells(_pivots(refs, dim, n, cell_size))
-    refs = materialize(_placed(refs, cells), "knn-cells")
-    for r in refs.groupBy("cell").agg(F.min("pd").alias("a"), F.max("pd").alias("b"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
-        cells.low[r["cell"]], cells.high[r["cell"]], cells.weight[r["cell"]], cells.count[r["cell"]] = r["a"], r["b"], r["w"], r["n"]
-    queries = materialize(_placed(queries, cells, most), "knn-queries")
+    cells = _cells(refs, dim, n, cell_size)
+    refs = materialize(_placed(refs, cells).where(~F.isnan("pd")), "knn-cells")
+    held = refs.groupBy("cell").agg(F.count(F.lit(1)), F.sum("w"), F.array(*[F.min(F.col("vec")[i]) for i in range(dim)]), F.array(*[F.max(F.col("vec")[i]) for i in range(dim)]))
+    cells.hold(held.collect(), most)  # a row a cell
+    queries = materialize(_placed(queries, cells, bounded=True), "knn-queries")
     near = materialize(_search(queries, refs, cells, most, payload), "knn-own")
-    got = _nearest(near, k, exclude_self).groupBy("qid").agg(F.max("dist").alias("dk"), F.sum("c").alias("got"))
-    tighter = F.when(F.col("got") >= k, F.least("bound", "dk")).otherwise(F.col("bound"))
-    bounded = queries.join(got.withColumnRenamed("qid", "of"), F.col("qid") == F.col("of"), "left")
-    visits = materialize(_visits(bounded.select("qid", "vec", "cell", "pd", F.coalesce(tighter, F.col("bound")).alias("bound")), cells), "knn-visits")
+    # a block that alone holds k copies bounds its query
+    met = _weights(near, exclude_self).groupBy("qid", "block").agg(F.max("dist").alias("dk"), F.sum("w").alias("got")).where(F.col("got") >= k)
+    got = met.groupBy(F.col("qid").alias("of")).agg(F.min("dk").alias("dk"))
+    bounded = queries.join(got, F.col("qid") == F.col("of"), "left").select("qid", "vec", "cell", "pd", F.least("bound", "dk").alias("bound"))
+    visits = materialize(_visits(bounded, cells), "knn-visits")
     beyond = _search(visits, refs, cells, most, payload)
     return materialize(_nearest(near.unionByName(beyond), k, exclude_self), "knn")
 
@@ -288,9 +367,10 @@ def lof_scores(df: DataFrame, cols: list[str], k: int = 20) -> DataFrame:
     usual 1e-10 floor."""
     d = df.dropna(subset=cols)
     vec = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
-    pts = distinct_points(d.select(vec.alias("vec")), "vec")
-    qs = pts.select(F.col("pid").alias("qid"), "vec")
-    nn = knn_search(qs, pts, k, len(cols), exclude_self=True)
+    pts = distinct_points(d.select(vec.alias("vec")), "vec").select("vec", "w", F.lit(1).cast("long").alias("_one"))
+    # neighbours are kept by the number of a point in the order of all: vectors in their place would be most of what is moved
+    pts = materialize(running_before(pts, "vec", "_one").select(F.col("before").alias("pid"), "vec", "w"), "lof-points")
+    nn = knn_search(pts.select(F.col("pid").alias("qid"), "vec"), pts, k, len(cols), exclude_self=True)
     kd = nn.groupBy("qid").agg(F.max("dist").alias("kdist"), F.sum("c").alias("kc"))
     reach = nn.join(kd.select(F.col("qid").alias("pid"), F.col("kdist").alias("okd")), "pid").select(
         "qid", "pid", "c", F.greatest(F.col("okd"), F.col("dist")).alias("reach"))
@@ -298,7 +378,7 @@ def lof_scores(df: DataFrame, cols: list[str], k: int = 20) -> DataFrame:
     lof = (nn.join(lrd.select(F.col("qid").alias("pid"), F.col("lrd").alias("olrd")), "pid")
            .groupBy("qid").agg((F.sum(F.col("c") * F.col("olrd")) / F.sum("c")).alias("_m"))
            .join(lrd, "qid").select(F.col("qid").alias("pid"), (F.col("_m") / F.col("lrd")).alias("lof")))
-    return d.withColumn("pid", vec).join(lof, "pid").drop("pid")
+    return d.withColumn("vec", vec).join(lof.join(pts, "pid").select("vec", "lof"), "vec").drop("vec")
 
 
 def lof_flags(df: DataFrame, cols: list[str], k: int = 20, contamination: float = 0.05) -> DataFrame:

@@ -175,3 +175,23 @@ def test_no_references_or_too_few(spark):
     from pyspark.ml.linalg import Vectors
     rows = spark.createDataFrame([(1.0, Vectors.dense([1.0]))], ["label", "features"])
     assert knn.knn_classify(rows.limit(0), rows).collect() == []
+
+
+def test_cells_stay_small_whatever_the_number_of_points():
+    """With 10 000 cells' worth of points no cell is larger than meant, and a walk finds the boxes that a full scan finds."""
+    rng = np.random.default_rng(9)
+    pts = np.unique(np.round(np.stack([rng.exponential(50, 40_000), rng.integers(0, 3_000, 40_000)], axis=1), 2), axis=0)
+    cells = knn.Cells(pts, 10_000)
+    own = cells.place(pts)
+    size = np.bincount(own, minlength=len(cells.count))
+    assert 1 <= size.min() and size.max() <= 4 and len(size) >= 10_000
+    low, high = (f.reduceat(pts[np.argsort(own, kind="stable")], np.cumsum(size) - size) for f in (np.minimum, np.maximum))
+    cells.hold(zip(range(len(size)), size, size, low, high), 21)
+    asked = rng.choice(len(pts), 200, replace=False)
+    bound = cells.first_bound(pts[asked], own[asked])
+    away = np.sqrt(((pts[asked][:, None] - pts[None]) ** 2).sum(axis=2))
+    assert ((away <= bound[:, None]).sum(axis=1) >= 21).all() and np.median(bound) < 50
+    found = {(int(r), int(c)) for rows, some in cells.within_reach(pts[asked], bound) for r, c in zip(rows, some)}
+    assert {(i, int(own[j])) for i, j in zip(*np.nonzero(away <= bound[:, None]))} <= found
+    gap = np.maximum(np.maximum(low[None] - pts[asked][:, None], pts[asked][:, None] - high[None]), 0)
+    assert found == {(int(i), int(c)) for i, c in zip(*np.nonzero(np.sqrt((gap ** 2).sum(axis=2)) <= bound[:, None] * (1 + 1e-9) + 1e-9))}
