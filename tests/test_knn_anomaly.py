@@ -195,3 +195,14 @@ def test_cells_stay_small_whatever_the_number_of_points():
     assert {(i, int(own[j])) for i, j in zip(*np.nonzero(away <= bound[:, None]))} <= found
     gap = np.maximum(np.maximum(low[None] - pts[asked][:, None], pts[asked][:, None] - high[None]), 0)
     assert found == {(int(i), int(c)) for i, c in zip(*np.nonzero(np.sqrt((gap ** 2).sum(axis=2)) <= bound[:, None] * (1 + 1e-9) + 1e-9))}
+
+
+def test_incomplete_points_hide_no_neighbours(spark):
+    """A point without one component has no place: it is nobody's neighbour, finds none, and leaves those of others as they are."""
+    pts = [[float(x), float(y)] for x in range(20) for y in range(10)]
+    schema = "pid array<double>, vec array<double>, w long"
+    whole = spark.createDataFrame([(p, p, 1) for p in pts], schema)
+    some = whole.unionByName(spark.createDataFrame([(p, p, 1) for p in ([None, 3.0], [4.0, None])], schema))
+    near = lambda refs: {(*r["qid"], *r["pid"]) for r in knn.knn_search(
+        refs.select(F.col("pid").alias("qid"), "vec"), refs, 3, 2, exclude_self=True, cell_size=16).collect()}
+    assert near(some) == near(whole) and len(near(whole)) == 600
